@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pictorium.llm import quality_rules as quality
+from pictorium.llm import archives, mixing, personal_data
 from pictorium.llm import near_duplicates as near
 from pictorium.llm import sentence_pieces, token_counts
 from pictorium.llm.common import table
@@ -23,6 +24,20 @@ def op3_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.encode_decode(table(spark, sf_dir, "documents"), model, digests=True)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = archives.archived(table(spark, sf_dir, "pages"))
+    return archives.read_back(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.spans(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -34,6 +49,9 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op3_sentence_pieces": op3_sentence_pieces,
+    "op5_warc": op5_warc,
+    "op6_pii": op6_pii,
+    "op7_mixing": op7_mixing,
     "op8_quality_rules": op8_quality_rules,
     "op9_near_duplicates": op9_near_duplicates,
 }
