@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pictorium.llm import quality_rules as quality
-from pictorium.llm import archives, mixing, personal_data
+from pictorium.llm import archives, mixing, personal_data, toxicity
 from pictorium.llm import near_duplicates as near
 from pictorium.llm import sentence_pieces, token_counts
 from pictorium.llm.common import table
@@ -19,6 +19,13 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > MAX_TOKENS)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 5
+    model = toxicity.fitted(docs, table(spark, sf_dir, "labels"), fold != 0)
+    held_out = F.coalesce(fold == 0, F.lit(False))
+    return toxicity.scored(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = token_counts.public_path(sentence_pieces.MODEL)
     return sentence_pieces.encode_decode(table(spark, sf_dir, "documents"), model, digests=True)
@@ -48,6 +55,7 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_toxicity": op2_toxicity,
     "op3_sentence_pieces": op3_sentence_pieces,
     "op5_warc": op5_warc,
     "op6_pii": op6_pii,
