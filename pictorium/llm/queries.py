@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pictorium.llm import quality_rules as quality
-from pictorium.llm import archives, mixing, personal_data, toxicity
+from pictorium.llm import archives, mixing, neighbours, personal_data, repeated_passages, toxicity
 from pictorium.llm import near_duplicates as near
 from pictorium.llm import sentence_pieces, token_counts
 from pictorium.llm.common import table
@@ -31,6 +31,10 @@ def op3_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.encode_decode(table(spark, sf_dir, "documents"), model, digests=True)
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = archives.archived(table(spark, sf_dir, "pages"))
     return archives.read_back(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -53,15 +57,21 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_toxicity": op2_toxicity,
     "op3_sentence_pieces": op3_sentence_pieces,
+    "op4_neighbours": op4_neighbours,
     "op5_warc": op5_warc,
     "op6_pii": op6_pii,
     "op7_mixing": op7_mixing,
     "op8_quality_rules": op8_quality_rules,
     "op9_near_duplicates": op9_near_duplicates,
+    "op10_repeated_passages": op10_repeated_passages,
 }
 
 ORACLE_SQL: dict[str, str] = {}
