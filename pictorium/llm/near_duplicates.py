@@ -6,13 +6,13 @@ and, within a tree, among levels. At the root each set follows BRANCHES paths, o
 sets that share a path form a node. A node of at most NODE_SETS sets and NODE_SHINGLES shingles is compared
 exhaustively; a larger one is branched again by the next level's tokens. A pair of similarity s survives a level
 with probability 1 - (1 - s)^BRANCHES, so at s = 0.85 a tree of depth d misses it with probability below 0.0034 d,
-and TREES independent trees miss it with the power of that: 1e-5 for depth one. Nodes that are still large at the
-last level (dense groups that tokens don't part) are split into blocks, and every pair of blocks is one comparison:
-nothing is capped.
+and TREES independent trees miss it with the power of that: 1e-5 for depth one. A large node that tokens don't part
+(dense near copies), or that is still large at the last level, is split into blocks, and every pair of blocks is one
+comparison: nothing is capped, at the price of work that grows with the square of such a group of different texts.
 
-Comparing a node: signatures, then full sets. Pairs that agree in fewer than AGREE of the tokens are passed over
-(at s = 0.85 that happens with probability about 2e-6); every other pair not yet connected inside the node is
-confirmed on its full sets, 100 |A & B| >= 85 |A | B|. Nodes with the same members are compared once. The links found
+Comparing a node: signatures, then full sets. What no chain of pairs with AGREE equal tokens connects is parted (a pair
+at s = 0.85 agrees in fewer with probability about 2e-6); within what is left every pair is held against 100 |A & B| >=
+85 |A | B| by the postings of the full sets' shingles. Nodes with the same members are compared once. The links given
 span each connected group of a node, so components lose nothing while copies never expand into all pairs.
 
 Null and empty texts and texts without words have no shingles and are linked with nothing. Rows without an id are
@@ -39,7 +39,9 @@ SIMILARITY_PERCENT = 85
 TREES, LEVELS, BRANCHES = 2, 5, 3
 TOKENS = TREES * LEVELS * BRANCHES
 AGREE = 16
-NODE_SETS, NODE_SHINGLES = 1_000, 2_000_000
+NODE_SETS, NODE_SHINGLES = 4_000, 2_000_000
+#: A node of which one token keeps more than this share is dense.
+DENSE = 0.5
 _PERMUTATIONS = np.random.Generator(np.random.PCG64(7)).integers(0, 2**63, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -78,14 +80,7 @@ def agreement(tokens: np.ndarray) -> np.ndarray:
     return same
 
 
-def _find(parent: list[int], i: int) -> int:
-    while parent[i] != i:
-        parent[i] = parent[parent[i]]
-        i = parent[i]
-    return i
-
-
-def _rows(batch: pa.RecordBatch, name: str, width: int | None) -> Iterator[list[np.ndarray]]:
+def _rows(batch: pa.RecordBatch, name: str) -> Iterator[list[np.ndarray]]:
     """For each row of a list<list<long>> column, its inner lists as arrays."""
     outer = batch.column(batch.schema.get_field_index(name))
     inner = outer.values
@@ -100,7 +95,7 @@ def _alike(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("members", pa.list_(pa.int64()))])
     for batch in batches:
         found = []
-        for ids, tokens in zip(batch.column(0).to_pylist(), _rows(batch, "tokens", TOKENS), strict=True):
+        for ids, tokens in zip(batch.column(0).to_pylist(), _rows(batch, "tokens"), strict=True):
             left = np.arange(len(ids))
             near = agreement(np.stack(tokens)) >= AGREE
             while len(left) > 1:
@@ -115,24 +110,31 @@ def _alike(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"members": found}, schema)
 
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= percent * (len(a) + len(b) - both)
-
-
-def node_links(tokens: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that span each connected group of a node: alike pairs first, pairs already connected passed over."""
-    same = np.triu(agreement(tokens), 1)
-    i, j = np.nonzero(same >= AGREE)
-    order = np.argsort(-same[i, j].astype(np.int16), kind="stable")
-    parent, out = list(range(len(sets))), []
-    for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
-        rx, ry = _find(parent, x), _find(parent, y)
-        if rx != ry and linked(sets[x], sets[y], percent):
-            parent[max(rx, ry)] = min(rx, ry)
-            out.append((x, y))
+def node_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that span each connected group of a node, found by its shingles' postings: exact for every pair."""
+    n = len(sets)
+    sizes = np.fromiter(map(len, sets), np.int64, n)
+    owner = np.repeat(np.arange(n), sizes)
+    _, code, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    posted = owner[np.argsort(code, kind="stable")]
+    begins = np.cumsum(often) - often
+    ends = np.cumsum(sizes)
+    group, out = np.arange(n), []
+    for i in range(1, n):
+        own = code[ends[i] - sizes[i] : ends[i]]
+        own = own[often[own] > 1]
+        if not len(own):
+            continue
+        lengths = often[own]
+        at = np.repeat(begins[own] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+        both = np.bincount(posted[at], minlength=n)[:i]
+        near = np.flatnonzero(100 * both >= percent * (sizes[i] + sizes[:i] - both))
+        if len(near):
+            groups, first = np.unique(group[near], return_index=True)
+            out += [(i, int(j)) for j in near[first]]
+            group[i] = groups[0]
+            if len(groups) > 1:
+                group[np.isin(group, groups)] = groups[0]
     return out
 
 
@@ -142,7 +144,7 @@ def _grouped(nodes: DataFrame, by: str, values: tuple[str, ...]) -> DataFrame:
     return rows.select(*[F.col(f"r.{v}").alias(v) for v in values])
 
 
-def _branched(members: DataFrame, level: int, tree: str | None = None) -> DataFrame:
+def _branched(members: DataFrame, level: int, tree: str | None = None, carried: tuple[str, ...] = ()) -> DataFrame:
     """The next nodes of sets with their tokens: BRANCHES for each tree at the root, then within the node's tree."""
     base = lambda t, k: (t * LEVELS + level) * BRANCHES + k
     ways = []
@@ -151,30 +153,46 @@ def _branched(members: DataFrame, level: int, tree: str | None = None) -> DataFr
             ways.append(F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(base(t, k)), F.col("node") if tree else F.lit(0), F.get("tokens", F.lit(base(t, k)))).alias("node")))
     every = F.array(*ways)
     chosen = F.filter(every, lambda w: w["tree"] == F.col(tree)) if tree else every
-    return members.select("set_id", "size", F.explode(chosen).alias("w")).select("set_id", "size", F.col("w.tree").alias("tree"), F.col("w.node").alias("node"))
+    return members.select("set_id", "size", *carried, F.explode(chosen).alias("w")).select("set_id", "size", *carried, F.col("w.tree").alias("tree"), F.col("w.node").alias("node"))
+
+
+def _sized(nodes: DataFrame, node_sets: int, node_shingles: int) -> DataFrame:
+    sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("w")).where("n > 1")
+    return sizes.withColumn("small", (F.col("n") <= node_sets) & (F.col("w") <= node_shingles))
+
+
+def _lists(nodes: DataFrame) -> DataFrame:
+    return nodes.groupBy("node").agg(F.sort_array(F.collect_set("set_id")).alias("members")).select("members")
+
+
+def _block_pairs(large: DataFrame, node_sets: int, node_shingles: int) -> DataFrame:
+    """Every pair of blocks of a large node as a node of its own."""
+    blocks = (2 * F.greatest(F.ceil(F.col("n") / node_sets), F.ceil(F.col("w") / node_shingles))).cast("int")
+    cut = large.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    pairs = cut.select("node", "set_id", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return pairs.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "set_id")
 
 
 def _leaves(reps: DataFrame, node_sets: int, node_shingles: int) -> DataFrame:
     """The nodes to compare exhaustively, as lists of set ids; equal lists once."""
     signed = reps.select("set_id", F.col("n_shingles").alias("size"), "tokens")
-    nodes, leaves = _branched(signed, 0), []
+    nodes, leaves = written(_branched(signed, 0)), []
     for level in range(1, LEVELS + 1):
-        nodes = written(nodes)
-        sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("w")).where("n > 1")
-        sizes = sizes.withColumn("small", (F.col("n") <= node_sets) & ((F.col("w") <= node_shingles)))
-        sized = nodes.join(sizes, "node")
-        leaves.append(sized.where("small").groupBy("node").agg(F.sort_array(F.collect_set("set_id")).alias("members")).select("members"))
+        sized = nodes.join(_sized(nodes, node_sets, node_shingles), "node")
+        leaves.append(_lists(sized.where("small")))
         large = sized.where(~F.col("small"))
         if large.isEmpty():
             break
+        dense = large
         if level < LEVELS:
-            nodes = _branched(large.select("node", "tree", "set_id").join(signed, "set_id"), level, "tree")
-        else:
-            blocks = (2 * F.greatest(F.ceil(F.col("n") / node_sets), F.ceil(F.col("w") / node_shingles))).cast("int")
-            cut = large.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
-            pairs = cut.select("node", "set_id", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-            keyed = pairs.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "set_id")
-            leaves.append(keyed.groupBy("node").agg(F.sort_array(F.collect_set("set_id")).alias("members")).select("members"))
+            from_large = large.select(F.col("node").alias("parent"), F.col("n").alias("whole"), "node", "tree", "set_id").join(signed, "set_id")
+            below = written(_branched(from_large, level, "tree", ("parent", "whole")))
+            # a node that tokens don't part is dense: more of them would only copy it
+            most = below.groupBy("node", "parent", "whole").agg(F.count(F.lit(1)).alias("n")).groupBy("parent", "whole").agg(F.max("n").alias("n"))
+            parted = most.where(F.col("n") <= DENSE * F.col("whole")).select("parent")
+            dense = large.join(parted, large["node"] == parted["parent"], "left_anti")
+            nodes = written(below.join(parted, "parent", "left_semi").drop("parent", "whole"))
+        leaves.append(_lists(_block_pairs(dense, node_sets, node_shingles)))
     out = leaves[0]
     for more in leaves[1:]:
         out = out.union(more)
@@ -198,12 +216,11 @@ def links(docs: DataFrame, reps: DataFrame, percent: int, node_sets: int = NODE_
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
         for batch in batches:
             out = []
-            for ids, signs, sets in zip(batch.column(0).to_pylist(), _rows(batch, "tokens", TOKENS), _rows(batch, "shingles", None), strict=True):
-                found = node_links(np.stack(signs), [s.view(np.uint64) for s in sets], percent)
-                out += [(ids[x], ids[y]) for x, y in found]
+            for ids, sets in zip(batch.column(0).to_pylist(), _rows(batch, "shingles"), strict=True):
+                out += [(ids[x], ids[y]) for x, y in node_links(sets, percent)]
             yield pa.RecordBatch.from_pydict({"a": [x for x, _ in out], "b": [y for _, y in out]}, schema)
 
-    return _grouped(groups.join(tokens, "set_id").join(full, "set_id"), "node", ("set_id", "tokens", "shingles")).mapInArrow(confirm, "a long, b long")
+    return _grouped(groups.join(full, "set_id"), "node", ("set_id", "shingles")).mapInArrow(confirm, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = SIMILARITY_PERCENT, *, node_sets: int = NODE_SETS, node_shingles: int = NODE_SHINGLES) -> DataFrame:
