@@ -66,7 +66,7 @@ def described(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.sha2(text, 256)), F.lit(SEED)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null")).alias(c)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), named("source"), named("lang"), topic(text).alias("topic"), word_count(text).alias("n_tokens"), draw.alias("draw"))
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), named("source"), named("lang"), topic(text).alias("topic"), word_count(text).alias("n_tokens"), draw.alias("draw"))
 
 
 def _targets(rows: DataFrame, wanted: Mapping[str, Mapping[str, float] | str]) -> dict[str, dict[str, float]]:
@@ -124,8 +124,7 @@ def scale(tokens: np.ndarray, factor: np.ndarray, keep: float) -> float:
     return high
 
 
-def mixed(docs: DataFrame, targets: Mapping[str, Mapping[str, float] | str] = TARGETS, keep: float = KEEP) -> DataFrame:
-    """doc_id, source, lang, topic, n_tokens, weight, probability and kept, for every document."""
+def _decided(docs: DataFrame, targets: Mapping[str, Mapping[str, float] | str] = TARGETS, keep: float = KEEP) -> DataFrame:
     rows = described(docs)
     known = _targets(rows, targets)
     cut = rows.withColumns({f"{name}_cell": _bucket(name, known[name]) for name in DIMENSIONS})
@@ -140,4 +139,14 @@ def mixed(docs: DataFrame, targets: Mapping[str, Mapping[str, float] | str] = TA
     schema = ", ".join(f"{n} string" for n in names) + ", weight double, probability double"
     shares = docs.sparkSession.createDataFrame(found, schema)  # at most the product of the targets' sizes
     out = cut.join(F.broadcast(shares), names, "left")
-    return out.select("doc_id", *DIMENSIONS, "n_tokens", "weight", "probability", (F.col("draw") < F.col("probability")).alias("kept"))
+    return out.withColumn("kept", F.col("draw") < F.col("probability"))
+
+
+def mixed(docs: DataFrame, targets: Mapping[str, Mapping[str, float] | str] = TARGETS, keep: float = KEEP) -> DataFrame:
+    """doc_id, source, lang, topic, n_tokens, weight, probability and kept, for every document."""
+    return _decided(docs, targets, keep).select("doc_id", *DIMENSIONS, "n_tokens", "weight", "probability", "kept")
+
+
+def sampled(docs: DataFrame, targets: Mapping[str, Mapping[str, float] | str] = TARGETS, keep: float = KEEP) -> DataFrame:
+    """The documents that are kept, with all their columns."""
+    return _decided(docs, targets, keep).where("kept").select("row.*")

@@ -39,6 +39,7 @@ SIMILARITY_PERCENT = 85
 TREES, LEVELS, BRANCHES = 2, 5, 3
 TOKENS = TREES * LEVELS * BRANCHES
 AGREE = 16
+BROADCAST_IDS = 4_000_000
 NODE_SETS, NODE_SHINGLES = 4_000, 2_000_000
 #: A node of which one token keeps more than this share is dense.
 DENSE = 0.5
@@ -236,3 +237,11 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILARITY_PERCENT, *, node_
     own = prepared.select("doc_id", "n_shingles", keyed).join(named, "set_id", "left")
     component = F.coalesce("component_id", "doc_id")
     return own.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, percent: int = SIMILARITY_PERCENT) -> DataFrame:
+    """The documents that are kept, one of each component, with all their columns."""
+    gone = near_duplicates(docs, percent).where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
+    gone = written(gone)
+    few = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == gone["gone"], "left_anti")

@@ -85,11 +85,13 @@ def _repeated_words(windows: Column) -> Column:
     return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0)).otherwise(bound)
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """doc_id and the counts of every text, in one chain of projections over the scan."""
+def measured(docs: DataFrame, *, whole: bool = False) -> DataFrame:
+    """doc_id and the counts of every text, in one chain of projections over the scan; `whole` keeps the row as `row`."""
     text = F.col("text")
-    plain = id_and_text(docs).select(
-        "doc_id",
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("row")) if whole else id_and_text(docs)
+    kept = ["doc_id", "row"] if whole else ["doc_id"]
+    plain = given.select(
+        *kept,
         F.array_remove(F.split(F.translate(text, SPACES, " " * len(SPACES)), " "), "").alias("words"),
         F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
         F.char_length(F.translate(text, SPACES + " ", "")).cast("long").alias("word_chars"),
@@ -97,7 +99,7 @@ def measured(docs: DataFrame) -> DataFrame:
     )
     shifted = [F.slice("words", k + 1, F.greatest(F.size("words") - WINDOW + 1, F.lit(0))).alias(f"w{k}") for k in range(WINDOW)]
     zipped = plain.select(
-        "doc_id",
+        *kept,
         F.size("words").cast("long").alias("n_words"),
         "word_chars",
         "n_symbols",
@@ -111,7 +113,16 @@ def measured(docs: DataFrame) -> DataFrame:
     return counts.drop("zipped", "windows")
 
 
+def _judged(counts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    return counts.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & compiled(rules))
+
+
 def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The counts, base_failed (too few words, or too many of them in repeated windows) and kept for every text."""
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return measured(docs).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & compiled(rules))
+    return _judged(measured(docs), rules)
+
+
+def passing(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The documents that are kept, with all their columns."""
+    return _judged(measured(docs, whole=True), rules).where("kept").select("row.*")

@@ -20,6 +20,7 @@ import hashlib
 import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -93,7 +94,7 @@ def encode_decode(docs: DataFrame, model: str, *, digests: bool = False) -> Data
             if digests:
                 out |= {name: pa.array([hashlib.sha256(row[k].encode()).hexdigest() for row in rows], pa.string()) for k, name in ((1, "ids_sha256"), (2, "decoded_sha256"))}
             else:
-                out |= {"ids": pa.array([[int(i) for i in ids.split(" ")] for _, ids, _ in rows], pa.list_(pa.int32())), "decoded": pa.array([text for _, _, text in rows], pa.string())}
+                out |= {"ids": pa.array([np.fromstring(ids, np.int32, sep=" ") for _, ids, _ in rows], pa.list_(pa.int32())), "decoded": pa.array([text for _, _, text in rows], pa.string())}
             yield pa.RecordBatch.from_pydict(out)
 
     kept = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
