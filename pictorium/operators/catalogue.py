@@ -192,12 +192,14 @@ def counters(people: DataFrame, faces: DataFrame) -> DataFrame:
     return out.na.fill(0)
 
 
-def keyed_path(images: DataFrame, faces: DataFrame, people: DataFrame, kind: str, height: int = 700) -> DataFrame:
+def keyed_path(images: DataFrame, faces: DataFrame, people: DataFrame, kind: str) -> DataFrame:
     """id -> path of a picture of a kind."""
-    kinds = {"full_big": (images, "full_res_path"), "full_medium": (images, "thumbnail_medium"), "full_small": (images, "thumbnail_small"), "face_array": (faces, "face_thumbnail"), "face_source": (faces.join(images.select(F.col("id").alias("image_id"), "filename"), "image_id"), "filename"), "face_highlight": (people, "highlight_img"), "slideshow": (images, "filename")}
-    if kind not in kinds:
+    columns = {"full_big": (images, "full_res_path"), "full_medium": (images, "thumbnail_medium"), "full_small": (images, "thumbnail_small"), "slideshow": (images, "filename"), "face_array": (faces, "face_thumbnail"), "face_source": (faces, "filename"), "face_highlight": (people, "highlight_img")}
+    if kind not in columns:
         raise ValueError(f"no such kind of picture: {kind}")
-    rows, column = kinds[kind]
+    rows, column = columns[kind]
+    if kind == "face_source":
+        rows = rows.join(images.select(F.col("id").alias("image_id"), "filename"), "image_id")
     return rows.select("id", F.col(column).alias("path"))
 
 

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pictorium.operators.curation import Marks, bulk_applied
@@ -49,14 +50,19 @@ def started(ops: DataFrame, table: FaceTable, marks: Marks, checkpoint: str, **t
     return ops.writeStream.foreachBatch(table.apply(marks)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def replayed(spark: SparkSession, faces: DataFrame, ops: DataFrame, marks: Marks, files_per_batch: int = 1) -> DataFrame:
-    """Writes the messages as files, streams them in order, and returns the faces afterwards."""
+def replayed(spark: SparkSession, faces: DataFrame, ops: DataFrame, marks: Marks, arrivals: int = 3) -> DataFrame:
+    """Lets the messages arrive as files, some of them at a time in their order, streams them and returns the faces."""
     folder = f"{shared_root(spark).rstrip('/')}/{uuid.uuid4().hex}"
-    ops.repartitionByRange(3, "seq").sortWithinPartitions("seq").write.parquet(f"{folder}/ops")
+    # a file source takes files by their age: each arrival is written after the one before
+    cuts = ops.approxQuantile("seq", [k / arrivals for k in range(1, arrivals)], 0.01)
+    edges = [None, *sorted(set(cuts)), None]
+    for low, high in zip(edges, edges[1:], strict=False):
+        part = ops if low is None else ops.where(F.col("seq") > low)
+        part = part if high is None else part.where(F.col("seq") <= high)
+        part.coalesce(1).sortWithinPartitions("seq").write.mode("append").parquet(f"{folder}/ops")
     table = FaceTable(spark, f"{folder}/faces")
     table.start(faces)
-    # files are read by age, and by path where they are equally old: the writer numbers them in the order of seq
-    source = spark.readStream.schema(FACE_OPS).option("maxFilesPerTrigger", files_per_batch).parquet(f"{folder}/ops")
+    source = spark.readStream.schema(FACE_OPS).option("maxFilesPerTrigger", 1).parquet(f"{folder}/ops")
     query = started(source, table, marks, f"{folder}/checkpoint")
     query.awaitTermination()
     done = [json.loads(p) if isinstance(p, str) else p for p in query.recentProgress]
