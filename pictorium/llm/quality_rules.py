@@ -46,12 +46,12 @@ RULES = (
     Rule("dup_line_ratio", None, 0.5, 20),
 )
 
-#: Measures that rules may name, in SQL over the counts of `measured`.
+#: Measures that rules may name, in SQL over the counts of `measured`; one without a value (no words) holds.
 MEASURES = {
-    "mean_word_chars": "word_chars / n_words",
-    "symbols_per_word": "n_symbols / n_words",
-    "stop_word_ratio": "n_stop_words / n_words",
-    "dup_line_ratio": "n_dup_lines / n_lines",
+    "mean_word_chars": "try_divide(word_chars, n_words)",
+    "symbols_per_word": "try_divide(n_symbols, n_words)",
+    "stop_word_ratio": "try_divide(n_stop_words, n_words)",
+    "dup_line_ratio": "try_divide(n_dup_lines, n_lines)",
 }
 
 

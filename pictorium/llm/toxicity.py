@@ -32,7 +32,7 @@ from pictorium.llm.common import BoundedCache, id_and_text, slices
 BUCKETS, DIM = 1 << 16, 8
 SHORTEST, LONGEST = 3, 6
 MAX_ROWS, FEATURES_PER_TEXT = 3_000, 8_192
-EPOCHS, BATCH, RATE = 5, 32, 0.02
+STEPS, BATCH, RATE = 750, 32, 0.02
 CACHE_ENTRIES = 300_000
 WORD = re.compile(r"[^\W_]+(?:[@$!*.\-'][^\W_]+)*")
 _SEED, _PRIME = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x100000001B3)
@@ -98,7 +98,7 @@ def _bags(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(bags: list[tuple[int, np.ndarray, np.ndarray]], share: float | None = None, *, seed: int = 1) -> Model:
-    """Adam on the cross-entropy of a softmax over the mean embedding.
+    """Adam on the cross-entropy of a softmax over the mean embedding, in some STEPS steps whatever the number of rows.
 
     share: of class 1 among all labelled rows, which the classes are weighted to; by default as they are.
     """
@@ -114,7 +114,7 @@ def train(bags: list[tuple[int, np.ndarray, np.ndarray]], share: float | None =
     weight = np.ones(2) if share is None else np.array([1 - share, share]) / own
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in (embed, soft, bias)]
     step = 0
-    for _ in range(EPOCHS):
+    for _ in range(-(-STEPS * BATCH // len(bags))):
         order = rng.permutation(len(bags))
         for at in range(0, len(order), BATCH):
             chosen = [bags[i] for i in order[at : at + BATCH]]
