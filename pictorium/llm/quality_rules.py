@@ -124,5 +124,10 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
 
 
 def passing(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The documents that are kept, with all their columns."""
-    return _judged(measured(docs, whole=True), rules).where("kept").select("row.*")
+    """The documents that are kept, with all their columns.
+
+    A plain filter would be pushed below the projections and work out every measure again in its own expression. A row
+    number, which has no fixed value, keeps the filter above them.
+    """
+    judged = _judged(measured(docs, whole=True), rules).select("row", "kept", F.monotonically_increasing_id().alias("number"))
+    return judged.where(F.col("kept") & (F.col("number") >= 0)).select("row.*")
