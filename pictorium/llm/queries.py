@@ -10,6 +10,7 @@ from pictorium.llm import archives, mixing, neighbours, personal_data, repeated_
 from pictorium.llm import near_duplicates as near
 from pictorium.llm import sentence_pieces, token_counts
 from pictorium.llm.common import table
+from pictorium.llm.oracles import ORACLE_SQL as ORACLE_SQL
 
 MAX_TOKENS = 2048
 
@@ -73,5 +74,3 @@ QUERIES = {
     "op9_near_duplicates": op9_near_duplicates,
     "op10_repeated_passages": op10_repeated_passages,
 }
-
-ORACLE_SQL: dict[str, str] = {}
