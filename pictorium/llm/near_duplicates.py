@@ -39,7 +39,7 @@ SIMILARITY_PERCENT = 85
 TREES, LEVELS, BRANCHES = 2, 5, 3
 TOKENS = TREES * LEVELS * BRANCHES
 AGREE = 16
-BROADCAST_IDS = 4_000_000
+BROADCAST_IDS = 1_000_000
 NODE_SETS, NODE_SHINGLES = 4_000, 2_000_000
 #: A node of which one token keeps more than this share is dense.
 DENSE = 0.5
