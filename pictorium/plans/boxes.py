@@ -61,7 +61,14 @@ def box_match(spark, sf_dir):
     return M.reconciled(_known(spark, sf_dir), _detected(spark, sf_dir))
 
 
-@query(None)
+_KEPT_IOU = """greatest(least(x.r, r.r) - greatest(x.l, r.l), 0) * greatest(least(x.b, r.b) - greatest(x.t, r.t), 0)::DOUBLE"""
+
+
+@query(f"""SELECT image_id, unnest(kept).det_id AS det_id FROM (SELECT * FROM folded QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY rn DESC) = 1)""",
+  "RECURSIVE " + S.FACES_SQL, DETECTED_SQL, "ranked AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, det_id) AS rn FROM detected)",
+  f"""folded(image_id, rn, kept) AS (SELECT DISTINCT image_id, CAST(0 AS BIGINT), CAST([] AS STRUCT(det_id BIGINT, l INT, t INT, r INT, b INT)[]) FROM detected
+  UNION ALL SELECT f.image_id, r.rn, CASE WHEN len(list_filter(f.kept, lambda x: {_KEPT_IOU} > 0.1 * ((x.r - x.l) * (x.b - x.t) + (r.r - r.l) * (r.b - r.t) - {_KEPT_IOU}))) > 0 THEN f.kept
+  ELSE list_append(f.kept, struct_pack(det_id := CAST(r.det_id AS BIGINT), l := r.l, t := r.t, r := r.r, b := r.b)) END FROM folded f JOIN ranked r ON r.image_id = f.image_id AND r.rn = f.rn + 1)""")
 def nms(spark, sf_dir):
     return M.non_maximum(_detected(spark, sf_dir), 0.1)
 

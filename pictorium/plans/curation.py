@@ -28,12 +28,25 @@ def _state(faces: DataFrame) -> DataFrame:
     return faces.select("id", "declared_person_id", "validated", F.size("candidates").cast("long").alias("n_candidates"), F.size(F.coalesce("rejected_ids", F.array().cast("array<bigint>"))).cast("long").alias("n_rejected"))
 
 
-@query(None)
+_OPS_SQL = """ops AS (SELECT event_id AS seq, unnest(list_distinct([user_id * 10 + 1 + event_id % 7, event_id % 1500 * 10 + 1 + user_id % 7])) AS id, event_id % 10 AS person,
+  CASE event_type WHEN 'view' THEN 'verify_face' WHEN 'signup' THEN 'confirm_proposed' WHEN 'click' THEN 'close_assigned' WHEN 'purchase' THEN 'close_ignored' ELSE 'close_unassigned' END AS op FROM events),
+  numbered AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq) AS rn FROM ops),
+  folded(id, rn, declared, validated, cands, rejected) AS (SELECT f.id, CAST(0 AS BIGINT), f.declared_person_id, f.validated, coalesce(c.cands, []), CAST([] AS BIGINT[]) FROM faces f
+    LEFT JOIN (SELECT id, list(person_id ORDER BY k) AS cands FROM candidates GROUP BY id) c ON c.id = f.id
+  UNION ALL SELECT id, rn, coalesce(target, declared), CASE WHEN target IS NOT NULL THEN false WHEN op = 'verify_face' THEN true ELSE validated END,
+    CASE WHEN target IS NOT NULL THEN [] WHEN op = 'close_assigned' THEN list_filter(cands, lambda x: x <> person) ELSE cands END,
+    CASE WHEN op = 'close_assigned' AND list_contains(cands, person) AND NOT list_contains(rejected, person) THEN list_append(rejected, person) ELSE rejected END
+    FROM (SELECT f.id, o.rn, declared, validated, cands, rejected, op, person, CASE WHEN op = 'close_unassigned' THEN 1 WHEN op = 'close_ignored' AND (coalesce(declared IN (1, 2), false) OR coalesce(cands[1] = 1, false)) THEN 2
+      WHEN op = 'confirm_proposed' THEN person END AS target FROM folded f JOIN numbered o ON o.id = f.id AND o.rn = f.rn + 1))"""
+_BULK = query("SELECT id, declared AS declared_person_id, validated, len(cands) AS n_candidates, len(rejected) AS n_rejected FROM folded QUALIFY row_number() OVER (PARTITION BY id ORDER BY rn DESC) = 1", "RECURSIVE " + S.FACES_SQL, _OPS_SQL)
+
+
+@_BULK
 def apply_bulk_ops(spark, sf_dir):
     return _state(D.bulk_applied(S.faces(spark, sf_dir), ops(spark, sf_dir), MARKS))
 
 
-@query(None)
+@_BULK
 def stream_bulk_ops(spark, sf_dir):
     return _state(stream.replayed(spark, S.faces(spark, sf_dir), ops(spark, sf_dir), MARKS))
 
