@@ -30,9 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pictorium.llm.common import shared_folder, slices
+from pictorium.llm.common import shared_folder, slices, written
 
 RECORDS_PER_FILE = 500
+BROADCAST_DIGESTS = 500_000
 CAPTURED = "20240101000000"
 #: The field lines of the two versions of the ARC format.
 FIELDS = {
@@ -165,7 +166,8 @@ def archived(pages: DataFrame, *, min_bytes: int = 0, version: int = 2) -> str:
     given = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     keyed = given.withColumn("digest", F.sha1(F.encode("html", "UTF-8")))
     equal = given.where(F.octet_length("html") >= min_bytes).groupBy(F.sha1(F.encode("html", "UTF-8")).alias("digest")).agg(F.min("page_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    typed = keyed.join(equal, "digest", "left").withColumn("first", F.when(F.col("page_id") != F.col("least"), F.col("least")))
+    equal = written(equal)  # digests that occur more than once, with their first page: no page moves if they are few
+    typed = keyed.join(F.broadcast(equal) if equal.count() <= BROADCAST_DIGESTS else equal, "digest", "left").withColumn("first", F.when(F.col("page_id") != F.col("least"), F.col("least")))
     folder = shared_folder(pages.sparkSession)
     records = typed.select("page_id", "url", "html", "first").mapInArrow(_converter(version), "value string")
     records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(folder)
