@@ -223,7 +223,7 @@ def _replace(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _scanned(docs: DataFrame, *, whole: bool) -> DataFrame:
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *([F.struct(*[docs[c] for c in docs.columns if c not in ("doc_id", "text")], F.lit(0).alias("_")).alias("rest")] if whole else []))
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *([F.struct(*([docs[c] for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0).alias("none")])).alias("rest")] if whole else []))
     rest = f", rest {given.schema['rest'].dataType.simpleString()}" if whole else ""
     return written(given.mapInArrow(_scanner(whole, pa.null() if whole else None), FOUND + rest))
 
