@@ -10,7 +10,14 @@ from pyspark.sql import functions as F
 from pictorium.config import DEFAULTS, Settings
 from pictorium.functions import values as V
 
+#: Which fields each entity shows.
 SUMMARY = ("id", "filename", "date_taken")
+FIELDS = {
+    "images": ("id", "filename", "directory_id", "width", "height", "date_taken", "date_taken_valid", "is_processed", "orientation", "camera_make", "camera_model", "iso_value", "light_source", "exposure", "gps_lat_decimal", "gps_lon_decimal", "face_set"),
+    "directories": ("id", "dir_path", "mean_datesec", "first_datesec", "num_images", "image_set"),
+    "faces": ("id", "declared_person_id", "image_id", "box_top", "box_bottom", "box_left", "box_right", "face_thumbnail", "validated"),
+    "people": ("id", "person_name", "highlight_img", "further_images_unlikely", "num_faces", "num_possibilities", "num_unverified_faces"),
+}
 FACE_NAMES = tuple(f"poss_name{k}" for k in range(1, 6))
 
 
@@ -98,6 +105,17 @@ def ordered(rows: DataFrame, key: str, allowed: Sequence[str]) -> DataFrame:
     return rows.orderBy(F.desc(key[1:]) if key.startswith("-") else F.asc(key), F.asc("id"))
 
 
+def shown(rows: DataFrame, entity: str) -> DataFrame:
+    """An entity's shown fields, those that the rows have."""
+    return rows.select(*[c for c in FIELDS[entity] if c in rows.columns])
+
+
+def shuffled(rows: DataFrame, seed: int, n: int | None = None) -> DataFrame:
+    """All rows in a random order, or n of them: each task keeps its n, so no full sort is needed for few."""
+    mixed = rows.orderBy(F.rand(seed))
+    return mixed if n is None else mixed.limit(n)
+
+
 LOOKUPS = {
     "exact": lambda c, v: c == v,
     "icontains": lambda c, v: V.contains_any_case(c, v),

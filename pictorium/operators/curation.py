@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pictorium.functions import values as V
 from pictorium.schema import CANDIDATES, no_candidates
 
 #: The operations of a message.
@@ -48,6 +49,29 @@ def rejected(faces: DataFrame, hit: Column, person_id: Column | int) -> DataFram
     return _set(faces, among, candidates=without(F.col("candidates"), person), rejected_ids=F.array_union(F.coalesce("rejected_ids", F.array().cast("array<bigint>")), F.array(person)))
 
 
+def candidate_placed(faces: DataFrame, hit: Column, slot: int, person_id: int, weight: float) -> DataFrame:
+    """Puts a person with a weight of 0 to 1 into a slot (1 to 5) of the candidates; gaps before it close up."""
+    if not 1 <= slot <= 5:
+        raise ValueError("slots run from 1 to 5")
+    if not 0 <= weight <= 1.000001:
+        raise ValueError("weights run from 0 to 1")
+    one = F.array(F.struct(F.lit(person_id).cast("long").alias("person_id"), F.lit(float(weight)).alias("weight"))).cast(CANDIDATES)
+    had = F.coalesce(F.col("candidates"), no_candidates())
+    return _set(faces, hit, candidates=F.concat(F.slice(had, 1, slot - 1), one, F.slice(had, slot + 1, 5)))
+
+
+def dates_recomputed(images: DataFrame, *tags: str, keep_epoch: bool = True) -> DataFrame:
+    """date_taken from the earliest readable of the camera's tags; images without any stay as they are.
+
+    keep_epoch leaves date_taken_utc alone.
+    """
+    first = V.earliest(*[V.exif_date(F.col(t)) for t in tags]) if len(tags) > 1 else V.exif_date(F.col(tags[0]))
+    changes = {"date_taken": first, "date_taken_valid": F.lit(True)}
+    if not keep_epoch:
+        changes["date_taken_utc"] = V.epoch_seconds(first)
+    return _set(images, first.isNotNull(), **changes)
+
+
 def cleared(faces: DataFrame, hit: Column, unassigned_id: int, *, to_null: bool = False) -> DataFrame:
     """Back to nobody: the unassigned person, so that suggestions come again, or no person at all."""
     nobody = F.lit(None).cast("long") if to_null else F.lit(unassigned_id).cast("long")

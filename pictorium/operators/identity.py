@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,12 +25,13 @@ def _prepared(faces: DataFrame, key: str, *more: str) -> DataFrame:
     return faces.select(F.col("id").alias(key), *more, vec.alias(f"{key}_vec")).where(usable(F.col(f"{key}_vec"))).withColumn(f"{key}_norm", X.norm(F.col(f"{key}_vec")))
 
 
-def similarities(pending: DataFrame, gallery: DataFrame, *, blocks: int | None = None) -> DataFrame:
+def similarities(pending: DataFrame, gallery: DataFrame, *, blocks: int | None = None, measure: Callable[[Column, Column, Column, Column], Column] = X.cosine) -> DataFrame:
     """face_id, person_id, gallery_id and cosine similarity of every pair but those of rejected people.
 
     pending: id, vec, rejected_ids; gallery: id, person_id, vec. Each row needs every pair, since the 99th percentile
     does. A gallery known to be small is broadcast. Beyond that both sides are dealt to a grid: the gallery to
-    `blocks` blocks, the pending faces once to each, so that no task holds more than a block.
+    `blocks` blocks, the pending faces once to each, so that no task holds more than a block. `measure` takes both
+    vectors and both norms; a pandas UDF of a trained comparison fits as well as the cosine.
     """
     asked, known = _prepared(pending, "face", "rejected_ids"), _prepared(gallery, "gallery", "person_id")
     if blocks is None:
@@ -40,7 +43,7 @@ def similarities(pending: DataFrame, gallery: DataFrame, *, blocks: int | None =
     else:
         pairs = asked.crossJoin(F.broadcast(known))
     pairs = pairs.where(~F.array_contains(F.coalesce("rejected_ids", F.array().cast("array<bigint>")), F.col("person_id")))
-    sim = X.cosine(F.col("face_vec"), F.col("gallery_vec"), F.col("face_norm"), F.col("gallery_norm"))
+    sim = measure(F.col("face_vec"), F.col("gallery_vec"), F.col("face_norm"), F.col("gallery_norm"))
     return pairs.select(F.col("face").alias("face_id"), "person_id", F.col("gallery").alias("gallery_id"), sim.alias("sim"))
 
 

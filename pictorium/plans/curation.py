@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pictorium.functions import values as V
 from pictorium.operators import catalogue as C
 from pictorium.operators import curation as D
 from pictorium.plans import stand_ins as S
@@ -115,3 +116,16 @@ def delete_images_cascade(spark, sf_dir):
 def counters_after_change(spark, sf_dir):
     changed = D.associated(S.faces(spark, sf_dir), F.col("id") % 3 == 0, 4)
     return C.counters(S.people(spark, sf_dir), changed).select("id", "num_faces")
+
+
+@query("SELECT id, CASE WHEN id % 4 <> 1 THEN k WHEN n % 6 = 0 THEN 0 ELSE k END AS k, person_id, weight FROM (SELECT c.id, c.k, f.n, CASE WHEN c.id % 4 = 1 AND c.k = 1 THEN 9 ELSE c.person_id END AS person_id, CASE WHEN c.id % 4 = 1 AND c.k = 1 THEN 0.5 ELSE c.weight END AS weight FROM candidates c JOIN faces f ON f.id = c.id UNION ALL SELECT id, CASE WHEN n % 6 = 0 THEN 0 ELSE 1 END, n, 9, 0.5 FROM faces WHERE id % 4 = 1 AND n % 6 < 2)", S.FACES_SQL)
+def place_candidate(spark, sf_dir):
+    faces = D.candidate_placed(S.faces(spark, sf_dir), F.col("id") % 4 == 1, 2, 9, 0.5)
+    return S.candidate_rows(faces).select("id", "k", "person_id", "weight")
+
+
+@query("SELECT id, CASE WHEN id % 3 = 0 THEN epoch(date_taken) + 3600 ELSE epoch(date_taken) END AS sec, date_taken_valid OR id % 3 = 0 AS date_taken_valid FROM images", S.IMAGES_SQL)
+def update_dates(spark, sf_dir):
+    later = F.date_format(F.col("date_taken") + F.expr("INTERVAL 1 HOUR"), "yyyy:MM:dd HH:mm:ss")
+    tagged = S.images(spark, sf_dir).withColumns({"a": F.when(F.col("id") % 3 == 0, later).otherwise("0000:00:00 00:00:00"), "b": F.when(F.col("id") % 6 == 0, F.lit("2030:01:01 00:00:00"))})
+    return D.dates_recomputed(tagged, "a", "b").select("id", V.epoch_seconds(F.col("date_taken")).alias("sec"), "date_taken_valid")

@@ -225,3 +225,9 @@ def path_parts(spark, sf_dir):
   SELECT directory_id, date_taken_valid AS valid, CASE WHEN date_taken_valid THEN epoch(date_taken) END AS sec FROM images)))) GROUP BY 1""", S.IMAGES_SQL)
 def directory_robust_dates(spark, sf_dir):
     return C.robust_dates(S.images(spark, sf_dir), now=1.7e9)
+
+
+@query(None)
+def random_face(spark, sf_dir):
+    one = C.shuffled(C.declared_faces(S.faces(spark, sf_dir), S.UNASSIGNED), 11, 1)
+    return C.candidate_names(one, S.people(spark, sf_dir)).select("id", *C.FACE_NAMES)
