@@ -28,7 +28,7 @@ from pictorium.llm.common import BoundedCache, id_and_text, slices
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 200_000
 #: Chunks longer than this are segmented each time and not kept.
 KEPT_CHARS = 48
 CHUNK = re.compile(r" *[^ \n]+| +|\n+")
@@ -48,7 +48,8 @@ class Pieces:
         self.by_chunk = chunks_hold([p.piece for p in model.pieces], model.normalizer_spec)
         model.normalizer_spec.add_dummy_prefix = False
         self.bare = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
-        self.table = BoundedCache(CACHE_ENTRIES)
+        #: Ids of each chunk, and what the few chunks decode to that don't give themselves back.
+        self.table, self.odd = BoundedCache(CACHE_ENTRIES), {}
         self.end = self.whole.eos_id()
 
     def encode(self, text: str) -> tuple[int, str, str]:
@@ -59,17 +60,20 @@ class Pieces:
         if not text:
             return 1, str(self.end), ""
         chunks = CHUNK.findall(" " + text.replace(MARK, " "))
-        table = self.table
         distinct = set(chunks)
         long = {c for c in distinct if len(c) > KEPT_CHARS}
-        new = table.absent(distinct - long) if long else table.absent(distinct)
+        new = self.table.absent(distinct - long if long else distinct)
+        if not self.table:
+            self.odd.clear()
         own = {}
         for chunk, ids in zip((every := [*new, *long]), self.bare.encode(every, num_threads=1), strict=True):
-            (own if chunk in long else table)[chunk] = len(ids), " ".join(map(str, ids)), self.bare.decode(ids)
-        found = [own[c] if c in own else table[c] for c in chunks] if long else [table[c] for c in chunks]
-        counts, ids, texts = zip(*found, strict=True)
-        decoded = "".join(texts)
-        return sum(counts) + 1, f"{' '.join(ids)} {self.end}", decoded[1:]
+            (own if chunk in long else self.table)[chunk] = " ".join(map(str, ids))
+            if (back := self.bare.decode(ids)) != chunk:
+                self.odd[chunk] = back
+        table = self.table if not long else {c: own[c] if c in own else self.table[c] for c in distinct}
+        shown = f"{' '.join([table[c] for c in chunks])} {self.end}"
+        parts = chunks if self.odd.keys().isdisjoint(distinct) else [self.odd.get(c, c) for c in chunks]
+        return shown.count(" ") + 1, shown, "".join(parts)[1:]
 
 
 def chunks_hold(pieces: list[str], spec) -> bool:
