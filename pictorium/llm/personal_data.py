@@ -2,15 +2,16 @@
 
 First, e-mail addresses, IP addresses, payment cards and telephone numbers are found in every whole text. Each
 distinct value is a protected entity. Then the corpus estimates how strongly each term reveals each entity: over all
-documents, PMI(t; e) = log2(n(t, e) N / (n(t) n(e))), against what the entity itself is worth, IC(e) = log2(N / n(e)).
-A term whose PMI reaches `disclosure` times IC(e), and which stands with the entity in at least `support` different
-texts, gives the entity away: its occurrences in texts that hold the entity become spans of the kind `term`, outside
-the fixed spans. In sanitised texts fixed spans are replaced by their kind and terms are generalised to TERM.
-Texts without an entity never change.
+documents, PMI(t; e) = log2(P(e | t) / P(e)), against what the entity itself is worth, IC(e) = log2(1 / P(e)). P(e) is
+n(e) / N, and P(e | t) is smoothed, (n(t, e) + PRIOR P(e)) / (n(t) + PRIOR): a term counts as if PRIOR further documents
+held it that know nothing of the entity, so few documents make a weak estimate and not none. A term whose PMI reaches
+`disclosure` times IC(e) gives the entity away, be the entity in one text or in many: the term's occurrences in texts
+that hold the entity become spans of the kind `term`, outside the fixed spans. In sanitised texts fixed spans are
+replaced by their kind and terms are generalised to TERM. Texts without an entity never change.
 
-A term is a run of at least three letters, in lower case. Counts are over documents (rows); support counts copies of
-one text once. Nothing is sampled or capped. The terms whose document counts are needed are broadcast when there are
-at most BROADCAST_TERMS of them and joined otherwise.
+A term is a run of at least three letters, in lower case. Counts are over documents (rows). `support` asks that a term
+stand with the entity in that many different texts; by default one is enough. Nothing is sampled or capped. The terms
+whose document counts are needed are broadcast when there are at most BROADCAST_TERMS of them and joined otherwise.
 
 Null text counts as empty and has no spans. Null ids and repeated rows are treated row by row, ties cannot arise (all
 terms at the threshold count), other columns are ignored by `spans` and kept by `sanitised`, and an empty table gives
@@ -25,13 +26,15 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pictorium.llm.common import slices, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
-DISCLOSURE, SUPPORT = 0.75, 3
+DISCLOSURE, SUPPORT = 0.75, 1
+PRIOR = 1.0
 BROADCAST_TERMS = 200_000
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -148,18 +151,41 @@ def _scanner(keep_all: bool, rest_type: pa.DataType | None):
     return scan
 
 
-def _term_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each protected entity of a text with each of its terms."""
-    schema = pa.schema([("entity", pa.string()), ("term", pa.string()), ("text_key", pa.string()), ("copies", pa.int64())])
+def _seen_terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many documents each term occurs, of texts with their numbers of copies."""
+    schema = pa.schema([("term", pa.string()), ("n", pa.int64())])
+    held: Counter = Counter()
     for part in slices(batches):
-        rows = [(e, t, k, n) for k, text, es, n in zip(part["text_key"], part["text"], part["entities"], part["copies"], strict=True) for t in terms(text) for e in es]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], schema.types[k]) for k in range(4)], schema=schema)
+        for text, copies in zip(part["text"], part["copies"], strict=True):
+            for t in terms(text):
+                held[t] += copies
+        if len(held) > 100_000:
+            yield pa.RecordBatch.from_pydict({"term": list(held), "n": list(held.values())}, schema)
+            held.clear()
+    yield pa.RecordBatch.from_pydict({"term": list(held), "n": list(held.values())}, schema)
+
+
+def _term_rows(known: Broadcast | None):
+    """Each text with each of its terms, or those that are known."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("text_key", pa.string()), ("term", pa.string())])
+        for part in slices(batches):
+            rows = [(k, t) for k, text in zip(part["text_key"], part["text"], strict=True) for t in (terms(text) & known.value if known else terms(text))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], schema.types[k]) for k in range(2)], schema=schema)
+
+    return run
+
+
+def _few(wanted: DataFrame) -> Broadcast | None:
+    """The terms for all workers, unless they are too many."""
+    few = wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    return wanted.sparkSession.sparkContext.broadcast(frozenset(r["term"] for r in wanted.select("term").collect())) if few else None
 
 
 def _term_counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """term, n_t: in how many documents each wanted term occurs."""
-    few = wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    known = docs.sparkSession.sparkContext.broadcast(frozenset(r["term"] for r in wanted.collect())) if few else None
+    known = _few(wanted)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("term", pa.string()), ("n", pa.int64())])
@@ -173,32 +199,39 @@ def _term_counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_pydict({"term": list(held), "n": list(held.values())}, schema)
 
     counts = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(count, "term string, n long")
-    return (counts if few else counts.join(wanted, "term", "left_semi")).groupBy("term").agg(F.sum("n").alias("n_t"))
+    return (counts if known else counts.join(wanted, "term", "left_semi")).groupBy("term").agg(F.sum("n").alias("n_t"))
 
 
 def revealing_terms(docs: DataFrame, found: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame | None:
-    """text_key, text, base and the terms in that text that reveal one of its entities; None if there are none at all."""
+    """text_key, text, base and the terms in that text that reveal one of its entities; None if there are none at all.
+
+    As n(t, e) is n(e) at most, a term reveals an entity only if n(t) + PRIOR is at most n(e)^disclosure
+    N^(1 - disclosure) (1 + PRIOR / N). That grows with n(e), so a text's most frequent entity bounds what its terms may
+    count, and the frequent terms, which are most of a text, go before they meet entities. No pair above goes with them.
+    """
     held = found.where("text_key is not null")
     texts = held.groupBy("text_key").agg(F.any_value("text").alias("text"), F.any_value("base").alias("base"), F.any_value("entities").alias("entities"), F.count(F.lit(1)).alias("copies"))
     texts = written(texts)
-    known = texts.select(F.explode("entities").alias("entity"), "copies").groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count(F.lit(1)).alias("texts"))
-    protected = written(known.where(F.col("texts") >= support).drop("texts"))
-    if protected.isEmpty():
+    known = written(texts.select(F.explode("entities").alias("entity"), "copies").groupBy("entity").agg(F.sum("copies").alias("n_e")))
+    most = known.agg(F.max("n_e")).first()[0]
+    if most is None:
         return None
-    of = texts.select("text_key", F.explode("entities").alias("entity")).join(protected.select("entity"), "entity")
-    rich = texts.select("text_key", "text", "copies").join(of.groupBy("text_key").agg(F.collect_set("entity").alias("entities")), "text_key")
-    rows = written(rich.mapInArrow(_term_rows, "entity string, term string, text_key string, copies long"))
-    pairs = rows.groupBy("entity", "term").agg(F.sum("copies").alias("n_te"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support)
-    total = found.count()
-    seen = rows.select("term", "text_key", "copies").distinct().groupBy("term").agg(F.sum("copies").alias("n_t"))
-    reaches = F.log2(F.col("n_te") * F.lit(float(total)) / (F.col("n_e") * F.col("n_t"))) >= disclosure * F.log2(F.lit(float(total)) / F.col("n_e"))
-    # a term's count in the texts just read bounds its count in the corpus from below: most pairs end here
-    possible = written(pairs.join(protected, "entity").join(seen, "term").where(reaches).drop("n_t"))
-    if possible.isEmpty():
+    total = float(found.count())
+    bound = lambda n_e: F.pow(n_e, F.lit(disclosure)) * (total ** (1 - disclosure) * (1 + PRIOR / total) * (1 + 1e-9))
+    seen = texts.select("text", "copies").mapInArrow(_seen_terms, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    # a term's count in the texts just read bounds its count in the corpus from below: most terms end here
+    possible = written(seen.where(F.col("n") + PRIOR <= bound(F.lit(most))).select("term"))
+    counted = written(_term_counts(docs, possible).where(F.col("n_t") + PRIOR <= bound(F.lit(most))))
+    of = texts.select("text_key", "copies", F.explode("entities").alias("entity")).join(known, "entity")
+    rows = texts.select("text_key", "text").mapInArrow(_term_rows(_few(counted)), "text_key string, term string").join(counted, "term")
+    met = written(rows.join(of, "text_key").where(F.col("n_t") + PRIOR <= bound(F.col("n_e"))))
+    share = F.col("n_e") / total
+    given = (F.col("n_te") + PRIOR * share) / (F.col("n_t") + PRIOR)
+    pairs = met.groupBy("entity", "term", "n_e", "n_t").agg(F.sum("copies").alias("n_te"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support)
+    sure = written(pairs.where(F.log2(given / share) >= -disclosure * F.log2(share)).select("entity", "term"))
+    if sure.isEmpty():
         return None
-    counted = _term_counts(docs, possible.select("term").distinct())
-    sure = possible.join(counted, "term").where(reaches).select("entity", "term")
-    marked = rows.join(sure, ["entity", "term"]).groupBy("text_key").agg(F.collect_set("term").alias("terms"))
+    marked = met.join(sure, ["entity", "term"]).groupBy("text_key").agg(F.collect_set("term").alias("terms"))
     return texts.select("text_key", "text", "base").join(marked, "text_key")
 
 

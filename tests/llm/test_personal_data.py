@@ -97,6 +97,23 @@ def test_revealing_terms(spark):
             assert [s for s in P.read(rows[i].spans) if s[1] != 4] == plain(t) == P.read(rows[i].base)
 
 
+def test_an_entity_of_one_text_is_estimated(spark):
+    common = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta"]
+    texts = [(i, " ".join(random.Random(i).choices(common, k=12))) for i in range(300)]
+    texts += [(900, "alpha Zanzibar beta ann@mail.example.com gamma"), (901, "delta Zanzibar +1 (407) 555-7710 harbour"), (902, "alpha harbour beta"), (903, "gamma harbour"), (904, "zeta harbour")]
+    total, spans = len(texts), {}
+    for few in (P.BROADCAST_TERMS, 0):
+        P.BROADCAST_TERMS, kept = few, P.BROADCAST_TERMS
+        rows = P.spans(documents(spark, texts)).collect()
+        P.BROADCAST_TERMS = kept
+        spans = {r.doc_id: [dict(texts)[r.doc_id][a:b] for a, k, b in P.read(r.spans) if k == 4] for r in rows}
+        # smoothed by one document: Zanzibar stands in 2 documents, harbour in 4
+        reveals = lambda n_t: math.log2((1 + 1 / total) / (n_t + 1) * total) >= P.DISCLOSURE * math.log2(total)
+        assert reveals(2) and not reveals(4)
+        assert spans.pop(900) == ["Zanzibar"] and spans.pop(901) == ["Zanzibar"]
+        assert not any(spans.values())
+
+
 def test_sanitised(spark):
     texts = [(1, "mail ann@mail.example.com or 10.0.0.1 now"), (2, "nothing here"), (3, None)]
     df = documents(spark, texts)
