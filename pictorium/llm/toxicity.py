@@ -6,8 +6,8 @@ embedding. The mean of the rows goes through a linear softmax over two classes.
 together; an unseen misspelling shares n-grams with what it stands for, and so its vector.
 
 Training takes at most `max_rows` labelled texts of each class (those whose ids have the smallest hashes, so the choice
-doesn't depend on the layout), turned into bags on the executors; only the bags reach the driver, each with at most
-FEATURES_PER_TEXT different features, the most frequent ones. Labels, languages, sources and ids are no inputs. Scoring covers all texts wholly: as the model
+doesn't depend on the layout), turned into bags on the executors; only the bags reach the driver, whole, each with
+at most BUCKETS different features. Labels, languages, sources and ids are no inputs. Scoring covers all texts wholly: as the model
 is linear in the bag, each word's share of the two logits is worked out once per worker and summed.
 
 Null and empty texts have an empty bag and get the score of the bias alone. Rows with a null id are scored and count
@@ -31,7 +31,7 @@ from pictorium.llm.common import BoundedCache, id_and_text, slices
 
 BUCKETS, DIM = 1 << 16, 8
 SHORTEST, LONGEST = 3, 6
-MAX_ROWS, FEATURES_PER_TEXT = 3_000, 8_192
+MAX_ROWS = 3_000
 STEPS, BATCH, RATE = 750, 32, 0.02
 CACHE_ENTRIES = 300_000
 WORD = re.compile(r"[^\W_]+(?:[@$!*.\-'][^\W_]+)*")
@@ -79,14 +79,11 @@ def features(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Different buckets of a text and how often each occurs; the most frequent FEATURES_PER_TEXT of them."""
+    """Different buckets of a text and how often each occurs."""
     parts = words(text)
     if not parts:
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
     b, n = np.unique(features(parts)[0], return_counts=True)
-    if len(b) > FEATURES_PER_TEXT:
-        top = np.sort(np.argsort(-n, kind="stable")[:FEATURES_PER_TEXT])
-        b, n = b[top], n[top]
     return b.astype(np.int32), n.astype(np.float32)
 
 

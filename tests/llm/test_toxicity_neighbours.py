@@ -50,6 +50,13 @@ def test_training_doesnt_see_the_held_out_or_the_order(spark):
     assert np.array_equal(one.share, other.share) and one.bias == other.bias
 
 
+def test_the_bag_of_a_long_text_is_whole():
+    text = " ".join(f"word{k} word{k}" for k in range(6000)) + " onceonly"
+    buckets, counts = X.bag(text)
+    every = X.features(X.words(text))[0]
+    assert len(buckets) > 8192 and set(buckets.tolist()) == set(every.tolist()) and counts.sum() == len(every)
+
+
 def test_messy_scores(spark):
     docs, labels, _ = labelled(spark, 100)
     model = X.fitted(docs, labels.union(labels.limit(3)).union(spark.createDataFrame([(None, 1), (3, None)], "doc_id long, toxic int")), F.lit(True))
