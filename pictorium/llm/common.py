@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -12,7 +14,6 @@ from pyspark.sql import functions as F
 
 #: Text of one slice. Word lists of a slice take some twenty times this much memory.
 SLICE_BYTES = 1_000_000
-LOCAL_FOLDER = "/tmp/checkpoints"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,25 +21,70 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors share.
+def shared_root(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which all executors share.
 
-    Only where the setting is absent, as in tests on one machine, a local folder stands in for it.
+    Where it is unset, a session on one machine gets a folder of its own; a cluster is refused, for each executor would
+    write to its own disk and a later read miss the others' files.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or LOCAL_FOLDER
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder under the shared one."""
+    return f"{shared_root(spark)}/{uuid.uuid4().hex}"
+
+
+#: Folders of the tables written so far, in order.
+_WRITTEN: list[str] = []
 
 
 def written(df: DataFrame, *, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """The rows after a round trip through Parquet in the shared folder.
 
-    This cuts the lineage, and losing an executor afterwards costs nothing: the files stay.
+    This cuts the lineage, and losing an executor afterwards costs nothing: the files stay until `dropped`.
     """
     path = shared_folder(df.sparkSession)
     df.write.partitionBy(*partition_by).parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path) if not partition_by else df.sparkSession.read.parquet(path)
 
 
+def mark() -> int:
+    """How many tables have been written, for `dropped`."""
+    return len(_WRITTEN)
+
+
+def dropped(spark: SparkSession, since: int, keep: int = 0) -> None:
+    """Deletes the tables written after a mark, but for the last `keep`. Call it once nothing reads them any more."""
+    gone = _WRITTEN[since : len(_WRITTEN) - keep]
+    del _WRITTEN[since : len(_WRITTEN) - keep]
+    for path in gone:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def column(name: str) -> Column:
+    """A column by its own name, whatever it holds: dots, blanks or backticks."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def whole_row(df: DataFrame, without: tuple[str, ...] = ()) -> Column:
+    """All columns (or all but some) as one struct, under their own names."""
+    return F.struct(*([column(c).alias(c) for c in df.columns if c not in without] or [F.lit(0).alias("none")]))
+
+
+def opened(row: Column, names: list[str]) -> list[Column]:
+    """The fields of a struct as columns again."""
+    return [row.getField(c).alias(c) for c in names]
+
+
 def id_and_text(docs: DataFrame) -> DataFrame:
     """doc_id and the whole text, null as empty; other columns, whatever their names, are left behind."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
@@ -64,23 +110,34 @@ def slices(batches: Iterable[pa.RecordBatch], *, size: str = "text", as_bytes: b
 
 
 class BoundedCache(dict):
-    """A worker's dictionary of at most `limit` entries: when it is full, it starts afresh.
+    """A worker's dictionary of about `limit` bytes: when it is full, it starts afresh.
 
-    Entries are only ever a shortcut, so emptying it changes no result.
+    Entries are only ever a shortcut, so emptying it changes no result. What one text asks for stays until the next
+    one, so the bound is `limit` and one text's own keys. `weight`: bytes of key and value for each byte of a key.
     """
 
-    def __init__(self, limit: int, key_limit: int = 64):
+    ENTRY = 120
+
+    def __init__(self, limit: int, weight: float = 1.0):
         super().__init__()
-        self.limit, self.key_limit = limit, key_limit
+        self.limit, self.weight, self.held = limit, weight, 0
 
     def absent(self, keys: set) -> list:
         """The keys that have to be worked out, after making room for them."""
         missing = [k for k in keys if k not in self]
-        if len(self) + len(missing) > self.limit:
+        if not missing:
+            return missing
+        room = self._room(missing)
+        if self.held and self.held + room > self.limit:
             self.clear()
-            return list(keys)
+            missing = list(keys)
+            room, self.held = self._room(missing), 0
+        self.held += room
         return missing
 
+    def _room(self, keys: list) -> float:
+        return self.ENTRY * len(keys) + self.weight * sum(map(sys.getsizeof, keys))
+
 
 def word_count(text: Column) -> Column:
     """Number of words, where a word is a run of characters other than the six ASCII spaces."""

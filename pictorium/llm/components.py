@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pictorium.llm.common import written
+from pictorium.llm.common import dropped, mark, written
 
 
 def _stars(edges: DataFrame, *, large: bool) -> DataFrame:
@@ -28,15 +28,16 @@ def components(edges: DataFrame) -> DataFrame:
     """edges: a, b (long). Returns node and root, the least node of its component, for every node of an edge.
 
     Loops and repeated edges do no harm, edges with a null end are dropped, no edges give no rows. Each round is
-    written to the shared folder; the number of rounds grows with the logarithm of the graph, and only counts and a
+    written to the shared folder, in place of the one before; the number of rounds grows with the logarithm of the graph, and only counts and a
     checksum reach the driver.
     """
     now = written(edges.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).select("a", "b").where("a is not null and b is not null and a <> b").distinct())
-    mark = None
+    last, before = None, mark() - 1
     while True:
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if seen == mark or not seen[0]:
+        if seen == last or not seen[0]:
             break
-        mark = seen
+        last = seen
         now = written(_stars(_stars(now, large=True), large=False))
+        dropped(edges.sparkSession, before, keep=1)
     return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -1,8 +1,8 @@
 """Token counts: a two-tier lookup on the map side.
 
 Tier one is a table of the most frequent pre-tokens and their lengths in tokens, which every worker gets once
-(at most HOT_ENTRIES entries of at most HOT_BYTES bytes each). Tier two is the worker's own bounded cache; what
-neither knows is encoded by the tokenizer, once per worker. No pre-token is ever shuffled: finding the frequent
+(at most HOT_ENTRIES entries of at most HOT_BYTES bytes each). Tier two is the worker's own cache, bounded in bytes
+(an unspaced text of megabytes is one pre-token); what neither knows is encoded by the tokenizer, once per worker. No pre-token is ever shuffled: finding the frequent
 ones takes one pass in which each task keeps a bounded summary of its own words (lossy counting) and hands on
 only its heaviest.
 
@@ -32,7 +32,8 @@ HOT_ENTRIES = 32_768
 HOT_BYTES = 32
 #: A task's summary: it counts at most so many words at a time and hands on at most so many.
 SUMMARY_COUNTED, SUMMARY_GIVEN = 100_000, 2_000
-CACHE_ENTRIES = 400_000
+#: Memory of a worker's second tier.
+CACHE_BYTES = 64_000_000
 SCHEMA = "doc_id long, n_bytes long, n_tokens long"
 
 
@@ -54,7 +55,7 @@ def _tokenizer(path: str):
 
 @functools.cache
 def _cache(path: str) -> BoundedCache:
-    return BoundedCache(CACHE_ENTRIES)
+    return BoundedCache(CACHE_BYTES)
 
 
 def pre_tokens(text: str) -> list[str]:
@@ -73,6 +74,9 @@ def _summaries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches):
         for text in part["text"]:
             held.update(pre_tokens(text))
+        # only short words can become frequent ones; the others would make the summary as large as the texts
+        for word in [w for w in held if len(w) > HOT_BYTES]:
+            del held[word]
         while len(held) > SUMMARY_COUNTED:
             floor += 1
             held = Counter({w: n for w, n in held.items() if n > floor})

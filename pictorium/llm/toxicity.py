@@ -33,7 +33,8 @@ BUCKETS, DIM = 1 << 16, 8
 SHORTEST, LONGEST = 3, 6
 MAX_ROWS = 3_000
 STEPS, BATCH, RATE = 750, 32, 0.02
-CACHE_ENTRIES = 300_000
+#: Memory of a worker's table of words.
+CACHE_BYTES = 64_000_000
 WORD = re.compile(r"[^\W_]+(?:[@$!*.\-'][^\W_]+)*")
 _SEED, _PRIME = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x100000001B3)
 
@@ -164,7 +165,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         share, bias, constant = held.value
-        cache = BoundedCache(CACHE_ENTRIES)
+        cache = BoundedCache(CACHE_BYTES, 1.5)
         schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
         for part in slices(batches):
             scores = []
