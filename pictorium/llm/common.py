@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import sys
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -12,6 +10,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pictorium.sources.shared import dropped as dropped
+from pictorium.sources.shared import mark as mark
+from pictorium.sources.shared import shared_folder as shared_folder
+from pictorium.sources.shared import written as written
+
 #: Text of one slice. Word lists of a slice take some twenty times this much memory.
 SLICE_BYTES = 1_000_000
 
@@ -21,55 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names, which all executors share.
-
-    Where it is unset, a session on one machine gets a folder of its own; a cluster is refused, for each executor would
-    write to its own disk and a later read miss the others' files.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under the shared one."""
-    return f"{shared_root(spark)}/{uuid.uuid4().hex}"
-
-
-#: Folders of the tables written so far, in order.
-_WRITTEN: list[str] = []
-
-
-def written(df: DataFrame, *, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """The rows after a round trip through Parquet in the shared folder.
-
-    This cuts the lineage, and losing an executor afterwards costs nothing: the files stay until `dropped`.
-    """
-    path = shared_folder(df.sparkSession)
-    df.write.partitionBy(*partition_by).parquet(path)
-    _WRITTEN.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path) if not partition_by else df.sparkSession.read.parquet(path)
-
-
-def mark() -> int:
-    """How many tables have been written, for `dropped`."""
-    return len(_WRITTEN)
-
-
-def dropped(spark: SparkSession, since: int, keep: int = 0) -> None:
-    """Deletes the tables written after a mark, but for the last `keep`. Call it once nothing reads them any more."""
-    gone = _WRITTEN[since : len(_WRITTEN) - keep]
-    del _WRITTEN[since : len(_WRITTEN) - keep]
-    for path in gone:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def column(name: str) -> Column:
     """A column by its own name, whatever it holds: dots, blanks or backticks."""
     return F.col("`" + name.replace("`", "``") + "`")

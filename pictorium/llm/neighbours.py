@@ -1,18 +1,22 @@
 """Approximate nearest neighbours by multi-index hashing.
 
-An iterative quantisation (principal axes, then a rotation learnt so that signs lose least) turns each vector into at
-most BITS bits, split into substrings of eight. Each task indexes its rows' codes by every substring: value -> rows.
-A code within Hamming radius r of a query agrees with it up to floor(r / m) bits in one of the m substrings at least
-(pigeonhole), so probing, in each substring, all values that near retrieves every code within the radius. Those
-within it are ranked anew by exact Euclidean distances in double precision on the original vectors.
-
-Rotation and radius are fitted on a sample of at most FIT_ROWS vectors (the smallest hashes of vec_id); the radius is
+Iterative quantisation turns each vector into a binary code: TABLES rotations of the principal axes, each learnt from
+another start so that signs lose least, give one bit an axis and rotation. Codes are cut into substrings of SUBSTRING
+bits. `indexed` writes the index once: a row for every SEGMENT vectors, with their ids, vectors and codes and, for each
+substring, the rows in the order of its value. A code within Hamming radius r of a query agrees with it up to
+floor(r / m) bits in one of the m substrings at least (pigeonhole), so probing, in each substring, all values that near
+retrieves every code within the radius; where the probes would visit more rows than there are, the codes are read one
+by one, which retrieves the same. Those within the radius are ranked anew by exact Euclidean distances in double
+precision on the original vectors.
+
+Rotations and radius are fitted on a sample of at most FIT_ROWS vectors (the smallest hashes of vec_id); the radius is
 the Hamming distance that RADIUS_SHARE of the sample's own true neighbours lie within. In all rows neighbours are no
 farther apart than in the sample, so recall on the whole is at least about that share. Every row is indexed and none
 is capped. A query that finds fewer than k within the radius is searched again among all rows.
 
-Queries come in blocks of QUERY_BLOCK, each broadcast (the block bounds its size) and held against all rows; a task
-keeps the best k of each query, so k rows per query and task are shuffled.
+Queries are asked in rounds of QUERY_BYTES of vectors, each broadcast (that is its bound) and held against all segments
+at once; a task keeps the best k of each query, so k rows per query and task are shuffled. `n_ranked` of a result says
+how many rows were ranked by their distance for its query, of all tasks.
 
 Vectors that are null, empty or zero, or hold null or non-finite components, or whose length isn't the most frequent
 one (ties: the smaller), take no part; nor do rows without an id. Equal distances go to the smaller vec_id. Rows that
@@ -32,12 +36,13 @@ from pyspark.sql import functions as F
 
 from pictorium.llm.common import written
 
-BITS, SUBSTRING = 64, 8
-FIT_ROWS, FIT_QUERIES, RADIUS_SHARE = 10_000, 200, 0.985
-ROTATIONS = 30
-QUERY_BLOCK = 2_048
-_VALUES = np.arange(256, dtype=np.uint8)
-_ONES = np.bitwise_count(_VALUES[:, None] ^ _VALUES[None, :])
+#: Bits of a code, at least, and of a substring.
+BITS, SUBSTRING = 256, 16
+FIT_ROWS, FIT_QUERIES, RADIUS_SHARE = 10_000, 200, 0.97
+ROTATIONS = 20
+SEGMENT = 4_096
+QUERY_BYTES = 32_000_000
+_ONES = np.bitwise_count(np.arange(1 << SUBSTRING, dtype=np.uint32)).astype(np.uint8)
 
 
 class Codes(NamedTuple):
@@ -60,54 +65,71 @@ def distances(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
 
 
 def encode(codes: Codes, rows: np.ndarray) -> np.ndarray:
-    """One byte for each substring."""
-    return np.packbits((rows - codes.mean) @ codes.axes > 0, axis=1)
+    """Substrings of each row's code, (n, m); the last one is filled up with zeros."""
+    bits = (rows - codes.mean) @ codes.axes > 0
+    missing = -bits.shape[1] % 64
+    packed = np.packbits(np.pad(bits, ((0, 0), (0, missing))), axis=1)
+    return packed.view(np.uint16)
+
+
+def apart(codes: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Hamming distances of codes to a code."""
+    return np.bitwise_count(codes.view(np.uint64) ^ code.view(np.uint64)).sum(axis=1, dtype=np.int64)
 
 
 def fit(sample: np.ndarray, k: int, share: float = RADIUS_SHARE) -> Codes:
-    """The rotation, and the radius that holds `share` of the sample's true k nearest."""
+    """The rotations, and the radius that holds `share` of the sample's true k nearest."""
     mean = sample.mean(axis=0)
     centred = sample - mean
     _, _, axes = np.linalg.svd(centred.T @ centred)
-    axes = axes[:BITS].T
+    axes = axes[: min(len(axes), BITS)].T
     flat = centred @ axes
-    rotation, _ = np.linalg.qr(np.random.default_rng(3).normal(size=(axes.shape[1],) * 2))
-    for _ in range(ROTATIONS):
-        u, _, v = np.linalg.svd(np.where(flat @ rotation > 0, 1.0, -1.0).T @ flat)
-        rotation = (u @ v).T
-    codes = Codes(mean, axes @ rotation, 0)
+    learnt = []
+    for table in range(-(-BITS // axes.shape[1])):
+        rotation, _ = np.linalg.qr(np.random.default_rng(3 + table).normal(size=(axes.shape[1],) * 2))
+        for _ in range(ROTATIONS):
+            u, _, v = np.linalg.svd(np.where(flat @ rotation > 0, 1.0, -1.0).T @ flat)
+            rotation = (u @ v).T
+        learnt.append(axes @ rotation)
+    codes = Codes(mean, np.concatenate(learnt, axis=1), 0)
     bits = encode(codes, sample)
     near = []
     for q in range(min(FIT_QUERIES, len(sample))):
         d = distances(sample, sample[q])
         d[q] = np.inf
         best = np.argsort(d, kind="stable")[: min(k, len(sample) - 1)]
-        near.append(np.bitwise_count(bits[best] ^ bits[q]).sum(axis=1))
+        near.append(apart(bits[best], bits[q]))
     every = np.sort(np.concatenate(near)) if near else np.zeros(0)
-    radius = int(every[min(len(every) - 1, int(share * len(every)))]) if len(every) else axes.shape[1]
+    radius = int(every[min(len(every) - 1, int(share * len(every)))]) if len(every) else codes.axes.shape[1]
     return codes._replace(radius=radius)
 
 
 class Index:
-    """Codes by each substring's value: `rows` in the order of the value, `starts` where each value's rows begin."""
+    """Codes of a segment by each substring's value: `rows` in the order of the values, `values` in that order."""
 
-    def __init__(self, bits: np.ndarray):
-        self.bits = bits
-        self.rows = [np.argsort(bits[:, j], kind="stable") for j in range(bits.shape[1])]
-        self.starts = [np.searchsorted(bits[rows, j], np.arange(257)) for j, rows in enumerate(self.rows)]
+    def __init__(self, codes: np.ndarray, rows: np.ndarray | None = None):
+        self.codes = codes
+        self.rows = np.argsort(codes, axis=0, kind="stable").T.astype(np.uint32) if rows is None else rows
+        self.values = [codes[order, j] for j, order in enumerate(self.rows)]
 
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
         """All rows whose code is within the radius of this one."""
-        m = self.bits.shape[1]
-        if radius >= 8 * m:
-            return np.arange(len(self.bits))
-        hit = np.zeros(len(self.bits), bool)
+        n, m = self.codes.shape
+        if radius >= SUBSTRING * m:
+            return np.arange(n)
+        near = _ONES[np.arange(1 << SUBSTRING, dtype=np.uint32)] <= radius // m
+        probes = int(near.sum())
+        if probes >= n:
+            return np.flatnonzero(apart(self.codes, code) <= radius)
+        masks = np.flatnonzero(near).astype(np.uint16)
+        hit = np.zeros(n, bool)
         for j in range(m):
-            starts, rows = self.starts[j], self.rows[j]
-            for value in np.flatnonzero(_ONES[code[j]] <= radius // m):
-                hit[rows[starts[value] : starts[value + 1]]] = True
+            wanted = code[j] ^ masks
+            begin, end = np.searchsorted(self.values[j], wanted, "left"), np.searchsorted(self.values[j], wanted, "right")
+            for b, e in zip(begin[end > begin].tolist(), end[end > begin].tolist(), strict=True):
+                hit[self.rows[j][b:e]] = True
         found = np.flatnonzero(hit)
-        return found[np.bitwise_count(self.bits[found] ^ code).sum(axis=1) <= radius]
+        return found[apart(self.codes[found], code) <= radius]
 
 
 def nearest(ids: np.ndarray, rows: np.ndarray, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -124,6 +146,22 @@ def nearest(ids: np.ndarray, rows: np.ndarray, query_id: int, query: np.ndarray,
     return ids[best], d[best]
 
 
+def indexed(rows: DataFrame, codes: Codes) -> DataFrame:
+    """The index, written once: a row for each segment. rows: vec_id, vec."""
+    held = rows.sparkSession.sparkContext.broadcast(codes)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, SEGMENT):
+                part = batch.slice(begin, SEGMENT)
+                ids = part.column(0).to_numpy(zero_copy_only=False)
+                vectors = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+                index = Index(encode(held.value, vectors))
+                yield pa.RecordBatch.from_pydict({"n": [len(ids)], "ids": [ids.astype(np.int64).tobytes()], "vectors": [vectors.tobytes()], "codes": [index.codes.tobytes()], "rows": [index.rows.tobytes()]})
+
+    return written(rows.select("vec_id", "vec").mapInArrow(run, "n int, ids binary, vectors binary, codes binary, rows binary"))
+
+
 def _search(index: DataFrame, codes: Codes, block: list[tuple[int, np.ndarray]], k: int, radius: int) -> DataFrame:
     held = index.sparkSession.sparkContext.broadcast((codes, [q for q, _ in block], np.stack([v for _, v in block])))
 
@@ -131,40 +169,50 @@ def _search(index: DataFrame, codes: Codes, block: list[tuple[int, np.ndarray]],
         codes, queries, vectors = held.value
         asked = encode(codes, vectors)
         best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
+        ranked = np.zeros(len(queries), np.int64)
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            rows = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1) if len(ids) else vectors[:0]
-            table = Index(encode(codes, rows))
-            for q, query in enumerate(vectors):
-                found = table.within(asked[q], radius)
-                if len(found):
-                    new, d = nearest(ids[found], rows[found], queries[q], query, k)
-                    new, d = np.concatenate([best[q][0], new]), np.concatenate([best[q][1], d])
-                    top = np.lexsort((new, d))[:k]
-                    best[q] = new[top], d[top]
+            for segment in range(batch.num_rows):
+                n, *blobs = (c[segment].as_py() for c in batch.columns)
+                ids, rows = np.frombuffer(blobs[0], np.int64), np.frombuffer(blobs[1]).reshape(n, -1)
+                table = Index(np.frombuffer(blobs[2], np.uint16).reshape(n, -1), np.frombuffer(blobs[3], np.uint32).reshape(-1, n))
+                for q, query in enumerate(vectors):
+                    found = table.within(asked[q], radius)
+                    ranked[q] += len(found)
+                    if len(found):
+                        new, d = nearest(ids[found], rows[found], queries[q], query, k)
+                        new, d = np.concatenate([best[q][0], new]), np.concatenate([best[q][1], d])
+                        top = np.lexsort((new, d))[:k]
+                        best[q] = new[top], d[top]
         counts = [len(b[0]) for b in best]
-        yield pa.RecordBatch.from_pydict({"query_id": np.repeat(np.array(queries, np.int64), counts), "vec_id": np.concatenate([b[0] for b in best]), "score": np.concatenate([b[1] for b in best])})
+        yield pa.RecordBatch.from_pydict({"query_id": np.repeat(np.array(queries, np.int64), counts), "vec_id": np.concatenate([b[0] for b in best]), "score": np.concatenate([b[1] for b in best]), "n_ranked": np.repeat(ranked, counts)})
 
-    found = index.mapInArrow(run, "query_id long, vec_id long, score double")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = index.select("n", "ids", "vectors", "codes", "rows").mapInArrow(run, "query_id long, vec_id long, score double, n_ranked long").withColumn("task", F.spark_partition_id())
+    asked = Window.partitionBy("query_id")
+    order = asked.orderBy("score", "vec_id")
+    # each task gives its count with each of its rows: the first one of a task counts
+    first = F.row_number().over(Window.partitionBy("query_id", "task").orderBy("score", "vec_id")) == 1
+    counted = found.withColumn("first", first).withColumn("n_ranked", F.sum(F.when(F.col("first"), F.col("n_ranked"))).over(asked))
+    placed = counted.withColumn("rank", F.row_number().over(order))
+    return placed.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "n_ranked")
 
 
 def neighbours(vectors: DataFrame, asked: Column, k: int = 10, *, share: float = RADIUS_SHARE) -> DataFrame:
-    """query_id, rank, vec_id and score: the k nearest found of each row that `asked` (over vec_id) picks."""
-    index = written(usable(vectors))
-    sample = index.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).select("vec").collect()
-    total = index.count()
-    empty = index.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    """query_id, rank, vec_id, score and n_ranked: the k nearest found of each row that `asked` (over vec_id) picks."""
+    rows = written(usable(vectors))
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).select("vec").collect()
+    total = rows.count()
+    empty = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double, n_ranked long")
     if total < 2:
         return empty
     codes = fit(np.array([r["vec"] for r in sample]), k, share)
+    index = indexed(rows, codes)
     out, last = empty, None
-    queries = index.where(asked).groupBy("vec_id").agg(F.min("vec").alias("vec"))
+    queries = rows.where(asked).groupBy("vec_id").agg(F.min("vec").alias("vec"))
+    block_rows = max(1, QUERY_BYTES // (8 * len(codes.mean)))
     while True:
-        # the next block in the order of ids: the driver holds one block at a time
+        # the next round in the order of ids: the driver holds one at a time
         later = queries if last is None else queries.where(F.col("vec_id") > last)
-        block = [(r["vec_id"], np.array(r["vec"])) for r in later.orderBy("vec_id").limit(QUERY_BLOCK).collect()]
+        block = [(r["vec_id"], np.array(r["vec"])) for r in later.orderBy("vec_id").limit(block_rows).collect()]
         if not block:
             return out
         last = block[-1][0]
@@ -172,6 +220,6 @@ def neighbours(vectors: DataFrame, asked: Column, k: int = 10, *, share: float =
         enough = {r["query_id"] for r in found.groupBy("query_id").count().where(F.col("count") >= min(k, total - 1)).collect()}
         few = [b for b in block if b[0] not in enough]
         if few:
-            again = _search(index, codes, few, k, BITS)
-            found = found.where(~F.col("query_id").isin([q for q, _ in few])).union(again)
+            again = _search(index, codes, few, k, 1 << 30)
+            found = found.join(F.broadcast(again.select("query_id").distinct()), "query_id", "left_anti").union(again)
         out = out.union(found)

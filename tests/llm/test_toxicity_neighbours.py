@@ -119,17 +119,34 @@ def test_fewer_than_k_and_none(spark):
 
 def test_every_code_within_the_radius():
     rng = np.random.default_rng(6)
-    bits = rng.integers(0, 256, (500, 4)).astype(np.uint8)
-    index = N.Index(bits)
-    for radius in (0, 3, 9, 14, 32):
-        want = np.flatnonzero(np.bitwise_count(bits ^ bits[7]).sum(axis=1) <= radius)
-        assert index.within(bits[7], radius).tolist() == want.tolist()
-
-
-def test_blocks_of_queries(spark):
+    codes = rng.integers(0, 1 << 16, (500, 16)).astype(np.uint16)
+    codes[200:260] = codes[7] ^ np.where(rng.random((60, 16)) < 0.3, 1 << rng.integers(0, 16, (60, 16)), 0).astype(np.uint16)
+    index = N.Index(codes)
+    for radius in (0, 3, 9, 14, 40, 100, 256):
+        want = np.flatnonzero(np.bitwise_count(codes ^ codes[7]).sum(axis=1) <= radius)
+        assert index.within(codes[7], radius).tolist() == want.tolist()
+
+
+def test_few_rows_are_ranked(spark):
+    """Of clustered vectors, and of random ones, which no index parts by probing, but codes do."""
+    rng = np.random.default_rng(9)
+    middles = rng.normal(size=(40, 64))
+    clustered = [(i, (middles[i % 40] + 0.3 * rng.normal(size=64)).tolist()) for i in range(4000)]
+    random_ = [(i, rng.normal(size=64).tolist()) for i in range(4000)]
+    for rows, most in ((clustered, 0.1), (random_, 0.3)):
+        df = N.neighbours(vectors(spark, rows), F.col("vec_id") % 100 == 0)
+        got, ranked = found(df), df.select("query_id", "n_ranked").distinct().collect()
+        want = brute(rows, list(got), 10)
+        recall = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) / (10 * len(want))
+        share = sum(r.n_ranked for r in ranked) / (len(ranked) * len(rows))
+        print("recall", recall, "share of rows ranked", share)
+        assert recall >= 0.9 and share < most
+
+
+def test_rounds_of_queries(spark):
     rng = np.random.default_rng(7)
     rows = [(i, rng.normal(size=8).tolist()) for i in range(60)]
-    N.QUERY_BLOCK, kept = 7, N.QUERY_BLOCK
+    N.QUERY_BYTES, kept = 7 * 64, N.QUERY_BYTES
     got = found(N.neighbours(vectors(spark, rows), F.col("vec_id") % 2 == 0, 5))
-    N.QUERY_BLOCK = kept
+    N.QUERY_BYTES = kept
     assert set(got) == set(range(0, 60, 2))
