@@ -15,6 +15,15 @@ def is_image(name: Column) -> Column:
     return name.rlike(IMAGE_NAME)
 
 
+def has_suffix(name: Column, suffixes: tuple[str, ...]) -> Column:
+    """Whether the name, in lower case, ends in one of the suffixes."""
+    low = F.lower(name)
+    out = F.lit(False)
+    for suffix in suffixes:
+        out |= F.endswith(low, F.lit(suffix))
+    return out
+
+
 def is_hidden(path: Column) -> Column:
     """Whether any part of the path begins with a dot."""
     return path.rlike(r"(^|/)\.")
@@ -73,13 +82,37 @@ def date_parts(moment: Column) -> Column:
     return F.struct(*[f(moment).alias(n) for n, f in (("year", F.year), ("month", F.month), ("day", F.dayofmonth), ("hour", F.hour), ("minute", F.minute), ("second", F.second))])
 
 
+#: Ways of writing a moment, tried in this order after a camera's own; those with a zone come first.
+LOOSE_MOMENTS = ("yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy/MM/dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "yyyy:MM:dd", "yyyy/MM/dd", "d MMMM yyyy HH:mm:ss", "d MMM yyyy HH:mm:ss", "MMMM d, yyyy", "MMM d, yyyy")
+
+
 def exif_date(text: Column) -> Column:
-    """A camera's date: `2018:01:31 23:59:59`, or with dashes; null for blank, zero or unreadable ones."""
+    """A camera's date: `2018:01:31 23:59:59`, or with dashes, or else one of LOOSE_MOMENTS (in UTC, where it names a
+    zone); null for blank, zero or unreadable ones."""
     clean = cleaned(text)
     usable = clean.isNotNull() & (clean != "") & ~text.rlike(r"^[\s:-]+") & ~F.startswith(clean, F.lit("0000"))
-    zoned = "yyyy-MM-dd HH:mm:ss"
     as_dashes = F.regexp_replace(clean, r"^(\d{4}):(\d{2}):(\d{2})", "$1-$2-$3")
-    return F.when(usable, F.try_to_timestamp(as_dashes, F.lit(zoned)).cast("timestamp_ntz"))
+    # fractions of a second are dropped
+    whole = F.regexp_replace(clean, r"(:\d{2})\.\d+", "$1")
+    plain = lambda t, kind: F.try_to_timestamp(t, F.lit(kind)).cast("timestamp_ntz")
+    zoned = lambda t, kind: F.convert_timezone(F.current_timezone(), F.lit("UTC"), plain(t, kind))
+    tried = [plain(as_dashes, "yyyy-MM-dd HH:mm:ss")] + [zoned(whole, k) if k.endswith("XXX") else plain(whole, k) for k in LOOSE_MOMENTS]
+    return F.when(usable, F.coalesce(*tried))
+
+
+def iso_8601(moment: Column) -> Column:
+    """`2018-01-31T23:59:59Z`: a moment without a zone is taken as UTC."""
+    return F.concat(F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
+
+
+def in_years(moment: Column, first: int | None, last: int | None) -> Column:
+    """Whether a moment lies in the years, as a range of the column itself, so that a scan can skip by it."""
+    out = F.lit(True)
+    if first is not None:
+        out &= moment >= F.lit(f"{first:04d}-01-01 00:00:00").cast("timestamp_ntz")
+    if last is not None:
+        out &= moment < F.lit(f"{last + 1:04d}-01-01 00:00:00").cast("timestamp_ntz")
+    return out
 
 
 def earliest(*moments: Column) -> Column:

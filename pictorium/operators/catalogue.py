@@ -9,14 +9,16 @@ from pyspark.sql import functions as F
 
 from pictorium.config import DEFAULTS, Settings
 from pictorium.functions import values as V
+from pictorium.schema import wide
 
 #: Which fields each entity shows.
 SUMMARY = ("id", "filename", "date_taken")
 FIELDS = {
-    "images": ("id", "filename", "directory_id", "width", "height", "date_taken", "date_taken_valid", "is_processed", "orientation", "camera_make", "camera_model", "iso_value", "light_source", "exposure", "gps_lat_decimal", "gps_lon_decimal", "face_set"),
-    "directories": ("id", "dir_path", "mean_datesec", "first_datesec", "num_images", "image_set"),
-    "faces": ("id", "declared_person_id", "image_id", "box_top", "box_bottom", "box_left", "box_right", "face_thumbnail", "validated"),
-    "people": ("id", "person_name", "highlight_img", "further_images_unlikely", "num_faces", "num_possibilities", "num_unverified_faces"),
+    "images": ("url", "id", "filename", "pixel_hash", "file_hash", "camera_make", "camera_model", "flash_info", "exposure_num", "exposure_denom", "focal_num", "focal_denom", "fnumber_num", "fnumber_denom", "iso_value", "light_source", "gps_lat_decimal", "gps_lon_decimal", "thumbnail_big", "thumbnail_medium", "thumbnail_small", "full_res_path", "exposure", "directory_id", "date_taken", "tags", "description", "is_processed", "date_parts", "face_set"),
+    "image_summary": ("url", "filename", "thumbnail_big", "thumbnail_medium", "thumbnail_small", "directory_id"),
+    "directories": ("url", "id", "dir_path", "top_level_name", "mean_datetime", "mean_datesec", "first_datetime", "first_datesec", "num_images", "year", "month", "image_set"),
+    "faces": ("url", "image_id", "written_to_photo_metadata", "declared_person_id", "declared_name", *(f"{c}{k}" for k in range(1, 6) for c in ("poss_ident", "poss_name", "weight_")), "box_top", "box_bottom", "box_left", "box_right", "face_thumbnail", "rejected_ids", "validated"),
+    "people": ("url", "id", "person_name", "highlight_img", "further_images_unlikely", "num_faces", "num_possibilities", "num_unverified_faces"),
 }
 FACE_NAMES = tuple(f"poss_name{k}" for k in range(1, 6))
 
@@ -34,11 +36,7 @@ def image_list(images: DataFrame, faces: DataFrame, people: DataFrame, *, names:
     if combine not in ("or", "and"):
         raise ValueError("combine must be 'or' or 'and'")
     of = lambda wanted: faces.join(F.broadcast(people.where(F.col("person_name").isin(list(wanted))).select(F.col("id").alias("declared_person_id"))), "declared_person_id", "left_semi").select(F.col("image_id").alias("id"))
-    span = F.lit(True)
-    if year_from is not None:
-        span &= F.year("date_taken") >= year_from
-    if year_to is not None:
-        span &= F.year("date_taken") <= year_to
+    span = V.in_years(F.col("date_taken"), year_from, year_to)
     dated = year_from is not None or year_to is not None
     if names and dated and combine == "or":
         # one look at the faces: which images have any, and which have a listed one
@@ -62,7 +60,7 @@ def images_with_all(images: DataFrame, faces: DataFrame, people: DataFrame, name
     """Images that show every one of the people, in a year if given."""
     wanted = F.broadcast(people.where(F.col("person_name").isin(list(names))).select(F.col("id").alias("declared_person_id")))
     full = faces.join(wanted, "declared_person_id").groupBy(F.col("image_id").alias("id")).agg(F.count_distinct("declared_person_id").alias("n")).where(F.col("n") == len(set(names)))
-    return (images if year is None else images.where(F.year("date_taken") == year)).join(full.select("id"), "id", "left_semi")
+    return (images if year is None else images.where(V.in_years(F.col("date_taken"), year, year))).join(full.select("id"), "id", "left_semi")
 
 
 def declared_faces(faces: DataFrame, person_id: int, *, only_unverified: bool = False) -> DataFrame:
@@ -99,6 +97,20 @@ def page(rows: DataFrame, offset: int = 0, size: int = DEFAULTS.page_size, order
     return rows.orderBy(*keys).offset(offset).limit(size)
 
 
+def counted_page(rows: DataFrame, offset: int = 0, size: int = DEFAULTS.page_size, order: Sequence[str] = ("id",)) -> DataFrame:
+    """A page, each row with `total`, the number of all rows, and whether there is a page before and after it."""
+    total = rows.agg(F.count(F.lit(1)).alias("total"))
+    out = page(rows, offset, size, order).join(F.broadcast(total))  # one row
+    return out.withColumn("has_previous", F.lit(offset > 0)).withColumn("has_next", F.col("total") > offset + size)
+
+
+def first_and_last(rows: DataFrame, value: str) -> DataFrame:
+    """One row: ids of the first and last row by falling value (ties by id), and whether the first value is no less."""
+    high, low = F.struct(F.col(value).alias("v"), (-F.col("id")).alias("i")), F.struct(F.col(value).alias("v"), (-F.col("id")).alias("i"))
+    found = rows.agg(F.max(high).alias("first"), F.min(low).alias("last"))
+    return found.select((-F.col("first.i")).alias("first_id"), (-F.col("last.i")).alias("last_id"), (F.col("first.v") >= F.col("last.v")).alias("in_order"))
+
+
 def ordered(rows: DataFrame, key: str, allowed: Sequence[str]) -> DataFrame:
     if key.lstrip("-") not in allowed:
         raise ValueError(f"can't be ordered by {key}")
@@ -122,9 +134,9 @@ LOOKUPS = {
     "contains": lambda c, v: F.contains(c, F.lit(v)),
     "gte": lambda c, v: c >= v,
     "lte": lambda c, v: c <= v,
-    "year": lambda c, v: F.year(c) == v,
-    "year_gte": lambda c, v: F.year(c) >= v,
-    "year_lte": lambda c, v: F.year(c) <= v,
+    "year": lambda c, v: V.in_years(c, v, v),
+    "year_gte": lambda c, v: V.in_years(c, v, None),
+    "year_lte": lambda c, v: V.in_years(c, None, v),
     "in": lambda c, v: c.isin(list(v)),
     "isnull": lambda c, v: c.isNull() if v else c.isNotNull(),
 }
@@ -172,6 +184,18 @@ def candidate_names(faces: DataFrame, people: DataFrame, slots: int = 5) -> Data
     return out.withColumns({f"poss_name{k}": F.coalesce(f"poss_name{k}", F.lit("N/A")) for k in range(1, slots + 1)})
 
 
+def face_shown(faces: DataFrame, people: DataFrame) -> DataFrame:
+    """Faces as they are shown: names, candidates by slot, and no vectors."""
+    out = wide(candidate_names(named_faces(faces, people), people))
+    return shown(out.withColumn("url", V.url("/api/faces/", F.col("id").cast("string"), "/")), "faces")
+
+
+def image_shown(images: DataFrame, faces: DataFrame) -> DataFrame:
+    """Images as they are shown, with their faces' ids."""
+    out = nested(image_detail(images), faces, "image_id", "face_set", ["id"])
+    return shown(out.withColumn("url", V.url("/api/images/", F.col("id").cast("string"), "/")), "images")
+
+
 def candidate_cards(faces: DataFrame, people: DataFrame) -> DataFrame:
     """One row a candidate of each face: its place, name, weight and picture."""
     one = faces.select("id", F.posexplode("candidates").alias("place", "c"))
@@ -210,6 +234,14 @@ def counters(people: DataFrame, faces: DataFrame) -> DataFrame:
     return out.na.fill(0)
 
 
+def with_directory(images: DataFrame, directories: DataFrame, *, by_path: bool = False) -> DataFrame:
+    """Images with their directory's path (`dir_path`), by its id or by the path of the file."""
+    of = directories.select(F.col("id").alias("directory_id"), "dir_path")
+    if by_path:
+        return images.drop("directory_id").withColumn("dir_path", V.parent(F.col("filename"))).join(of, "dir_path", "left")
+    return images.join(of, "directory_id", "left")
+
+
 def keyed_path(images: DataFrame, faces: DataFrame, people: DataFrame, kind: str) -> DataFrame:
     """id -> path of a picture of a kind."""
     columns = {"full_big": (images, "full_res_path"), "full_medium": (images, "thumbnail_medium"), "full_small": (images, "thumbnail_small"), "slideshow": (images, "filename"), "face_array": (faces, "face_thumbnail"), "face_source": (faces, "filename"), "face_highlight": (people, "highlight_img")}

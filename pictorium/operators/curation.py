@@ -7,7 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pictorium.config import UNASSIGNED
 from pictorium.functions import values as V
+from pictorium.operators.ingest import new_ids
 from pictorium.schema import CANDIDATES, no_candidates
 
 #: The operations of a message.
@@ -90,10 +92,19 @@ def assigned_cleared(faces: DataFrame, unassigned_id: int) -> DataFrame:
 
 
 def repointed(faces: DataFrame, old: int, new: int | None) -> DataFrame:
-    """Every mention of a person by another one (or none)."""
+    """Every mention of a person by another one (or none), among declared people, candidates and rejections.
+
+    A face's candidates keep their order; a person that would stand there twice keeps the first place, and nobody takes
+    none. A rejection of the old person is one of the new.
+    """
     person = F.lit(new).cast("long")
-    moved = F.transform("candidates", lambda c: F.struct(F.when(c["person_id"] == old, person).otherwise(c["person_id"]).alias("person_id"), c["weight"].alias("weight")))
-    return faces.withColumn("declared_person_id", F.when(F.col("declared_person_id") == old, person).otherwise(F.col("declared_person_id"))).withColumn("candidates", moved.cast(CANDIDATES))
+    to = lambda c: F.when(c == old, person).otherwise(c)
+    moved = F.transform("candidates", lambda c: F.struct(to(c["person_id"]).alias("person_id"), c["weight"].alias("weight")))
+    people = F.transform("candidates", lambda c: to(c["person_id"]))
+    first = F.filter(moved, lambda c, i: c["person_id"].isNotNull() & (F.array_position(people, c["person_id"]) == i + 1))
+    rejected = F.array_distinct(F.filter(F.transform("rejected_ids", to), lambda x: x.isNotNull()))
+    changes = {"declared_person_id": to(F.col("declared_person_id")), "candidates": first.cast(CANDIDATES)}
+    return faces.withColumns(changes | ({"rejected_ids": rejected} if "rejected_ids" in faces.columns else {}))
 
 
 def people_merged(people: DataFrame, faces: DataFrame, old: int, into: int) -> tuple[DataFrame, DataFrame]:
@@ -107,6 +118,52 @@ def person_deleted(people: DataFrame, faces: DataFrame, person: int, unassigned_
     return people.where(F.col("id") != person), repointed(faces, person, unassigned_id)
 
 
+def people_ensured(people: DataFrame, names: DataFrame, unnamed: str = UNASSIGNED) -> DataFrame:
+    """The people and, with ids after the greatest one in the order of their names, those of `names` (name) that aren't
+    among them. A face without a name is the unassigned person's."""
+    wanted = names.select(F.coalesce("name", F.lit(unnamed)).alias("person_name")).distinct()
+    fresh = wanted.join(people.select("person_name"), "person_name", "left_anti")
+    last = people.agg(F.coalesce(F.max("id"), F.lit(-1))).first()[0]
+    return people.unionByName(new_ids(fresh, last, ("person_name",)), allowMissingColumns=True)
+
+
+def tagged(faces: DataFrame, people: DataFrame, unnamed: str = UNASSIGNED) -> tuple[DataFrame, DataFrame]:
+    """People and faces after faces with names read from their pictures (`name`, which may be null) came in: each name
+    is found or added, and its faces are declared so."""
+    every = people_ensured(people, faces.select("name"), unnamed)
+    named = faces.withColumn("person_name", F.coalesce("name", F.lit(unnamed))).join(every.select(F.col("id").alias("tagged_id"), "person_name"), "person_name")
+    return every, named.withColumn("declared_person_id", F.col("tagged_id")).withColumn("written_to_photo_metadata", F.lit(True)).select(*[c for c in faces.columns if c != "name"])
+
+
+def face_to_new_person(people: DataFrame, faces: DataFrame, face_id: int, name: str, highlight: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """A new person of that name, shown by the face's picture, and the face declared so."""
+    one = faces.where(F.col("id") == face_id).select(F.lit(name).alias("person_name"), (F.lit(None).cast("string") if highlight is None else highlight).alias("highlight_img"))
+    last = people.agg(F.coalesce(F.max("id"), F.lit(-1))).first()[0]
+    person = one.select(F.lit(last + 1).cast("long").alias("id"), *[c for c in one.columns if c in people.columns])
+    return people.unionByName(person, allowMissingColumns=True), associated(faces, F.col("id") == face_id, last + 1)
+
+
+def thumbnail_set(people: DataFrame, faces: DataFrame, face_id: int, highlight: Column) -> DataFrame:
+    """The face's picture (`highlight`, over the face's columns) becomes that of its declared person."""
+    one = faces.where(F.col("id") == face_id).select(F.col("declared_person_id").alias("id"), highlight.alias("new_highlight"))
+    had = people if "highlight_img" in people.columns else people.withColumn("highlight_img", F.lit(None).cast("string"))
+    return had.join(F.broadcast(one), "id", "left").withColumn("highlight_img", F.coalesce("new_highlight", "highlight_img")).drop("new_highlight")
+
+
+def face_ignored(faces: DataFrame, face_id: int, kind: str, marks: Marks) -> DataFrame:
+    """One face to the soft or the hard ignore person."""
+    if kind not in ("soft", "hard"):
+        raise ValueError("a face is ignored 'soft' or 'hard'")
+    return associated(faces, F.col("id") == face_id, marks.soft_ignore if kind == "soft" else marks.hard_ignore)
+
+
+def refusals(ops: DataFrame) -> DataFrame:
+    """Messages with `refused`: why one can't be applied, null where it can. No message fails a stream."""
+    kind, needs = F.col("operation"), F.col("operation").isin("close_assigned", "confirm_proposed")
+    reason = F.when(kind.isNull() | ~kind.isin(*OPERATIONS), "no such operation").when(F.coalesce(F.size("face_id_list"), F.lit(0)) <= 0, "no faces").when(needs & F.col("current_person_id").isNull(), "no person")
+    return ops.withColumn("refused", reason)
+
+
 def person_renamed(people: DataFrame, person: int, name: str) -> DataFrame:
     return people.withColumn("person_name", F.when(F.col("id") == person, F.lit(name)).otherwise(F.col("person_name")))
 

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pictorium.config import DEFAULTS, NO_ENCODING, Settings
-from pictorium.functions import vectors as X
+from pictorium.functions.scorers import Scorer, cosine
+from pictorium.sources.shared import numbered
 
-#: A gallery of at most so many vectors is broadcast; a larger one goes through the blocked form.
-BROADCAST_VECTORS = 20_000
-BLOCKS = 64
+#: Vectors of one block on either side: a pair of blocks is one matrix product.
+FACE_BLOCK, GALLERY_BLOCK = 512, 2_048
+#: Blocks of a gallery of at most so many numbers are broadcast; those of a larger one are joined by their number.
+BROADCAST_NUMBERS = 4_000_000
 
 
 def usable(vector: Column) -> Column:
@@ -20,66 +24,143 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & (F.get(vector, F.lit(0)) != NO_ENCODING)
 
 
-def _prepared(faces: DataFrame, key: str, *more: str) -> DataFrame:
-    vec = F.col("vec").cast("array<double>")
-    return faces.select(F.col("id").alias(key), *more, vec.alias(f"{key}_vec")).where(usable(F.col(f"{key}_vec"))).withColumn(f"{key}_norm", X.norm(F.col(f"{key}_vec")))
+def _prepared(faces: DataFrame, *more: str) -> DataFrame:
+    """id, vec (doubles) and further columns of usable vectors other than zero."""
+    rows = faces.select("id", *more, F.col("vec").cast("array<double>").alias("vec"))
+    return rows.where(usable(F.col("vec")) & F.exists("vec", lambda x: x != 0))
 
 
-def similarities(pending: DataFrame, gallery: DataFrame, *, blocks: int | None = None, measure: Callable[[Column, Column, Column, Column], Column] = X.cosine) -> DataFrame:
-    """face_id, person_id, gallery_id and cosine similarity of every pair but those of rejected people.
+def _matrix(blocks: pa.Array, field: str) -> list[np.ndarray]:
+    """A field of each block's list of structs as an array; vectors as a matrix."""
+    out = []
+    for k in range(len(blocks)):
+        values = blocks[k].values.field(field)
+        numbers = values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1) if pa.types.is_list(values.type) else values.to_numpy(zero_copy_only=False)
+        out.append(numbers)
+    return out
 
-    pending: id, vec, rejected_ids; gallery: id, person_id, vec. Each row needs every pair, since the 99th percentile
-    does. A gallery known to be small is broadcast. Beyond that both sides are dealt to a grid: the gallery to
-    `blocks` blocks, the pending faces once to each, so that no task holds more than a block. `measure` takes both
-    vectors and both norms; a pandas UDF of a trained comparison fits as well as the cosine.
-    """
-    asked, known = _prepared(pending, "face", "rejected_ids"), _prepared(gallery, "gallery", "person_id")
-    if blocks is None:
-        blocks = 0 if gallery.limit(BROADCAST_VECTORS + 1).count() <= BROADCAST_VECTORS else BLOCKS
-    if blocks:
-        known = known.withColumn("block", F.pmod(F.xxhash64("gallery"), F.lit(blocks)))
-        asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("block", F.col("block").cast("long"))
-        pairs = asked.join(known, "block")
-    else:
-        pairs = asked.crossJoin(F.broadcast(known))
-    pairs = pairs.where(~F.array_contains(F.coalesce("rejected_ids", F.array().cast("array<bigint>")), F.col("person_id")))
-    sim = measure(F.col("face_vec"), F.col("gallery_vec"), F.col("face_norm"), F.col("gallery_norm"))
-    return pairs.select(F.col("face").alias("face_id"), "person_id", F.col("gallery").alias("gallery_id"), sim.alias("sim"))
-
-
-def by_person(pairs: DataFrame, percentile: float = DEFAULTS.percentile) -> DataFrame:
-    return pairs.groupBy("face_id", "person_id").agg(F.max("sim").alias("sim_max"), F.percentile("sim", percentile).alias("sim_p"))
 
+def tails(pending: DataFrame, gallery: DataFrame, percentiles: Sequence[float], *, per_person: bool = True, measure: Scorer = cosine) -> DataFrame:
+    """face_id, person_id (unless per_person is off), n and p: percentiles (linear between ranks) of each face's
+    similarities to a person's gallery vectors, or to all but those of people that the face has rejected.
 
-def _ranked(people: DataFrame, n: int) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("face_id").orderBy(F.desc("sim_max"), "person_id"))
-    return people.withColumn("rank", place).where(F.col("rank") <= n)
+    pending: id, vec, rejected_ids; gallery: id, person_id, vec. Both sides are packed into blocks, a person's vectors
+    together, and each block of faces meets each block of the gallery once: one matrix product. Of its similarities only
+    the ends that the percentiles can lie in are kept for a face and person, so what is shuffled is some hundredths of
+    the pairs, and merging the ends of all blocks is exact. Faces of another length than the gallery's meet nobody.
+    """
+    known, asked = _prepared(gallery, "person_id"), _prepared(pending, "rejected_ids")
+    known = known.withColumn("size", F.size("vec"))
+    people = known.groupBy("size", "person_id").agg(F.count(F.lit(1)).alias("of_person"))
+    whole = people.groupBy("size").agg(F.sum("of_person").alias("total")).collect()  # one row a length of vectors
+    if not whole:
+        return pending.sparkSession.createDataFrame([], ("face_id long, person_id long," if per_person else "face_id long,") + " n long, p array<double>")
+    total, numbers = sum(r["total"] for r in whole), sum(r["total"] * r["size"] for r in whole)
+    buckets = max(1, -(-total // GALLERY_BLOCK))
+    # a person's vectors are one bucket's, or, of a large person, some buckets'
+    person = F.pmod(F.xxhash64("person_id"), F.lit(buckets))
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("of_person") / GALLERY_BLOCK))
+    blocks = known.join(F.broadcast(people) if buckets == 1 else people, ["size", "person_id"]).groupBy("size", F.pmod(person + part, F.lit(buckets)).alias("block"))
+    packed = blocks.agg(F.sort_array(F.collect_list(F.struct("person_id", "id", "of_person", "vec"))).alias("known"))
+    faces = asked.withColumn("size", F.size("vec")).groupBy("size", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-pending.count() // FACE_BLOCK)))).alias("part")).agg(F.collect_list(F.struct("id", "vec", "rejected_ids")).alias("asked"))
+    met = faces.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).cast("long")).join(F.broadcast(packed) if numbers <= BROADCAST_NUMBERS else packed, ["size", "block"])
+    lows, highs = [p for p in percentiles if p < 0.5], [p for p in percentiles if p >= 0.5]
+
+    def product(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("face_id", pa.int64()), ("person_id", pa.int64()), ("n", pa.int64()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64()))])
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                sides = {n: row.column(row.schema.get_field_index(n)) for n in ("asked", "known")}
+                ids, vectors = _matrix(sides["asked"], "id")[0], _matrix(sides["asked"], "vec")[0]
+                refused = [set(r or ()) for r in sides["asked"][0].values.field("rejected_ids").to_pylist()]
+                owners, sizes, others = (_matrix(sides["known"], f)[0] for f in ("person_id", "of_person", "vec"))
+                sim = measure(vectors, others)
+                if per_person:
+                    starts = np.flatnonzero(np.concatenate([[True], owners[1:] != owners[:-1]]))
+                    groups = [(int(owners[a]), slice(a, b), int(sizes[a])) for a, b in zip(starts, [*starts[1:], len(owners)], strict=True)]
+                else:
+                    groups = [(None, slice(0, len(owners)), total)]
+                out = {n: [] for n in schema.names}
+                for owner, where, of in groups:
+                    least = max((int(p * (of - 1)) + 2 for p in lows), default=0)
+                    most = max((of - int(p * (of - 1)) for p in highs), default=0)
+                    own = sim[:, where]
+                    keep = min(least, own.shape[1]), min(most, own.shape[1])
+                    for i, face in enumerate(ids.tolist()):
+                        if per_person and owner in refused[i]:
+                            continue
+                        s = own[i] if per_person or not refused[i] else own[i][~np.isin(owners, list(refused[i]))]
+                        if not len(s):
+                            continue
+                        low, high = min(keep[0], len(s)), min(keep[1], len(s))
+                        out["face_id"].append(face)
+                        out["person_id"].append(owner)
+                        out["n"].append(len(s))
+                        out["low"].append(np.partition(s, low - 1)[:low] if low else [])
+                        out["high"].append(np.partition(s, len(s) - high)[len(s) - high :] if high else [])
+                yield pa.RecordBatch.from_pydict(out, schema)
+
+    ends = met.select("asked", "known").mapInArrow(product, "face_id long, person_id long, n long, low array<double>, high array<double>")
+    by = ["face_id", "person_id"] if per_person else ["face_id"]
+    every = ends.groupBy(*by).agg(F.sum("n").alias("n"), F.array_sort(F.flatten(F.collect_list("low"))).alias("low"), F.sort_array(F.flatten(F.collect_list("high")), asc=False).alias("high"))
+    return every.select(*by, "n", F.array(*[_rank(p) for p in percentiles]).alias("p"))
+
+
+def _rank(p: float) -> Column:
+    """The percentile p of n numbers, of which the ends are known: `low` rising, `high` falling."""
+    place = F.lit(float(p)) * (F.col("n") - 1)
+    at = F.floor(place)
+    value = (lambda k: F.get("low", k.cast("int"))) if p < 0.5 else (lambda k: F.get("high", (F.col("n") - 1 - k).cast("int")))
+    low, high = value(at), value(F.least(at + 1, F.col("n") - 1))
+    return low + (high - low) * (place - at)
+
+
+def by_person(pending: DataFrame, gallery: DataFrame, percentile: float = DEFAULTS.percentile, *, measure: Scorer = cosine) -> DataFrame:
+    """face_id, person_id, sim_max and sim_p: the greatest similarity to a person's faces, and their percentile."""
+    found = tails(pending, gallery, (percentile, 1.0), measure=measure)
+    return found.select("face_id", "person_id", F.col("p")[1].alias("sim_max"), F.col("p")[0].alias("sim_p"))
 
 
 def _clamped(weight: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), weight))
 
 
+def _ranked(people: DataFrame) -> DataFrame:
+    return people.withColumn("rank", F.row_number().over(Window.partitionBy("face_id").orderBy(F.desc("sim_max"), "person_id")))
+
+
 def candidates(people: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """The best people above the threshold, ranked by their greatest similarity; the weight is the percentile."""
-    top = _ranked(people.where(F.col("sim_max") > settings.similarity_threshold), settings.n_candidates)
+    top = _ranked(people.where(F.col("sim_max") > settings.similarity_threshold)).where(F.col("rank") <= settings.n_candidates)
     return top.select("face_id", "rank", "person_id", _clamped(F.col("sim_p")).alias("weight"))
 
 
-def ignored(people: DataFrame, pending: DataFrame, ignore_id: int, settings: Settings = DEFAULTS) -> DataFrame:
-    """Faces nobody is like enough: the ignore person with one less the similarity, or, where that person is rejected,
-    the best person with the similarity."""
-    best = people.groupBy("face_id").agg(F.max("sim_max").alias("top"), F.min_by("person_id", F.struct(-F.col("sim_max"), "person_id")).alias("best_person"))
-    low = best.where(F.col("top") <= settings.similarity_threshold)
+def _ignoring(best: DataFrame, pending: DataFrame, ignore_id: int) -> DataFrame:
+    """The outcome for faces whose best person isn't like enough: the ignore person with one less the similarity, or,
+    where that person is rejected, the best person with the similarity."""
     rejected = pending.select(F.col("id").alias("face_id"), F.coalesce(F.array_contains("rejected_ids", F.lit(ignore_id)), F.lit(False)).alias("refused"))
-    out = low.join(rejected, "face_id")
-    return out.select("face_id", F.lit(1).alias("rank"), F.when(F.col("refused"), F.col("best_person")).otherwise(F.lit(ignore_id).cast(people.schema["person_id"].dataType)).alias("person_id"), _clamped(F.when(F.col("refused"), F.col("top")).otherwise(1 - F.col("top"))).alias("weight"))
+    out = best.join(rejected, "face_id")
+    person = F.when(F.col("refused"), F.col("person_id")).otherwise(F.lit(ignore_id).cast(best.schema["person_id"].dataType))
+    return out.select("face_id", F.lit(1).alias("rank"), person.alias("person_id"), _clamped(F.when(F.col("refused"), F.col("sim_max")).otherwise(1 - F.col("sim_max"))).alias("weight"))
+
+
+def ignored(people: DataFrame, pending: DataFrame, ignore_id: int, settings: Settings = DEFAULTS) -> DataFrame:
+    """The ignore branch alone: faces nobody is like enough."""
+    best = _ranked(people).where((F.col("rank") == 1) & (F.col("sim_max") <= settings.similarity_threshold))
+    return _ignoring(best, pending, ignore_id)
 
 
-def suggestions(pending: DataFrame, gallery: DataFrame, ignore_id: int, settings: Settings = DEFAULTS) -> DataFrame:
-    """face_id, rank, person_id, weight: at most n candidates a face, or the ignore branch."""
-    people = by_person(similarities(pending, gallery), settings.percentile)
-    return candidates(people, settings).unionByName(ignored(people, pending, ignore_id, settings))
+def suggestions(pending: DataFrame, gallery: DataFrame, ignore_id: int, settings: Settings = DEFAULTS, *, measure: Scorer = cosine) -> DataFrame:
+    """face_id, rank, person_id, weight: at most n candidates a face, or the ignore branch. People are reduced and
+    ranked once; the branches part afterwards."""
+    ranked = _ranked(by_person(pending, gallery, settings.percentile, measure=measure)).where(F.col("rank") <= settings.n_candidates)
+    enough = F.col("sim_max") > settings.similarity_threshold
+    refused = F.coalesce(F.array_contains("rejected_ids", F.lit(ignore_id)), F.lit(False))
+    seen = ranked.where(enough | (F.col("rank") == 1)).join(pending.select(F.col("id").alias("face_id"), refused.alias("refused")), "face_id")
+    person = F.when(enough | F.col("refused"), F.col("person_id")).otherwise(F.lit(ignore_id).cast(ranked.schema["person_id"].dataType))
+    weight = F.when(enough, F.col("sim_p")).when(F.col("refused"), F.col("sim_max")).otherwise(1 - F.col("sim_max"))
+    return seen.select("face_id", "rank", person.alias("person_id"), _clamped(weight).alias("weight"))
 
 
 def as_candidates(rows: DataFrame) -> DataFrame:
@@ -102,26 +183,62 @@ def pending_faces(faces: DataFrame, unassigned_id: int) -> DataFrame:
 def temporally_nearest(asked: DataFrame, known: DataFrame, n: int) -> DataFrame:
     """For each asked face and person, the n faces of that person nearest in time, equal ones by their ids.
 
-    asked: face_id, at; known: person_id, gallery_id, at. Each question goes to each person, as the result does. There
-    a running count places it among the person's faces in time, and only the n faces before and the n from there on
-    are looked up by their numbers.
+    asked: face_id, at, and optionally own_id, a known face that isn't its own neighbour; known: person_id, gallery_id,
+    at. Each question goes to each person, as the result does. Faces and questions are numbered together in time by
+    ranges (a person with most of the faces is many ranges), and only the n faces before and the n from there on are
+    looked up by their numbers, one more where the face itself may be among them.
     """
     people = known.select("person_id").distinct()
-    questions = asked.select("face_id", "at").crossJoin(people)
-    every = known.select("person_id", "gallery_id", "at", F.lit(1).alias("is_known"), F.lit(None).cast("long").alias("face_id")).unionByName(questions.select("person_id", F.lit(None).cast("long").alias("gallery_id"), "at", F.lit(0).alias("is_known"), F.col("face_id").cast("long")))
+    own = F.col("own_id").cast("long") if "own_id" in asked.columns else F.lit(None).cast("long")
+    questions = asked.select("face_id", "at", own.alias("own_id")).crossJoin(F.broadcast(people))  # people: the result has as many rows a question
+    blank = F.lit(None).cast("long")
+    every = known.select("person_id", F.col("gallery_id").cast("long").alias("gallery_id"), "at", F.lit(1).alias("is_known"), blank.alias("face_id"), blank.alias("own_id")).unionByName(questions.select("person_id", blank.alias("gallery_id"), "at", F.lit(0).alias("is_known"), F.col("face_id").cast("long").alias("face_id"), "own_id"))
     found = []
     for later in (True, False):
         # a question stands before the faces of its own moment; nearer faces of one moment have the smaller ids
-        order = Window.partitionBy("person_id").orderBy("at", "is_known", F.asc("gallery_id") if later else F.desc("gallery_id"))
-        placed = every.withColumn("number", F.sum("is_known").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        first, last = (F.col("number") + 1, F.col("number") + n) if later else (F.col("number") - n + 1, F.col("number"))
-        looked = placed.where("is_known = 0").select("face_id", "person_id", F.col("at").alias("asked_at"), F.explode(F.sequence(first, last)).alias("number"))
+        placed = numbered(every, ["at", "is_known", F.asc("gallery_id") if later else F.desc("gallery_id"), "face_id"], ["person_id"], counts=F.col("is_known"))
+        more = F.when(F.col("own_id").isNull(), n).otherwise(n + 1)
+        first, last = (F.col("number") + 1, F.col("number") + more) if later else (F.col("number") - more + 1, F.col("number"))
+        looked = placed.where("is_known = 0").select("face_id", "own_id", "person_id", F.col("at").alias("asked_at"), F.explode(F.sequence(first, last)).alias("number"))
         found.append(looked.join(placed.where("is_known = 1").select("person_id", "number", "gallery_id", F.col("at").alias("known_at")), ["person_id", "number"]))
-    near = found[0].unionByName(found[1]).withColumn("apart", F.abs(F.col("asked_at") - F.col("known_at")))
+    near = found[0].unionByName(found[1]).where("own_id is null or gallery_id <> own_id").withColumn("apart", F.abs(F.col("asked_at") - F.col("known_at")))
     place = F.row_number().over(Window.partitionBy("face_id", "person_id").orderBy("apart", "gallery_id"))
     return near.withColumn("place", place).where(F.col("place") <= n).select("face_id", "person_id", "place", "gallery_id", "apart")
 
 
+def nearest_distances(asked: DataFrame, known: DataFrame, k: int) -> DataFrame:
+    """face_id, person_id, gallery_id and d (Euclidean): of each person, the k known vectors nearest to each asked one,
+    itself left out. asked, known: id, vec, known with person_id; in blocks, as `tails`."""
+    known = known.select("id", "person_id", F.col("vec").cast("array<double>").alias("vec")).where(usable(F.col("vec")))
+    asked = asked.select("id", F.col("vec").cast("array<double>").alias("vec")).where(usable(F.col("vec")))
+    n, m = known.count(), asked.count()
+    buckets = max(1, -(-n // GALLERY_BLOCK))
+    width = known.agg(F.max(F.size("vec"))).first()[0] or 0
+    packed = known.groupBy(F.size("vec").alias("size"), F.pmod(F.xxhash64("id"), F.lit(buckets)).alias("block")).agg(F.sort_array(F.collect_list(F.struct("person_id", "id", "vec"))).alias("known"))
+    faces = asked.groupBy(F.size("vec").alias("size"), F.pmod(F.xxhash64("id"), F.lit(max(1, -(-m // FACE_BLOCK)))).alias("part")).agg(F.collect_list(F.struct("id", "vec")).alias("asked"))
+    met = faces.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).cast("long")).join(F.broadcast(packed) if n * width <= BROADCAST_NUMBERS else packed, ["size", "block"])
+
+    def product(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for j in range(batch.num_rows):
+                row = batch.slice(j, 1)
+                ids, vectors = (_matrix(row.column(0), f)[0] for f in ("id", "vec"))
+                owners, others, known_vectors = (_matrix(row.column(1), f)[0] for f in ("person_id", "id", "vec"))
+                starts = np.flatnonzero(np.concatenate([[True], owners[1:] != owners[:-1]]))
+                out: list[tuple[int, int, int, float]] = []
+                for face, vector in zip(ids.tolist(), vectors, strict=True):
+                    d = np.sqrt(((known_vectors - vector) ** 2).sum(axis=1))
+                    d[others == face] = np.inf
+                    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(owners)], strict=True):
+                        best = a + np.lexsort((others[a:b], d[a:b]))[:k]
+                        out += [(face, int(owners[i]), int(others[i]), float(d[i])) for i in best.tolist() if np.isfinite(d[i])]
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.float64()))], ["face_id", "person_id", "gallery_id", "d"])
+
+    near = met.select("asked", "known").mapInArrow(product, "face_id long, person_id long, gallery_id long, d double")
+    place = F.row_number().over(Window.partitionBy("face_id", "person_id").orderBy("d", "gallery_id"))
+    return near.withColumn("place", place).where(F.col("place") <= k).drop("place")
+
+
 def mean_of_smallest(distances: DataFrame, by: tuple[str, ...], value: str, k: int) -> DataFrame:
     place = F.row_number().over(Window.partitionBy(*by).orderBy(value))
     return distances.withColumn("place", place).where(F.col("place") <= k).groupBy(*by).agg(F.avg(value).alias("mean_smallest"))

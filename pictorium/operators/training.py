@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pictorium.sources.shared import numbered
+
 
 def labels(rows: DataFrame, key: str) -> DataFrame:
     """Distinct values of a key with labels 0..K-1 in their order."""
     distinct = rows.select(key).where(F.col(key).isNotNull()).distinct()
-    return distinct.withColumn("label", F.dense_rank().over(Window.orderBy(key)) - 1)
+    return numbered(distinct, [key]).select(key, (F.col("number") - 1).alias("label"))
 
 
 def thirds(rows: DataFrame, by: str, order: tuple[str, ...], parts: int = 3) -> DataFrame:

@@ -57,16 +57,76 @@ def reject_compact(spark, sf_dir):
     return S.candidate_rows(D.rejected(S.faces(spark, sf_dir), F.lit(True), 5)).select("id", F.col("k").cast("long").alias("k"), "person_id", "weight")
 
 
-@query("SELECT f.id, CASE WHEN f.declared_person_id = 5 THEN 6 ELSE f.declared_person_id END AS declared_person_id, CASE WHEN c.person_id = 5 THEN 6 ELSE c.person_id END AS first_candidate FROM faces f LEFT JOIN candidates c ON c.id = f.id AND c.k = 0", S.FACES_SQL)
+#: Person 5 becomes person `to` everywhere: of candidates that are one person then, the first stays.
+_REPOINTED_SQL = """SELECT f.id, CASE WHEN f.declared_person_id = 5 THEN {to} ELSE f.declared_person_id END AS declared_person_id, coalesce(c.people, '') AS people, CASE WHEN f.id % 4 = 0 THEN '1,{to}' WHEN f.id % 4 = 1 THEN '{to}' END AS rejected
+  FROM faces f LEFT JOIN (SELECT id, string_agg(CAST(person_id AS VARCHAR), ',' ORDER BY k) AS people FROM (SELECT id, person_id, min(k) AS k FROM (SELECT id, k, CASE WHEN person_id = 5 THEN {to} ELSE person_id END AS person_id FROM
+  (SELECT c.id, c.k, CASE WHEN c.k = 2 AND c.id % 3 = 0 THEN 5 WHEN c.k = 0 AND c.id % 3 = 0 THEN 6 ELSE c.person_id END AS person_id FROM candidates c)) GROUP BY id, person_id) GROUP BY id) c ON c.id = f.id"""
+
+
+def _crowded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faces of which some have 6 as their first and 5 as their third candidate, and some have rejected 1, 5 and 6."""
+    faces, third = S.faces(spark, sf_dir), F.col("id") % 3 == 0
+    person = lambda c, i: F.when(third & (i == 2), F.lit(5).cast("long")).when(third & (i == 0), F.lit(6).cast("long")).otherwise(c["person_id"])
+    moved = F.transform("candidates", lambda c, i: F.struct(person(c, i).alias("person_id"), c["weight"].alias("weight")))
+    longs = lambda *ids: F.array(*[F.lit(x).cast("long") for x in ids])
+    return faces.withColumn("candidates", moved).withColumn("rejected_ids", F.when(F.col("id") % 4 == 0, longs(1, 5)).when(F.col("id") % 4 == 1, longs(5)))
+
+
+def _mentions(faces: DataFrame) -> DataFrame:
+    joined = lambda ids: F.array_join(F.transform(ids, lambda x: x.cast("string")), ",")
+    return faces.select("id", "declared_person_id", joined(F.transform("candidates", lambda c: c["person_id"])).alias("people"), joined(F.col("rejected_ids")).alias("rejected"))
+
+
+@query(_REPOINTED_SQL.format(to=6), S.FACES_SQL)
 def merge_people(spark, sf_dir):
-    _, faces = D.people_merged(S.people(spark, sf_dir), S.faces(spark, sf_dir), 5, 6)
-    return faces.select("id", "declared_person_id", F.get("candidates", F.lit(0))["person_id"].alias("first_candidate"))
+    return _mentions(D.people_merged(S.people(spark, sf_dir), _crowded(spark, sf_dir), 5, 6)[1])
 
 
-@query("SELECT id, CASE WHEN declared_person_id = 5 THEN 0 ELSE declared_person_id END AS declared_person_id FROM faces", S.FACES_SQL)
+@query(_REPOINTED_SQL.format(to=0), S.FACES_SQL)
 def delete_person_revert(spark, sf_dir):
-    _, faces = D.person_deleted(S.people(spark, sf_dir), S.faces(spark, sf_dir), 5, S.UNASSIGNED)
-    return faces.select("id", "declared_person_id")
+    return _mentions(D.person_deleted(S.people(spark, sf_dir), _crowded(spark, sf_dir), 5, S.UNASSIGNED)[1])
+
+
+_NAMED_SQL = "named AS (SELECT id, CASE WHEN id % 5 = 0 THEN NULL WHEN id % 5 = 1 THEN 'Supplier#000000007' ELSE 'Tag ' || CAST(id % 12 AS VARCHAR) END AS name FROM faces)"
+_ENSURED_SQL = """ensured AS (SELECT id, person_name FROM people UNION ALL SELECT (SELECT max(id) FROM people) + row_number() OVER (ORDER BY name), name FROM (SELECT DISTINCT coalesce(name, '_NO_FACE_ASSIGNED_') AS name FROM named)
+  WHERE name NOT IN (SELECT person_name FROM people))"""
+
+
+def _tagged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    key = F.col("id")
+    name = F.when(key % 5 == 0, F.lit(None).cast("string")).when(key % 5 == 1, "Supplier#000000007").otherwise(F.concat(F.lit("Tag "), (key % 12).cast("string")))
+    return D.tagged(S.faces(spark, sf_dir).withColumn("name", name), S.people(spark, sf_dir))
+
+
+@query("SELECT id, person_name FROM ensured", S.PEOPLE_SQL, S.FACES_SQL, _NAMED_SQL, _ENSURED_SQL)
+def tagged_people(spark, sf_dir):
+    return _tagged(spark, sf_dir)[0].select("id", "person_name")
+
+
+@query("SELECT n.id, e.id AS declared_person_id FROM named n JOIN ensured e ON e.person_name = coalesce(n.name, '_NO_FACE_ASSIGNED_')", S.PEOPLE_SQL, S.FACES_SQL, _NAMED_SQL, _ENSURED_SQL)
+def tagged_faces(spark, sf_dir):
+    return _tagged(spark, sf_dir)[1].select("id", "declared_person_id")
+
+
+@query("SELECT f.id, CASE WHEN f.id = 71 THEN (SELECT max(id) + 1 FROM people) ELSE declared_person_id END AS declared_person_id, CASE WHEN f.id = 71 THEN 0 ELSE n % 6 END AS n_candidates FROM faces f", S.PEOPLE_SQL, S.FACES_SQL)
+def new_person_face(spark, sf_dir):
+    _, faces = D.face_to_new_person(S.people(spark, sf_dir), S.faces(spark, sf_dir), 71, "Somebody New")
+    return faces.select("id", "declared_person_id", F.size("candidates").cast("long").alias("n_candidates"))
+
+
+@query("SELECT id, person_name, CASE WHEN id = (SELECT declared_person_id FROM faces WHERE id = 71) OR person_name = 'Somebody New' THEN '/faces/71.jpg' END AS highlight_img FROM (SELECT id, person_name FROM people UNION ALL SELECT max(id) + 1, 'Somebody New' FROM people)", S.PEOPLE_SQL, S.FACES_SQL)
+def new_person_and_thumbnail(spark, sf_dir):
+    picture = F.concat(F.lit("/faces/"), F.col("id").cast("string"), F.lit(".jpg"))
+    faces = S.faces(spark, sf_dir)
+    people = D.thumbnail_set(S.people(spark, sf_dir), faces, 71, picture)
+    return D.face_to_new_person(people, faces, 71, "Somebody New", picture)[0].select("id", "person_name", "highlight_img")
+
+
+@query("SELECT coalesce(refused, '') AS refused, count(*) AS n FROM (SELECT CASE WHEN event_type IN ('view', 'error') AND event_id % 9 = 0 THEN 'no such operation' WHEN event_id % 7 = 0 THEN 'no faces' WHEN event_type IN ('signup', 'click') AND event_id % 5 = 0 THEN 'no person' END AS refused FROM events) GROUP BY 1")
+def refused_messages(spark, sf_dir):
+    key = F.col("seq")
+    messages = ops(spark, sf_dir).withColumns({"operation": F.when(F.col("operation").isin("verify_face", "close_unassigned") & (key % 9 == 0), "nonsense").otherwise(F.col("operation")), "face_id_list": F.when(key % 7 == 0, F.array().cast("array<bigint>")).otherwise(F.col("face_id_list")), "current_person_id": F.when(key % 5 != 0, F.col("current_person_id"))})
+    return D.refusals(messages).groupBy(F.coalesce("refused", F.lit("")).alias("refused")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT id, 0 AS n_candidates FROM faces", S.FACES_SQL)

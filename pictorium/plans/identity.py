@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from pictorium.config import DEFAULTS
 from pictorium.functions import values as V
-from pictorium.functions import vectors as X
 from pictorium.operators import identity as I
 from pictorium.plans import stand_ins as S
 from pictorium.plans.registry import query
@@ -36,7 +35,7 @@ def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.by_person(I.similarities(*_sides(spark, sf_dir)))
+    return I.by_person(*_sides(spark, sf_dir))
 
 
 def _shown(rows: DataFrame) -> DataFrame:
@@ -59,7 +58,7 @@ def identity_top5(spark, sf_dir):
 @query(_SHOWN_SQL + "low", _PAIRS)
 def identity_ignore_branch(spark, sf_dir):
     pending, gallery = _sides(spark, sf_dir)
-    return _shown(I.ignored(I.by_person(I.similarities(pending, gallery)), pending, IGNORE_ID, SETTINGS))
+    return _shown(I.ignored(I.by_person(pending, gallery), pending, IGNORE_ID, SETTINGS))
 
 
 @query(f"SELECT * FROM ({_SHOWN_SQL} top UNION ALL {_SHOWN_SQL} low)", _PAIRS)
@@ -69,39 +68,38 @@ def identity_suggestions(spark, sf_dir):
 
 @query("SELECT face_id, round(min(sim), 6) AS low, round(quantile_cont(sim, 0.05), 6) AS p05, round(quantile_cont(sim, 0.99), 6) AS p99, round(quantile_cont(sim, 0.995), 6) AS p995, round(max(sim), 6) AS high FROM sims GROUP BY 1", _PAIRS)
 def similarity_percentiles(spark, sf_dir):
-    p = F.percentile("sim", [0.05, 0.99, 0.995])
-    found = I.similarities(*_sides(spark, sf_dir)).groupBy("face_id").agg(F.min("sim").alias("low"), p.alias("p"), F.max("sim").alias("high"))
-    return found.select("face_id", *[S.rounded(c).alias(n) for n, c in (("low", F.col("low")), ("p05", F.col("p")[0]), ("p99", F.col("p")[1]), ("p995", F.col("p")[2]), ("high", F.col("high")))])
+    found = I.tails(*_sides(spark, sf_dir), (0.0, 0.05, 0.99, 0.995, 1.0), per_person=False)
+    return found.select("face_id", *[S.rounded(F.col("p")[k]).alias(n) for k, n in enumerate(("low", "p05", "p99", "p995", "high"))])
 
 
+#: Every vector is asked, against all others.
 _DISTANCES_SQL = S.VECTORS_SQL + """, distances AS (SELECT a.id AS face_id, b.person_id, b.id AS gallery_id,
   sqrt(list_sum(list_transform(list_zip(a.vec, b.vec), lambda x: (x[1] - x[2]) * (x[1] - x[2])))) AS d
-  FROM vectors a, vectors b WHERE a.id % 50 = 0 AND b.id % 5 <> 0)"""
+  FROM vectors a, vectors b WHERE a.id <> b.id)"""
 
 
-def _distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _distances(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     vectors = S.vectors(spark, sf_dir)
-    asked = vectors.where(F.col("id") % 50 == 0).select(F.col("id").alias("face_id"), F.col("vec").alias("a"))
-    known = vectors.where(F.col("id") % 5 != 0).select("person_id", F.col("id").alias("gallery_id"), F.col("vec").alias("b"))
-    return asked.crossJoin(F.broadcast(known)).select("face_id", "person_id", "gallery_id", X.euclidean(F.col("a"), F.col("b")).alias("d"))
+    return I.nearest_distances(vectors, vectors, k)
 
 
 @query("SELECT face_id, arg_min(gallery_id, (round(d, 9), gallery_id)) AS gallery_id, round(min(d), 6) AS d FROM distances GROUP BY 1", _DISTANCES_SQL)
 def euclid_nearest(spark, sf_dir):
-    return _distances(spark, sf_dir).groupBy("face_id").agg(F.min_by("gallery_id", F.struct(F.round("d", 9).alias("d"), "gallery_id")).alias("gallery_id"), S.rounded(F.min("d")).alias("d"))
+    return _distances(spark, sf_dir, 1).groupBy("face_id").agg(F.min_by("gallery_id", F.struct(F.round("d", 9).alias("d"), "gallery_id")).alias("gallery_id"), S.rounded(F.min("d")).alias("d"))
 
 
 @query("SELECT face_id, person_id, round(avg(d), 6) AS mean_smallest FROM (SELECT *, row_number() OVER (PARTITION BY face_id, person_id ORDER BY d) AS place FROM distances) WHERE place <= 10 GROUP BY 1, 2", _DISTANCES_SQL)
 def k_smallest_mean(spark, sf_dir):
-    found = I.mean_of_smallest(_distances(spark, sf_dir), ("face_id", "person_id"), "d", 10)
+    found = I.mean_of_smallest(_distances(spark, sf_dir, 10), ("face_id", "person_id"), "d", 10)
     return found.select("face_id", "person_id", S.rounded(F.col("mean_smallest")).alias("mean_smallest"))
 
 
 @query("""SELECT face_id, person_id, place, gallery_id, apart FROM (SELECT a.id AS face_id, b.declared_person_id AS person_id, b.id AS gallery_id, abs(epoch(a.taken) - epoch(b.taken)) AS apart,
   row_number() OVER (PARTITION BY a.id, b.declared_person_id ORDER BY abs(epoch(a.taken) - epoch(b.taken)), b.id) AS place
-  FROM faces a, faces b WHERE a.image_id % 500 = 0 AND b.image_id % 500 <> 0 AND b.declared_person_id IS NOT NULL) WHERE place <= 10""", S.FACES_SQL)
+  FROM faces a, faces b WHERE a.image_id % 100 = 0 AND a.id <> b.id AND b.declared_person_id IS NOT NULL) WHERE place <= 10""", S.FACES_SQL)
 def temporal_nearest(spark, sf_dir):
+    """Asked are the faces of every image whose id is divisible by 100, against all other faces."""
     faces = S.faces(spark, sf_dir).withColumn("at", V.epoch_seconds(F.col("at")))
-    asked = faces.where(F.col("image_id") % 500 == 0).select(F.col("id").alias("face_id"), "at")
-    known = faces.where((F.col("image_id") % 500 != 0) & F.col("declared_person_id").isNotNull()).select(F.col("declared_person_id").alias("person_id"), F.col("id").alias("gallery_id"), "at")
+    asked = faces.where(F.col("image_id") % 100 == 0).select(F.col("id").alias("face_id"), F.col("id").alias("own_id"), "at")
+    known = faces.where(F.col("declared_person_id").isNotNull()).select(F.col("declared_person_id").alias("person_id"), F.col("id").alias("gallery_id"), "at")
     return I.temporally_nearest(asked, known, 10)

@@ -10,6 +10,7 @@ from pictorium.operators import catalogue as C
 from pictorium.operators import ingest as I
 from pictorium.plans import stand_ins as S
 from pictorium.plans.registry import query
+from pictorium.sources.files import with_existence
 
 #: Documents stand in for pictures: equal texts are equal pictures. Even ids are catalogued, all but every seventh are listed.
 PICTURES_SQL = """pictures AS (SELECT doc_id AS id, '/p/' || source || '/' || CAST(doc_id AS VARCHAR) || CASE doc_id % 11 WHEN 0 THEN '.png' WHEN 1 THEN '.JPEG' ELSE '.jpg' END AS path, md5(text) AS pixel_hash,
@@ -70,11 +71,74 @@ _ACTIONS_SQL = f"""SELECT path, action, CASE WHEN action IN ('move', 'move_first
   LEFT JOIN (SELECT pixel_hash, id AS lost_id, row_number() OVER (PARTITION BY pixel_hash ORDER BY id) AS turn FROM state WHERE NOT present) l ON l.pixel_hash = m.pixel_hash AND l.turn = m.turn))"""
 
 
-@query(_ACTIONS_SQL, PICTURES_SQL, "state AS (SELECT *, filename IN (SELECT path FROM listing) AS present FROM catalogued)")
+_STATE_SQL = "state AS (SELECT *, filename IN (SELECT path FROM listing) AS present FROM catalogued)"
+
+
+@query(_ACTIONS_SQL, PICTURES_SQL, _STATE_SQL)
 def ingest_actions(spark, sf_dir):
     pictures, images, listing, dupes = _sides(spark, sf_dir)
-    files = pictures.select("path", (F.col("id") % 17 != 3).alias("is_file"), F.col("stamp").alias("modified"), "pixel_hash", "orientation")
-    return I.decisions(files, images, dupes, listing)
+    return I.decisions(_files(pictures), images, dupes, listing)
+
+
+#: The catalogue before: only some of its directories are known, and every fourth row is processed.
+_BEFORE_SQL = r"""dirs AS (SELECT row_number() OVER (ORDER BY dir_path) AS id, dir_path FROM (SELECT DISTINCT regexp_extract(filename, '^(.*)/[^/]*$', 1) AS dir_path FROM catalogued WHERE id % 6 = 0 AND id % 16 <> 6)),
+  before AS (SELECT c.*, c.id % 4 = 0 AS is_processed, d.id AS directory_id FROM catalogued c LEFT JOIN dirs d ON d.dir_path = regexp_extract(c.filename, '^(.*)/[^/]*$', 1))"""
+_AFTER_SQL = r"""touched AS (SELECT DISTINCT regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir_path FROM acts WHERE action IN ('move', 'move_first', 'insert', 'insert_duplicate', 'replace_pixels')),
+  every_dir AS (SELECT * FROM dirs UNION ALL SELECT (SELECT coalesce(max(id), 0) FROM dirs) + row_number() OVER (ORDER BY dir_path), dir_path FROM touched WHERE dir_path NOT IN (SELECT dir_path FROM dirs)),
+  changed AS (SELECT a.*, p.stamp, p.orientation AS new_orientation FROM acts a JOIN pictures p ON p.path = a.path),
+  kept AS (SELECT b.id, CASE WHEN moved THEN m.path ELSE b.filename END AS filename, b.pixel_hash, CASE WHEN m.action = 'replace_turned' THEN m.new_orientation ELSE b.orientation END AS orientation, coalesce(m.stamp, b.date_modified) AS date_modified,
+    CASE WHEN m.action = 'replace_turned' THEN false ELSE b.is_processed END AS is_processed, CASE WHEN moved THEN (SELECT id FROM every_dir e WHERE e.dir_path = regexp_extract(m.path, '^(.*)/[^/]*$', 1)) ELSE b.directory_id END AS directory_id
+    FROM before b LEFT JOIN (SELECT *, action IN ('move', 'move_first') AS moved FROM changed WHERE action IN ('touch', 'replace_turned', 'move', 'move_first')) m ON m.image_id = b.id
+    WHERE b.id NOT IN (SELECT image_id FROM acts WHERE action = 'replace_pixels') AND b.filename NOT IN (SELECT path FROM acts WHERE action = 'drop_duplicate')),
+  added AS (SELECT (SELECT max(id) FROM catalogued) + row_number() OVER (ORDER BY p.path) AS id, p.path AS filename, p.pixel_hash, p.orientation, p.stamp AS date_modified, false AS is_processed, e.id AS directory_id
+    FROM acts a JOIN pictures p ON p.path = a.path JOIN every_dir e ON e.dir_path = regexp_extract(p.path, '^(.*)/[^/]*$', 1) WHERE a.action IN ('insert', 'insert_duplicate', 'replace_pixels'))"""
+_WHOLE = (PICTURES_SQL, _STATE_SQL, f"acts AS ({_ACTIONS_SQL})", _BEFORE_SQL, _AFTER_SQL)
+
+
+def _files(pictures: DataFrame) -> DataFrame:
+    return pictures.select("path", (F.col("id") % 17 != 3).alias("is_file"), F.col("stamp").alias("modified"), "pixel_hash", "orientation")
+
+
+def _ingested(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    pictures, images, listing, dupes = _sides(spark, sf_dir)
+    folder = V.parent(F.col("filename"))
+    known = images.where("id % 6 = 0 and id % 16 <> 6").select(folder.alias("dir_path")).distinct()
+    directories = I.new_ids(known, 0, ("dir_path",))
+    before = images.withColumn("is_processed", F.col("id") % 4 == 0).withColumn("dir_path", folder).join(directories.withColumnRenamed("id", "directory_id"), "dir_path", "left").drop("dir_path")
+    return I.ingested(before, _files(pictures), dupes, listing, directories)
+
+
+@query("SELECT * FROM kept UNION ALL SELECT * FROM added", *_WHOLE)
+def ingest_applied(spark, sf_dir):
+    return _ingested(spark, sf_dir)[0].select("id", "filename", "pixel_hash", "orientation", "date_modified", "is_processed", "directory_id")
+
+
+@query("SELECT id, dir_path FROM every_dir", *_WHOLE)
+def ingest_directories(spark, sf_dir):
+    return _ingested(spark, sf_dir)[1].select("id", "dir_path")
+
+
+@query("SELECT filename FROM dupes UNION ALL SELECT path FROM acts WHERE action = 'insert_duplicate'", *_WHOLE)
+def ingest_duplicates(spark, sf_dir):
+    return _ingested(spark, sf_dir)[2].select("filename")
+
+
+@query("SELECT path FROM pictures WHERE lower(path) LIKE '%.jpg' OR lower(path) LIKE '%.jpeg'", PICTURES_SQL)
+def suffix_filter(spark, sf_dir):
+    return _pictures(spark, sf_dir).where(V.has_suffix(F.col("path"), (".jpg", ".jpeg"))).select("path")
+
+
+@query("SELECT id, path, path IN (SELECT path FROM listing) AS is_there FROM pictures", PICTURES_SQL)
+def files_that_exist(spark, sf_dir):
+    pictures, _, listing, _ = _sides(spark, sf_dir)
+    return with_existence(pictures.select("id", "path"), "path", listing, "is_there")
+
+
+@query("SELECT doc_id AS id, sha256(text || CAST(n_chars AS VARCHAR) || 'x1') AS digest, md5('/p/' || CAST(doc_id AS VARCHAR)) AS name_digest FROM documents")
+def content_digests(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    shape = F.concat(F.col("n_chars").cast("string"), F.lit("x1"))
+    return docs.select(F.col("doc_id").alias("id"), V.content_hash(F.encode("text", "UTF-8"), shape).alias("digest"), F.md5(F.encode(F.concat(F.lit("/p/"), F.col("doc_id").cast("string")), "UTF-8")).alias("name_digest"))
 
 
 @query(f"SELECT path FROM pictures WHERE {_IMAGE_SQL}", PICTURES_SQL)
@@ -82,6 +146,26 @@ def jpg_name_filter(spark, sf_dir):
     return _pictures(spark, sf_dir).where(V.is_image(F.col("path"))).select("path")
 
 
+#: Other ways of writing a moment that the fallback reads, by the order's key.
+_LOOSE_SQL = """loose AS (SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') WHEN 1 THEN strftime(o_orderdate, '%Y/%m/%d %H:%M:%S') WHEN 2 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 3 THEN strftime(o_orderdate, '%d %B %Y %H:%M:%S')
+  WHEN 4 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S+02:00') ELSE 'no date' END AS tag, o_orderdate AS taken FROM orders)"""
+
+
+@query("SELECT id, CASE id % 6 WHEN 2 THEN epoch(date_trunc('day', taken)) WHEN 4 THEN epoch(taken) - 7200 WHEN 5 THEN NULL ELSE epoch(taken) END AS sec FROM loose", _LOOSE_SQL)
+def loose_date_parse(spark, sf_dir):
+    key, at = F.col("o_orderkey"), F.col("o_orderdate")
+    kinds = ("yyyy-MM-dd'T'HH:mm:ss", "yyyy/MM/dd HH:mm:ss", "yyyy-MM-dd", "dd MMMM yyyy HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss'+02:00'")
+    tag = F.lit("no date")
+    for k, kind in enumerate(kinds):
+        tag = F.when(key % 6 == k, F.date_format(at, kind)).otherwise(tag)
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(key.alias("id"), V.epoch_seconds(V.exif_date(tag)).alias("sec"))
+
+
+@query("SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || 'Z' AS iso FROM orders")
+def iso_dates(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"), V.iso_8601(F.col("o_orderdate")).alias("iso"))
+
+
 _EXIF_SQL = """exif AS (SELECT o_orderkey AS id, o_orderdate AS taken, CASE o_orderkey % 6 WHEN 0 THEN NULL WHEN 1 THEN '0000:00:00 00:00:00' WHEN 2 THEN ' ' || strftime(o_orderdate, '%Y:%m:%d %H:%M:%S') WHEN 3 THEN strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')
   WHEN 4 THEN '' ELSE strftime(o_orderdate, '%Y:%m:%d %H:%M:%S') END AS tag FROM orders)"""
 

@@ -13,6 +13,7 @@ from pictorium.functions import values as V
 from pictorium.operators import catalogue as C
 from pictorium.plans import stand_ins as S
 from pictorium.plans.registry import query
+from pictorium.sources.shared import numbered
 
 LISTED = ("Supplier#000000004", "Supplier#000000007")
 EXCLUDING = replace(DEFAULTS, excluded_names=("Supplier#000000005",))
@@ -38,9 +39,9 @@ def image_list_and(spark, sf_dir):
     return _listed(spark, sf_dir, "and")
 
 
-@query("SELECT i.id, i.filename FROM images i WHERE year(date_taken) = 1998 AND (SELECT count(DISTINCT f.declared_person_id) FROM face_rows f JOIN people p ON p.id = f.declared_person_id WHERE f.image_id = i.id AND p.person_name IN ('Supplier#000000004', 'Supplier#000000007')) = 2", S.IMAGES_SQL, S.PEOPLE_SQL, S.FACE_ROWS_SQL)
+@query("SELECT i.id, i.filename FROM images i WHERE year(date_taken) = 1996 AND (SELECT count(DISTINCT f.declared_person_id) FROM faces f JOIN people p ON p.id = f.declared_person_id WHERE f.image_id = i.id AND p.person_name IN ('Supplier#000000004', 'Supplier#000000007')) = 2", S.IMAGES_SQL, S.PEOPLE_SQL, S.FACES_SQL)
 def all_people_in_year(spark, sf_dir):
-    return C.images_with_all(S.images(spark, sf_dir), S.face_rows(spark, sf_dir), S.people(spark, sf_dir), LISTED, 1998).select("id", "filename")
+    return C.images_with_all(S.images(spark, sf_dir), S.faces(spark, sf_dir), S.people(spark, sf_dir), LISTED, 1996).select("id", "filename")
 
 
 @query("SELECT id FROM faces WHERE declared_person_id = 4", S.FACES_SQL)
@@ -165,6 +166,58 @@ def keyed_image(spark, sf_dir):
     return C.keyed_path(S.images(spark, sf_dir), S.faces(spark, sf_dir), S.people(spark, sf_dir), "face_source")
 
 
+_KINDS_SQL = """SELECT 'full_big' AS kind, id, '/big/' || CAST(id AS VARCHAR) AS path FROM images UNION ALL SELECT 'full_medium', id, '/medium/' || CAST(id AS VARCHAR) FROM images UNION ALL SELECT 'full_small', id, '/small/' || CAST(id AS VARCHAR) FROM images
+  UNION ALL SELECT 'slideshow', id, filename FROM images UNION ALL SELECT 'face_array', id, '/faces/' || CAST(id AS VARCHAR) FROM faces UNION ALL SELECT 'face_highlight', id, '/people/' || CAST(id AS VARCHAR) FROM people"""
+
+
+@query(_KINDS_SQL, S.IMAGES_SQL, S.PEOPLE_SQL, S.FACES_SQL)
+def keyed_pictures(spark, sf_dir):
+    place = lambda name: F.concat(F.lit(f"/{name}/"), F.col("id").cast("string"))
+    images = S.images(spark, sf_dir).withColumns({"full_res_path": place("big"), "thumbnail_medium": place("medium"), "thumbnail_small": place("small")})
+    faces, people = S.faces(spark, sf_dir).withColumn("face_thumbnail", place("faces")), S.people(spark, sf_dir).withColumn("highlight_img", place("people"))
+    out = None
+    for kind in ("full_big", "full_medium", "full_small", "slideshow", "face_array", "face_highlight"):
+        rows = C.keyed_path(images, faces, people, kind).select(F.lit(kind).alias("kind"), "id", "path")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("SELECT id, filename, (SELECT count(*) FROM images WHERE contains(lower(filename), 'urgent')) AS total, true AS has_previous, (SELECT count(*) FROM images WHERE contains(lower(filename), 'urgent')) > 150 AS has_next FROM images WHERE contains(lower(filename), 'urgent') ORDER BY filename, id LIMIT 50 OFFSET 100", S.IMAGES_SQL)
+def images_page_with_total(spark, sf_dir):
+    return C.counted_page(C.filtered(S.images(spark, sf_dir), {"filename__icontains": "urgent"}), 100, 50, ("filename",)).select("id", "filename", "total", "has_previous", "has_next")
+
+
+@query("SELECT arg_max(id, (weight, -id)) AS first_id, arg_min(id, (weight, -id)) AS last_id, max(weight) >= min(weight) AS in_order FROM candidates WHERE declared_person_id = 0 AND k = 0 AND weight > 0.3", S.FACES_SQL)
+def confident_ends(spark, sf_dir):
+    return C.first_and_last(C.confident_unassigned(S.faces(spark, sf_dir), S.UNASSIGNED, 0.3), "weight")
+
+
+@query("SELECT i.id, dir_path FROM images i LEFT JOIN directories d ON d.id = i.directory_id", S.IMAGES_SQL, S.DIRECTORIES_SQL)
+def images_with_directory(spark, sf_dir):
+    return C.with_directory(S.images(spark, sf_dir), S.directories(spark, sf_dir)).select("id", "dir_path")
+
+
+@query("SELECT i.id, regexp_extract(filename, '^(.*)/[^/]*$', 1) AS dir_path, d.id AS directory_id FROM images i LEFT JOIN (SELECT row_number() OVER (ORDER BY p) AS id, p FROM (SELECT DISTINCT '/photos/' || o_orderpriority AS p FROM orders)) d ON d.p = regexp_extract(filename, '^(.*)/[^/]*$', 1)", S.IMAGES_SQL)
+def images_by_directory_path(spark, sf_dir):
+    images = S.images(spark, sf_dir)
+    folders = images.select(V.parent(F.col("filename")).alias("dir_path")).distinct()
+    return C.with_directory(images, numbered(folders, ["dir_path"], name="id"), by_path=True).select("id", "dir_path", "directory_id")
+
+
+@query(f"""SELECT '/api/faces/' || CAST(f.id AS VARCHAR) || '/' AS url, f.image_id, f.declared_person_id, p.person_name AS declared_name, validated, box_top, box_bottom, box_left, box_right,
+  {', '.join(f"c{k}.person_id AS poss_ident{k + 1}, coalesce(p{k}.person_name, 'N/A') AS poss_name{k + 1}, coalesce(c{k}.weight, 0) AS weight_{k + 1}" for k in range(5))}
+  FROM faces f LEFT JOIN people p ON p.id = f.declared_person_id {' '.join(f"LEFT JOIN candidates c{k} ON c{k}.id = f.id AND c{k}.k = {k} LEFT JOIN people p{k} ON p{k}.id = c{k}.person_id" for k in range(5))}""", S.PEOPLE_SQL, S.FACES_SQL)
+def faces_shown(spark, sf_dir):
+    return C.face_shown(S.faces(spark, sf_dir), S.people(spark, sf_dir)).drop("written_to_photo_metadata", "rejected_ids")
+
+
+@query("""SELECT '/api/images/' || CAST(i.id AS VARCHAR) || '/' AS url, i.id, filename, pixel_hash, directory_id, date_taken, is_processed, CAST(width AS VARCHAR) || '/' || CAST(height AS VARCHAR) AS exposure, width AS exposure_num, height AS exposure_denom, coalesce(n, 0) AS n_faces
+  FROM images i LEFT JOIN (SELECT image_id, count(*) AS n FROM faces GROUP BY 1) f ON f.image_id = i.id""", S.IMAGES_SQL, S.FACES_SQL)
+def images_shown(spark, sf_dir):
+    images = S.images(spark, sf_dir).withColumns({"exposure_num": F.col("width"), "exposure_denom": F.col("height")})
+    return C.image_shown(images, S.faces(spark, sf_dir)).withColumn("n_faces", F.size("face_set").cast("long")).drop("face_set", "date_parts")
+
+
 @query("SELECT person_name FROM people", S.PEOPLE_SQL)
 def name_list(spark, sf_dir):
     return C.fields(S.people(spark, sf_dir), ["person_name"])

@@ -58,9 +58,11 @@ def write_sections(rows: DataFrame, path: str, size: int = 500) -> None:
     rows.write.mode("overwrite").option("maxRecordsPerFile", size).parquet(path)
 
 
-def write_by_person(rows: DataFrame, path: str, key: str = "person_id") -> None:
-    """One folder a person; each person's rows gathered first, so that a folder holds few files."""
-    rows.repartition(key).write.mode("overwrite").partitionBy(key).parquet(path)
+def write_by_person(rows: DataFrame, path: str, key: str = "person_id", parts: int = 8) -> None:
+    """One folder a person. Each person's rows are gathered in at most `parts` files, so that a folder holds few and no
+    single task writes a person who has most of the rows."""
+    salt = F.pmod(F.xxhash64(*rows.columns), F.lit(parts))
+    rows.repartition(F.col(key), salt).write.mode("overwrite").partitionBy(key).parquet(path)
 
 
 def split_valid(rows: DataFrame, **checks: Column) -> tuple[DataFrame, DataFrame]:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,35 +11,70 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pictorium.operators.curation import Marks, bulk_applied
 from pictorium.schema import FACE_OPS
+from pictorium.sources.shared import removed, shared_folder
 
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; on one machine without it, a local one."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
+#: Buckets of a table by the hash of the face's id: a micro-batch rewrites those that its messages name.
+BUCKETS = 64
 
 
 class FaceTable:
-    """Versions of the faces under a folder; a pointer file per micro-batch makes a repeated batch harmless.
+    """The faces under a folder, in buckets by id; a list per micro-batch says which version each bucket is at.
 
-    Version n is what batch n left. A batch that is run again after a failure starts from version n - 1 and writes
-    version n anew, so no message is applied twice.
+    Version n of a bucket is what batch n left of it; buckets that no message names stay as they are. A batch that is
+    run again after a failure starts from the list of batch n - 1 and writes its buckets and its list anew, so no message
+    is applied twice. Versions that neither list n nor list n - 1 names are deleted.
     """
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS):
+        self.spark, self.folder, self.buckets = spark, folder, buckets
+        self.schema = None
+
+    def bucket(self, key: str) -> F.Column:
+        return F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(self.buckets)).cast("int")
+
+    def path(self, bucket: int, version: int) -> str:
+        return f"{self.folder}/v{version}/bucket={bucket}"
 
-    def path(self, version: int) -> str:
-        return f"{self.folder}/v{version}"
+    def listed(self, number: int) -> dict[int, int]:
+        """Versions of the buckets after a batch: at most `buckets` rows."""
+        return {r["bucket"]: r["version"] for r in self.spark.read.parquet(f"{self.folder}/list{number}").collect()}
+
+    def _list(self, number: int, versions: dict[int, int]) -> None:
+        self.spark.createDataFrame(sorted(versions.items()), "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/list{number}")
+
+    def _write(self, faces: DataFrame, number: int) -> None:
+        cut = faces.withColumn("bucket", self.bucket("id"))
+        cut.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/v{number}")
 
     def start(self, faces: DataFrame) -> None:
-        faces.write.mode("overwrite").parquet(self.path(-1))
+        self.schema = faces.schema
+        self._write(faces, -1)
+        held = faces.select(self.bucket("id").alias("bucket")).distinct().collect()
+        self._list(-1, {r["bucket"]: -1 for r in held})
+
+    def _rows(self, versions: dict[int, int]) -> DataFrame:
+        paths = [self.path(b, v) for b, v in sorted(versions.items())]
+        if self.schema is None:
+            self.schema = self.spark.read.parquet(paths[0]).schema
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
-    def read(self, version: int) -> DataFrame:
-        return self.spark.read.parquet(self.path(version))
+    def read(self, number: int) -> DataFrame:
+        """The faces after a batch."""
+        return self._rows(self.listed(number))
 
     def apply(self, marks: Marks) -> Callable[[DataFrame, int], None]:
         def step(batch: DataFrame, number: int) -> None:
-            bulk_applied(self.read(number - 1), batch, marks).write.mode("overwrite").parquet(self.path(number))
+            before = self.listed(number - 1)
+            named = batch.select(F.explode("face_id_list").alias("id")).select(self.bucket("id").alias("bucket")).distinct().collect()
+            touched = {r["bucket"]: before[r["bucket"]] for r in named if r["bucket"] in before}
+            if touched:
+                self._write(bulk_applied(self._rows(touched), batch, marks), number)
+            self._list(number, before | dict.fromkeys(touched, number))
+            if number > 0:
+                # what the list before last named and the last one doesn't
+                for b, v in self.listed(number - 2).items():
+                    if before[b] != v:
+                        removed(self.spark, self.path(b, v))
 
         return step
 
@@ -52,7 +86,7 @@ def started(ops: DataFrame, table: FaceTable, marks: Marks, checkpoint: str, **t
 
 def replayed(spark: SparkSession, faces: DataFrame, ops: DataFrame, marks: Marks, arrivals: int = 3) -> DataFrame:
     """Lets the messages arrive as files, some of them at a time in their order, streams them and returns the faces."""
-    folder = f"{shared_root(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    folder = shared_folder(spark)
     # a file source takes files by their age: each arrival is written after the one before
     cuts = ops.approxQuantile("seq", [k / arrivals for k in range(1, arrivals)], 0.01)
     edges = [None, *sorted(set(cuts)), None]
