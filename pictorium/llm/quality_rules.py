@@ -18,7 +18,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pictorium.llm.common import id_and_text
+from pictorium.llm.common import id_and_text, opened, whole_row
 
 SPACES = "\t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -88,7 +88,7 @@ def _repeated_words(windows: Column) -> Column:
 def measured(docs: DataFrame, *, whole: bool = False) -> DataFrame:
     """doc_id and the counts of every text, in one chain of projections over the scan; `whole` keeps the row as `row`."""
     text = F.col("text")
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("row")) if whole else id_and_text(docs)
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), whole_row(docs).alias("row")) if whole else id_and_text(docs)
     kept = ["doc_id", "row"] if whole else ["doc_id"]
     plain = given.select(
         *kept,
@@ -130,4 +130,4 @@ def passing(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     number, which has no fixed value, keeps the filter above them.
     """
     judged = _judged(measured(docs, whole=True), rules).select("row", "kept", F.monotonically_increasing_id().alias("number"))
-    return judged.where(F.col("kept") & (F.col("number") >= 0)).select("row.*")
+    return judged.where(F.col("kept") & (F.col("number") >= 0)).select(*opened(F.col("row"), docs.columns))

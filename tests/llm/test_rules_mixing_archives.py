@@ -135,7 +135,117 @@ def test_conversion():
             ((fields, back),) = A.read_warc(A.to_warc(record, A.record_id(1), refers) + b"\r\n\r\n")
             assert back == kept and fields["warc-type"] == kind and fields["warc-date"] == "2024-01-01T00:00:00Z"
             assert fields["warc-payload-digest"] == "sha1:" + A.sha1(b"body")
-    with pytest.raises(ValueError):
-        list(A.read_arc(A.write_arc("x.arc", [("http://h/", block)])[:-3]))
+    (bad,) = A.read_arc(A.write_arc("x.arc", [("http://h/", block)])[:-3])
+    assert bad.reason.startswith("cut off")
     with pytest.raises(ValueError):
         list(A.read_warc(A.to_warc(record, "x") + b"junk"))
+
+
+HTTP = b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n"
+
+
+def arc(lines, version=1):
+    """An archive of (header line without its length, block)."""
+    tail = b" 200 - - 0 x.arc" if version == 2 else b""
+    data = A.write_arc("x.arc", [], version)
+    return data + b"".join(line + tail + b" %d\n" % len(block) + block + b"\n" for line, block in lines)
+
+
+def test_odd_header_lines():
+    lines = [(b"http://h/a b c 1.2.3.4 20010203040506 text/html", HTTP + b"one"), (b"http://h/2 ::1 20010203040506 text/html; charset=utf-8", HTTP + b"two"), (b"dns:h 0.0.0.0 20010203 text/dns", b"h 1.2.3.4"), (b"http://h/\xff - 20010203040506 no-type", HTTP)]
+    for version in (1, 2):
+        got = list(A.read_arc(arc(lines, version)))
+        assert [(r.url, r.address, r.date, r.kind) for r in got[:3]] == [("http://h/a b c", "1.2.3.4", "20010203040506", "text/html"), ("http://h/2", "::1", "20010203040506", "text/html; charset=utf-8"), ("dns:h", "0.0.0.0", "20010203", "text/dns")]
+        assert [r.block for r in got] == [b for _, b in lines]
+        # rubbish between records is set aside, and what follows it is read
+        data = arc(lines[:2], version) + b"what is this\nand this 1\n" + arc(lines[2:], version)[len(A.write_arc("x.arc", [], version)) :]
+        kinds = [type(r).__name__ for r in A.read_arc(data)]
+        assert kinds == ["ArcRecord", "ArcRecord", "Unread", "ArcRecord", "ArcRecord"]
+    assert [type(r).__name__ for r in A.read_arc(b"")] == ["Unread"] and [type(r).__name__ for r in A.read_arc(b"junk\nmore\n")] == ["Unread"]
+
+
+def test_a_folder_of_archives(spark, tmp_path):
+    import gzip
+
+    lines = [(b"http://h/a b 1.2.3.4 20010203040506 text/html", HTTP + b"\xff\x00one"), (b"dns:h 0.0.0.0 20010203040506 text/dns", b"h 1.2.3.4")]
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "a.arc").write_bytes(arc(lines, 1))
+    (tmp_path / "sub" / "b.arc.gz").write_bytes(b"".join(map(gzip.compress, (A.write_arc("x.arc", [], 2), arc(lines, 2)[len(A.write_arc("x.arc", [], 2)) :]))))
+    (tmp_path / "c.arc").write_bytes(arc(lines, 1)[:-6])
+    (tmp_path / "d.arc.gz").write_bytes(gzip.compress(arc(lines, 1))[:-20])
+    (tmp_path / "e.txt").write_bytes(b"no archive")
+    folder, bad = A.converted(spark, str(tmp_path))
+    rows = A.read_back(spark, folder).collect()
+    assert sorted((r.url, r.record_type, r.payload_bytes) for r in rows if r.url != "dns:h") [:2] == [("http://h/a b", "response", 5)] * 2
+    assert {(r.record_type, r.payload_digest) for r in rows if r.url == "dns:h"} == {("resource", A.sha1(b"h 1.2.3.4"))}
+    assert len({r.record_id for r in rows}) == len(rows) >= 5
+    found = {(r.path.rsplit("/", 1)[-1], r.reason.split(":")[0]) for r in bad.collect()}
+    assert {("c.arc", "cut off"), ("d.arc.gz", "gzip")} <= found
+    again, _ = A.converted(spark, str(tmp_path))
+    assert {r.record_id for r in A.read_back(spark, again).collect()} == {r.record_id for r in rows}
+
+
+def test_files_are_bounded(spark):
+    import glob
+
+    folder = A.archived(pages(spark, [(i, f"http://h/{i}", f"{i} " * 300) for i in range(40)]).coalesce(1), file_bytes=3_000)
+    assert len(glob.glob(f"{folder}/*.gz")) >= 10 and A.read_back(spark, folder).count() == 40
+
+
+def test_every_source_has_a_target(spark):
+    """260 sources, none lumped together, on the driver and as a table alike."""
+    df = documents(spark, [(i, "word " * (1 + i % 50)) for i in range(2600)]).withColumn("source", F.concat(F.lit("s"), (F.col("doc_id") % 260).cast("string"))).withColumn("lang", F.lit("en"))
+    aims = {"source": M.TEMPERED, "lang": {"en": 1.0}, "topic": {"prose": 1.0}}
+    rows = M.mixed(df, aims, 0.8).collect()
+    own, now = Counter(), Counter()
+    for r in rows:
+        own[r.source] += r.n_tokens
+        now[r.source] += r.n_tokens * r.probability * r.weight
+    goal = {s: n**M.TEMPER for s, n in own.items()}
+    assert len(own) == 260 and all(abs(now[s] / sum(now.values()) - g / sum(goal.values())) < 1e-6 for s, g in goal.items())
+    table = {r.doc_id: r for r in M.mixed(df, aims, 0.8, driver_cells=10).collect()}
+    assert all(abs(table[r.doc_id].probability - r.probability) < 1e-4 and abs(table[r.doc_id].weight - r.weight) < 1e-3 for r in rows)
+
+
+def test_the_querys_mixture_by_hand(spark):
+    """Topics, tokens, raked factors and probabilities of the production targets, worked out plainly."""
+    texts = [(i, text) for i, text in enumerate(["| a | b |\nthe rest", "all rights reserved by them", "ann@mail.example.com wrote", "in 1999 it was", "only prose here and more of it", None, ""] * 30)]
+    df = documents(spark, texts, clash=False)
+    rows = {r.doc_id: r for r in M.mixed(df).collect()}
+    plain = lambda t: next((n for n, p in M.TOPICS.items() if re.search(p, t or "")), "prose")
+    given_ = {r.doc_id: r for r in df.collect()}
+    cells = defaultdict(float)
+    known = {"lang": set(M.TARGETS["lang"]), "topic": set(M.TARGETS["topic"])}
+    cell = lambda i: (given_[i].source or "null", given_[i].lang if given_[i].lang in known["lang"] else M.OTHER, plain(given_[i].text))
+    for i, t in texts:
+        assert (rows[i].topic, rows[i].n_tokens) == (plain(t), len((t or "").split()))
+        cells[cell(i)] += len((t or "").split())
+    w, total = {c: float(n) for c, n in cells.items()}, sum(cells.values())
+    shares = []
+    for d, name in enumerate(M.DIMENSIONS):
+        sums = defaultdict(float)
+        for c, n in cells.items():
+            sums[c[d]] += n
+        stated = {k: v**M.TEMPER for k, v in sums.items()} if name == "source" else {k: M.TARGETS[name][k] for k in sums if k in M.TARGETS[name] and sums[k]}
+        rest = {k: v / total for k, v in sums.items() if k not in stated}
+        shares.append({k: v * (1 - sum(rest.values())) / sum(stated.values()) for k, v in stated.items()} | rest)
+    for _ in range(2000):
+        for d, goal in enumerate(shares):
+            sums = defaultdict(float)
+            for c, n in w.items():
+                sums[c[d]] += n
+            w = {c: n * goal[c[d]] * sum(sums.values()) / sums[c[d]] if sums[c[d]] else 0.0 for c, n in w.items()}
+    factor = {c: w[c] * total / sum(w.values()) / cells[c] if cells[c] else 0.0 for c in cells}
+    low, high = 0.0, 1 / min(f for f in factor.values() if f > 0)
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if sum(cells[c] * min(1, middle * factor[c]) for c in cells) < M.KEEP * total else (low, middle)
+    for i, _ in texts:
+        chance = min(1, high * factor[cell(i)]) if cells[cell(i)] else 1.0
+        assert abs(rows[i].probability - chance) < 1e-6 and abs(rows[i].weight - (factor[cell(i)] / chance if chance else 0.0)) < 1e-5
+
+
+def test_counts_and_topics_of_the_caller(spark):
+    df = documents(spark, [(i, "a b c") for i in range(40)], clash=False).withColumn("count", F.col("doc_id") + 1).withColumn("my topic", F.when(F.col("doc_id") % 2 == 0, "x").otherwise("y"))
+    rows = M.mixed(df, {"source": M.TEMPERED, "lang": M.TEMPERED, "topic": {"x": 0.5, "y": 0.5}}, tokens="count", topics="my topic").collect()
+    assert all(r.n_tokens == r.doc_id + 1 and r.topic == "xy"[r.doc_id % 2] for r in rows)
