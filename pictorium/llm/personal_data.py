@@ -5,9 +5,14 @@ distinct value is a protected entity. Then the corpus estimates how strongly eac
 documents, PMI(t; e) = log2(P(e | t) / P(e)), against what the entity itself is worth, IC(e) = log2(1 / P(e)). P(e) is
 n(e) / N, and P(e | t) is smoothed, (n(t, e) + PRIOR P(e)) / (n(t) + PRIOR): a term counts as if PRIOR further documents
 held it that know nothing of the entity, so few documents make a weak estimate and not none. A term whose PMI reaches
-`disclosure` times IC(e) gives the entity away, be the entity in one text or in many: the term's occurrences in texts
-that hold the entity become spans of the kind `term`, outside the fixed spans. In sanitised texts fixed spans are
-replaced by their kind and terms are generalised to TERM. Texts without an entity never change.
+`disclosure` times IC(e) gives the entity away, be the entity in one text or in many, provided that both are positive
+(an entity of all documents is worth nothing, so nothing reveals it): the term's occurrences in texts that hold the
+entity become spans of the kind `term`, outside the fixed spans. In sanitised texts fixed spans are replaced by their
+kind and terms are generalised to TERM. Texts without an entity never change.
+
+Entities that stand in the same texts have the same counts with every term, and so have terms of the same texts with
+the same total: each such class is estimated once. A list of thousands of addresses is one class of entities, the words
+that only its text has are one class of terms, and no product of the two is ever made.
 
 A term is a run of at least three letters, in lower case. Counts are over documents (rows). `support` asks that a term
 stand with the entity in that many different texts; by default one is enough. Nothing is sampled or capped. The terms
@@ -27,10 +32,11 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructType
 
-from pictorium.llm.common import slices, written
+from pictorium.llm.common import opened, slices, whole_row, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
 DISCLOSURE, SUPPORT = 0.75, 1
@@ -104,9 +110,18 @@ def terms(text: str) -> set[str]:
 
 
 def term_spans(text: str, revealing: set[str], fixed: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    covered = [(a, b) for a, _, b in fixed]
-    out = [(m.start(), 4, m.end()) for m in TERM.finditer(text) if m.group().lower() in revealing]
-    return [s for s in out if not any(a < s[2] and s[0] < b for a, b in covered)]
+    """Occurrences of revealing terms outside the fixed spans, which are sorted by their starts: both lists are walked once."""
+    out, k, end = [], 0, 0
+    for m in TERM.finditer(text):
+        if m.group().lower() not in revealing:
+            continue
+        # `end`: how far the fixed spans reach that begin before the term does
+        while k < len(fixed) and fixed[k][0] < m.end():
+            end = max(end, fixed[k][2])
+            k += 1
+        if end <= m.start():
+            out.append((m.start(), 4, m.end()))
+    return out
 
 
 def replaced(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -212,7 +227,8 @@ def revealing_terms(docs: DataFrame, found: DataFrame, disclosure: float = DISCL
     held = found.where("text_key is not null")
     texts = held.groupBy("text_key").agg(F.any_value("text").alias("text"), F.any_value("base").alias("base"), F.any_value("entities").alias("entities"), F.count(F.lit(1)).alias("copies"))
     texts = written(texts)
-    known = written(texts.select(F.explode("entities").alias("entity"), "copies").groupBy("entity").agg(F.sum("copies").alias("n_e")))
+    within = texts.select("text_key", "copies", F.explode("entities").alias("entity"))
+    known = written(within.groupBy("entity").agg(F.sum("copies").alias("n_e"), *_same_texts()))
     most = known.agg(F.max("n_e")).first()[0]
     if most is None:
         return None
@@ -222,19 +238,30 @@ def revealing_terms(docs: DataFrame, found: DataFrame, disclosure: float = DISCL
     # a term's count in the texts just read bounds its count in the corpus from below: most terms end here
     possible = written(seen.where(F.col("n") + PRIOR <= bound(F.lit(most))).select("term"))
     counted = written(_term_counts(docs, possible).where(F.col("n_t") + PRIOR <= bound(F.lit(most))))
-    of = texts.select("text_key", "copies", F.explode("entities").alias("entity")).join(known, "entity")
-    rows = texts.select("text_key", "text").mapInArrow(_term_rows(_few(counted)), "text_key string, term string").join(counted, "term")
-    met = written(rows.join(of, "text_key").where(F.col("n_t") + PRIOR <= bound(F.col("n_e"))))
+    rows = written(texts.select("text_key", "text").mapInArrow(_term_rows(_few(counted)), "text_key string, term string").join(counted, "term"))
+    terms_ = rows.groupBy("term", "n_t").agg(*_same_texts())
+    of_term = written(terms_.select("term", F.xxhash64("n_t", "same_a", "same_b").alias("terms")))
+    by_term = rows.join(of_term, "term").select("text_key", "terms", "n_t").distinct()
+    of_entity = known.select("entity", "n_e", F.xxhash64("n_e", "same_a", "same_b").alias("entities"))
+    by_entity = within.join(of_entity, "entity").select("text_key", "copies", "entities", "n_e").distinct()
+    met = written(by_term.join(by_entity, "text_key").where(F.col("n_t") + PRIOR <= bound(F.col("n_e"))))
     share = F.col("n_e") / total
     given = (F.col("n_te") + PRIOR * share) / (F.col("n_t") + PRIOR)
-    pairs = met.groupBy("entity", "term", "n_e", "n_t").agg(F.sum("copies").alias("n_te"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support)
-    sure = written(pairs.where(F.log2(given / share) >= -disclosure * F.log2(share)).select("entity", "term"))
+    pairs = met.groupBy("entities", "terms", "n_e", "n_t").agg(F.sum("copies").alias("n_te"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support)
+    # an entity of all documents has no information to disclose, and a term that goes with it as with all others none either
+    sure = written(pairs.where((F.col("n_e") < total) & (given > share) & (F.log2(given / share) >= -disclosure * F.log2(share))).select("entities", "terms"))
     if sure.isEmpty():
         return None
-    marked = met.join(sure, ["entity", "term"]).groupBy("text_key").agg(F.collect_set("term").alias("terms"))
+    revealing = met.join(sure, ["entities", "terms"]).select("text_key", "terms").distinct()
+    marked = rows.join(of_term, "term").join(revealing, ["text_key", "terms"], "left_semi").groupBy("text_key").agg(F.collect_set("term").alias("terms"))
     return texts.select("text_key", "text", "base").join(marked, "text_key")
 
 
+def _same_texts() -> list[Column]:
+    """What tells a set of texts: two exclusive ors of hashes, whatever the order of the rows."""
+    return [F.bit_xor(F.xxhash64("text_key", F.lit(k))).alias(f"same_{n}") for k, n in enumerate("ab")]
+
+
 def _mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("text_key", pa.string()), ("spans", pa.string())])
     for part in slices(batches):
@@ -256,9 +283,10 @@ def _replace(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _scanned(docs: DataFrame, *, whole: bool) -> DataFrame:
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *([F.struct(*([docs[c] for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0).alias("none")])).alias("rest")] if whole else []))
-    rest = f", rest {given.schema['rest'].dataType.simpleString()}" if whole else ""
-    return written(given.mapInArrow(_scanner(whole, pa.null() if whole else None), FOUND + rest))
+    rest = [whole_row(docs, ("doc_id", "text")).alias("rest")] if whole else []
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *rest)
+    schema = StructType.fromDDL(FOUND)
+    return written(given.mapInArrow(_scanner(whole, pa.null() if whole else None), schema.add(given.schema["rest"]) if whole else schema))
 
 
 def _with_spans(docs: DataFrame, found: DataFrame, disclosure: float, support: int) -> DataFrame:
@@ -281,5 +309,7 @@ def sanitised(docs: DataFrame, *, disclosure: float = DISCLOSURE, support: int =
     found = _scanned(docs, whole=True)
     marked = _with_spans(docs, found, disclosure, support)
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    out = marked.select("doc_id", "text", "spans", "rest").mapInArrow(_replace, f"doc_id long, text string, rest {found.schema['rest'].dataType.simpleString()}")
-    return out.select(*[F.col(c) if c in ("doc_id", "text") else F.col("rest")[c].alias(c) for c in docs.columns])
+    schema = StructType().add("doc_id", LongType()).add("text", StringType()).add(found.schema["rest"])
+    out = marked.select("doc_id", "text", "spans", "rest").mapInArrow(_replace, schema)
+    back = dict(zip(rest, opened(F.col("rest"), rest), strict=True))
+    return out.select(*[F.col(c) if c in ("doc_id", "text") else back[c] for c in docs.columns])

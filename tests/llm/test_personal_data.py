@@ -6,6 +6,7 @@ import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from pictorium.llm import personal_data as P
 from tests.llm.helpers import documents, empty, messy
@@ -64,7 +65,9 @@ def revealing(texts, disclosure, support):
         for t in set().union(*[terms[i] for i in with_e]):
             both = [i for i in with_e if t in terms[i]]
             n_t = sum(t in terms[i] for i, _ in texts)
-            if len({dict(texts)[i] for i in both}) >= support and math.log2(len(both) * n / (len(with_e) * n_t)) >= disclosure * math.log2(n / len(with_e)):
+            share = len(with_e) / n
+            given_ = (len(both) + share) / (n_t + 1)
+            if len(with_e) < n and given_ > share and len({dict(texts)[i] for i in both}) >= support and math.log2(given_ / share) >= -disclosure * math.log2(share):
                 for i in both:
                     out.setdefault(i, set()).add(t)
     return out
@@ -127,3 +130,32 @@ def test_messy(spark):
     assert len(rows) == 10 and {r.doc_id for r in rows if r.spans} <= {6}
     assert P.sanitised(messy(spark)).count() == 10
     assert P.spans(empty(spark)).collect() == [] and P.sanitised(empty(spark)).collect() == []
+
+
+def test_an_entity_of_all_texts_reveals_nothing(spark):
+    texts = [(i, f"alpha beta word{'abcdef'[i]} ann@mail.example.com gamma") for i in range(6)]
+    assert all("term" not in r.spans for r in P.spans(documents(spark, texts)).collect())
+
+
+def test_term_spans_against_all_pairs():
+    rng = random.Random(3)
+    for _ in range(300):
+        text = "".join(rng.choice(["abc", "xyz", " ", "1", "-", "longer"]) for _ in range(30))
+        fixed = sorted((a := rng.randrange(len(text)), 0, a + rng.randrange(1, 9)) for _ in range(rng.randrange(5)))
+        want = [(m.start(), 4, m.end()) for m in P.TERM.finditer(text) if m.group() in ("abc", "longer") and not any(a < m.end() and m.start() < b for a, _, b in fixed)]
+        assert P.term_spans(text, {"abc", "longer"}, fixed) == want
+
+
+def test_a_text_of_many_entities(spark):
+    """3,000 addresses and 8,000 terms in one text of 100 kB are one class each: their product is never made."""
+    letters = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    long = " ".join([f"{letters(i)}@host{i % 7}.example.com" for i in range(3000)] + [f"zz{letters(i)}" for i in range(8000)])
+    texts = [(1, long), (2, long + " more"), (3, "zzaaaa alone")] + [(i, "plain words here") for i in range(10, 400)]
+    rows = {r.doc_id: r for r in P.spans(documents(spark, texts, clash=False)).collect()}
+    assert rows[1].n_email == 3000 and rows[1].spans.count("term:") == 8000 and rows[3].spans == ""
+
+
+def test_odd_column_names(spark):
+    df = documents(spark, [(1, "mail ann@mail.example.com now"), (2, "none")], clash=False).withColumns({"my col": F.lit("x"), "a.b": F.lit(1), "c`d": F.lit(2)})
+    out = P.sanitised(df)
+    assert out.columns == df.columns and {(r["my col"], r["a.b"], r["c`d"]) for r in out.collect()} == {("x", 1, 2)}
