@@ -2,9 +2,12 @@
 
 No piece of the model crosses from a character to a following white-space marker, and none holds a line feed, so a
 text falls apart at those places: each chunk (its markers and what follows, or line feeds alone) has the same pieces
-anywhere. Each worker segments each distinct chunk once, keeps it in a bounded table, and joins the ids back by
-position. `chunks_hold` proves the two conditions from a model's own piece list; where they don't hold, whole texts
-are encoded.
+anywhere. `chunk_table` counts the chunks of all texts and segments each one that occurs more than once, a single time,
+whatever its length; a chunk that occurs once is segmented where it stands. So no chunk is segmented twice. A text's
+ids are then joined back by position: those of the most frequent chunks (at most HOT_BYTES of the table) from a
+broadcast, those of the other repeated chunks by a join of the text's own list of them. Where the whole table is within
+the bound there is no join. `chunks_hold` proves the two conditions from a model's own piece list; where they don't
+hold, whole texts are encoded.
 
 The chunks go through the same model without its dummy prefix; the prefix is put before the whole text instead,
 and decoding takes it off again, as the library's decode() does.
@@ -18,24 +21,28 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from pictorium.llm.common import BoundedCache, id_and_text, slices
+from pictorium.llm.common import id_and_text, slices, written
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-CACHE_ENTRIES = 200_000
-#: Chunks longer than this are segmented each time and not kept.
-KEPT_CHARS = 48
+#: Chunks and ids that every worker holds, and text that a task counts before it hands on.
+HOT_BYTES = 12_000_000
+COUNTED_BYTES = 24_000_000
+#: Beside the characters of a chunk and its ids, an entry of the broadcast counts as so many bytes.
+ENTRY = 16
 CHUNK = re.compile(r" *[^ \n]+| +|\n+")
 
 
 class Pieces:
-    """A model, loaded in a worker, with its table of chunks."""
+    """A model, loaded in a worker."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -48,32 +55,43 @@ class Pieces:
         self.by_chunk = chunks_hold([p.piece for p in model.pieces], model.normalizer_spec)
         model.normalizer_spec.add_dummy_prefix = False
         self.bare = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
-        #: Ids of each chunk, and what the few chunks decode to that don't give themselves back.
-        self.table, self.odd = BoundedCache(CACHE_ENTRIES), {}
         self.end = self.whole.eos_id()
 
-    def encode(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, the ids in decimals joined by spaces, and the decoded text; the end id is the last."""
+    def segmented(self, chunks: list[str]) -> Iterator[tuple[str, str | None]]:
+        """Of each chunk its ids in decimals joined by spaces, and what they decode to where that isn't the chunk."""
+        for chunk, ids in zip(chunks, self.bare.encode(chunks, num_threads=1), strict=True):
+            back = self.bare.decode(ids)
+            yield " ".join(map(str, ids)), None if back == chunk else back
+
+    def encode(self, text: str, table: dict[str, str], odd: dict[str, str], own: tuple[list, list, list] | None = None) -> tuple[int, str, str, int]:
+        """Number of ids, the ids in decimals joined by spaces (the end id is the last), the decoded text, and how many
+        chunks neither the table nor the text's own list (chunks, ids, what they decode to) had."""
         if not self.by_chunk:
             ids = [*self.whole.encode(text, num_threads=1), self.end]
-            return len(ids), " ".join(map(str, ids)), self.whole.decode(ids)
+            return len(ids), " ".join(map(str, ids)), self.whole.decode(ids), 0
         if not text:
-            return 1, str(self.end), ""
-        chunks = CHUNK.findall(" " + text.replace(MARK, " "))
-        distinct = set(chunks)
-        long = {c for c in distinct if len(c) > KEPT_CHARS}
-        new = self.table.absent(distinct - long if long else distinct)
-        if not self.table:
-            self.odd.clear()
-        own = {}
-        for chunk, ids in zip((every := [*new, *long]), self.bare.encode(every, num_threads=1), strict=True):
-            (own if chunk in long else self.table)[chunk] = " ".join(map(str, ids))
-            if (back := self.bare.decode(ids)) != chunk:
-                self.odd[chunk] = back
-        table = self.table if not long else {c: own[c] if c in own else self.table[c] for c in distinct}
-        shown = f"{' '.join([table[c] for c in chunks])} {self.end}"
-        parts = chunks if self.odd.keys().isdisjoint(distinct) else [self.odd.get(c, c) for c in chunks]
-        return shown.count(" ") + 1, shown, "".join(parts)[1:]
+            return 1, str(self.end), "", 0
+        parts = chunks(text)
+        distinct = set(parts)
+        missing = [c for c in distinct if c not in table]
+        more: dict[str, str] = {}
+        if missing and own and own[0]:
+            more = dict(zip(own[0], own[1], strict=True))
+            odd = odd | {c: b for c, b in zip(own[0], own[2], strict=True) if b is not None}
+            missing = [c for c in missing if c not in more]
+        for chunk, (ids, back) in zip(missing, self.segmented(missing), strict=True):
+            more[chunk] = ids
+            if back is not None:
+                odd = odd | {chunk: back}
+        ids = [table[c] if c in table else more[c] for c in parts] if more else [table[c] for c in parts]
+        shown = f"{' '.join(ids)} {self.end}"
+        shown_parts = parts if odd.keys().isdisjoint(distinct) else [odd.get(c, c) for c in parts]
+        return shown.count(" ") + 1, shown, "".join(shown_parts)[1:], len(missing)
+
+
+def chunks(text: str) -> list[str]:
+    """The chunks of a text that isn't empty, in order, the prefix before the first."""
+    return CHUNK.findall(" " + text.replace(MARK, " "))
 
 
 def chunks_hold(pieces: list[str], spec) -> bool:
@@ -87,19 +105,96 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def encode_decode(docs: DataFrame, model: str, *, digests: bool = False) -> DataFrame:
-    """doc_id, n_tokens, and ids (array<int>) and decoded text; with `digests`, their SHA-256 in place of them."""
+def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each chunk occurs in a task's texts, in parts of bounded size."""
+    schema = pa.schema([("chunk", pa.string()), ("n", pa.int64())])
+    held: Counter = Counter()
+    size = 0
+    for part in slices(batches):
+        for text in part["text"]:
+            if text:
+                held.update(chunks(text))
+                size += len(text)
+        if size > COUNTED_BYTES:
+            yield pa.RecordBatch.from_pydict({"chunk": list(held), "n": list(held.values())}, schema)
+            held.clear()
+            size = 0
+    yield pa.RecordBatch.from_pydict({"chunk": list(held), "n": list(held.values())}, schema)
+
+
+def chunk_table(docs: DataFrame, model: str) -> DataFrame:
+    """chunk, n, ids and back (null where the ids decode to the chunk): every chunk that occurs more than once."""
+
+    def segment(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sp = pieces(model)
+        for part in slices(batches, size="chunk"):
+            found = list(sp.segmented(part["chunk"]))
+            yield pa.RecordBatch.from_pydict({"chunk": part["chunk"], "n": part["n"], "ids": [i for i, _ in found], "back": pa.array([b for _, b in found], pa.string())})
+
+    counts = id_and_text(docs).select("text").mapInArrow(_counted, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
+    return written(counts.where("n > 1").mapInArrow(segment, "chunk string, n long, ids string, back string"))
+
+
+def _level() -> Column:
+    return F.floor(4 * F.log2("n"))
+
+
+def _hot_level(table: DataFrame, hot_bytes: int) -> tuple[int, bool]:
+    """From which level of frequency on chunks are held by every worker, and whether others are left."""
+    sizes = table.groupBy(_level().alias("level")).agg(F.sum(F.octet_length("chunk") + F.octet_length("ids") + F.lit(ENTRY)).alias("size")).collect()  # some 250 rows at most
+    held, least = 0, 1 << 30
+    for row in sorted(sizes, key=lambda r: -r["level"]):
+        if held + row["size"] > hot_bytes:
+            return least, True
+        held, least = held + row["size"], row["level"]
+    return least, False
+
+
+def encode_decode(docs: DataFrame, model: str, *, digests: bool = False, segmented: bool = False, hot_bytes: int = HOT_BYTES) -> DataFrame:
+    """doc_id, n_tokens, and ids (array<int>) and decoded text; with `digests`, their SHA-256 in place of them; with
+    `segmented`, how many chunks were segmented for the row beside those of the table."""
+    given = id_and_text(docs)
+    by_chunk = pieces(model).by_chunk
+    hot: dict[str, str] = {}
+    odd: dict[str, str] = {}
+    if by_chunk:
+        table = chunk_table(docs, model)
+        least, left = _hot_level(table, hot_bytes)
+        frequent = table.where(_level() >= least).select("chunk", "ids", "back").toArrow().to_pydict()  # hot_bytes at most
+        hot = dict(zip(frequent["chunk"], frequent["ids"], strict=True))
+        odd = {c: b for c, b in zip(frequent["chunk"], frequent["back"], strict=True) if b is not None}
+    held = docs.sparkSession.sparkContext.broadcast((hot, odd))
+    if by_chunk and left:
+        # a text's own list of the other repeated chunks; texts that agree in the key share a list, which does no harm
+        def unknown(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = held.value[0]
+            for part in slices(batches):
+                keys, found = [], []
+                for key, text in zip(part["key"], part["text"], strict=True):
+                    new = [c for c in set(chunks(text)) if c not in known] if text else []
+                    keys += [key] * len(new)
+                    found += new
+                yield pa.RecordBatch.from_pydict({"key": keys, "chunk": found}, pa.schema([("key", pa.int64()), ("chunk", pa.string())]))
+
+        keyed = given.withColumn("key", F.xxhash64("text"))
+        wanted = keyed.select("key", "text").mapInArrow(unknown, "key long, chunk string").join(table.where(_level() < least).drop("n"), "chunk")
+        own = wanted.groupBy("key").agg(F.collect_set(F.struct("chunk", "ids", "back")).alias("own"))
+        given = keyed.join(own.select("key", F.col("own.chunk").alias("own_chunk"), F.col("own.ids").alias("own_ids"), F.col("own.back").alias("own_back")), "key", "left").drop("key")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = pieces(model)
+        known, back = held.value
         for part in slices(batches):
-            rows = [sp.encode(text) for text in part["text"]]
-            out = {"doc_id": pa.array(part["doc_id"], pa.int64()), "n_tokens": pa.array([n for n, _, _ in rows], pa.int64())}
+            lists = zip(part["own_chunk"], part["own_ids"], part["own_back"], strict=True) if "own_chunk" in part else [None] * len(part["text"])
+            rows = [sp.encode(text, known, back, own) for text, own in zip(part["text"], lists, strict=True)]
+            out = {"doc_id": pa.array(part["doc_id"], pa.int64()), "n_tokens": pa.array([r[0] for r in rows], pa.int64())}
             if digests:
-                out |= {name: pa.array([hashlib.sha256(row[k].encode()).hexdigest() for row in rows], pa.string()) for k, name in ((1, "ids_sha256"), (2, "decoded_sha256"))}
+                out |= {name: pa.array([hashlib.sha256(r[k].encode()).hexdigest() for r in rows], pa.string()) for k, name in ((1, "ids_sha256"), (2, "decoded_sha256"))}
             else:
-                out |= {"ids": pa.array([np.fromstring(ids, np.int32, sep=" ") for _, ids, _ in rows], pa.list_(pa.int32())), "decoded": pa.array([text for _, _, text in rows], pa.string())}
+                out |= {"ids": pa.array([np.fromstring(r[1], np.int32, sep=" ") for r in rows], pa.list_(pa.int32())), "decoded": pa.array([r[2] for r in rows], pa.string())}
+            if segmented:
+                out["n_segmented"] = pa.array([r[3] for r in rows], pa.int64())
             yield pa.RecordBatch.from_pydict(out)
 
     kept = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
-    return id_and_text(docs).mapInArrow(run, f"doc_id long, n_tokens long, {kept}")
+    return given.mapInArrow(run, f"doc_id long, n_tokens long, {kept}" + ", n_segmented long" * segmented)

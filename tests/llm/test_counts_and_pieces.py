@@ -46,10 +46,30 @@ def test_frequent_words_come_first(spark):
 
 
 def test_pieces_are_the_librarys(spark, processor):
-    df = documents(spark, list(enumerate(TEXTS)))
-    for r in S.encode_decode(df, T.public_path(S.MODEL)).collect():
-        ids = [*processor.encode(TEXTS[r.doc_id]), processor.eos_id()]
-        assert (r.n_tokens, r.ids, r.decoded) == (len(ids), ids, processor.decode(ids))
+    texts = TEXTS + TEXTS[::2] + ["x" * 5000 + " y", "x" * 5000 + " z"]
+    df = documents(spark, list(enumerate(texts)))
+    for hot_bytes in (S.HOT_BYTES, 200, 0):
+        rows = S.encode_decode(df, T.public_path(S.MODEL), hot_bytes=hot_bytes).collect()
+        assert len(rows) == len(texts)
+        for r in rows:
+            ids = [*processor.encode(texts[r.doc_id]), processor.eos_id()]
+            assert (r.n_tokens, r.ids, r.decoded) == (len(ids), ids, processor.decode(ids))
+
+
+def test_no_chunk_is_segmented_twice(spark):
+    import random
+
+    rng = random.Random(2)
+    words = ["".join(rng.choices("abcdefg", k=rng.randrange(1, 9))) for _ in range(3000)] + ["z" * 900]
+    texts = [" ".join(rng.choices(words, k=80)) + "\n" * (i % 3) for i in range(60)] + ["one  two"] * 3
+    distinct = {c for t in texts for c in S.chunks(t)}
+    df, model = documents(spark, list(enumerate(texts))), T.public_path(S.MODEL)
+    table = S.chunk_table(df, model)
+    shared = {r.chunk for r in table.collect()}
+    assert table.count() == len(shared) and shared < distinct
+    for hot_bytes in (S.HOT_BYTES, 3000, 0):
+        rows = S.encode_decode(df, model, segmented=True, hot_bytes=hot_bytes).collect()
+        assert len(shared) + sum(r.n_segmented for r in rows) == len(distinct)
 
 
 def test_messy_pieces(spark, processor):
@@ -65,7 +85,7 @@ def test_whole_texts_where_chunks_dont_hold(processor):
     sp.by_chunk = False
     for text in TEXTS:
         ids = [*processor.encode(text), 2]
-        assert sp.encode(text) == (len(ids), " ".join(map(str, ids)), processor.decode(ids))
+        assert sp.encode(text, {}, {})[:3] == (len(ids), " ".join(map(str, ids)), processor.decode(ids))
 
 
 def test_conditions_on_pieces():
@@ -76,12 +96,25 @@ def test_conditions_on_pieces():
     assert not S.chunks_hold(["a▁b"], Spec) and not S.chunks_hold(["a\n"], Spec)
 
 
-def test_a_full_cache_starts_afresh(processor):
-    sp = S.Pieces(T.public_path(S.MODEL))
-    sp.table.limit = 3
-    for text in TEXTS * 2:
-        ids = [*processor.encode(text), 2]
-        assert sp.encode(text)[1] == " ".join(map(str, ids))
+def test_a_full_cache_starts_afresh():
+    from pictorium.llm.common import BoundedCache
+
+    cache = BoundedCache(5_000)
+    for k in range(200):
+        keys = {f"key{k}", f"key{k // 2}", "same"}
+        cache.update(dict.fromkeys(cache.absent(keys), 1))
+        assert keys <= cache.keys() and len(cache) < 40
+    long = {"x" * 50_000}
+    cache.update(dict.fromkeys(cache.absent(long), 1))
+    cache.update(dict.fromkeys(cache.absent({"a"}), 1))
+    assert set(cache) == {"a"}
+
+
+def test_a_text_without_spaces(spark, tokenizer):
+    """Five megabytes of one pre-token: counted as the library counts it, and not held on to."""
+    text = "数据的处理" * 350_000
+    (row,) = T.token_counts(documents(spark, [(1, text)]), T.public_path(T.TOKENIZER)).collect()
+    assert (row.n_bytes, row.n_tokens) == (len(text.encode()), len(tokenizer.encode(text, add_special_tokens=False).ids))
 
 
 def test_no_copies_of_tokenizer_files():
