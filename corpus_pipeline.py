@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pictorium.llm import mixing, near_duplicates, personal_data, quality_rules, sentence_pieces, token_counts
-from pictorium.llm.common import table, written
+from pictorium.llm.common import dropped, mark, table, written
 
 #: On word shingles: five words, and this similarity in percent or more.
 SIMILARITY_PERCENT = 80
@@ -51,5 +51,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
+        began = mark()
         docs = written(stage(spark, docs, sf_dir))
+        # what the stage wrote on its way isn't read again
+        dropped(spark, began, keep=1)
     return STAGES[-1][1](spark, docs, sf_dir)
