@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as C
 from pictorium.llm import queries
 from tests.llm.helpers import documents
@@ -51,5 +53,17 @@ def test_an_empty_table(spark, tmp_path):
     assert C.run(spark, str(tmp_path)).collect() == []
 
 
+def test_odd_column_names(spark, tmp_path):
+    """Every stage carries columns whose names hold dots, blanks and backticks."""
+    df = corpus(spark, str(tmp_path)).withColumns({"my col": F.lit("x"), "a.b": F.lit(1), "c`d": F.lit(2)})
+    docs = df
+    for _, stage in C.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == df.columns
+    rows = docs.collect()
+    assert rows and {(r["my col"], r["a.b"], r["c`d"]) for r in rows} == {("x", 1, 2)}
+    assert C.STAGES[-1][1](spark, docs, str(tmp_path)).count() == len(rows)
+
+
 def test_every_operator_has_a_query():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
