@@ -63,7 +63,7 @@ def tails(pending: DataFrame, gallery: DataFrame, percentiles: Sequence[float],
     blocks = known.join(F.broadcast(people) if buckets == 1 else people, ["size", "person_id"]).groupBy("size", F.pmod(person + part, F.lit(buckets)).alias("block"))
     packed = blocks.agg(F.sort_array(F.collect_list(F.struct("person_id", "id", "of_person", "vec"))).alias("known"))
     faces = asked.withColumn("size", F.size("vec")).groupBy("size", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-pending.count() // FACE_BLOCK)))).alias("part")).agg(F.collect_list(F.struct("id", "vec", "rejected_ids")).alias("asked"))
-    met = faces.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).cast("long")).join(F.broadcast(packed) if numbers <= BROADCAST_NUMBERS else packed, ["size", "block"])
+    met = faces.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long")))).join(F.broadcast(packed) if numbers <= BROADCAST_NUMBERS else packed, ["size", "block"])
     lows, highs = [p for p in percentiles if p < 0.5], [p for p in percentiles if p >= 0.5]
 
     def product(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +216,7 @@ def nearest_distances(asked: DataFrame, known: DataFrame, k: int) -> DataFrame:
     width = known.agg(F.max(F.size("vec"))).first()[0] or 0
     packed = known.groupBy(F.size("vec").alias("size"), F.pmod(F.xxhash64("id"), F.lit(buckets)).alias("block")).agg(F.sort_array(F.collect_list(F.struct("person_id", "id", "vec"))).alias("known"))
     faces = asked.groupBy(F.size("vec").alias("size"), F.pmod(F.xxhash64("id"), F.lit(max(1, -(-m // FACE_BLOCK)))).alias("part")).agg(F.collect_list(F.struct("id", "vec")).alias("asked"))
-    met = faces.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).cast("long")).join(F.broadcast(packed) if n * width <= BROADCAST_NUMBERS else packed, ["size", "block"])
+    met = faces.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long")))).join(F.broadcast(packed) if n * width <= BROADCAST_NUMBERS else packed, ["size", "block"])
 
     def product(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

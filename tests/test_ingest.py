@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pictorium.functions import values as V
 from pictorium.operators import catalogue as C
 from pictorium.operators import ingest as I
+from pictorium.sources.shared import numbered
 
 FILES = "path string, is_file boolean, modified double, pixel_hash string, orientation int"
 IMAGES = "id long, filename string, pixel_hash string, orientation int, date_modified double"
@@ -54,6 +55,37 @@ def test_a_second_run_changes_nothing(spark):
     assert {r.action for r in I.decisions(files, full, none, here).collect()} == {"unchanged"}
 
 
+def test_ids_without_gaps_or_repeats(spark):
+    """Two million rows in 64 partitions, with adaptive execution and without: every row, every number once."""
+    n = 2_000_000
+    rows = spark.range(0, n, 1, 64).select(F.concat(F.lit("/p/"), F.md5(F.col("id").cast("string").cast("binary"))).alias("filename"))
+    kept = spark.conf.get("spark.sql.adaptive.enabled")
+    for adaptive in ("true", "false"):
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        got = I.new_ids(rows, 100, ("filename",)).agg(F.count("*").alias("n"), F.count_distinct("id").alias("different"), F.min("id").alias("low"), F.max("id").alias("high")).first()
+        assert tuple(got) == (n, n, 101, 100 + n)
+    spark.conf.set("spark.sql.adaptive.enabled", kept)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    few = I.new_ids(rows.limit(5000), 0, ("filename",)).orderBy("filename").collect()
+    assert [r.id for r in few] == [*range(1, 5001)]
+
+
+def test_numbers_within_groups(spark):
+    rows = spark.createDataFrame([(None if i % 3 == 0 else "hot", i, i % 4 == 0) for i in range(3000)] + [("b", -1, True)], "k string, i long, counted boolean")
+    got = {(r.k, r.i): r.number for r in numbered(rows, [F.desc("i")], ["k"]).collect()}
+    for k in (None, "hot", "b"):
+        own = sorted((i for q, i in got if q == k), reverse=True)
+        assert [got[k, i] for i in own] == [*range(1, len(own) + 1)]
+    counted = {(r.k, r.i): r.number for r in numbered(rows, ["i"], ["k"], counts=F.col("counted")).collect()}
+    assert counted["hot", 2999] == sum(i % 4 == 0 and i % 3 != 0 for i in range(3000))
+
+
+def test_missing_directories(spark):
+    paths = spark.createDataFrame([("/a/x.jpg",), ("/a/y.jpg",), ("/b/c/z.jpg",)], "path string")
+    assert [r.dir_path for r in I.missing_directories(paths, spark.createDataFrame([("/a",)], "dir_path string")).collect()] == ["/b/c"]
+
+
 def test_image_names(spark):
     names = ["/a.jpg", "/a.JPG", "/a.jpeg", "/a.JpEg", "/a.|pg", "/a.png", "/a.jpg.txt", "/jpg", "/.a/b.jpg", "/a/.b.jpg"]
     df = spark.createDataFrame([(n,) for n in names], "path string")
@@ -63,7 +95,7 @@ def test_image_names(spark):
 
 def test_camera_dates(spark):
     good = dt.datetime(2018, 1, 31, 23, 59, 58)
-    cases = [(None, None), ("", None), ("   ", None), ("0000:00:00 00:00:00", None), (" 2018:01:31 23:59:58", None), ("2018:01:31 23:59:58\0", good), ("2018-01-31 23:59:58", good), ("2018:01:31 23:59:58", good), ("rubbish", None), ("2018:13:41 23:59:58", None)]
+    cases = [(None, None), ("", None), ("   ", None), ("0000:00:00 00:00:00", None), (" 2018:01:31 23:59:58", None), ("2018:01:31 23:59:58\0", good), ("2018-01-31 23:59:58", good), ("2018:01:31 23:59:58", good), ("rubbish", None), ("2018:13:41 23:59:58", None), ("2018-01-31T23:59:58", good), ("2018-02-01T01:59:58+02:00", good), ("2018-01-31T23:59:58.75Z", good), ("31 January 2018 23:59:58", good), ("31 Jan 2018 23:59:58", good), ("2018/01/31 23:59:58", good), ("January 31, 2018", good.replace(hour=0, minute=0, second=0))]
     df = spark.createDataFrame([(k, c[0]) for k, c in enumerate(cases)], "k int, s string")
     assert [r.d for r in df.select("k", V.exif_date(F.col("s")).alias("d")).orderBy("k").collect()] == [c[1] for c in cases]
 
