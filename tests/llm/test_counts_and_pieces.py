@@ -85,7 +85,24 @@ def test_whole_texts_where_chunks_dont_hold(processor):
     sp.by_chunk = False
     for text in TEXTS:
         ids = [*processor.encode(text), 2]
-        assert sp.encode(text, {}, {})[:3] == (len(ids), " ".join(map(str, ids)), processor.decode(ids))
+        assert sp.encode(text, S.Hot())[:3] == (len(ids), " ".join(map(str, ids)), processor.decode(ids))
+
+
+def test_a_worker_with_little_room(processor):
+    """The texts of hot chunks are made anew when the cache starts afresh."""
+    import pyarrow as pa
+
+    sp, model = S.Pieces(T.public_path(S.MODEL)), T.public_path(S.MODEL)
+    assert S.pieces(model).by_chunk
+    known = sorted({c for t in TEXTS[::2] if t for c in S.chunks(t)})
+    ids = sp.bare.encode(known)
+    back = [b if b != c else None for b, c in zip(sp.bare.decode(ids), known, strict=True)]
+    keys = pa.array([S.hashed(c) - 2**64 if S.hashed(c) >= 2**63 else S.hashed(c) for c in known], pa.int64())
+    hot = S.Hot(pa.table({"key": keys, "ids": pa.array(ids, pa.list_(pa.int32())), "chunk": known, "back": pa.array(back, pa.string())}))
+    hot.shown.limit = 1_500
+    for text in TEXTS * 3:
+        ids = [*processor.encode(text), 2]
+        assert sp.encode(text, hot)[:3] == (len(ids), " ".join(map(str, ids)), processor.decode(ids))
 
 
 def test_conditions_on_pieces():
