@@ -157,7 +157,7 @@ def indexed(rows: DataFrame, codes: Codes) -> DataFrame:
                 ids = part.column(0).to_numpy(zero_copy_only=False)
                 vectors = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
                 index = Index(encode(held.value, vectors))
-                yield pa.RecordBatch.from_pydict({"n": [len(ids)], "ids": [ids.astype(np.int64).tobytes()], "vectors": [vectors.tobytes()], "codes": [index.codes.tobytes()], "rows": [index.rows.tobytes()]})
+                yield pa.RecordBatch.from_pydict({"n": pa.array([len(ids)], pa.int32()), "ids": [ids.astype(np.int64).tobytes()], "vectors": [vectors.tobytes()], "codes": [index.codes.tobytes()], "rows": [index.rows.tobytes()]})
 
     return written(rows.select("vec_id", "vec").mapInArrow(run, "n int, ids binary, vectors binary, codes binary, rows binary"))
 
