@@ -6,12 +6,12 @@ embedding. The mean of the rows goes through a linear softmax over two classes.
 together; an unseen misspelling shares n-grams with what it stands for, and so its vector.
 
 Training takes at most `max_rows` labelled texts of each class (those whose ids have the smallest hashes, so the choice
-doesn't depend on the layout), turned into bags on the executors; only the bags reach the driver, whole, each with
-at most BUCKETS different features. Labels, languages, sources and ids are no inputs. Scoring covers all texts wholly: as the model
+doesn't depend on the layout), turned into bags on the executors; only the bags reach the driver, each whole, with at
+most BUCKETS different features, and of each class as many of them, in that order, as fit half of `max_bytes`. Labels, languages, sources and ids are no inputs. Scoring covers all texts wholly: as the model
 is linear in the bag, each word's share of the two logits is worked out once per worker and summed.
 
 Null and empty texts have an empty bag and get the score of the bias alone. Rows with a null id are scored and count
-as not held out; repeated rows are scored alike. Labels that are null are not used; a label repeated for one id counts
+as not held out; repeated rows are scored alike, and of rows with one id the least text is learnt from. Labels that are null are not used; a label repeated for one id counts
 once, 1 before 0. Without labelled rows, or with one class only, every score is the share of that class (0.5 without
 any). Other columns are ignored, and an empty table gives no rows.
 """
@@ -27,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pictorium.llm.common import BoundedCache, id_and_text, slices
+from pictorium.llm.common import BoundedCache, id_and_text, slices, written
 
 BUCKETS, DIM = 1 << 16, 8
 SHORTEST, LONGEST = 3, 6
-MAX_ROWS = 3_000
+MAX_ROWS, MAX_BYTES = 3_000, 300_000_000
 STEPS, BATCH, RATE = 750, 32, 0.02
 #: Memory of a worker's table of words.
 CACHE_BYTES = 64_000_000
@@ -89,10 +89,10 @@ def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bags(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("label", pa.int32()), ("buckets", pa.binary()), ("counts", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("size", pa.int64()), ("buckets", pa.binary()), ("counts", pa.binary())])
     for part in slices(batches):
         found = [bag(t) for t in part["text"]]
-        yield pa.RecordBatch.from_pydict({"label": part["label"], "buckets": [b.tobytes() for b, _ in found], "counts": [c.tobytes() for _, c in found]}, schema)
+        yield pa.RecordBatch.from_pydict({"doc_id": part["doc_id"], "label": part["label"], "size": [8 * len(b) for b, _ in found], "buckets": [b.tobytes() for b, _ in found], "counts": [c.tobytes() for _, c in found]}, schema)
 
 
 def train(bags: list[tuple[int, np.ndarray, np.ndarray]], share: float | None = None, *, seed: int = 1) -> Model:
@@ -141,22 +141,29 @@ def train(bags: list[tuple[int, np.ndarray, np.ndarray]], share: float | None =
     return Model((embed @ (soft[:, 1] - soft[:, 0])).astype(np.float64), float(bias[1] - bias[0]))
 
 
-def labelled_bags(docs: DataFrame, labels: DataFrame, allowed: Column, max_rows: int) -> tuple[list[tuple[int, np.ndarray, np.ndarray]], float | None]:
-    """Bags of at most max_rows labelled texts of each class, and the share of class 1 among all labels. allowed: which ids may be learnt from, over the column doc_id."""
+def labelled_bags(docs: DataFrame, labels: DataFrame, allowed: Column, max_rows: int, max_bytes: int) -> tuple[list[tuple[int, np.ndarray, np.ndarray]], float | None]:
+    """Bags of at most max_rows labelled texts of each class, max_bytes in all, and the share of class 1 among all labels. allowed: which ids may be learnt from, over the column doc_id."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).where(allowed).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("label"))
     share = known.agg(F.avg("label")).first()[0]
     texts = id_and_text(docs).where("doc_id is not null")
     # the choice is made among ids; only the chosen texts move
     classes = [known.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows) for y in (0, 1)]
     chosen = classes[0].union(classes[1])
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("label", "text").mapInArrow(_bags, "label int, buckets binary, counts binary")
-    found = [(r["label"], np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["counts"], np.float32)) for r in rows.toLocalIterator()]
+    once = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    rows = written(once.mapInArrow(_bags, "doc_id long, label int, size long, buckets binary, counts binary"))
+    kept, held = [], {0: 0, 1: 0}
+    for r in rows.select("doc_id", "label", "size").orderBy(F.xxhash64("doc_id"), "doc_id").collect():  # two times max_rows at most
+        held[r["label"]] += r["size"]
+        if held[r["label"]] <= max_bytes // 2:
+            kept.append((r["doc_id"],))
+    within = rows.join(F.broadcast(docs.sparkSession.createDataFrame(kept, "doc_id long")), "doc_id")
+    found = [(r["label"], np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["counts"], np.float32)) for r in within.toLocalIterator()]
     # training sees the same order however the rows came
     return sorted(found, key=lambda b: (b[0], len(b[1]), b[1].tobytes(), b[2].tobytes())), share
 
 
-def fitted(docs: DataFrame, labels: DataFrame, allowed: Column, max_rows: int = MAX_ROWS) -> Model:
-    return train(*labelled_bags(docs, labels, allowed, max_rows))
+def fitted(docs: DataFrame, labels: DataFrame, allowed: Column, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Model:
+    return train(*labelled_bags(docs, labels, allowed, max_rows, max_bytes))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

@@ -57,6 +57,15 @@ def test_the_bag_of_a_long_text_is_whole():
     assert len(buckets) > 8192 and set(buckets.tolist()) == set(every.tolist()) and counts.sum() == len(every)
 
 
+def test_bags_within_their_bound(spark):
+    docs, labels, truth = labelled(spark, 120)
+    every, share = X.labelled_bags(docs, labels, F.lit(True), 1000, 10**9)
+    few, same = X.labelled_bags(docs.union(docs.limit(50)), labels, F.lit(True), 1000, 100_000)
+    size = lambda bags: sum(8 * len(b) for _, b, _ in bags)
+    assert len(every) == 120 and 0 < len(few) < 120 and size(few) <= 100_000 < size(every) and share == same
+    assert {y for y, _, _ in few} == {0, 1}
+
+
 def test_messy_scores(spark):
     docs, labels, _ = labelled(spark, 100)
     model = X.fitted(docs, labels.union(labels.limit(3)).union(spark.createDataFrame([(None, 1), (3, None)], "doc_id long, toxic int")), F.lit(True))
