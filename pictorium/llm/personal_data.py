@@ -15,8 +15,9 @@ the same total: each such class is estimated once. A list of thousands of addres
 that only its text has are one class of terms, and no product of the two is ever made.
 
 A term is a run of at least three letters, in lower case. Counts are over documents (rows). `support` asks that a term
-stand with the entity in that many different texts; by default one is enough. Nothing is sampled or capped. The terms
-whose document counts are needed are broadcast when there are at most BROADCAST_TERMS of them and joined otherwise.
+stand with the entity in that many different texts; by default one is enough. Nothing is sampled or capped. Terms too
+frequent to reveal anything are most of a text: the FREQUENT_TERMS most frequent of them are broadcast and go where they
+stand, at every size alike; the others are joined with the counts.
 
 Null text counts as empty and has no spans. Null ids and repeated rows are treated row by row, ties cannot arise (all
 terms at the threshold count), other columns are ignored by `spans` and kept by `sanitised`, and an empty table gives
@@ -41,7 +42,8 @@ from pictorium.llm.common import opened, slices, whole_row, written
 KINDS = ("email", "ip", "card", "phone", "term")
 DISCLOSURE, SUPPORT = 0.75, 1
 PRIOR = 1.0
-BROADCAST_TERMS = 200_000
+#: Frequent terms that every worker holds, the most frequent first, and terms that a task counts before it hands on.
+FREQUENT_TERMS, COUNTED_TERMS = 50_000, 300_000
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+$")
@@ -174,47 +176,40 @@ def _seen_terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, copies in zip(part["text"], part["copies"], strict=True):
             for t in terms(text):
                 held[t] += copies
-        if len(held) > 100_000:
+        if len(held) > COUNTED_TERMS:
             yield pa.RecordBatch.from_pydict({"term": list(held), "n": list(held.values())}, schema)
             held.clear()
     yield pa.RecordBatch.from_pydict({"term": list(held), "n": list(held.values())}, schema)
 
 
-def _term_rows(known: Broadcast | None):
-    """Each text with each of its terms, or those that are known."""
+def _term_rows(frequent: Broadcast):
+    """Each text with each of its terms but the frequent ones."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("text_key", pa.string()), ("term", pa.string())])
         for part in slices(batches):
-            rows = [(k, t) for k, text in zip(part["text_key"], part["text"], strict=True) for t in (terms(text) & known.value if known else terms(text))]
+            rows = [(k, t) for k, text in zip(part["text_key"], part["text"], strict=True) for t in terms(text) - frequent.value]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], schema.types[k]) for k in range(2)], schema=schema)
 
     return run
 
 
-def _few(wanted: DataFrame) -> Broadcast | None:
-    """The terms for all workers, unless they are too many."""
-    few = wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    return wanted.sparkSession.sparkContext.broadcast(frozenset(r["term"] for r in wanted.select("term").collect())) if few else None
-
-
-def _term_counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """term, n_t: in how many documents each wanted term occurs."""
-    known = _few(wanted)
+def _term_counts(docs: DataFrame, wanted: DataFrame, frequent: Broadcast) -> DataFrame:
+    """term, n_t: in how many documents each wanted term occurs; none of them is frequent."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("term", pa.string()), ("n", pa.int64())])
         held: Counter = Counter()
         for part in slices(batches):
             for text in part["text"]:
-                held.update(terms(text) & known.value if known else terms(text))
-            if len(held) > 100_000:
+                held.update(terms(text) - frequent.value)
+            if len(held) > COUNTED_TERMS:
                 yield pa.RecordBatch.from_pydict({"term": list(held), "n": list(held.values())}, schema)
                 held.clear()
         yield pa.RecordBatch.from_pydict({"term": list(held), "n": list(held.values())}, schema)
 
     counts = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(count, "term string, n long")
-    return (counts if known else counts.join(wanted, "term", "left_semi")).groupBy("term").agg(F.sum("n").alias("n_t"))
+    return counts.join(wanted, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n_t"))
 
 
 def revealing_terms(docs: DataFrame, found: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame | None:
@@ -234,11 +229,13 @@ def revealing_terms(docs: DataFrame, found: DataFrame, disclosure: float = DISCL
         return None
     total = float(found.count())
     bound = lambda n_e: F.pow(n_e, F.lit(disclosure)) * (total ** (1 - disclosure) * (1 + PRIOR / total) * (1 + 1e-9))
-    seen = texts.select("text", "copies").mapInArrow(_seen_terms, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    # a term's count in the texts just read bounds its count in the corpus from below: most terms end here
-    possible = written(seen.where(F.col("n") + PRIOR <= bound(F.lit(most))).select("term"))
-    counted = written(_term_counts(docs, possible).where(F.col("n_t") + PRIOR <= bound(F.lit(most))))
-    rows = written(texts.select("text_key", "text").mapInArrow(_term_rows(_few(counted)), "text_key string, term string").join(counted, "term"))
+    seen = written(texts.select("text", "copies").mapInArrow(_seen_terms, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")))
+    # a term's count in the texts just read bounds its count in the corpus from below: what is frequent there goes
+    possible = F.col("n") + PRIOR <= bound(F.lit(most))
+    top = seen.where(~possible).orderBy(F.desc("n"), "term").limit(FREQUENT_TERMS).select("term")
+    frequent = docs.sparkSession.sparkContext.broadcast(frozenset(r["term"] for r in top.collect()))
+    counted = written(_term_counts(docs, seen.where(possible).select("term"), frequent).where(F.col("n_t") + PRIOR <= bound(F.lit(most))))
+    rows = written(texts.select("text_key", "text").mapInArrow(_term_rows(frequent), "text_key string, term string").join(counted, "term"))
     terms_ = rows.groupBy("term", "n_t").agg(*_same_texts())
     of_term = written(terms_.select("term", F.xxhash64("n_t", "same_a", "same_b").alias("terms")))
     by_term = rows.join(of_term, "term").select("text_key", "terms", "n_t").distinct()

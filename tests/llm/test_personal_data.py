@@ -86,10 +86,10 @@ def test_revealing_terms(spark):
         rng.shuffle(words)
         texts.append((i, " ".join(words)))
     texts += [(500 + k, texts[0][1]) for k in range(5)]
-    for few in (P.BROADCAST_TERMS, 0):
-        P.BROADCAST_TERMS, kept = few, P.BROADCAST_TERMS
+    for few in (P.FREQUENT_TERMS, 1):
+        P.FREQUENT_TERMS, kept = few, P.FREQUENT_TERMS
         rows = {r.doc_id: r for r in P.spans(documents(spark, texts)).collect()}
-        P.BROADCAST_TERMS = kept
+        P.FREQUENT_TERMS = kept
         want = revealing(texts, P.DISCLOSURE, P.SUPPORT)
         assert want
         for i, t in texts:
@@ -105,10 +105,10 @@ def test_an_entity_of_one_text_is_estimated(spark):
     texts = [(i, " ".join(random.Random(i).choices(common, k=12))) for i in range(300)]
     texts += [(900, "alpha Zanzibar beta ann@mail.example.com gamma"), (901, "delta Zanzibar +1 (407) 555-7710 harbour"), (902, "alpha harbour beta"), (903, "gamma harbour"), (904, "zeta harbour")]
     total, spans = len(texts), {}
-    for few in (P.BROADCAST_TERMS, 0):
-        P.BROADCAST_TERMS, kept = few, P.BROADCAST_TERMS
+    for few in (P.FREQUENT_TERMS, 1):
+        P.FREQUENT_TERMS, kept = few, P.FREQUENT_TERMS
         rows = P.spans(documents(spark, texts)).collect()
-        P.BROADCAST_TERMS = kept
+        P.FREQUENT_TERMS = kept
         spans = {r.doc_id: [dict(texts)[r.doc_id][a:b] for a, k, b in P.read(r.spans) if k == 4] for r in rows}
         # smoothed by one document: Zanzibar stands in 2 documents, harbour in 4
         reveals = lambda n_t: math.log2((1 + 1 / total) / (n_t + 1) * total) >= P.DISCLOSURE * math.log2(total)
