@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pictorium.llm import quality_rules as quality
-from pictorium.llm import archives, mixing, neighbours, personal_data, repeated_passages, toxicity
+from pictorium.llm import archives, fill_in_middle, mixing, neighbours, personal_data, repeated_passages, resampling, secret_scans, toxicity
 from pictorium.llm import near_duplicates as near
 from pictorium.llm import sentence_pieces, token_counts
 from pictorium.llm.common import table
@@ -62,6 +62,23 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op11_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scans.secrets(table(spark, sf_dir, "documents"))
+    of_kind = lambda name: F.size(F.filter("spans", lambda s: s["kind"] == name)).cast("long").alias(f"n_{name}")
+    base = secret_scans.shown(F.filter("spans", lambda s: s["kind"].isin(*secret_scans.BASE)))
+    return found.select("doc_id", *map(of_kind, secret_scans.BASE), F.sha2(base, 256).alias("base_sha256"), secret_scans.shown(F.col("spans")).alias("spans"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = resampling.weighted(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text"))
+    return resampling.ranked(scored).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fill_in_middle.restored(fill_in_middle.filled_in_middle(table(spark, sf_dir, "documents")))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_toxicity": op2_toxicity,
@@ -73,4 +90,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_repeated_passages": op10_repeated_passages,
+    "op11_secret_scans": op11_secret_scans,
+    "op12_resampling": op12_resampling,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
