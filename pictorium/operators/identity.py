@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator, Sequence
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pictorium.config import DEFAULTS, NO_ENCODING, Settings
+from pictorium.config import DEFAULTS, Settings
 from pictorium.functions.scorers import Scorer, cosine
-from pictorium.sources.shared import numbered
+from pictorium.operators.nearest import Blocks, known_blocks, matrix, nearest, nearest_input, searched
+from pictorium.operators.nearest import usable as usable
+from pictorium.sources.shared import numbered, written
 
 #: Vectors of one block on either side: a pair of blocks is one matrix product.
 FACE_BLOCK, GALLERY_BLOCK = 512, 2_048
@@ -19,27 +24,12 @@ FACE_BLOCK, GALLERY_BLOCK = 512, 2_048
 BROADCAST_NUMBERS = 4_000_000
 
 
-def usable(vector: Column) -> Column:
-    """Neither null nor the sentinel."""
-    return vector.isNotNull() & (F.get(vector, F.lit(0)) != NO_ENCODING)
-
-
 def _prepared(faces: DataFrame, *more: str) -> DataFrame:
     """id, vec (doubles) and further columns of usable vectors other than zero."""
     rows = faces.select("id", *more, F.col("vec").cast("array<double>").alias("vec"))
     return rows.where(usable(F.col("vec")) & F.exists("vec", lambda x: x != 0))
 
 
-def _matrix(blocks: pa.Array, field: str) -> list[np.ndarray]:
-    """A field of each block's list of structs as an array; vectors as a matrix."""
-    out = []
-    for k in range(len(blocks)):
-        values = blocks[k].values.field(field)
-        numbers = values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1) if pa.types.is_list(values.type) else values.to_numpy(zero_copy_only=False)
-        out.append(numbers)
-    return out
-
-
 def tails(pending: DataFrame, gallery: DataFrame, percentiles: Sequence[float], *, per_person: bool = True, measure: Scorer = cosine) -> DataFrame:
     """face_id, person_id (unless per_person is off), n and p: percentiles (linear between ranks) of each face's
     similarities to a person's gallery vectors, or to all but those of people that the face has rejected.
@@ -72,34 +62,28 @@ def tails(pending: DataFrame, gallery: DataFrame, percentiles: Sequence[float],
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1)
                 sides = {n: row.column(row.schema.get_field_index(n)) for n in ("asked", "known")}
-                ids, vectors = _matrix(sides["asked"], "id")[0], _matrix(sides["asked"], "vec")[0]
-                refused = [set(r or ()) for r in sides["asked"][0].values.field("rejected_ids").to_pylist()]
-                owners, sizes, others = (_matrix(sides["known"], f)[0] for f in ("person_id", "of_person", "vec"))
+                asked, known = sides["asked"][0].values, sides["known"][0].values
+                ids, vectors = matrix(asked, "id"), matrix(asked, "vec")
+                owners, sizes, others = (matrix(known, f) for f in ("person_id", "of_person", "vec"))
                 sim = measure(vectors, others)
+                # which vectors a face must not meet
+                out_of = np.zeros((len(ids), len(owners)), bool)
+                for i, rejected in enumerate(asked.field("rejected_ids").to_pylist()):
+                    if rejected:
+                        out_of[i] = np.isin(owners, [p for p in rejected if p is not None])
                 if per_person:
                     starts = np.flatnonzero(np.concatenate([[True], owners[1:] != owners[:-1]]))
                     groups = [(int(owners[a]), slice(a, b), int(sizes[a])) for a, b in zip(starts, [*starts[1:], len(owners)], strict=True)]
                 else:
                     groups = [(None, slice(0, len(owners)), total)]
-                out = {n: [] for n in schema.names}
                 for owner, where, of in groups:
                     least = max((int(p * (of - 1)) + 2 for p in lows), default=0)
                     most = max((of - int(p * (of - 1)) for p in highs), default=0)
-                    own = sim[:, where]
-                    keep = min(least, own.shape[1]), min(most, own.shape[1])
-                    for i, face in enumerate(ids.tolist()):
-                        if per_person and owner in refused[i]:
-                            continue
-                        s = own[i] if per_person or not refused[i] else own[i][~np.isin(owners, list(refused[i]))]
-                        if not len(s):
-                            continue
-                        low, high = min(keep[0], len(s)), min(keep[1], len(s))
-                        out["face_id"].append(face)
-                        out["person_id"].append(owner)
-                        out["n"].append(len(s))
-                        out["low"].append(np.partition(s, low - 1)[:low] if low else [])
-                        out["high"].append(np.partition(s, len(s) - high)[len(s) - high :] if high else [])
-                yield pa.RecordBatch.from_pydict(out, schema)
+                    own, gone = sim[:, where], out_of[:, where]
+                    left = own.shape[1] - gone.sum(axis=1)
+                    met = np.flatnonzero(left)
+                    low, high = (_ends(own[met], gone[met], left[met], min(k, own.shape[1]), sign) for k, sign in ((least, 1), (most, -1)))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[met], pa.int64()), pa.array([owner] * len(met), pa.int64()), pa.array(left[met], pa.int64()), low, high], schema=schema)
 
     ends = met.select("asked", "known").mapInArrow(product, "face_id long, person_id long, n long, low array<double>, high array<double>")
     by = ["face_id", "person_id"] if per_person else ["face_id"]
@@ -107,6 +91,15 @@ def tails(pending: DataFrame, gallery: DataFrame, percentiles: Sequence[float],
     return every.select(*by, "n", F.array(*[_rank(p) for p in percentiles]).alias("p"))
 
 
+def _ends(values: np.ndarray, gone: np.ndarray, left: np.ndarray, k: int, sign: int) -> pa.ListArray:
+    """The k least values of each row (greatest, if sign is -1), or as many as it has without those that are gone."""
+    if not k or not len(values):
+        return pa.ListArray.from_arrays(pa.array(np.zeros(len(values) + 1, np.int32)), pa.array([], pa.float64()))
+    kept = np.sort(np.partition(np.where(gone, np.inf, sign * values), k - 1, axis=1)[:, :k], axis=1)
+    n = np.minimum(left, k)
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(sign * kept[np.arange(k) < n[:, None]], pa.float64()))
+
+
 def _rank(p: float) -> Column:
     """The percentile p of n numbers, of which the ends are known: `low` rising, `high` falling."""
     place = F.lit(float(p)) * (F.col("n") - 1)
@@ -116,8 +109,20 @@ def _rank(p: float) -> Column:
     return low + (high - low) * (place - at)
 
 
-def by_person(pending: DataFrame, gallery: DataFrame, percentile: float = DEFAULTS.percentile, *, measure: Scorer = cosine) -> DataFrame:
-    """face_id, person_id, sim_max and sim_p: the greatest similarity to a person's faces, and their percentile."""
+def by_person(pending: DataFrame, gallery: DataFrame | Blocks, percentile: float = DEFAULTS.percentile, *, measure: Scorer = cosine) -> DataFrame:
+    """face_id, person_id, sim_max and sim_p: the greatest similarity to a person's faces, and their percentile.
+
+    The cosine's upper percentiles need each person's nearest faces alone, so blocks that hold none of them are skipped;
+    `gallery` may then be packed beforehand. Other measures have no bounds, and low percentiles need the farthest faces.
+    """
+    if measure is cosine and percentile >= 0.5:
+        if isinstance(gallery, Blocks):
+            size = gallery.pivots.shape[1]
+            found = searched(nearest_input(pending).where(F.size("vec") == size), gallery, (percentile,)).rows
+        else:
+            found = nearest(pending, gallery, (percentile,), cosine=True).rows
+        high = found.select("face_id", "person_id", F.col("of").alias("n"), F.transform("near", lambda x: -x["v"]).alias("high"))
+        return high.select("face_id", "person_id", F.get("high", F.lit(0)).alias("sim_max"), _rank(percentile).alias("sim_p"))
     found = tails(pending, gallery, (percentile, 1.0), measure=measure)
     return found.select("face_id", "person_id", F.col("p")[1].alias("sim_max"), F.col("p")[0].alias("sim_p"))
 
@@ -151,10 +156,24 @@ def ignored(people: DataFrame, pending: DataFrame, ignore_id: int, settings: Set
     return _ignoring(best, pending, ignore_id)
 
 
-def suggestions(pending: DataFrame, gallery: DataFrame, ignore_id: int, settings: Settings = DEFAULTS, *, measure: Scorer = cosine) -> DataFrame:
-    """face_id, rank, person_id, weight: at most n candidates a face, or the ignore branch. People are reduced and
-    ranked once; the branches part afterwards."""
+class Suggested(NamedTuple):
+    """Suggestions, and how many pairs of blocks met of how many there are."""
+
+    rows: DataFrame
+    met: int
+    pairs: int
+
+
+def suggestions(pending: DataFrame, gallery: DataFrame | Blocks, ignore_id: int, settings: Settings = DEFAULTS, *, measure: Scorer = cosine) -> DataFrame:
+    """face_id, rank, person_id, weight: at most n candidates a face, or the ignore branch."""
+    if measure is cosine and settings.percentile >= 0.5:
+        return suggested(pending, gallery, ignore_id, settings).rows
     ranked = _ranked(by_person(pending, gallery, settings.percentile, measure=measure)).where(F.col("rank") <= settings.n_candidates)
+    return _decided(ranked, pending, ignore_id, settings)
+
+
+def _decided(ranked: DataFrame, pending: DataFrame, ignore_id: int, settings: Settings) -> DataFrame:
+    """Ranked people become candidates; where the first isn't like enough, the ignore branch."""
     enough = F.col("sim_max") > settings.similarity_threshold
     refused = F.coalesce(F.array_contains("rejected_ids", F.lit(ignore_id)), F.lit(False))
     seen = ranked.where(enough | (F.col("rank") == 1)).join(pending.select(F.col("id").alias("face_id"), refused.alias("refused")), "face_id")
@@ -163,6 +182,34 @@ def suggestions(pending: DataFrame, gallery: DataFrame, ignore_id: int, settings
     return seen.select("face_id", "rank", person.alias("person_id"), _clamped(weight).alias("weight"))
 
 
+def suggested(pending: DataFrame, gallery: DataFrame | Blocks, ignore_id: int, settings: Settings = DEFAULTS) -> Suggested:
+    """Suggestions by the cosine, each step with no more than it needs:
+
+    1. who is like enough: each person's nearest face, but of blocks within the threshold only;
+    2. of the n best of these, the percentile: the upper end of their similarities, for these pairs alone;
+    3. for the faces that nobody is like enough, the nearest person of all.
+    """
+    sizes = {gallery.pivots.shape[1]: gallery} if isinstance(gallery, Blocks) else known_blocks(gallery, cosine=True)
+    asked = nearest_input(pending)
+    parts, met, pairs = [], 0, 0
+    for size, blocks in sizes.items():
+        of_size = asked.where(F.size("vec") == size)
+        similar = lambda near: -F.get(near, F.lit(0))["v"]
+        near = searched(of_size, blocks, 1, within=math.sqrt(max(2 - 2 * settings.similarity_threshold, 0)))
+        people = near.rows.select("face_id", "person_id", similar("near").alias("sim_max"))
+        ranked = written(_ranked(people.where(F.col("sim_max") > settings.similarity_threshold)).where(F.col("rank") <= settings.n_candidates))
+        tail = searched(of_size.join(ranked.select(F.col("face_id").alias("id")).distinct(), "id", "left_semi"), blocks, (settings.percentile,), only=ranked)
+        high = tail.rows.select("face_id", "person_id", F.col("of").alias("n"), F.transform("near", lambda x: -x["v"]).alias("high"))
+        parts.append(ranked.join(high.select("face_id", "person_id", _rank(settings.percentile).alias("sim_p")), ["face_id", "person_id"]).select("face_id", "person_id", "sim_max", "sim_p", "rank"))
+        lone = searched(of_size.join(ranked.select(F.col("face_id").alias("id")).distinct(), "id", "left_anti"), blocks, 1, best=True)
+        alone = _ranked(lone.rows.select("face_id", "person_id", similar("near").alias("sim_max"), F.lit(None).cast("double").alias("sim_p"))).where("rank = 1")
+        parts.append(alone.select("face_id", "person_id", "sim_max", "sim_p", "rank"))
+        met, pairs = met + near.met + tail.met + lone.met, pairs + near.pairs
+    if not parts:
+        return Suggested(pending.sparkSession.createDataFrame([], "face_id long, rank int, person_id long, weight double"), 0, 0)
+    return Suggested(_decided(reduce(DataFrame.unionByName, parts), pending, ignore_id, settings), met, pairs)
+
+
 def as_candidates(rows: DataFrame) -> DataFrame:
     """Suggestions as a face's array of candidates."""
     lists = rows.groupBy("face_id").agg(F.sort_array(F.collect_list(F.struct("rank", "person_id", "weight"))).alias("c"))
@@ -206,37 +253,11 @@ def temporally_nearest(asked: DataFrame, known: DataFrame, n: int) -> DataFrame:
     return near.withColumn("place", place).where(F.col("place") <= n).select("face_id", "person_id", "place", "gallery_id", "apart")
 
 
-def nearest_distances(asked: DataFrame, known: DataFrame, k: int) -> DataFrame:
-    """face_id, person_id, gallery_id and d (Euclidean): of each person, the k known vectors nearest to each asked one,
-    itself left out. asked, known: id, vec, known with person_id; in blocks, as `tails`."""
-    known = known.select("id", "person_id", F.col("vec").cast("array<double>").alias("vec")).where(usable(F.col("vec")))
-    asked = asked.select("id", F.col("vec").cast("array<double>").alias("vec")).where(usable(F.col("vec")))
-    n, m = known.count(), asked.count()
-    buckets = max(1, -(-n // GALLERY_BLOCK))
-    width = known.agg(F.max(F.size("vec"))).first()[0] or 0
-    packed = known.groupBy(F.size("vec").alias("size"), F.pmod(F.xxhash64("id"), F.lit(buckets)).alias("block")).agg(F.sort_array(F.collect_list(F.struct("person_id", "id", "vec"))).alias("known"))
-    faces = asked.groupBy(F.size("vec").alias("size"), F.pmod(F.xxhash64("id"), F.lit(max(1, -(-m // FACE_BLOCK)))).alias("part")).agg(F.collect_list(F.struct("id", "vec")).alias("asked"))
-    met = faces.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long")))).join(F.broadcast(packed) if n * width <= BROADCAST_NUMBERS else packed, ["size", "block"])
-
-    def product(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for j in range(batch.num_rows):
-                row = batch.slice(j, 1)
-                ids, vectors = (_matrix(row.column(0), f)[0] for f in ("id", "vec"))
-                owners, others, known_vectors = (_matrix(row.column(1), f)[0] for f in ("person_id", "id", "vec"))
-                starts = np.flatnonzero(np.concatenate([[True], owners[1:] != owners[:-1]]))
-                out: list[tuple[int, int, int, float]] = []
-                for face, vector in zip(ids.tolist(), vectors, strict=True):
-                    d = np.sqrt(((known_vectors - vector) ** 2).sum(axis=1))
-                    d[others == face] = np.inf
-                    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(owners)], strict=True):
-                        best = a + np.lexsort((others[a:b], d[a:b]))[:k]
-                        out += [(face, int(owners[i]), int(others[i]), float(d[i])) for i in best.tolist() if np.isfinite(d[i])]
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.float64()))], ["face_id", "person_id", "gallery_id", "d"])
-
-    near = met.select("asked", "known").mapInArrow(product, "face_id long, person_id long, gallery_id long, d double")
-    place = F.row_number().over(Window.partitionBy("face_id", "person_id").orderBy("d", "gallery_id"))
-    return near.withColumn("place", place).where(F.col("place") <= k).drop("place")
+def nearest_distances(asked: DataFrame, known: DataFrame, k: int, *, per_person: bool = True) -> DataFrame:
+    """face_id, person_id, gallery_id and d (Euclidean): of each person (or of all vectors, as person 0's), the k known
+    vectors nearest to each asked one, itself left out; equal ones by their ids. asked, known: id, vec, known with person_id."""
+    found = nearest(asked.select("id", "vec"), known, k, per_person=per_person, others_only=True).rows
+    return found.select("face_id", "person_id", F.explode("near").alias("near")).select("face_id", "person_id", F.col("near.id").alias("gallery_id"), F.col("near.v").alias("d"))
 
 
 def mean_of_smallest(distances: DataFrame, by: tuple[str, ...], value: str, k: int) -> DataFrame:

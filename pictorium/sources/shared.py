@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Folders of the tables written so far, in order.
-_WRITTEN: list[str] = []
+class _Written(threading.local):
+    """Folders of the tables that this thread wrote so far, in order: queries of other threads keep theirs."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+
+_WRITTEN = _Written()
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -45,19 +52,20 @@ def written(df: DataFrame) -> DataFrame:
     """
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    _WRITTEN.append(path)
+    _WRITTEN.paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def mark() -> int:
-    """How many tables have been written, for `dropped`."""
-    return len(_WRITTEN)
+    """How many tables this thread has written, for `dropped`."""
+    return len(_WRITTEN.paths)
 
 
 def dropped(spark: SparkSession, since: int, keep: int = 0) -> None:
-    """Deletes the tables written after a mark, but for the last `keep`. Call it once nothing reads them any more."""
-    gone = _WRITTEN[since : len(_WRITTEN) - keep]
-    del _WRITTEN[since : len(_WRITTEN) - keep]
+    """Deletes the tables that this thread wrote after a mark, but for the last `keep`. Call it once nothing reads them any more."""
+    paths = _WRITTEN.paths
+    gone = paths[since : len(paths) - keep]
+    del paths[since : len(paths) - keep]
     for path in gone:
         removed(spark, path)
 

@@ -159,3 +159,19 @@ def test_single_faces(spark):
     rows = spark.createDataFrame([(1, 0.5), (2, 0.9), (3, 0.9)], "id long, weight double")
     assert tuple(C.first_and_last(rows, "weight").first()) == (2, 1, True)
     assert [(r.id, r.total, r.has_next) for r in C.counted_page(rows, 1, 1).collect()] == [(2, 3, True)]
+
+
+def test_another_threads_tables_stay(spark):
+    """What another query writes between a mark and its deletion isn't deleted with it."""
+    import threading
+
+    theirs = []
+    began = shared.mark()
+    mine = shared.written(spark.range(3))
+    thread = threading.Thread(target=lambda: theirs.append(shared.written(spark.range(5))))
+    thread.start()
+    thread.join()
+    shared.dropped(spark, began)
+    assert theirs[0].count() == 5
+    with pytest.raises(Exception, match="not exist|FAILED_READ|PATH_NOT_FOUND"):
+        mine.count()
