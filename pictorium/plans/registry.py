@@ -24,4 +24,4 @@ def query(sql: str | None, *views: str) -> Callable[[Query], Query]:
 
 
 # the modules below register their queries here
-from pictorium.plans import boxes, curation, identity, ingest, relational, training  # noqa: E402, F401
+from pictorium.plans import boxes, curation, identity, ingest, pictures, relational, training  # noqa: E402, F401
