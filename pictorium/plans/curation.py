@@ -10,7 +10,9 @@ from pictorium.operators import catalogue as C
 from pictorium.operators import curation as D
 from pictorium.plans import stand_ins as S
 from pictorium.plans.registry import query
+from pictorium.sources.shared import shared_folder
 from pictorium.streaming import curation as stream
+from pictorium.streaming import ordering, upkeep
 
 MARKS = D.Marks(S.UNASSIGNED, S.SOFT_IGNORE, S.HARD_IGNORE)
 
@@ -52,6 +54,37 @@ def stream_bulk_ops(spark, sf_dir):
     return _state(stream.replayed(spark, S.faces(spark, sf_dir), ops(spark, sf_dir), MARKS))
 
 
+@_BULK
+def messages_out_of_order(spark, sf_dir):
+    """Messages to faces arrive in the order of a hash, every tenth twice."""
+    folder = shared_folder(spark)
+    sent = ordering.numbered_messages(ops(spark, sf_dir)).select("face_id", "nth", "operation", "person", F.pmod(F.xxhash64("face_id", "nth"), F.lit(1_000_003)).alias("arrival"))
+    again = sent.where(F.col("arrival") % 10 == 0).withColumn("arrival", F.pmod(F.xxhash64("arrival", "face_id"), F.lit(1_000_003)))
+    table = stream.FaceTable(spark, f"{folder}/faces")
+    table.start(S.faces(spark, sf_dir))
+    messages = stream.arrived(sent.unionByName(again), f"{folder}/messages", "arrival", 3)
+    step = ordering.applied_in_turn(table, MARKS, f"{folder}/aside")
+    query = ordering.with_rocks(spark, lambda: stream.started(ordering.in_turn(messages, 24 * 3_600_000), step, f"{folder}/checkpoint"), ends=True)
+    return _state(table.read(stream.last_batch(query)))
+
+
+@query("""SELECT p.id, person_name, coalesce(n, 0) AS num_faces, coalesce(u, 0) AS num_unverified_faces, coalesce(f, 0) AS num_possibilities, coalesce(e, 0) AS num_possibilities_any FROM people p
+  LEFT JOIN (SELECT declared AS id, count(*) AS n, count(*) FILTER (NOT validated) AS u FROM final GROUP BY 1) d ON d.id = p.id
+  LEFT JOIN (SELECT c AS id, count(*) FILTER (k = 1) AS f, count(*) AS e FROM (SELECT unnest(cands) AS c, unnest(generate_series(1, len(cands))) AS k FROM final) GROUP BY 1) c ON c.id = p.id""",
+       "RECURSIVE " + S.PEOPLE_SQL, S.FACES_SQL, _OPS_SQL, "final AS (SELECT * FROM folded QUALIFY row_number() OVER (PARTITION BY id ORDER BY rn DESC) = 1)")
+def counters_kept_up(spark, sf_dir):
+    """Counts by person after the messages came in several micro-batches, by differences alone."""
+    folder = shared_folder(spark)
+    faces = S.faces(spark, sf_dir)
+    table = stream.FaceTable(spark, f"{folder}/faces")
+    table.start(faces)
+    view = upkeep.SumView(spark, f"{folder}/counts", "person_id", upkeep.PERSON_MEASURES, fold=2)
+    view.start(upkeep.person_contributions(faces))
+    messages = stream.arrived(ops(spark, sf_dir), f"{folder}/ops", "seq", 4)
+    last = stream.last_batch(stream.started(messages, upkeep.counted(table, view, MARKS), f"{folder}/checkpoint"))
+    return upkeep.with_counts(S.people(spark, sf_dir), view.read(last))
+
+
 @query("SELECT id, row_number() OVER (PARTITION BY id ORDER BY k) - 1 AS k, person_id, weight FROM candidates WHERE person_id <> 5", S.FACES_SQL)
 def reject_compact(spark, sf_dir):
     return S.candidate_rows(D.rejected(S.faces(spark, sf_dir), F.lit(True), 5)).select("id", F.col("k").cast("long").alias("k"), "person_id", "weight")

@@ -11,6 +11,8 @@ from pictorium.operators import ingest as I
 from pictorium.plans import stand_ins as S
 from pictorium.plans.registry import query
 from pictorium.sources.files import with_existence
+from pictorium.sources.shared import shared_folder
+from pictorium.streaming.upkeep import SumView, directory_contributions
 
 #: Documents stand in for pictures: equal texts are equal pictures. Even ids are catalogued, all but every seventh are listed.
 PICTURES_SQL = """pictures AS (SELECT doc_id AS id, '/p/' || source || '/' || CAST(doc_id AS VARCHAR) || CASE doc_id % 11 WHEN 0 THEN '.png' WHEN 1 THEN '.JPEG' ELSE '.jpg' END AS path, md5(text) AS pixel_hash,
@@ -99,13 +101,14 @@ def _files(pictures: DataFrame) -> DataFrame:
     return pictures.select("path", (F.col("id") % 17 != 3).alias("is_file"), F.col("stamp").alias("modified"), "pixel_hash", "orientation")
 
 
-def _ingested(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _ingested(spark: SparkSession, sf_dir: str, *, with_before: bool = False) -> tuple[DataFrame, ...]:
     pictures, images, listing, dupes = _sides(spark, sf_dir)
     folder = V.parent(F.col("filename"))
     known = images.where("id % 6 = 0 and id % 16 <> 6").select(folder.alias("dir_path")).distinct()
     directories = I.new_ids(known, 0, ("dir_path",))
     before = images.withColumn("is_processed", F.col("id") % 4 == 0).withColumn("dir_path", folder).join(directories.withColumnRenamed("id", "directory_id"), "dir_path", "left").drop("dir_path")
-    return I.ingested(before, _files(pictures), dupes, listing, directories)
+    out = I.ingested(before, _files(pictures), dupes, listing, directories)
+    return (before, out[0]) if with_before else out
 
 
 @query("SELECT * FROM kept UNION ALL SELECT * FROM added", *_WHOLE)
@@ -113,6 +116,18 @@ def ingest_applied(spark, sf_dir):
     return _ingested(spark, sf_dir)[0].select("id", "filename", "pixel_hash", "orientation", "date_modified", "is_processed", "directory_id")
 
 
+@query("SELECT directory_id, count(*) AS num_images, count(*) FILTER (is_processed) AS num_processed FROM (SELECT * FROM kept UNION ALL SELECT * FROM added) WHERE directory_id IS NOT NULL GROUP BY 1", *_WHOLE)
+def directory_counts_kept_up(spark, sf_dir):
+    """Counts by directory after an ingest, from those before it and the rows that it changed."""
+    before, after = _ingested(spark, sf_dir, with_before=True)
+    columns = ["id", "directory_id", "is_processed"]
+    view = SumView(spark, shared_folder(spark), "directory_id", ("num_images", "num_processed"))
+    view.start(directory_contributions(before))
+    was, now = before.select(*columns), after.select(*columns)
+    view.change(0, directory_contributions(was.exceptAll(now)), directory_contributions(now.exceptAll(was)))
+    return view.read(0)
+
+
 @query("SELECT id, dir_path FROM every_dir", *_WHOLE)
 def ingest_directories(spark, sf_dir):
     return _ingested(spark, sf_dir)[1].select("id", "dir_path")

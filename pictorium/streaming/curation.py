@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pictorium.operators.curation import Marks, bulk_applied
-from pictorium.schema import FACE_OPS
 from pictorium.sources.shared import removed, shared_folder
 
 #: Buckets of a table by the hash of the face's id: a micro-batch rewrites those that its messages name.
@@ -52,7 +51,7 @@ class FaceTable:
         held = faces.select(self.bucket("id").alias("bucket")).distinct().collect()
         self._list(-1, {r["bucket"]: -1 for r in held})
 
-    def _rows(self, versions: dict[int, int]) -> DataFrame:
+    def rows(self, versions: dict[int, int]) -> DataFrame:
         paths = [self.path(b, v) for b, v in sorted(versions.items())]
         if self.schema is None:
             self.schema = self.spark.read.parquet(paths[0]).schema
@@ -60,7 +59,7 @@ class FaceTable:
 
     def read(self, number: int) -> DataFrame:
         """The faces after a batch."""
-        return self._rows(self.listed(number))
+        return self.rows(self.listed(number))
 
     def apply(self, marks: Marks) -> Callable[[DataFrame, int], None]:
         def step(batch: DataFrame, number: int) -> None:
@@ -68,7 +67,7 @@ class FaceTable:
             named = batch.select(F.explode("face_id_list").alias("id")).select(self.bucket("id").alias("bucket")).distinct().collect()
             touched = {r["bucket"]: before[r["bucket"]] for r in named if r["bucket"] in before}
             if touched:
-                self._write(bulk_applied(self._rows(touched), batch, marks), number)
+                self._write(bulk_applied(self.rows(touched), batch, marks), number)
             self._list(number, before | dict.fromkeys(touched, number))
             if number > 0:
                 # what the list before last named and the last one doesn't
@@ -79,26 +78,37 @@ class FaceTable:
         return step
 
 
-def started(ops: DataFrame, table: FaceTable, marks: Marks, checkpoint: str, **trigger: object) -> StreamingQuery:
-    """Folds a stream of messages into the table. One query per checkpoint: it can't run twice at once."""
-    return ops.writeStream.foreachBatch(table.apply(marks)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+Step = Callable[[DataFrame, int], None]
 
 
-def replayed(spark: SparkSession, faces: DataFrame, ops: DataFrame, marks: Marks, arrivals: int = 3) -> DataFrame:
-    """Lets the messages arrive as files, some of them at a time in their order, streams them and returns the faces."""
-    folder = shared_folder(spark)
+def started(ops: DataFrame, step: Step, checkpoint: str, **trigger: object) -> StreamingQuery:
+    """Hands a stream's micro-batches to a step. One query per checkpoint: it can't run twice at once."""
+    return ops.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def arrived(rows: DataFrame, folder: str, order: str, arrivals: int) -> DataFrame:
+    """Writes rows as files, some of them at a time by a column's order, and reads them as a stream, a file a micro-batch."""
     # a file source takes files by their age: each arrival is written after the one before
-    cuts = ops.approxQuantile("seq", [k / arrivals for k in range(1, arrivals)], 0.01)
+    cuts = rows.approxQuantile(order, [k / arrivals for k in range(1, arrivals)], 0.01)
     edges = [None, *sorted(set(cuts)), None]
     for low, high in zip(edges, edges[1:], strict=False):
-        part = ops if low is None else ops.where(F.col("seq") > low)
-        part = part if high is None else part.where(F.col("seq") <= high)
-        part.coalesce(1).sortWithinPartitions("seq").write.mode("append").parquet(f"{folder}/ops")
-    table = FaceTable(spark, f"{folder}/faces")
-    table.start(faces)
-    source = spark.readStream.schema(FACE_OPS).option("maxFilesPerTrigger", 1).parquet(f"{folder}/ops")
-    query = started(source, table, marks, f"{folder}/checkpoint")
+        part = rows if low is None else rows.where(F.col(order) > low)
+        part = part if high is None else part.where(F.col(order) <= high)
+        part.coalesce(1).sortWithinPartitions(order).write.mode("append").parquet(folder)
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def last_batch(query: StreamingQuery) -> int:
+    """Waits for the end of a query and gives its last micro-batch's number; -1 if nothing came."""
     query.awaitTermination()
     done = [json.loads(p) if isinstance(p, str) else p for p in query.recentProgress]
-    last = max((int(p["batchId"]) for p in done if int(p["numInputRows"]) > 0), default=-1)
-    return table.read(last)
+    return max((int(p["batchId"]) for p in done if int(p["numInputRows"]) > 0), default=-1)
+
+
+def replayed(spark: SparkSession, faces: DataFrame, ops: DataFrame, marks: Marks, arrivals: int = 3) -> DataFrame:
+    """Lets the messages arrive as files, some of them at a time in their order, streams them and returns the faces."""
+    folder = shared_folder(spark)
+    table = FaceTable(spark, f"{folder}/faces")
+    table.start(faces)
+    stream = arrived(ops, f"{folder}/ops", "seq", arrivals)
+    return table.read(last_batch(started(stream, table.apply(marks), f"{folder}/checkpoint")))
