@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pictorium.config import DEFAULTS, NO_ENCODING
 from pictorium.functions.boxes import Box, area, centre_distance, distance_iou, intersection, suppressed
+from pictorium.operators.grid import kept_in_rounds, touching
+from pictorium.sources.shared import written
 
 EDGES = ("l", "t", "r", "b")
+#: Boxes of an image from which on it is cut into cells, rather than held as one list or joined as a whole.
+MANY_BOXES = 512
+
+
+def _many(*boxes: DataFrame) -> DataFrame:
+    """Images with many boxes on any side: image_id."""
+    found = [b.groupBy("image_id").count().where(F.col("count") > MANY_BOXES).select("image_id") for b in boxes]
+    return written(reduce(DataFrame.union, found).distinct())
 
 
 def tiled(images: DataFrame, cuts: tuple[int, ...] = DEFAULTS.tile_cuts, overlap: float = DEFAULTS.tile_overlap) -> DataFrame:
@@ -18,7 +30,16 @@ def tiled(images: DataFrame, cuts: tuple[int, ...] = DEFAULTS.tile_cuts, overlap
 
 
 def non_maximum(detections: DataFrame, threshold: float = DEFAULTS.box_threshold) -> DataFrame:
-    """image_id, det_id: the detections of each image that no better one overlaps by more than the threshold."""
+    """image_id, det_id: the detections of each image that no better kept one overlaps by more than the threshold. One fold
+    an image, or, of images with many boxes, rounds over the pairs that overlap: the outcome is the same."""
+    many = _many(detections)
+    if not many.isEmpty():
+        large = kept_in_rounds(detections.join(many, "image_id", "left_semi"), threshold)
+        return _folded(detections.join(many, "image_id", "left_anti"), threshold).unionByName(large)
+    return _folded(detections, threshold)
+
+
+def _folded(detections: DataFrame, threshold: float) -> DataFrame:
     rows = F.struct(F.col("score").cast("double").alias("score"), F.col("det_id").alias("id"), *EDGES)
     lists = detections.groupBy("image_id").agg(F.collect_list(rows).alias("boxes"))
     return lists.select("image_id", F.explode(F.transform(suppressed(F.col("boxes"), threshold), lambda x: x["id"])).alias("det_id"))
@@ -34,13 +55,26 @@ def overlaps(existing: DataFrame, detected: DataFrame) -> DataFrame:
     return pairs.withColumn("diou", distance_iou(Box.of("e_"), Box.of("d_")))
 
 
+def _near(existing: DataFrame, detected: DataFrame, threshold: float) -> DataFrame:
+    """The pairs of `overlaps` that reach the threshold. A positive one needs boxes that overlap, so images with many
+    boxes compare those of common cells alone."""
+    many = None if threshold <= 0 else _many(existing, detected)
+    if many is None or many.isEmpty():
+        return overlaps(existing, detected).where(F.col("diou") >= threshold)
+    few, large = (lambda rows: rows.join(many, "image_id", "left_anti")), (lambda rows: rows.join(many, "image_id", "left_semi"))
+    pairs = touching(large(existing).select("image_id", "id", *EDGES), large(detected).select("image_id", F.col("det_id").alias("id"), *EDGES))
+    renamed = pairs.select("image_id", *[F.col(f"{a}{c}").alias(f"{b}{c}") for a, b in (("a_", "e_"), ("c_", "d_")) for c in ("id", *EDGES)])
+    every = overlaps(few(existing), few(detected)).unionByName(renamed.withColumn("diou", distance_iou(Box.of("e_"), Box.of("d_"))))
+    return every.where(F.col("diou") >= threshold)
+
+
 def reconciled(existing: DataFrame, detected: DataFrame, threshold: float = DEFAULTS.box_threshold, *, exclusive: bool = False) -> DataFrame:
     """image_id, existing_id, det_id, action: update, unmatched (known only) or new (detected only).
 
     A known box takes the detection of the greatest overlap; where several reach the threshold, the one whose middle
     is nearest. Two known boxes may take the same detection unless `exclusive`, which leaves it to the closer match.
     """
-    near = overlaps(existing, detected).where(F.col("diou") >= threshold)
+    near = _near(existing, detected, threshold)
     order = Window.partitionBy("image_id", "e_id").orderBy("apart", "d_id")
     chosen = near.withColumn("apart", centre_distance(Box.of("e_"), Box.of("d_"))).withColumn("place", F.row_number().over(order)).where("place = 1")
     if exclusive:

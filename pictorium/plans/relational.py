@@ -11,6 +11,8 @@ from pictorium.config import DEFAULTS
 from pictorium.functions import boxes as B
 from pictorium.functions import values as V
 from pictorium.operators import catalogue as C
+from pictorium.operators.containment import Substrings, holding_all
+from pictorium.operators.pages import Paged
 from pictorium.plans import stand_ins as S
 from pictorium.plans.registry import query
 from pictorium.sources.shared import numbered
@@ -280,6 +282,37 @@ def directory_robust_dates(spark, sf_dir):
     return C.robust_dates(S.images(spark, sf_dir), now=1.7e9)
 
 
+@query("SELECT id, filename, (SELECT count(*) FROM images) AS total, true AS has_previous, (SELECT count(*) FROM images) > 1250 AS has_next FROM images ORDER BY filename, id LIMIT 50 OFFSET 1200", S.IMAGES_SQL)
+def deep_page(spark, sf_dir):
+    """Page 25 of the images by name, from the ranges that hold it."""
+    return Paged(S.images(spark, sf_dir).select("id", "filename"), ("filename", "id"), 5_000).page(25, 50)
+
+
+@query("SELECT id, filename FROM images WHERE (filename, id) > ('/photos/3-MEDIUM/7', 0) ORDER BY filename, id LIMIT 100", S.IMAGES_SQL)
+def page_after_key(spark, sf_dir):
+    return Paged(S.images(spark, sf_dir).select("id", "filename"), ("filename", "id"), 5_000).after(("/photos/3-MEDIUM/7", 0), 100)
+
+
+_SETS_SQL = "sets AS (SELECT DISTINCT p_partkey AS set_id, unnest([p_partkey % 10, p_size % 10, CAST(floor(p_retailprice) AS BIGINT) % 10]) AS person_id FROM part)"
+
+
+@query("SELECT s.set_id, f.image_id FROM sets s JOIN (SELECT DISTINCT image_id, declared_person_id AS person_id FROM faces WHERE declared_person_id IS NOT NULL) f ON f.person_id = s.person_id JOIN (SELECT set_id, count(*) AS n FROM sets GROUP BY 1) k ON k.set_id = s.set_id GROUP BY s.set_id, f.image_id, k.n HAVING count(*) = k.n", S.FACES_SQL, _SETS_SQL)
+def images_of_sets(spark, sf_dir):
+    """The images that hold all people of a set, for a set of one to three people a part."""
+    part, key = spark.read.parquet(f"{sf_dir}/part.parquet"), F.col("p_partkey")
+    sets = part.select(key.alias("set_id"), F.explode(F.array(key % 10, (F.col("p_size") % 10).cast("long"), F.floor("p_retailprice") % 10)).alias("person_id"))
+    return holding_all(sets, S.faces(spark, sf_dir).select("image_id", F.col("declared_person_id").alias("person_id")))
+
+
+@query("""SELECT needle, i.id FROM (SELECT DISTINCT needle FROM (SELECT '/' || CAST(p_partkey AS VARCHAR) || '.J' AS needle FROM part UNION ALL SELECT lower(o_orderpriority) || '/1' || CAST(o_orderkey % 40 AS VARCHAR) FROM orders UNION ALL SELECT '99')) n
+  JOIN images i ON contains(lower(i.filename), lower(n.needle))""", S.IMAGES_SQL)
+def substrings_found(spark, sf_dir):
+    """Image paths that hold a needle, in either case, for a whole table of needles."""
+    part, orders = spark.read.parquet(f"{sf_dir}/part.parquet"), spark.read.parquet(f"{sf_dir}/orders.parquet")
+    needles = part.select(F.concat(F.lit("/"), F.col("p_partkey").cast("string"), F.lit(".J")).alias("needle")).union(orders.select(F.concat(F.lower("o_orderpriority"), F.lit("/1"), (F.col("o_orderkey") % 40).cast("string")))).union(spark.range(1).select(F.lit("99")))
+    return Substrings(S.images(spark, sf_dir).select("id", F.col("filename").alias("text"))).found(needles)
+
+
 @query(None)
 def random_face(spark, sf_dir):
     one = C.shuffled(C.declared_faces(S.faces(spark, sf_dir), S.UNASSIGNED), 11, 1)
