@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import sys
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -63,6 +65,26 @@ def slices(batches: Iterable[pa.RecordBatch], *, size: str = "text", as_bytes: b
             held += n or 0
 
 
+@functools.cache
+def _trimmed() -> Callable[[], object]:
+    """Hands free memory of the C library back to the system, where it can."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    return (lambda: trim(0)) if trim else (lambda: None)
+
+
+def tidy(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same function for `mapInArrow`; after its last batch the worker, which lives on for other stages, gives back
+    what Arrow and the C library keep for it."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        _trimmed()()
+
+    return wrapped
+
+
 class BoundedCache(dict):
     """A worker's dictionary of about `limit` bytes: when it is full, it starts afresh.
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pictorium.llm import shingles
-from pictorium.llm.common import id_and_text, slices, written
+from pictorium.llm.common import id_and_text, slices, tidy, written
 from pictorium.llm.components import components
 
 SIMILARITY_PERCENT = 85
@@ -207,11 +207,11 @@ def _members(lists: DataFrame) -> DataFrame:
 def links(docs: DataFrame, reps: DataFrame, percent: int, node_sets: int = NODE_SETS, node_shingles: int = NODE_SHINGLES) -> DataFrame:
     """a, b: confirmed links between sets that span the components."""
     tokens = reps.select("set_id", "tokens")
-    alike = _grouped(_members(_leaves(reps, node_sets, node_shingles)).join(tokens, "set_id"), "node", ("set_id", "tokens")).mapInArrow(_alike, "members array<long>")
+    alike = _grouped(_members(_leaves(reps, node_sets, node_shingles)).join(tokens, "set_id"), "node", ("set_id", "tokens")).mapInArrow(tidy(_alike), "members array<long>")
     groups = _members(written(alike.distinct()))
     needed = groups.select("set_id").distinct().join(reps.select("set_id", F.col("doc_id").alias("rep")), "set_id").select("rep")
     texts = id_and_text(docs)
-    full = texts.join(needed, texts["doc_id"] == needed["rep"], "left_semi").mapInArrow(_full_sets, "set_id long, shingles array<long>").dropDuplicates(["set_id"])
+    full = texts.join(needed, texts["doc_id"] == needed["rep"], "left_semi").mapInArrow(tidy(_full_sets), "set_id long, shingles array<long>").dropDuplicates(["set_id"])
 
     def confirm(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -221,12 +221,12 @@ def links(docs: DataFrame, reps: DataFrame, percent: int, node_sets: int = NODE_
                 out += [(ids[x], ids[y]) for x, y in node_links(sets, percent)]
             yield pa.RecordBatch.from_pydict({"a": [x for x, _ in out], "b": [y for _, y in out]}, schema)
 
-    return _grouped(groups.join(full, "set_id"), "node", ("set_id", "shingles")).mapInArrow(confirm, "a long, b long")
+    return _grouped(groups.join(full, "set_id"), "node", ("set_id", "shingles")).mapInArrow(tidy(confirm), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = SIMILARITY_PERCENT, *, node_sets: int = NODE_SETS, node_shingles: int = NODE_SHINGLES) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id that links reach) and kept (whether that is its own)."""
-    prepared = written(id_and_text(docs).mapInArrow(_prepared, "doc_id long, n_shingles long, set_id long, tokens array<long>"))
+    prepared = written(id_and_text(docs).mapInArrow(tidy(_prepared), "doc_id long, n_shingles long, set_id long, tokens array<long>"))
     usable = prepared.where("doc_id is not null and set_id is not null")
     least = usable.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
     reps = written(usable.join(least, ["set_id", "doc_id"]).dropDuplicates(["set_id"]))

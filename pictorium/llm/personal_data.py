@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
-from pictorium.llm.common import opened, slices, whole_row, written
+from pictorium.llm.common import opened, slices, tidy, whole_row, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
 DISCLOSURE, SUPPORT = 0.75, 1
@@ -208,7 +208,7 @@ def _term_counts(docs: DataFrame, wanted: DataFrame, frequent: Broadcast) -> Dat
                 held.clear()
         yield pa.RecordBatch.from_pydict({"term": list(held), "n": list(held.values())}, schema)
 
-    counts = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(count, "term string, n long")
+    counts = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(tidy(count), "term string, n long")
     return counts.join(wanted, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n_t"))
 
 
@@ -229,13 +229,13 @@ def revealing_terms(docs: DataFrame, found: DataFrame, disclosure: float = DISCL
         return None
     total = float(found.count())
     bound = lambda n_e: F.pow(n_e, F.lit(disclosure)) * (total ** (1 - disclosure) * (1 + PRIOR / total) * (1 + 1e-9))
-    seen = written(texts.select("text", "copies").mapInArrow(_seen_terms, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")))
+    seen = written(texts.select("text", "copies").mapInArrow(tidy(_seen_terms), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")))
     # a term's count in the texts just read bounds its count in the corpus from below: what is frequent there goes
     possible = F.col("n") + PRIOR <= bound(F.lit(most))
     top = seen.where(~possible).orderBy(F.desc("n"), "term").limit(FREQUENT_TERMS).select("term")
     frequent = docs.sparkSession.sparkContext.broadcast(frozenset(r["term"] for r in top.collect()))
     counted = written(_term_counts(docs, seen.where(possible).select("term"), frequent).where(F.col("n_t") + PRIOR <= bound(F.lit(most))))
-    rows = written(texts.select("text_key", "text").mapInArrow(_term_rows(frequent), "text_key string, term string").join(counted, "term"))
+    rows = written(texts.select("text_key", "text").mapInArrow(tidy(_term_rows(frequent)), "text_key string, term string").join(counted, "term"))
     terms_ = rows.groupBy("term", "n_t").agg(*_same_texts())
     of_term = written(terms_.select("term", F.xxhash64("n_t", "same_a", "same_b").alias("terms")))
     by_term = rows.join(of_term, "term").select("text_key", "terms", "n_t").distinct()
@@ -283,14 +283,14 @@ def _scanned(docs: DataFrame, *, whole: bool) -> DataFrame:
     rest = [whole_row(docs, ("doc_id", "text")).alias("rest")] if whole else []
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *rest)
     schema = StructType.fromDDL(FOUND)
-    return written(given.mapInArrow(_scanner(whole, pa.null() if whole else None), schema.add(given.schema["rest"]) if whole else schema))
+    return written(given.mapInArrow(tidy(_scanner(whole, pa.null() if whole else None)), schema.add(given.schema["rest"]) if whole else schema))
 
 
 def _with_spans(docs: DataFrame, found: DataFrame, disclosure: float, support: int) -> DataFrame:
     marked = revealing_terms(docs, found, disclosure, support)
     if marked is None:
         return found.withColumn("spans", F.col("base"))
-    extra = marked.mapInArrow(_mark, "text_key string, spans string")
+    extra = marked.mapInArrow(tidy(_mark), "text_key string, spans string")
     plain = found.where("text_key is null").withColumn("spans", F.col("base"))
     return plain.unionByName(found.where("text_key is not null").join(extra, "text_key", "left").withColumn("spans", F.coalesce("spans", "base")))
 
@@ -307,6 +307,6 @@ def sanitised(docs: DataFrame, *, disclosure: float = DISCLOSURE, support: int =
     marked = _with_spans(docs, found, disclosure, support)
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     schema = StructType().add("doc_id", LongType()).add("text", StringType()).add(found.schema["rest"])
-    out = marked.select("doc_id", "text", "spans", "rest").mapInArrow(_replace, schema)
+    out = marked.select("doc_id", "text", "spans", "rest").mapInArrow(tidy(_replace), schema)
     back = dict(zip(rest, opened(F.col("rest"), rest), strict=True))
     return out.select(*[F.col(c) if c in ("doc_id", "text") else back[c] for c in docs.columns])

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pictorium.llm.common import BoundedCache, id_and_text, slices, written
+from pictorium.llm.common import BoundedCache, id_and_text, slices, tidy, written
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
@@ -191,8 +191,8 @@ def chunk_table(docs: DataFrame, model: str) -> DataFrame:
             keys = np.fromiter(map(hashed, part["chunk"]), np.uint64, len(ids)).view(np.int64)
             yield pa.RecordBatch.from_pydict({"chunk": part["chunk"], "key": keys, "n": part["n"], "ids": pa.array(ids, pa.list_(pa.int32())), "back": pa.array(back, pa.string())})
 
-    counts = id_and_text(docs).select("text").mapInArrow(_counted, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
-    return written(counts.where("n > 1").mapInArrow(segment, "chunk string, key long, n long, ids array<int>, back string"))
+    counts = id_and_text(docs).select("text").mapInArrow(tidy(_counted), "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
+    return written(counts.where("n > 1").mapInArrow(tidy(segment), "chunk string, key long, n long, ids array<int>, back string"))
 
 
 def _level() -> Column:
@@ -234,7 +234,7 @@ def encode_decode(docs: DataFrame, model: str, *, digests: bool = False, segment
 
         keyed = given.withColumn("key", F.xxhash64("text"))
         rare = table.where(_level() < least).select("chunk", F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids"), "back")
-        wanted = keyed.select("key", "text").mapInArrow(unknown, "key long, chunk string").join(rare, "chunk")
+        wanted = keyed.select("key", "text").mapInArrow(tidy(unknown), "key long, chunk string").join(rare, "chunk")
         own = wanted.groupBy("key").agg(F.collect_set(F.struct("chunk", "ids", "back")).alias("own"))
         given = keyed.join(own.select("key", F.col("own.chunk").alias("own_chunk"), F.col("own.ids").alias("own_ids"), F.col("own.back").alias("own_back")), "key", "left").drop("key")
 
@@ -253,4 +253,4 @@ def encode_decode(docs: DataFrame, model: str, *, digests: bool = False, segment
             yield pa.RecordBatch.from_pydict(out)
 
     kept = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
-    return given.mapInArrow(run, f"doc_id long, n_tokens long, {kept}" + ", n_segmented long" * segmented)
+    return given.mapInArrow(tidy(run), f"doc_id long, n_tokens long, {kept}" + ", n_segmented long" * segmented)
