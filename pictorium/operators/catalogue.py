@@ -124,9 +124,10 @@ def shown(rows: DataFrame, entity: str) -> DataFrame:
     return rows.select(*[c for c in FIELDS[entity] if c in rows.columns])
 
 
-def shuffled(rows: DataFrame, seed: int, n: int | None = None) -> DataFrame:
-    """All rows in a random order, or n of them: each task keeps its n, so no full sort is needed for few."""
-    mixed = rows.orderBy(F.rand(seed))
+def shuffled(rows: DataFrame, seed: int, n: int | None = None, *, key: str = "id") -> DataFrame:
+    """All rows in an order that the seed and the rows' key fix, or n of them: each task keeps its n, so no full sort is
+    needed for few. Another seed gives an unrelated order, and the layout of the rows has no say."""
+    mixed = rows.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), key)
     return mixed if n is None else mixed.limit(n)
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from pictorium.config import DEFAULTS, Settings
 from pictorium.functions.scorers import Scorer, cosine
+from pictorium.operators import nearest as nearest_module
 from pictorium.operators.nearest import Blocks, known_blocks, matrix, nearest, nearest_input, searched
 from pictorium.operators.nearest import usable as usable
 from pictorium.sources.shared import numbered, written
@@ -109,13 +110,18 @@ def _rank(p: float) -> Column:
     return low + (high - low) * (place - at)
 
 
+def _worth_pruning(gallery: DataFrame | Blocks) -> bool:
+    """Whether there is more than one block; the outcome is the same either way."""
+    return isinstance(gallery, Blocks) or gallery.count() > nearest_module.GALLERY_BLOCK
+
+
 def by_person(pending: DataFrame, gallery: DataFrame | Blocks, percentile: float = DEFAULTS.percentile, *, measure: Scorer = cosine) -> DataFrame:
     """face_id, person_id, sim_max and sim_p: the greatest similarity to a person's faces, and their percentile.
 
     The cosine's upper percentiles need each person's nearest faces alone, so blocks that hold none of them are skipped;
     `gallery` may then be packed beforehand. Other measures have no bounds, and low percentiles need the farthest faces.
     """
-    if measure is cosine and percentile >= 0.5:
+    if measure is cosine and percentile >= 0.5 and _worth_pruning(gallery):
         if isinstance(gallery, Blocks):
             size = gallery.pivots.shape[1]
             found = searched(nearest_input(pending).where(F.size("vec") == size), gallery, (percentile,)).rows
@@ -166,7 +172,7 @@ class Suggested(NamedTuple):
 
 def suggestions(pending: DataFrame, gallery: DataFrame | Blocks, ignore_id: int, settings: Settings = DEFAULTS, *, measure: Scorer = cosine) -> DataFrame:
     """face_id, rank, person_id, weight: at most n candidates a face, or the ignore branch."""
-    if measure is cosine and settings.percentile >= 0.5:
+    if measure is cosine and settings.percentile >= 0.5 and _worth_pruning(gallery):
         return suggested(pending, gallery, ignore_id, settings).rows
     ranked = _ranked(by_person(pending, gallery, settings.percentile, measure=measure)).where(F.col("rank") <= settings.n_candidates)
     return _decided(ranked, pending, ignore_id, settings)

@@ -92,14 +92,15 @@ def prepared(vectors: DataFrame, *more: str, cosine: bool) -> DataFrame:
 
 
 def chosen_pivots(known: DataFrame, n: int, cosine: bool) -> np.ndarray:
-    """Farthest-first centres of a sample, moved to the middle of what lies around them: two for each block of known vectors, PIVOTS at most."""
+    """Farthest-first centres of a sample, moved to the middle of what lies around them: two for each block of known vectors, PIVOTS at most,
+    and one if a block holds them all."""
     sample = known.select("id", "vec").orderBy(F.xxhash64("id"), "id").limit(PIVOT_SAMPLE).toArrow()
     vectors = matrix(pa.StructArray.from_arrays([sample.column("vec").combine_chunks()], ["vec"]), "vec")
     if cosine:
         vectors = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     out = vectors[:1]
     away = distances(vectors, out)[:, 0]
-    for _ in range(min(PIVOTS, -(-2 * n // GALLERY_BLOCK)) - 1):
+    for _ in range(min(PIVOTS, -(-2 * n // GALLERY_BLOCK)) - 1 if n > GALLERY_BLOCK else 0):
         at = int(away.argmax())
         if away[at] <= 0:
             break
@@ -302,11 +303,19 @@ def searched(asked: DataFrame, known: Blocks, keep: int | Sequence[float], *, ot
     people = index.groupBy("person_id").agg(F.sum("n").alias("of"))
     index = written(index.join(people, "person_id"))
     there = known.table.select("block", "rows").join(index.groupBy(F.col("b").alias("block")).agg(F.sort_array(F.collect_list(F.struct("person_id", "of"))).alias("people")), "block")
+    faces = here.select(F.col("block").alias("a"), F.explode("rows.id").alias("face_id"))
+    numbers = (known.table.agg(F.sum(F.size("rows"))).first()[0] or 0) * known.pivots.shape[1]
+    meet = lambda pairs: _multiplied(pairs, here, there, numbers <= BROADCAST_NUMBERS, keep, cosine, others_only)
+    asked_for = lambda rows: (rows if only is None else rows.join(only.select("face_id", "person_id").distinct(), ["face_id", "person_id"], "left_semi")).drop("a")
+    blocks = [r["block"] for r in known.table.select("block").limit(2).collect()]
+    if len(blocks) == 1:
+        # one block: there is nothing to skip
+        n = here.count()
+        return Found(asked_for(_merged(meet(here.select(F.col("block").alias("a"), F.lit(blocks[0]).alias("b"))), keep)), n, n)
     bounds = written(extents(here, known.table))
     met = bounds.join(index, "b")
     if within is not None:
         met = met.where(F.col("least") <= within * (1 + SLACK) + SLACK)
-    faces = here.select(F.col("block").alias("a"), F.explode("rows.id").alias("face_id"))
     if only is not None:
         met = met.join(faces.join(only, "face_id").select("a", "person_id").distinct(), ["a", "person_id"], "left_semi")
     # enough vectors of each person (or of all), in the blocks that are surely nearest
@@ -314,8 +323,6 @@ def searched(asked: DataFrame, known: Blocks, keep: int | Sequence[float], *, ot
     before = Window.partitionBy(*by).orderBy("most", "b").rowsBetween(Window.unboundedPreceding, -1)
     enough = _kept_column(keep) + F.lit(int(others_only))
     seeds = written(met.withColumn("held", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("held") < enough).select("a", "b").distinct())
-    numbers = (known.table.agg(F.sum(F.size("rows"))).first()[0] or 0) * known.pivots.shape[1]
-    meet = lambda pairs: _multiplied(pairs, here, there, numbers <= BROADCAST_NUMBERS, keep, cosine, others_only)
     first = written(_merged(meet(seeds), keep))
     # what a face can still gain lies within its k-th distance; a list that is short has met all there is
     kth = F.element_at("near", F.least(_kept_column(keep), F.size("near")).cast("int"))["v"]
@@ -329,9 +336,7 @@ def searched(asked: DataFrame, known: Blocks, keep: int | Sequence[float], *, ot
     further = written(further)
     more, n_seeds = further.count(), seeds.count()
     rows = _merged(first.unionByName(meet(further)), keep) if more else first
-    if only is not None:
-        rows = rows.join(only.select("face_id", "person_id").distinct(), ["face_id", "person_id"], "left_semi")
-    return Found(rows.drop("a"), n_seeds + more, bounds.count())
+    return Found(asked_for(rows), n_seeds + more, bounds.count())
 
 
 def nearest_input(asked: DataFrame, *, cosine: bool = True) -> DataFrame:

@@ -313,7 +313,8 @@ def substrings_found(spark, sf_dir):
     return Substrings(S.images(spark, sf_dir).select("id", F.col("filename").alias("text"))).found(needles)
 
 
-@query(None)
+@query(f"""SELECT f.id, {', '.join(f"coalesce(max(CASE WHEN k = {k} THEN person_name END), 'N/A') AS poss_name{k + 1}" for k in range(5))}
+  FROM (SELECT id FROM faces WHERE declared_person_id = 0 ORDER BY md5('11:' || CAST(id AS VARCHAR)), id LIMIT 1) f LEFT JOIN candidates c ON c.id = f.id LEFT JOIN people p ON p.id = c.person_id GROUP BY f.id""", S.PEOPLE_SQL, S.FACES_SQL)
 def random_face(spark, sf_dir):
     one = C.shuffled(C.declared_faces(S.faces(spark, sf_dir), S.UNASSIGNED), 11, 1)
     return C.candidate_names(one, S.people(spark, sf_dir)).select("id", *C.FACE_NAMES)
