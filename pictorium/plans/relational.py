@@ -293,15 +293,15 @@ def page_after_key(spark, sf_dir):
     return Paged(S.images(spark, sf_dir).select("id", "filename"), ("filename", "id"), 5_000).after(("/photos/3-MEDIUM/7", 0), 100)
 
 
-_SETS_SQL = "sets AS (SELECT DISTINCT p_partkey AS set_id, unnest([p_partkey % 10, p_size % 10, CAST(floor(p_retailprice) AS BIGINT) % 10]) AS person_id FROM part)"
+_SETS_SQL = "sets AS (SELECT DISTINCT p_partkey AS set_id, unnest([p_partkey % 97, p_size, CAST(floor(p_retailprice) AS BIGINT) % 100]) AS person_id FROM part)"
 
 
-@query("SELECT s.set_id, f.image_id FROM sets s JOIN (SELECT DISTINCT image_id, declared_person_id AS person_id FROM faces WHERE declared_person_id IS NOT NULL) f ON f.person_id = s.person_id JOIN (SELECT set_id, count(*) AS n FROM sets GROUP BY 1) k ON k.set_id = s.set_id GROUP BY s.set_id, f.image_id, k.n HAVING count(*) = k.n", S.FACES_SQL, _SETS_SQL)
+@query("SELECT s.set_id, f.image_id FROM sets s JOIN (SELECT DISTINCT image_id, declared_person_id AS person_id FROM face_rows WHERE declared_person_id IS NOT NULL) f ON f.person_id = s.person_id JOIN (SELECT set_id, count(*) AS n FROM sets GROUP BY 1) k ON k.set_id = s.set_id GROUP BY s.set_id, f.image_id, k.n HAVING count(*) = k.n", S.FACE_ROWS_SQL, _SETS_SQL)
 def images_of_sets(spark, sf_dir):
     """The images that hold all people of a set, for a set of one to three people a part."""
     part, key = spark.read.parquet(f"{sf_dir}/part.parquet"), F.col("p_partkey")
-    sets = part.select(key.alias("set_id"), F.explode(F.array(key % 10, (F.col("p_size") % 10).cast("long"), F.floor("p_retailprice") % 10)).alias("person_id"))
-    return holding_all(sets, S.faces(spark, sf_dir).select("image_id", F.col("declared_person_id").alias("person_id")))
+    sets = part.select(key.alias("set_id"), F.explode(F.array(key % 97, F.col("p_size").cast("long"), F.floor("p_retailprice") % 100)).alias("person_id"))
+    return holding_all(sets, S.face_rows(spark, sf_dir).select("image_id", F.col("declared_person_id").alias("person_id")))
 
 
 @query("""SELECT needle, i.id FROM (SELECT DISTINCT needle FROM (SELECT '/' || CAST(p_partkey AS VARCHAR) || '.J' AS needle FROM part UNION ALL SELECT lower(o_orderpriority) || '/1' || CAST(o_orderkey % 40 AS VARCHAR) FROM orders UNION ALL SELECT '99')) n

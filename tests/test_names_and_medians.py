@@ -49,8 +49,7 @@ def test_names_that_begin_alike_are_parted(spark):
     key = ["length", "k", "piece"]
     met = N.filed(df, 1).join(N.looked_up(df, 1).select(*key, F.col("name").alias("other")), key).select("name", "other").distinct().count()
     assert met >= 400 * 399  # by segments alone
-    left = lambda rows: rows.withColumn("left", F.explode(N.remains(F.col("rest"), 1)))
-    met = left(N.filed(df, 1)).join(left(N.looked_up(df, 1)).select(*key, "left", F.col("name").alias("other")), [*key, "left"]).where("name <> other").select("name", "other").distinct().count()
+    met = N.left_over(N.filed(df, 1), 1).join(N.left_over(N.looked_up(df, 1), 1).select(*key, "left", F.col("name").alias("other")), [*key, "left"]).where("name <> other").select("name", "other").distinct().count()
     assert met < 400
 
 
