@@ -6,9 +6,17 @@ documents, PMI(t; e) = log2(P(e | t) / P(e)), against what the entity itself is
 n(e) / N, and P(e | t) is smoothed, (n(t, e) + PRIOR P(e)) / (n(t) + PRIOR): a term counts as if PRIOR further documents
 held it that know nothing of the entity, so few documents make a weak estimate and not none. A term whose PMI reaches
 `disclosure` times IC(e) gives the entity away, be the entity in one text or in many, provided that both are positive
-(an entity of all documents is worth nothing, so nothing reveals it): the term's occurrences in texts that hold the
-entity become spans of the kind `term`, outside the fixed spans. In sanitised texts fixed spans are replaced by their
-kind and terms are generalised to TERM. Texts without an entity never change.
+(an entity of all documents is worth nothing, so nothing reveals it) and that chance alone doesn't bring them together:
+the term's occurrences in texts that hold the entity become spans of the kind `term`, outside the fixed spans. In
+sanitised texts fixed spans are replaced by their kind and terms are generalised to TERM. Texts without an entity never
+change.
+
+Every text has rare words, and the longer it is the more of them, so a rare word next to an entity is no evidence by
+itself. If terms fell on texts by chance, each occurrence would be in a text of the entity with the probability q, the
+share of the corpus's characters that these texts hold. Of n texts with the term, x hold the entity too; that chance
+gives so many has at most the probability exp(-n KL(x / n || q)) (Chernoff). Times the number of terms that are rare
+enough to reveal anything, it is how many innocent terms an entity would lose: a term reveals only if that is at most
+`chance`. x counts different texts, so copies of one text are one piece of evidence; math.inf asks for none.
 
 Entities that stand in the same texts have the same counts with every term, and so have terms of the same texts with
 the same total: each such class is estimated once. A list of thousands of addresses is one class of entities, the words
@@ -27,6 +35,7 @@ no rows. Positions are in code points, ends are exclusive.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -42,6 +51,8 @@ from pictorium.llm.common import opened, slices, tidy, whole_row, written
 KINDS = ("email", "ip", "card", "phone", "term")
 DISCLOSURE, SUPPORT = 0.75, 1
 PRIOR = 1.0
+#: Innocent terms expected to be taken for revealing ones, for an entity.
+CHANCE = 0.05
 #: Frequent terms that every worker holds, the most frequent first, and terms that a task counts before it hands on.
 FREQUENT_TERMS, COUNTED_TERMS = 50_000, 300_000
 
@@ -136,12 +147,12 @@ def replaced(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*parts, text[end:]])
 
 
-FOUND = "doc_id long, base string, n_email long, n_ip long, n_card long, n_phone long, entities array<string>, text_key string, text string"
+FOUND = "doc_id long, base string, n_email long, n_ip long, n_card long, n_phone long, entities array<string>, text_key string, text string, n_chars long"
 
 
 def _scanner(keep_all: bool, rest_type: pa.DataType | None):
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fields = [("doc_id", pa.int64()), ("base", pa.string()), *((f"n_{k}", pa.int64()) for k in KINDS[:4]), ("entities", pa.list_(pa.string())), ("text_key", pa.string()), ("text", pa.string())]
+        fields = [("doc_id", pa.int64()), ("base", pa.string()), *((f"n_{k}", pa.int64()) for k in KINDS[:4]), ("entities", pa.list_(pa.string())), ("text_key", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())]
         for batch in batches:
             done = 0
             for part in slices([batch.select(["doc_id", "text"])]):
@@ -156,6 +167,7 @@ def _scanner(keep_all: bool, rest_type: pa.DataType | None):
                     out["entities"].append(sorted({entity(text, k, a, b) for a, k, b in spans}))
                     out["text_key"].append(hashlib.blake2b(text.encode(), digest_size=16).hexdigest() if spans else None)
                     out["text"].append(text if spans or keep_all else None)
+                    out["n_chars"].append(len(text))
                 columns = [pa.array(out[name], kind) for name, kind in fields]
                 n = len(part["doc_id"])
                 names = [name for name, _ in fields]
@@ -169,33 +181,41 @@ def _scanner(keep_all: bool, rest_type: pa.DataType | None):
 
 
 def _seen_terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many documents each term occurs, of texts with their numbers of copies."""
-    schema = pa.schema([("term", pa.string()), ("n", pa.int64())])
+    """In how many documents, and in how many different texts, each term occurs, of texts with their numbers of copies."""
+    schema = pa.schema([("term", pa.string()), ("n", pa.int64()), ("n_texts", pa.int64())])
     held: Counter = Counter()
+    texts: Counter = Counter()
+
+    def counted() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_pydict({"term": list(held), "n": list(held.values()), "n_texts": [texts[t] for t in held]}, schema)
+        held.clear()
+        texts.clear()
+        return out
+
     for part in slices(batches):
         for text, copies in zip(part["text"], part["copies"], strict=True):
             for t in terms(text):
                 held[t] += copies
+                texts[t] += 1
         if len(held) > COUNTED_TERMS:
-            yield pa.RecordBatch.from_pydict({"term": list(held), "n": list(held.values())}, schema)
-            held.clear()
-    yield pa.RecordBatch.from_pydict({"term": list(held), "n": list(held.values())}, schema)
+            yield counted()
+    yield counted()
 
 
 def _term_rows(frequent: Broadcast):
     """Each text with each of its terms but the frequent ones."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("text_key", pa.string()), ("term", pa.string())])
+        schema = pa.schema([("text_key", pa.string()), ("n_chars", pa.int64()), ("term", pa.string())])
         for part in slices(batches):
-            rows = [(k, t) for k, text in zip(part["text_key"], part["text"], strict=True) for t in terms(text) - frequent.value]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], schema.types[k]) for k in range(2)], schema=schema)
+            rows = [(k, n, t) for k, n, text in zip(part["text_key"], part["n_chars"], part["text"], strict=True) for t in terms(text) - frequent.value]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], schema.types[k]) for k in range(3)], schema=schema)
 
     return run
 
 
 def _term_counts(docs: DataFrame, wanted: DataFrame, frequent: Broadcast) -> DataFrame:
-    """term, n_t: in how many documents each wanted term occurs; none of them is frequent."""
+    """term, n_texts, n_t: in how many documents each wanted term (with its texts) occurs; none of them is frequent."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("term", pa.string()), ("n", pa.int64())])
@@ -209,42 +229,58 @@ def _term_counts(docs: DataFrame, wanted: DataFrame, frequent: Broadcast) -> Dat
         yield pa.RecordBatch.from_pydict({"term": list(held), "n": list(held.values())}, schema)
 
     counts = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(tidy(count), "term string, n long")
-    return counts.join(wanted, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n_t"))
+    return counts.join(wanted, "term").groupBy("term", "n_texts").agg(F.sum("n").alias("n_t"))
+
+
+def _by_chance(x: Column, n: Column, q: Column) -> Column:
+    """The logarithm of a bound on the probability that of n occurrences x or more are where each is with probability q."""
+    left, least = (n - x).cast("double"), F.lit(1e-300)
+    apart = x * F.log(F.try_divide(x, n * q)) + left * (F.log(F.greatest(left, least)) - F.log(F.greatest(n * (1 - q), least)))
+    return F.when((q >= 1) | (x <= n * q), F.lit(0.0)).otherwise(-apart)
 
 
-def revealing_terms(docs: DataFrame, found: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame | None:
+def revealing_terms(docs: DataFrame, found: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT, chance: float = CHANCE) -> DataFrame | None:
     """text_key, text, base and the terms in that text that reveal one of its entities; None if there are none at all.
 
     As n(t, e) is n(e) at most, a term reveals an entity only if n(t) + PRIOR is at most n(e)^disclosure
     N^(1 - disclosure) (1 + PRIOR / N). That grows with n(e), so a text's most frequent entity bounds what its terms may
-    count, and the frequent terms, which are most of a text, go before they meet entities. No pair above goes with them.
+    count, and the frequent terms, which are most of a text, go before they meet entities. Chance has a bound of the same
+    kind: q is at least a text's own share of all characters, and x at most the number of texts that hold entities and the
+    term, so the words that only one long text has go as well. No pair above goes with them.
     """
     held = found.where("text_key is not null")
-    texts = held.groupBy("text_key").agg(F.any_value("text").alias("text"), F.any_value("base").alias("base"), F.any_value("entities").alias("entities"), F.count(F.lit(1)).alias("copies"))
+    texts = held.groupBy("text_key").agg(F.any_value("text").alias("text"), F.any_value("base").alias("base"), F.any_value("entities").alias("entities"), F.any_value("n_chars").alias("n_chars"), F.count(F.lit(1)).alias("copies"))
     texts = written(texts)
-    within = texts.select("text_key", "copies", F.explode("entities").alias("entity"))
-    known = written(within.groupBy("entity").agg(F.sum("copies").alias("n_e"), *_same_texts()))
+    within = texts.select("text_key", "copies", (F.col("copies") * F.col("n_chars")).alias("chars"), F.explode("entities").alias("entity"))
+    known = written(within.groupBy("entity").agg(F.sum("copies").alias("n_e"), F.sum("chars").alias("chars_e"), *_same_texts()))
     most = known.agg(F.max("n_e")).first()[0]
     if most is None:
         return None
-    total = float(found.count())
+    whole = found.agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("n_chars").cast("double").alias("chars")).first()
+    total, chars = whole["n"], whole["chars"]
     bound = lambda n_e: F.pow(n_e, F.lit(disclosure)) * (total ** (1 - disclosure) * (1 + PRIOR / total) * (1 + 1e-9))
-    seen = written(texts.select("text", "copies").mapInArrow(tidy(_seen_terms), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")))
+    seen = written(texts.select("text", "copies").mapInArrow(tidy(_seen_terms), "term string, n long, n_texts long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("n_texts").alias("n_texts")))
     # a term's count in the texts just read bounds its count in the corpus from below: what is frequent there goes
     possible = F.col("n") + PRIOR <= bound(F.lit(most))
     top = seen.where(~possible).orderBy(F.desc("n"), "term").limit(FREQUENT_TERMS).select("term")
     frequent = docs.sparkSession.sparkContext.broadcast(frozenset(r["term"] for r in top.collect()))
-    counted = written(_term_counts(docs, seen.where(possible).select("term"), frequent).where(F.col("n_t") + PRIOR <= bound(F.lit(most))))
-    rows = written(texts.select("text_key", "text").mapInArrow(tidy(_term_rows(frequent)), "text_key string, term string").join(counted, "term"))
+    counted = written(_term_counts(docs, seen.where(possible).select("term", "n_texts"), frequent).where(F.col("n_t") + PRIOR <= bound(F.lit(most))))
+    # logarithm of the number of terms that could be taken for revealing ones over the number that may be by chance
+    tried = math.log(max(1, counted.count())) - math.log(chance) if chance < math.inf else -math.inf
+    some = texts.select("text_key", "text", "n_chars").mapInArrow(tidy(_term_rows(frequent)), "text_key string, n_chars long, term string").join(counted, "term")
+    rows = written(some.where(tried + F.col("n_texts") * F.log(F.col("n_chars") / chars) <= 1e-6).select("text_key", "term", "n_t"))
     terms_ = rows.groupBy("term", "n_t").agg(*_same_texts())
     of_term = written(terms_.select("term", F.xxhash64("n_t", "same_a", "same_b").alias("terms")))
     by_term = rows.join(of_term, "term").select("text_key", "terms", "n_t").distinct()
-    of_entity = known.select("entity", "n_e", F.xxhash64("n_e", "same_a", "same_b").alias("entities"))
-    by_entity = within.join(of_entity, "entity").select("text_key", "copies", "entities", "n_e").distinct()
+    of_entity = known.select("entity", "n_e", "chars_e", F.xxhash64("n_e", "same_a", "same_b").alias("entities"))
+    by_entity = within.join(of_entity, "entity").select("text_key", "copies", "entities", "n_e", "chars_e").distinct()
     met = written(by_term.join(by_entity, "text_key").where(F.col("n_t") + PRIOR <= bound(F.col("n_e"))))
     share = F.col("n_e") / total
     given = (F.col("n_te") + PRIOR * share) / (F.col("n_t") + PRIOR)
-    pairs = met.groupBy("entities", "terms", "n_e", "n_t").agg(F.sum("copies").alias("n_te"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support)
+    pairs = met.groupBy("entities", "terms", "n_e", "chars_e", "n_t").agg(F.sum("copies").alias("n_te"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support)
+    # copies are one piece of evidence; texts without the entity are counted as documents
+    apart = _by_chance(F.col("texts"), F.col("texts") + F.col("n_t") - F.col("n_te"), F.col("chars_e") / chars)
+    pairs = pairs.where(tried + apart <= 0)
     # an entity of all documents has no information to disclose, and a term that goes with it as with all others none either
     sure = written(pairs.where((F.col("n_e") < total) & (given > share) & (F.log2(given / share) >= -disclosure * F.log2(share))).select("entities", "terms"))
     if sure.isEmpty():
@@ -286,8 +322,8 @@ def _scanned(docs: DataFrame, *, whole: bool) -> DataFrame:
     return written(given.mapInArrow(tidy(_scanner(whole, pa.null() if whole else None)), schema.add(given.schema["rest"]) if whole else schema))
 
 
-def _with_spans(docs: DataFrame, found: DataFrame, disclosure: float, support: int) -> DataFrame:
-    marked = revealing_terms(docs, found, disclosure, support)
+def _with_spans(docs: DataFrame, found: DataFrame, disclosure: float, support: int, chance: float) -> DataFrame:
+    marked = revealing_terms(docs, found, disclosure, support, chance)
     if marked is None:
         return found.withColumn("spans", F.col("base"))
     extra = marked.mapInArrow(tidy(_mark), "text_key string, spans string")
@@ -295,16 +331,16 @@ def _with_spans(docs: DataFrame, found: DataFrame, disclosure: float, support: i
     return plain.unionByName(found.where("text_key is not null").join(extra, "text_key", "left").withColumn("spans", F.coalesce("spans", "base")))
 
 
-def spans(docs: DataFrame, *, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+def spans(docs: DataFrame, *, disclosure: float = DISCLOSURE, support: int = SUPPORT, chance: float = CHANCE) -> DataFrame:
     """doc_id, counts of the four fixed kinds, `base` (their spans) and `spans` (all), as kind:start:end."""
     found = _scanned(docs, whole=False)
-    return _with_spans(docs, found, disclosure, support).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "spans")
+    return _with_spans(docs, found, disclosure, support, chance).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "spans")
 
 
-def sanitised(docs: DataFrame, *, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+def sanitised(docs: DataFrame, *, disclosure: float = DISCLOSURE, support: int = SUPPORT, chance: float = CHANCE) -> DataFrame:
     """The documents with all their columns, their texts sanitised (null stays empty text)."""
     found = _scanned(docs, whole=True)
-    marked = _with_spans(docs, found, disclosure, support)
+    marked = _with_spans(docs, found, disclosure, support, chance)
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     schema = StructType().add("doc_id", LongType()).add("text", StringType()).add(found.schema["rest"])
     out = marked.select("doc_id", "text", "spans", "rest").mapInArrow(tidy(_replace), schema)

@@ -54,11 +54,23 @@ def test_long_runs_stay_linear():
     assert time.time() - began < 20
 
 
-def revealing(texts, disclosure, support):
+def revealing(texts, disclosure, support, chance=P.CHANCE):
     spans = {i: plain(t) for i, t in texts}
     holds = {i: {P.entity(t, k, a, b) for a, k, b in spans[i]} for i, t in texts}
     terms = {i: {w.lower() for w in re.findall(r"[^\W\d_]{3,}", t)} for i, t in texts}
     n = len(texts)
+    chars = sum(len(t) for _, t in texts)
+    in_docs = {t: sum(t in terms[i] for i, _ in texts) for t in set().union(*[terms[i] for i, _ in texts if holds[i]])}
+    most = max(sum(e in holds[i] for i, _ in texts) for e in set().union(*holds.values()))
+    tried = sum(k + 1 <= most**disclosure * n ** (1 - disclosure) * (1 + 1 / n) for k in in_docs.values())
+
+    def innocent(x, k, q):
+        """How many terms chance would bring together so: an upper bound of a binomial tail."""
+        if q >= 1 or x <= k * q:
+            return float(tried)
+        apart = x * math.log(x / (k * q)) + ((k - x) * math.log((k - x) / (k * (1 - q))) if k > x else 0)
+        return tried * math.exp(-apart)
+
     out = {}
     for e in set().union(*holds.values()):
         with_e = [i for i, _ in texts if e in holds[i]]
@@ -67,6 +79,9 @@ def revealing(texts, disclosure, support):
             n_t = sum(t in terms[i] for i, _ in texts)
             share = len(with_e) / n
             given_ = (len(both) + share) / (n_t + 1)
+            x = len({dict(texts)[i] for i in both})
+            if chance < math.inf and innocent(x, x + n_t - len(both), sum(len(dict(texts)[i]) for i in with_e) / chars) > chance:
+                continue
             if len(with_e) < n and given_ > share and len({dict(texts)[i] for i in both}) >= support and math.log2(given_ / share) >= -disclosure * math.log2(share):
                 for i in both:
                     out.setdefault(i, set()).add(t)
@@ -86,11 +101,11 @@ def test_revealing_terms(spark):
         rng.shuffle(words)
         texts.append((i, " ".join(words)))
     texts += [(500 + k, texts[0][1]) for k in range(5)]
-    for few in (P.FREQUENT_TERMS, 1):
+    for few, chance in ((P.FREQUENT_TERMS, math.inf), (1, math.inf), (P.FREQUENT_TERMS, P.CHANCE), (1, P.CHANCE), (1, 1e-6)):
         P.FREQUENT_TERMS, kept = few, P.FREQUENT_TERMS
-        rows = {r.doc_id: r for r in P.spans(documents(spark, texts)).collect()}
+        rows = {r.doc_id: r for r in P.spans(documents(spark, texts), chance=chance).collect()}
         P.FREQUENT_TERMS = kept
-        want = revealing(texts, P.DISCLOSURE, P.SUPPORT)
+        want = revealing(texts, P.DISCLOSURE, P.SUPPORT, chance)
         assert want
         for i, t in texts:
             got = [t[a:b].lower() for a, k, b in P.read(rows[i].spans) if k == 4]
@@ -107,7 +122,7 @@ def test_an_entity_of_one_text_is_estimated(spark):
     total, spans = len(texts), {}
     for few in (P.FREQUENT_TERMS, 1):
         P.FREQUENT_TERMS, kept = few, P.FREQUENT_TERMS
-        rows = P.spans(documents(spark, texts)).collect()
+        rows = P.spans(documents(spark, texts), chance=math.inf).collect()
         P.FREQUENT_TERMS = kept
         spans = {r.doc_id: [dict(texts)[r.doc_id][a:b] for a, k, b in P.read(r.spans) if k == 4] for r in rows}
         # smoothed by one document: Zanzibar stands in 2 documents, harbour in 4
@@ -151,7 +166,7 @@ def test_a_text_of_many_entities(spark):
     letters = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
     long = " ".join([f"{letters(i)}@host{i % 7}.example.com" for i in range(3000)] + [f"zz{letters(i)}" for i in range(8000)])
     texts = [(1, long), (2, long + " more"), (3, "zzaaaa alone")] + [(i, "plain words here") for i in range(10, 400)]
-    rows = {r.doc_id: r for r in P.spans(documents(spark, texts, clash=False)).collect()}
+    rows = {r.doc_id: r for r in P.spans(documents(spark, texts, clash=False), chance=math.inf).collect()}
     assert rows[1].n_email == 3000 and rows[1].spans.count("term:") == 8000 and rows[3].spans == ""
 
 
@@ -159,3 +174,41 @@ def test_odd_column_names(spark):
     df = documents(spark, [(1, "mail ann@mail.example.com now"), (2, "none")], clash=False).withColumns({"my col": F.lit("x"), "a.b": F.lit(1), "c`d": F.lit(2)})
     out = P.sanitised(df)
     assert out.columns == df.columns and {(r["my col"], r["a.b"], r["c`d"]) for r in out.collect()} == {("x", 1, 2)}
+
+
+def test_planted_terms_are_told_from_rare_words(spark):
+    """A name that goes with an address reveals it; the rare words that every text has of its own don't."""
+    rng = random.Random(11)
+    letters = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    texts = []
+    for i in range(400):
+        words = [f"common{letters(rng.randrange(40))}" for _ in range(30)] + [f"rare{letters(rng.randrange(1500))}" for _ in range(5)] + [f"own{letters(i)}x{letters(i + k)}" for k in range(3)]
+        if i % 40 < 3:
+            # ten persons in three texts each
+            words += [f"Person{letters(i // 40)}", f"p{i // 40}@mail.example.com"]
+        elif i % 7 == 0:
+            words.append(f"solo{i}@mail.example.com")
+        rng.shuffle(words)
+        texts.append((i, " ".join(words)))
+    rows = {r.doc_id: r for r in P.spans(documents(spark, texts)).collect()}
+    found = {i: {t[a:b] for a, k, b in P.read(rows[i].spans) if k == 4} for i, t in texts}
+    assert found == {i: {f"Person{letters(i // 40)}"} if i % 40 < 3 else set() for i, _ in texts}
+    # without a regard to chance hundreds of innocent words go
+    loose = P.spans(documents(spark, texts), chance=math.inf).collect()
+    assert sum(r.spans.count("term:") for r in loose) > 300
+
+
+def test_copies_are_one_piece_of_evidence(spark):
+    words = "harbour zenith quartz mail ann@mail.example.com"
+    texts = [(i, words) for i in range(20)] + [(100 + i, f"alpha beta gamma delta word{'abcdefghij'[i % 10]}") for i in range(400)]
+    assert all("term" not in r.spans for r in P.spans(documents(spark, texts)).collect())
+    assert any("term" in r.spans for r in P.spans(documents(spark, texts), chance=math.inf).collect())
+
+
+def test_the_bound_of_chance_is_above_the_tail(spark):
+    cases = [(x, n, q) for n in (1, 2, 3, 10, 40) for x in range(1, n + 1) for q in (1e-6, 0.01, 0.3, 0.9, 1.0)]
+    df = spark.createDataFrame(cases, "x long, n long, q double")
+    for r in df.withColumn("log", P._by_chance(F.col("x"), F.col("n"), F.col("q"))).collect():
+        tail = sum(math.comb(r.n, k) * r.q**k * (1 - r.q) ** (r.n - k) for k in range(r.x, r.n + 1))
+        assert math.exp(r.log) >= tail * (1 - 1e-9) and r.log <= 0
+        assert r.x < r.n or r.q == 1 or math.isclose(r.log, r.n * math.log(r.q), rel_tol=1e-9)
