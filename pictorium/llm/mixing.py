@@ -12,7 +12,9 @@ Targets are stated per dimension: category -> share. A category without a target
 OTHER has no target, it keeps the share it has. A target category without any document can't be met: its share is
 spread over the others. TEMPERED asks for shares that follow the power TEMPER of each category's own tokens, for every
 category, however many there are. Cells of at most DRIVER_CELLS are raked on the driver; more of them stay a table,
-raked by aggregates and joins, in the same turns and by the same rule.
+raked by aggregates and joins, in the same turns, to the same tolerance and by the same rule. Targets that contradict
+each other (cells that would be needed hold nothing) are never met at once: after ROUNDS rounds the weights are those of
+the last dimension, and a warning says how far off the others are.
 
 Tokens are the caller's counts where `tokens` names a column, else words (runs of characters other than the six ASCII
 spaces); a document without any weighs nothing and is kept with its cell's probability. Topics are the caller's where
@@ -23,6 +25,7 @@ table gives no rows, and other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 import numpy as np
@@ -38,8 +41,6 @@ KEEP = 0.9
 DRIVER_CELLS = 100_000
 DIMENSIONS = ("source", "lang", "topic")
 TOLERANCE, ROUNDS = 1e-9, 1_000
-#: Of a table of cells, whose rounds are jobs.
-TABLE_TOLERANCE, TABLE_ROUNDS = 1e-6, 60
 SEED = 20240517
 
 #: Topics by what a text holds: the first pattern that it matches, in this order.
@@ -110,9 +111,15 @@ def raked(cells: np.ndarray, weights: np.ndarray, targets: list[dict[str, float]
             w *= np.divide(goal, now, out=np.zeros_like(goal), where=now > 0)[at]
         if worst < TOLERANCE:
             break
+    else:
+        _unmet(worst)
     return w * (total / w.sum())
 
 
+def _unmet(worst: float) -> None:
+    warnings.warn(f"the targets contradict each other: after {ROUNDS} rounds a share is off by {worst:.2g}", stacklevel=3)
+
+
 def scale(tokens: np.ndarray, factor: np.ndarray, keep: float) -> float:
     """The scale at which the tokens expected to stay are the share `keep` (or all that can be, if that is less)."""
     low, high = 0.0, 1.0 / min(factor[factor > 0], default=1.0)
@@ -143,7 +150,7 @@ def _raked_table(cells: DataFrame, targets: Mapping[str, Mapping[str, float] | s
         left = (1 - whole["r"]) / whole["s"] if whole["s"] else 0.0
         goals[cell] = written(own.select(cell, (F.coalesce(F.col("stated") * left, F.lit(0.0)) + F.col("rest")).alias("goal")))
     now = written(cells.select(*_CELLS, "n", F.col("n").cast("double").alias("w")))
-    for _ in range(TABLE_ROUNDS):
+    for _ in range(ROUNDS):
         worst = 0.0
         for cell in _CELLS:
             held = now.groupBy(cell).agg(F.sum("w").alias("has")).join(goals[cell], cell)
@@ -151,8 +158,10 @@ def _raked_table(cells: DataFrame, targets: Mapping[str, Mapping[str, float] | s
             worst = max(worst, sums.agg(F.max(F.abs(F.col("share") - F.col("goal")))).first()[0])
             ratio = F.coalesce(F.try_divide(F.col("goal"), F.col("share")), F.lit(0.0))
             now = written(now.join(sums.select(cell, ratio.alias("ratio")), cell).select(*_CELLS, "n", (F.col("w") * F.col("ratio")).alias("w")))
-        if worst < TABLE_TOLERANCE:
+        if worst < TOLERANCE:
             break
+    else:
+        _unmet(worst)
     whole = now.agg(F.sum("w")).first()[0]
     factors = written(now.withColumn("factor", F.coalesce(F.try_divide(F.col("w") * (total / whole), F.col("n")), F.lit(0.0))))
     low, high = 0.0, 1.0 / (factors.where("factor > 0").agg(F.min("factor")).first()[0] or 1.0)

@@ -70,6 +70,14 @@ def test_a_category_without_documents_and_others():
     assert np.allclose(w, [10.0, 30.0])
 
 
+def test_contradicting_targets_are_told():
+    cells = np.array([["a", "x", "p"], ["b", "y", "p"]], object)
+    with pytest.warns(UserWarning, match="contradict"):
+        w = M.raked(cells, np.array([10.0, 30.0]), [{"a": 0.9, "b": 0.1}, {"x": 0.2, "y": 0.8}, {"p": 1.0}])
+    # the turns end with the later dimension's shares, and the sum stays
+    assert np.allclose(w, [8.0, 32.0])
+
+
 def test_mixing(spark):
     texts = [(i, ("word " * (5 + i % 7)) + ("| a | b |" if i % 4 == 0 else "")) for i in range(3000)]
     df = documents(spark, texts).withColumn("source", F.concat(F.lit("s"), (F.col("doc_id") % 3).cast("string"))).withColumn("lang", F.when(F.col("doc_id") % 5 < 4, "en").otherwise("fr"))
