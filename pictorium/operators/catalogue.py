@@ -265,16 +265,16 @@ def in_order(rows: DataFrame, ids: Sequence[int]) -> DataFrame:
 def robust_dates(images: DataFrame, *, now: float, factor: float = DEFAULTS.outlier_factor) -> DataFrame:
     """Per directory: mean and first of the valid dates that lie within `factor` median deviations of the median.
 
-    All stay where the median deviation is 0; a directory without valid dates gets `now`. Both medians are found by
-    counting, so a directory with most of the images is no task's buffer.
+    All stay where the median deviation is 0; a directory without valid dates gets `now`. A directory with most of the
+    images is no task's buffer: both its medians are found by counting.
     """
     dates = images.where("date_taken_valid").select("directory_id", V.epoch_seconds(F.col("date_taken")).alias("sec")).where("sec is not null and directory_id is not null")
     middle = written(medians(dates, "directory_id", "sec"))
     n = middle.count()
-    apart = attached(dates, middle.select("directory_id", "median"), "directory_id", n).withColumn("apart", F.abs(F.col("sec") - F.col("median")))
-    spread = medians(apart, "directory_id", "apart").select("directory_id", F.col("median").alias("mad"))
+    apart = written(attached(dates, middle, "directory_id", n).withColumn("apart", F.abs(F.col("sec") - F.col("median"))).drop("median"))
+    spread = written(medians(apart, "directory_id", "apart").withColumnRenamed("median", "mad"))
     kept = attached(apart, spread, "directory_id", n).where((F.col("mad") == 0) | (F.col("apart") / F.col("mad") < factor))
-    found = kept.groupBy("directory_id").agg(F.avg("sec").alias("mean_datesec"), F.floor(F.min("sec")).cast("double").alias("first_datesec"), F.count(F.lit(1)).alias("n_used"))
+    found = kept.groupBy("directory_id").agg(F.avg("sec").alias("mean_datesec"), F.floor(F.min("sec")).cast("double").alias("first_datesec"), F.count(F.lit(1)).alias("n_used")).hint("merge")
     every = images.select("directory_id").distinct().join(found, "directory_id", "left")
     return every.select("directory_id", F.coalesce("mean_datesec", F.lit(now)).alias("mean_datesec"), F.coalesce("first_datesec", F.lit(now)).alias("first_datesec"), F.coalesce("n_used", F.lit(0)).alias("n_used"))
 

@@ -84,3 +84,29 @@ def test_a_directory_with_most_images(spark):
     row = out.where("directory_id = 1").first()
     assert (row.mean_datesec, row.first_datesec, row.n_used) == (pytest.approx(kept.mean()), kept.min(), len(kept))
     assert out.where("n_used = 0 and mean_datesec = 5.0").count() == sum(i % 10 == 0 and i % 7 == 0 for i in range(4000))
+
+
+@pytest.mark.parametrize("held", [0, 50])
+def test_medians_of_large_and_small_groups(spark, monkeypatch, held):
+    """Groups of more than HELD values are counted, others sorted; both at once, with ends beyond each other's doubles."""
+    monkeypatch.setattr(M, "HELD", held)
+    monkeypatch.setattr(M, "RANGES", 4)
+    rng = np.random.default_rng(8)
+    values = {1: rng.normal(size=301) * 1e9, 2: rng.integers(0, 5, 200), 3: [5.0], 4: [1.0, 2.0], 5: [7.0] * 51, 6: [-1.7e308, 1.7e308, 0.0, 3.0] * 20, 7: rng.normal(size=50)}
+    rows = [(k, float(v)) for k, vs in values.items() for v in vs]
+    got = {r.k: (r["median"], r.n) for r in M.medians(spark.createDataFrame(rows, "k long, v double"), "k", "v").collect()}
+    assert got == {k: (pytest.approx(float(np.median(vs)), rel=1e-15), len(vs)) for k, vs in values.items()}
+
+
+@pytest.mark.parametrize("held", [M.HELD, 20])
+def test_many_groups_are_never_broadcast(spark, monkeypatch, held):
+    """Groups beyond the bound are joined by sorting, however small their files are; large ones are dealt to several tasks."""
+    monkeypatch.setattr(M, "BROADCAST_GROUPS", 0)
+    monkeypatch.setattr(M, "HELD", held)
+    groups = spark.range(300).select(F.col("id").alias("k"), F.when(F.col("id") < 2, 900).otherwise(3).alias("n"), (F.col("id") * 2).alias("more"))
+    rows = spark.range(2694).select(F.when(F.col("id") < 1800, F.col("id") % 2).otherwise(F.floor((F.col("id") - 1800) / 3) + 2).alias("k"), "id")
+    out = M.attached(rows, groups, "k", 300)
+    assert out.columns == ["k", "id", "more"]
+    assert out.count() == 2694 and out.where("more = 2 * k").select("id").distinct().count() == 2694
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and plan.count("BroadcastExchange") <= 1
