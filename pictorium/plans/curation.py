@@ -147,8 +147,9 @@ def new_person_face(spark, sf_dir):
     return faces.select("id", "declared_person_id", F.size("candidates").cast("long").alias("n_candidates"))
 
 
-@query("SELECT id, person_name, CASE WHEN id = (SELECT declared_person_id FROM faces WHERE id = 71) OR person_name = 'Somebody New' THEN '/faces/71.jpg' END AS highlight_img FROM (SELECT id, person_name FROM people UNION ALL SELECT max(id) + 1, 'Somebody New' FROM people)", S.PEOPLE_SQL, S.FACES_SQL)
+@query("SELECT id, person_name, CASE WHEN id = (SELECT declared_person_id FROM faces WHERE id = 71) OR person_name = 'Somebody New' THEN '/faces/71.jpg' END AS highlight_img FROM (SELECT id, person_name FROM people UNION ALL SELECT (SELECT max(id) + 1 FROM people), 'Somebody New' FROM faces WHERE id = 71)", S.PEOPLE_SQL, S.FACES_SQL)
 def new_person_and_thumbnail(spark, sf_dir):
+    """A face that isn't there makes no new person and gives nobody a picture."""
     picture = F.concat(F.lit("/faces/"), F.col("id").cast("string"), F.lit(".jpg"))
     faces = S.faces(spark, sf_dir)
     people = D.thumbnail_set(S.people(spark, sf_dir), faces, 71, picture)

@@ -39,6 +39,18 @@ def test_same_rows_as_sql(spark, duck, name):
     assert ours == theirs
 
 
+def test_no_new_person_without_the_face(spark, tmp_path):
+    """Where the face isn't in the table, the query and its SQL agree that nobody is new."""
+    spark.read.parquet(f"{SF_DIR}/lineitem.parquet").where("not (l_orderkey = 7 and l_linenumber = 1)").write.parquet(f"{tmp_path}/lineitem.parquet")
+    os.symlink(f"{SF_DIR}/supplier.parquet", f"{tmp_path}/supplier.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    con.execute(f"CREATE VIEW supplier AS SELECT * FROM '{SF_DIR}/supplier.parquet'")
+    theirs = con.execute(f"SELECT id, person_name, highlight_img FROM ({registry.ORACLE_SQL['new_person_and_thumbnail']})").fetchall()
+    ours = [tuple(r) for r in registry.QUERIES["new_person_and_thumbnail"](spark, str(tmp_path)).select("id", "person_name", "highlight_img").collect()]
+    assert sorted(ours) == sorted(theirs) and all(r[1] != "Somebody New" and r[2] is None for r in ours)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
