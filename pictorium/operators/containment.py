@@ -1,7 +1,9 @@
 """Which images hold all people of a set, for a whole table of sets at once; and which texts hold a needle, likewise.
 
-Both go from the rarest part: a set's least frequent person, or a needle's least frequent trigrams, leads to the few
-candidates, and only these are verified. What many rows hold is looked at last and for candidates alone.
+A set's least frequent person leads to the few candidates, and only these are verified. A needle is found by one of its
+short runs of characters, the one that leads to it at least cost: texts that hold the run, shared among the needles that
+have it at the same place and are as long. Each text then gives the stretches that such runs say could be a needle, and
+stretches and needles that are equal meet, so a text meets no needle that it doesn't hold.
 """
 
 from __future__ import annotations
@@ -11,8 +13,10 @@ from pyspark.sql import functions as F
 
 from pictorium.sources.shared import written
 
-#: Trigrams of a needle that are intersected, the rarest first.
-GRAMS = 3
+#: Characters of the runs that needles are found by; shorter needles are runs themselves.
+GRAM = 3
+#: Runs of at most so many kinds are broadcast to the texts.
+BROADCAST_RUNS = 100_000
 
 
 def holding_all(sets: DataFrame, held: DataFrame) -> DataFrame:
@@ -33,39 +37,53 @@ def holding_all(sets: DataFrame, held: DataFrame) -> DataFrame:
     return found.where("size = 1").select("set_id", "image_id").unionByName(verified.select("set_id", "image_id"))
 
 
-def _grams(text: Column) -> Column:
-    """Distinct runs of three characters."""
-    return F.when(F.char_length(text) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(text) - 2), lambda i: F.substring(text, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+def _runs(text: Column, size: int) -> Column:
+    """Every run of so many characters, in order."""
+    last = F.char_length(text) - (size - 1)
+    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
 
 
 class Substrings:
-    """Texts (id, text) under their trigrams, written once: `postings` (gram, id) and how many each has."""
+    """Texts (id, text) that are searched for whole tables of needles."""
 
     def __init__(self, texts: DataFrame, *, any_case: bool = True):
         self.any_case = any_case
         self.texts = texts.select("id", self._folded(F.col("text")).alias("text")).where("text is not null")
-        self.postings = written(self.texts.select(F.explode(_grams(F.col("text"))).alias("gram"), "id"))
-        self.counts = written(self.postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n")))
 
     def _folded(self, text: Column) -> Column:
         return F.lower(text) if self.any_case else text
 
+    def ways(self, needles: DataFrame) -> DataFrame:
+        """gram, and `at` and `size` of the needles that are found by it; needles: needle, not empty."""
+        placed = needles.select("needle", F.char_length("needle").alias("size"), F.posexplode(F.when(F.char_length("needle") < GRAM, F.array("needle")).otherwise(_runs(F.col("needle"), GRAM))).alias("at", "gram"))
+        asked = written(placed.groupBy("gram", "at", "size").agg(F.count(F.lit(1)).alias("n")))
+        counts = self._grams(asked.select("gram").distinct()).groupBy("gram").agg(F.count(F.lit(1)).alias("texts"))
+        cost = asked.join(counts, "gram").select("gram", "at", "size", "n", (F.col("texts") / F.col("n")).alias("cost"))
+        # a needle with a run that no text holds is in none
+        best = Window.partitionBy("needle").orderBy("cost", F.desc("n"), "at")
+        runs = placed.groupBy("needle").agg(F.count(F.lit(1)).alias("runs"))
+        known = placed.join(cost, ["gram", "at", "size"]).withColumns({"place": F.row_number().over(best), "held": F.count(F.lit(1)).over(Window.partitionBy("needle"))})
+        return known.where("place = 1").join(runs, "needle").where("held = runs").select("gram", "at", "size").distinct()
+
+    def _grams(self, runs: DataFrame) -> DataFrame:
+        """id, text, begin and the columns of `runs`: where the texts hold one of these (gram, each once, and more)."""
+        runs = written(runs)
+        sizes = [r[0] for r in runs.select(F.char_length("gram")).distinct().collect()]
+        every = F.flatten(F.array(*[F.transform(_runs(F.col("text"), size), lambda g, i: F.struct(g.alias("gram"), i.alias("begin"))) for size in sizes])) if sizes else F.array().cast("array<struct<gram:string,begin:int>>")
+        return self.texts.select("id", "text", F.inline(every)).join(F.broadcast(runs) if runs.count() <= BROADCAST_RUNS else runs, "gram")
+
     def candidates(self, needles: DataFrame) -> DataFrame:
-        """needle and id of the texts that hold the needle's rarest trigrams; needles: needle, of three characters or more."""
-        grams = needles.select("needle", F.explode(_grams(F.col("needle"))).alias("gram")).join(self.counts, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-        of_needle = Window.partitionBy("needle")
-        chosen = grams.withColumn("place", F.row_number().over(of_needle.orderBy("n", "gram"))).where(F.col("place") <= GRAMS).withColumn("wanted", F.count(F.lit(1)).over(of_needle))
-        return chosen.join(self.postings, "gram").groupBy("needle", "wanted", "id").agg(F.count(F.lit(1)).alias("held")).where("held = wanted").select("needle", "id")
+        """needle and id of the texts that hold it, by their stretches; needles: needle, not empty and each once."""
+        of_gram = self.ways(needles).groupBy("gram").agg(F.collect_list(F.struct("at", "size")).alias("ways"))
+        begins = self._grams(of_gram).select("id", "text", "begin", F.inline("ways"))
+        begin = F.col("begin") - F.col("at") + 1
+        stretches = begins.where((begin >= 1) & (begin + F.col("size") - 1 <= F.char_length("text"))).select("id", F.substring("text", begin, F.col("size")).alias("needle"))
+        return stretches.join(needles, "needle").select("needle", "id").distinct()
 
     def found(self, needles: DataFrame) -> DataFrame:
-        """needle (as given) and id of every text that holds it. Needles: column `needle`; null ones find nothing, those of
-        fewer than three characters go through all texts."""
-        asked = needles.select("needle", self._folded(F.col("needle")).alias("folded")).where("needle is not null").distinct()
-        long = asked.where(F.char_length("folded") >= 3).select(F.col("folded").alias("needle")).distinct()
-        verified = self.candidates(long).join(self.texts, "id").where(F.contains("text", "needle")).select(F.col("needle").alias("folded"), "id")
-        short = asked.where(F.char_length("folded") < 3).select("folded").distinct()
-        if short.isEmpty():
-            return asked.join(verified, "folded").select("needle", "id")
-        pieces = lambda n: F.when(F.char_length("text") >= n, F.transform(F.sequence(F.lit(1), F.char_length("text") - (n - 1)), lambda i: F.substring(F.col("text"), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-        every = self.texts.select("id", F.explode(F.array_union(F.array_union(F.array(F.lit("")), pieces(1)), pieces(2))).alias("folded"))
-        return asked.join(verified.unionByName(every.join(short, "folded").select("folded", "id")), "folded").select("needle", "id")
+        """needle (as given) and id of every text that holds it. Needles: column `needle`; null ones find nothing, the
+        empty one every text."""
+        asked = written(needles.select("needle", self._folded(F.col("needle")).alias("folded")).where("needle is not null").distinct())
+        held = self.candidates(asked.where("folded <> ''").select(F.col("folded").alias("needle")).distinct()).withColumnRenamed("needle", "folded")
+        every = asked.where("folded = ''").select("needle").crossJoin(self.texts.select("id"))
+        return asked.join(held, "folded").select("needle", "id").unionByName(every)

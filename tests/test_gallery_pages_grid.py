@@ -100,6 +100,17 @@ def test_needles(spark):
     assert index.candidates(rare).count() <= 2 * index.found(rare).count() + 8 < 0.1 * 2 * len(texts)
 
 
+def test_needles_of_common_runs(spark):
+    """Numbers between common ends: every run is in many texts and needles, but a text meets only what it holds."""
+    texts = spark.range(3000).select("id", F.format_string("/photos/%d.jpg", "id").alias("text"))
+    needles = spark.range(0, 3000, 2).select(F.format_string("/%d.J", "id").alias("needle"))
+    index = Q.Substrings(texts)
+    rows = [tuple(r) for r in index.found(needles).collect()]
+    assert sorted(rows) == sorted((f"/{i}.J", i) for i in range(0, 3000, 2))
+    # /1212.jpg holds all runs of /12.J, and is no candidate
+    assert index.candidates(needles.select(F.lower("needle").alias("needle"))).count() == len(rows)
+
+
 def boxes(rng, n, extent, largest, image=1):
     out = []
     for i in range(n):
