@@ -59,6 +59,18 @@ def test_similar_people(spark):
     assert N.similar_people(people.limit(0)).collect() == []
 
 
+def test_similar_people_by_name(spark):
+    """One row a bearer of a name and one a pair of names; all pairs of people follow."""
+    people = [(i, name) for i, name in enumerate(["Ann Lee", "ann lee", "Ann Leigh", "Anne Lee", None, "Bob", "Ann Lees"] * 20)]
+    df = spark.createDataFrame(people, "id long, person_name string")
+    rows = [tuple(r) for r in N.similar_people_by_name(df, 2).collect()]
+    assert len(rows) == len(set(rows)) == (120 - 5) + 3
+    first = {i: i for i, name in people if name is not None} | {b: a for a, b, k in rows if k == 0}
+    links = {(a, b): k for a, b, k in rows if k}
+    got = {(a, b, links.get(tuple(sorted((first[a], first[b]))), 0)) for a, b in itertools.combinations(sorted(first), 2) if first[a] == first[b] or tuple(sorted((first[a], first[b]))) in links}
+    assert got == {tuple(r) for r in N.similar_people(df, 2).collect()}
+
+
 @pytest.mark.parametrize("groups", [M.BROADCAST_GROUPS, 0])
 def test_medians(spark, monkeypatch, groups):
     monkeypatch.setattr(M, "BROADCAST_GROUPS", groups)
