@@ -179,11 +179,13 @@ def children_counts(parents: DataFrame, children: DataFrame, key: str, name: str
 
 
 def candidate_names(faces: DataFrame, people: DataFrame, slots: int = 5) -> DataFrame:
-    """Faces with their candidates' names by slot, N/A where there is none: one join however many slots."""
-    names = people.select(F.col("id").alias("person_id"), "person_name")
-    one = faces.select("id", F.posexplode("candidates").alias("place", "c")).select("id", "place", F.col("c.person_id").alias("person_id"))
-    found = one.join(names, "person_id", "left").groupBy("id").agg(*[F.max(F.when(F.col("place") == k, F.col("person_name"))).alias(f"poss_name{k + 1}") for k in range(slots)])
-    out = faces.join(found, "id", "left")
+    """Faces with their candidates' names by slot, N/A where there is none. The names are joined to the face slot by slot, so
+    no face is taken apart and gathered again; where they are broadcast, no face moves."""
+    names = people.select(F.col("id").alias("_person"), "person_name")
+    out = faces
+    for k in range(1, slots + 1):
+        name = names.withColumnRenamed("person_name", f"poss_name{k}")
+        out = out.withColumn("_slot", F.get("candidates", F.lit(k - 1))["person_id"]).join(name, F.col("_slot") == F.col("_person"), "left").drop("_slot", "_person")
     return out.withColumns({f"poss_name{k}": F.coalesce(f"poss_name{k}", F.lit("N/A")) for k in range(1, slots + 1)})
 
 

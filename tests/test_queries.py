@@ -51,6 +51,19 @@ def test_no_new_person_without_the_face(spark, tmp_path):
     assert sorted(ours) == sorted(theirs) and all(r[1] != "Somebody New" and r[2] is None for r in ours)
 
 
+def test_names_by_slot_move_no_face(spark):
+    """Faces get their candidates' names where they are: none is taken apart and gathered again, no strings are sorted."""
+    from pictorium.operators import catalogue as C
+    from pictorium.plans import stand_ins as S
+
+    faces = spark.sql("SELECT id, CAST(IF(id = 3, NULL, slice(array(struct(id AS person_id, 0.5D AS weight), struct(9L AS person_id, 0.4D AS weight), struct(1L AS person_id, 0.3D AS weight)), 1, CAST(id AS INT))) AS array<struct<person_id: bigint, weight: double>>) AS candidates FROM range(4)")
+    people = spark.createDataFrame([(1, "a"), (2, "b"), (4, None)], "id long, person_name string")
+    out = C.candidate_names(faces, people)
+    assert sorted((r.id, *[r[n] for n in C.FACE_NAMES]) for r in out.collect()) == [(0, *["N/A"] * 5), (1, "a", *["N/A"] * 4), (2, "b", *["N/A"] * 4), (3, *["N/A"] * 5)]
+    plan = C.candidate_names(faces, S.people(spark, SF_DIR))._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan and "hashpartitioning" not in plan
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
