@@ -1,6 +1,6 @@
 """Which images hold all people of a set, for a whole table of sets at once; and which texts hold a needle, likewise.
 
-A set's least frequent person leads to the few candidates, and only these are verified. A needle is found by one of its
+Sets of the same people are one; a set's two least frequent people lead to the few candidates, and only these are verified. A needle is found by one of its
 short runs of characters, the one that leads to it at least cost: texts that hold the run, shared among the needles that
 have it at the same place and are as long. Each text then gives the stretches that such runs say could be a needle, and
 stretches and needles that are equal meet, so a text meets no needle that it doesn't hold.
@@ -19,22 +19,36 @@ GRAM = 3
 BROADCAST_RUNS = 100_000
 
 
+def kinds_of(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """set_id and people (sorted) of each set; people and kind of those that differ: the least id of the sets with them."""
+    given = written(sets.where("set_id is not null and person_id is not null").groupBy("set_id").agg(F.sort_array(F.collect_set("person_id")).alias("people")))
+    return given, written(given.groupBy("people").agg(F.min("set_id").alias("kind")))
+
+
 def holding_all(sets: DataFrame, held: DataFrame) -> DataFrame:
     """set_id, image_id: the images that hold every person of a set.
 
     sets: set_id, person_id; held: image_id, person_id. Repeated rows and nulls don't count; a set with a person that
     no image holds has no images.
     """
-    sets = sets.where("set_id is not null and person_id is not null").distinct()
-    held = written(held.where("image_id is not null and person_id is not null").distinct())
+    # sets of the same people are looked for once
+    given, kinds = kinds_of(sets)
+    sets = kinds.select(F.col("kind").alias("set_id"), F.explode("people").alias("person_id"))
+    held = held.where("image_id is not null and person_id is not null").join(sets.select("person_id").distinct(), "person_id", "left_semi")
+    held = written(held.distinct())
     frequent = held.groupBy("person_id").agg(F.count(F.lit(1)).alias("n_images"))
     sized = sets.join(frequent, "person_id", "left").withColumn("n_images", F.coalesce("n_images", F.lit(0)))
     of_set = Window.partitionBy("set_id")
     ranked = written(sized.withColumn("size", F.count(F.lit(1)).over(of_set)).withColumn("place", F.row_number().over(of_set.orderBy("n_images", "person_id"))))
-    found = ranked.where("place = 1").join(held, "person_id").select("set_id", "size", "image_id")
-    others = ranked.where("place > 1").select("set_id", "person_id")
-    verified = found.join(others, "set_id").join(held, ["image_id", "person_id"], "left_semi").groupBy("set_id", "size", "image_id").agg(F.count(F.lit(1)).alias("n")).where("n = size - 1")
-    return found.where("size = 1").select("set_id", "image_id").unionByName(verified.select("set_id", "image_id"))
+    # two rare people lead to far fewer images than one
+    pairs = ranked.where("size > 1 and place <= 2").groupBy("set_id", "size").agg(F.min("person_id").alias("p"), F.max("person_id").alias("q"))
+    both = pairs.select("p", "q").distinct().join(held.select(F.col("person_id").alias("p"), "image_id"), "p").join(held.select(F.col("person_id").alias("q"), "image_id"), ["q", "image_id"])
+    found = pairs.join(both, ["p", "q"]).select("set_id", "size", "image_id")
+    others = ranked.where("place > 2").select("set_id", "person_id")
+    verified = found.where("size > 2").join(others, "set_id").join(held, ["image_id", "person_id"], "left_semi").groupBy("set_id", "size", "image_id").agg(F.count(F.lit(1)).alias("n")).where("n = size - 2")
+    one = ranked.where("size = 1").join(held, "person_id").select("set_id", "image_id")
+    every = one.unionByName(found.where("size = 2").select("set_id", "image_id")).unionByName(verified.select("set_id", "image_id"))
+    return every.withColumnRenamed("set_id", "kind").join(kinds, "kind").join(given, "people").select("set_id", "image_id")
 
 
 def _runs(text: Column, size: int) -> Column:

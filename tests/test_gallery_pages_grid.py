@@ -100,6 +100,19 @@ def test_needles(spark):
     assert index.candidates(rare).count() <= 2 * index.found(rare).count() + 8 < 0.1 * 2 * len(texts)
 
 
+def test_sets_of_the_same_people(spark):
+    """They are looked for once; sets of one to five people, each asked by many ids."""
+    rng = random.Random(16)
+    held = {(rng.randrange(150), rng.randrange(8)) for _ in range(700)}
+    wanted = {i: rng.sample(range(9), 1 + i % 5) for i in range(40)}
+    sets = [(i + 1000 * k, p) for i, people in wanted.items() for k in range(10) for p in reversed(people)]
+    images = {i: {p for image, p in held if image == i} for i in range(150)}
+    df = spark.createDataFrame(sets, "set_id long, person_id long")
+    rows = [tuple(r) for r in Q.holding_all(df, spark.createDataFrame(sorted(held), "image_id long, person_id long")).collect()]
+    assert sorted(rows) == sorted((i + 1000 * k, image) for i, people in wanted.items() for k in range(10) for image, those in images.items() if set(people) <= those)
+    assert Q.kinds_of(df)[1].count() == len({frozenset(p) for p in wanted.values()})
+
+
 def test_needles_of_common_runs(spark):
     """Numbers between common ends: every run is in many texts and needles, but a text meets only what it holds."""
     texts = spark.range(3000).select("id", F.format_string("/photos/%d.jpg", "id").alias("text"))
