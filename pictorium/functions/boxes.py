@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column
@@ -117,19 +118,33 @@ def square_highlight(x: Box) -> Column:
     return as_struct(Box(cx - extent, cy - extent, cx + extent, cy + extent))
 
 
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """`then` of a value that is computed once, however often it is named there."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def padded_chip(x: Box, width: Column, height: Column, pad: float, largest: int) -> Column:
     """The cut-out with `pad` of the box on each side, the box within it, and both shrunk to `largest`; null off the image."""
-    inside = clipped(x, width, height)
-    outside = (inside.r < 0) | (inside.b < 0) | (inside.t > height) | (inside.l > width)
-    w, h = F.abs(inside.r - inside.l), F.abs(inside.b - inside.t)
-    l, t = F.greatest(inside.l - w * pad, F.lit(0.0)).cast("int"), F.greatest(inside.t - h * pad, F.lit(0.0)).cast("int")
-    r, b = F.least(inside.r + w * pad, width.cast("double")).cast("int"), F.least(inside.b + h * pad, height.cast("double")).cast("int")
-    longest = F.greatest(r - l, b - t)
-    scale = F.when(longest > largest, F.lit(float(largest)) / longest).otherwise(F.lit(1.0))
-    box = Box(inside.l - l, inside.t - t, inside.r - l, inside.b - t)
-    fields = [c.alias(f"chip_{n}") for c, n in zip((l, t, r, b), "ltrb", strict=True)]
-    fields += [(c * scale).cast("int").alias(f"box_{n}") for c, n in zip(box, "ltrb", strict=True)]
-    return F.when(~outside & (w > 0) & (h > 0), F.struct(*fields, ((r - l) * scale).cast("int").alias("out_w"), ((b - t) * scale).cast("int").alias("out_h")))
+
+    def chip(i: Column) -> Column:
+        w, h = i["r"] - i["l"], i["b"] - i["t"]
+        l, t = F.greatest(i["l"] - F.abs(w) * pad, F.lit(0.0)).cast("int"), F.greatest(i["t"] - F.abs(h) * pad, F.lit(0.0)).cast("int")
+        r, b = F.least(i["r"] + F.abs(w) * pad, i["width"].cast("double")).cast("int"), F.least(i["b"] + F.abs(h) * pad, i["height"].cast("double")).cast("int")
+        outside = (i["r"] < 0) | (i["b"] < 0) | (i["t"] > i["height"]) | (i["l"] > i["width"])
+        return F.struct((~outside & (w != 0) & (h != 0)).alias("ok"), i.alias("inside"), *[c.alias(n) for c, n in zip((l, t, r, b), "ltrb", strict=True)])
+
+    def scaled(c: Column) -> Column:
+        longest = F.greatest(c["r"] - c["l"], c["b"] - c["t"])
+        return F.struct(c.alias("chip"), F.when(longest > largest, F.lit(float(largest)) / longest).otherwise(F.lit(1.0)).alias("scale"))
+
+    def fields(s: Column) -> Column:
+        c, scale = s["chip"], s["scale"]
+        box = [c["inside"][n] - c[o] for n, o in zip("ltrb", "ltlt", strict=True)]
+        out = [c[n].alias(f"chip_{n}") for n in "ltrb"] + [(v * scale).cast("int").alias(f"box_{n}") for v, n in zip(box, "ltrb", strict=True)]
+        return F.when(c["ok"], F.struct(*out, ((c["r"] - c["l"]) * scale).cast("int").alias("out_w"), ((c["b"] - c["t"]) * scale).cast("int").alias("out_h")))
+
+    inside = F.struct(*[c.alias(n) for c, n in zip(clipped(x, width, height), "ltrb", strict=True)], width.alias("width"), height.alias("height"))
+    return bound(bound(bound(inside, chip), scaled), fields)
 
 
 def turning_chip(x: Box, width: Column, height: Column) -> Column:

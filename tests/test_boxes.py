@@ -84,3 +84,13 @@ def test_padded_chip_off_the_image(spark):
     df = spark.createDataFrame([(500, 0, 520, 10), (0, 0, 10, 10)], "l int, t int, r int, b int")
     got = [r.x is None for r in df.select(B.padded_chip(B.Box.of(), F.lit(100), F.lit(100), 0.4, 800).alias("x")).collect()]
     assert got == [True, False]
+
+
+def test_padded_chip_names_its_box_once(spark):
+    """What a step computes is named by the next ones, not repeated in them."""
+    df = spark.createDataFrame([(10, 10, 90, 40)], "l int, t int, r int, b int")
+    out = df.select(B.padded_chip(B.Box.of(), F.lit(100), F.lit(100), 0.4, 60).alias("x"))
+    row = out.first().x
+    assert tuple(row) == (0, 0, 100, 52, 6, 6, 54, 24, 60, 31)
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert plan.count("greatest") < 8 and plan.count("least") < 8
