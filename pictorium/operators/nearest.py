@@ -2,15 +2,15 @@
 
 Vectors lie in blocks around pivots. A block knows, for each pivot, the least and greatest distance of its vectors to
 it. By the triangle inequality two blocks that lie in distant rings around some pivot are at least the rings' gap
-apart, and no two of their vectors are further apart than the rings' outer radii together. The search has two rounds:
+apart. A block of asked vectors meets the known blocks one after another, nearest first, and passes over those that no
+person can need any more: whose gap is beyond the worst of the k-th distances found so far.
 
-1. of each person, every block of asked vectors meets the blocks of least upper bound that hold enough vectors of that
-   person together. That gives each asked vector k neighbours, if not the nearest ones, and so a bound;
-2. it then meets those blocks that some person could still need: whose lower bound is within the worst bound of the
-   block's vectors. All others are skipped.
+Each known block is a file in the shared folder, which a task reads when its asked block comes to it. So only the asked
+vectors are shuffled, once; what is found for an asked block is whole when its task is done, and nothing is merged
+afterwards. Memory is that of two blocks, what is kept for the asked one, and BROADCAST_NUMBERS of known vectors.
 
-Bounds come from a table of the blocks' extents alone, a row a block, which is compared in chunks. Where vectors have
-no structure (random ones of many dimensions) nothing can be skipped and the result is that of all pairs of blocks.
+Gaps come from a table of the blocks' extents alone, a row a block, which is compared in chunks. Where vectors have
+no structure (random ones of many dimensions) nothing can be skipped and all pairs of blocks meet.
 
 Two measures: Euclidean distance, and the negated cosine, which orders unit vectors as their distance does. Pivots are
 centres of a bounded sample (PIVOT_SAMPLE rows by the hash of their ids); any choice gives the same rows. Vectors that are null, the sentinel, or hold null or
@@ -19,22 +19,27 @@ non-finite components take no part, neither do known vectors without a person, a
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow.parquet as pq
+from pyarrow.fs import FileSystem
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from pictorium.config import NO_ENCODING
+from pictorium.functions.scorers import Scorer
 from pictorium.sources.shared import written
 
 #: Vectors of a block on either side: a pair of blocks is one matrix product.
 FACE_BLOCK, GALLERY_BLOCK = 512, 2_048
-#: Known vectors of at most so many numbers (8 bytes each) are broadcast; more of them are joined by block.
+#: Of the known vectors that a task has read it keeps so many numbers (8 bytes each) for its further asked blocks.
 BROADCAST_NUMBERS = 4_000_000
+#: Numbers that a task holds at once for the ends of the similarities of some asked vectors.
+ENDS_NUMBERS = 8_000_000
 PIVOTS, PIVOT_SAMPLE = 64, 4_096
 #: Extents that are compared with an asked block's at once, and pairs of vectors whose differences are held at once.
 CHUNK, DIFFERENCES = 256, 65_536
@@ -42,6 +47,8 @@ CHUNK, DIFFERENCES = 256, 65_536
 SLACK = 1e-9
 
 NEAR = "array<struct<v: double, id: bigint>>"
+WANTED = "array<struct<least: double, most: double, b: bigint, people: array<bigint>>>"
+PERCENTILES = "face_id long, person_id long, n long, p array<double>"
 
 
 def usable(vector: Column) -> Column:
@@ -77,7 +84,7 @@ class Blocks(NamedTuple):
 
 
 class Found(NamedTuple):
-    """face_id, person_id, `of` (vectors of the person), near (v and id, nearest first); pairs of blocks that met, and all."""
+    """face_id, person_id, `of` (vectors of the person), near (v and id, nearest first), or n and p; pairs of blocks that met, and all."""
 
     rows: DataFrame
     met: int
@@ -206,137 +213,293 @@ def extents(asked: DataFrame, known: DataFrame) -> DataFrame:
     return here.join(there, "chunk").select("block", "lo", "hi", "there").mapInArrow(run, "a long, b long, least double, most double")
 
 
-def _kept(keep: int | Sequence[float], of: np.ndarray) -> np.ndarray:
-    """How many nearest vectors of a person are kept, of so many."""
-    if isinstance(keep, int):
-        return np.full(len(of), keep, np.int64)
-    return np.max([of - np.floor(p * (of - 1)).astype(np.int64) for p in keep], axis=0)
-
-
-def _kept_column(keep: int | Sequence[float]) -> Column:
-    if isinstance(keep, int):
-        return F.lit(keep)
-    wanted = [F.col("of") - F.floor(F.lit(float(p)) * (F.col("of") - 1)) for p in keep]
-    return wanted[0] if len(wanted) == 1 else F.greatest(*wanted)
-
-
-def met_rows(faces: pa.StructArray, known: pa.StructArray, people: pa.StructArray, keep: int | Sequence[float], cosine: bool, others_only: bool) -> tuple[np.ndarray, ...]:
-    """Of two blocks: face and person of each list, the person's number of vectors, the lists' ends, and their values and ids."""
-    ids, vectors = matrix(faces, "id"), matrix(faces, "vec")
-    owners, other_ids, others = (matrix(known, f) for f in ("person_id", "id", "vec"))
-    starts = np.flatnonzero(np.concatenate([[True], owners[1:] != owners[:-1]]))
-    sizes = np.diff(np.append(starts, len(owners)))
-    of = matrix(people, "of")
-    wanted = _kept(keep, of)
-    group = np.repeat(np.arange(len(starts)), sizes)
-    if cosine:
-        score, near_by = -(vectors @ others.T), 1e-12
-    else:
-        lengths = (vectors * vectors).sum(axis=1)[:, None], (others * others).sum(axis=1)
-        score = lengths[0] + lengths[1] - 2 * (vectors @ others.T)
-        near_by = 1e-12 * (lengths[0].max() + lengths[1].max())
-    if others_only:
-        score[ids[:, None] == other_ids] = np.inf
-    if "rejected_ids" in [f.name for f in faces.type]:
-        refused = faces.field("rejected_ids")
-        face = np.repeat(np.arange(len(ids)), np.nan_to_num(refused.value_lengths().to_numpy(zero_copy_only=False)).astype(int))
-        person = refused.flatten().to_numpy(zero_copy_only=False)
-        place = np.minimum(np.searchsorted(owners[starts], person), len(starts) - 1)
-        hit = owners[starts][place] == person
-        out = np.zeros((len(ids), len(starts)), bool)
-        out[face[hit], place[hit]] = True
-        score[out[:, group]] = np.inf
-    chosen = np.isfinite(score)
-    for g in np.flatnonzero(sizes > wanted):
-        part = score[:, starts[g] : starts[g] + sizes[g]]
-        kth = np.partition(part, wanted[g] - 1, axis=1)[:, wanted[g] - 1 : wanted[g]]
-        chosen[:, starts[g] : starts[g] + sizes[g]] &= part <= kth + near_by
-    i, j = np.nonzero(chosen)
-    value = score[i, j]
-    if not cosine:
-        for at in range(0, len(i), DIFFERENCES):
-            apart = vectors[i[at : at + DIFFERENCES]] - others[j[at : at + DIFFERENCES]]
-            value[at : at + DIFFERENCES] = np.sqrt((apart * apart).sum(axis=1))
-    order = np.lexsort((other_ids[j], value, group[j], i))
-    i, j, value = i[order], j[order], value[order]
-    first = np.concatenate([[True], (i[1:] != i[:-1]) | (group[j][1:] != group[j][:-1])]) if len(i) else np.empty(0, bool)
-    begins = np.flatnonzero(first)
-    nth = np.arange(len(i)) - np.repeat(begins, np.diff(np.append(begins, len(i))))
-    left = nth < wanted[group[j]]
-    i, j, value, first = i[left], j[left], value[left], first[left]
-    heads = np.flatnonzero(first)
-    return ids[i[heads]], owners[j[heads]], of[group[j[heads]]], np.append(heads, len(i)), value, other_ids[j]
-
-
-def _multiplied(pairs: DataFrame, asked: DataFrame, known: DataFrame, small: bool, keep: int | Sequence[float], cosine: bool, others_only: bool) -> DataFrame:
-    """a, face_id, person_id, of and near for pairs of blocks (a, b)."""
+def kept_ends(percentiles: Sequence[float], of: int) -> tuple[int, int]:
+    """How many of the least and of the greatest of so many numbers the percentiles can lie in."""
+    low = max((int(p * (of - 1)) + 2 for p in percentiles if p < 0.5), default=0)
+    high = max((of - int(p * (of - 1)) for p in percentiles if p >= 0.5), default=0)
+    return min(low, of), min(high, of)
+
+
+class Known:
+    """A block of known vectors, a person's together: people, `of` (all vectors of each), where each one's begin and end."""
+
+    def __init__(self, file: str):
+        system, path = FileSystem.from_uri(file)
+        with system.open_input_file(path) as source:
+            row = pq.read_table(source)
+        owners, self.ids, self.of = (row.column(c)[0].values.to_numpy() for c in ("person_id", "id", "of"))
+        self.vectors = np.frombuffer(row.column("vec")[0].as_py()).reshape(len(owners), -1)
+        starts = np.flatnonzero(np.concatenate([[True], owners[1:] != owners[:-1]]))
+        self.people, self.starts, self.ends = owners[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(owners)]
+
+    def some(self, wanted: Sequence[int]) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int, int]]]:
+        """Vectors and ids of some people, and of each: person, `of`, begin and end."""
+        sizes = np.array([self.ends[g] - self.starts[g] for g in wanted])
+        ends = np.cumsum(sizes)
+        parts = [(self.people[g], int(self.of[g]), int(e - n), int(e)) for g, n, e in zip(wanted, sizes, ends, strict=True)]
+        if len(wanted) == len(self.people):
+            return self.vectors, self.ids, parts
+        rows = np.concatenate([np.arange(self.starts[g], self.ends[g]) for g in wanted])
+        return self.vectors[rows], self.ids[rows], parts
+
+
+class Asked:
+    """Some asked vectors, and how far from them each person's (or, with `best`, anybody's) vectors can still matter."""
+
+    def __init__(self, faces: pa.StructArray, cosine: bool, best: bool = False):
+        self.ids, self.vectors, self.cosine, self.best = matrix(faces, "id"), matrix(faces, "vec"), cosine, best
+        self.reach: dict[int, float] = {}
+        self.nearest = np.full(len(self.ids), np.inf)
+        self.refusing: dict[int, np.ndarray] = {}
+        if "rejected_ids" in [f.name for f in faces.type]:
+            lists = faces.field("rejected_ids")
+            face = np.repeat(np.arange(len(self.ids)), np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(int))
+            for i, p in zip(face.tolist(), lists.flatten().to_pylist(), strict=True):
+                if p is not None:
+                    self.refusing.setdefault(p, np.zeros(len(self.ids), bool))[i] = True
+
+    def needs(self, least: float, person: int) -> bool:
+        far = self.apart(self.nearest.max()) if self.best else self.reach.get(person, np.inf)
+        return least <= far * (1 + SLACK) + SLACK
+
+    def apart(self, value: float) -> float:
+        """A distance; the cosine's from what it is ordered by."""
+        return np.sqrt(max(2 + 2 * value, 0)) if self.cosine else value
+
+    def reached(self, person: int, kth: np.ndarray) -> None:
+        """A person's k-th of each asked vector (infinite: not so many yet)."""
+        held = kth[~self.refusing[person]] if person in self.refusing else kth
+        self.reach[person] = self.apart(held.max()) if len(held) else -1.0
+
+
+class Lists(Asked):
+    """The `keep` nearest of each person, as lists."""
+
+    def __init__(self, faces: pa.StructArray, keep: int, cosine: bool, others_only: bool, best: bool):
+        super().__init__(faces, cosine, best)
+        self.keep, self.others_only = keep, others_only
+        self.found: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.of: dict[int, int] = {}
+        self.kth: dict[int, np.ndarray] = {}
+
+    def meet(self, known: Known, wanted: Sequence[int]) -> None:
+        others, other_ids, parts = known.some(wanted)
+        if self.cosine:
+            score, near_by = -(self.vectors @ others.T), 1e-12
+        else:
+            lengths = (self.vectors * self.vectors).sum(axis=1)[:, None], (others * others).sum(axis=1)
+            score = self.vectors @ others.T
+            score *= -2
+            score += lengths[0]
+            score += lengths[1]
+            near_by = 1e-12 * (lengths[0].max() + lengths[1].max())
+        if self.others_only:
+            score[self.ids[:, None] == other_ids] = np.inf
+        for person, of, begin, end in parts:
+            part = score[:, begin:end]
+            if person in self.refusing:
+                part[self.refusing[person]] = np.inf
+            limit = self.kth.get(person)
+            limit = np.full(len(part), np.inf) if limit is None else limit if self.cosine else limit * limit
+            if not (sure := np.isfinite(limit).all()) and end - begin > self.keep:
+                limit = np.minimum(limit, np.partition(part, self.keep - 1, axis=1)[:, self.keep - 1])
+            chosen = part <= (limit + near_by)[:, None]
+            if not sure:
+                chosen &= np.isfinite(part)
+            i, j = np.nonzero(chosen)
+            if len(i):
+                self._add(person, of, i, self._values(part, i, j, others[begin:end]), other_ids[begin:end][j])
+
+    def _values(self, part: np.ndarray, i: np.ndarray, j: np.ndarray, others: np.ndarray) -> np.ndarray:
+        value = part[i, j]
+        if not self.cosine:
+            for at in range(0, len(i), DIFFERENCES):
+                apart = self.vectors[i[at : at + DIFFERENCES]] - others[j[at : at + DIFFERENCES]]
+                value[at : at + DIFFERENCES] = np.sqrt((apart * apart).sum(axis=1))
+        return value
+
+    def _add(self, person: int, of: int, i: np.ndarray, value: np.ndarray, other: np.ndarray) -> None:
+        if person in self.found:
+            i, value, other = (np.concatenate(x) for x in zip(self.found[person], (i, value, other), strict=True))
+        order = np.lexsort((other, value, i))
+        i, value, other = i[order], value[order], other[order]
+        begins = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
+        nth = np.arange(len(i)) - np.repeat(begins, np.diff(np.append(begins, len(i))))
+        left, last = nth < self.keep, nth == self.keep - 1
+        kth = np.full(len(self.ids), np.inf)
+        kth[i[last]] = value[last]
+        self.nearest[i[begins]] = np.minimum(self.nearest[i[begins]], value[begins])
+        self.found[person], self.of[person], self.kth[person] = (i[left], value[left], other[left]), of, kth
+        self.reached(person, kth)
+
+    def results(self) -> Iterator[pa.RecordBatch]:
+        for person, (i, value, other) in self.found.items():
+            heads = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
+            near = pa.ListArray.from_arrays(pa.array(np.append(heads, len(i)), pa.int32()), pa.StructArray.from_arrays([pa.array(value, pa.float64()), pa.array(other, pa.int64())], ["v", "id"]))
+            same = lambda x: pa.array(np.full(len(heads), x), pa.int64())  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays([pa.array(self.ids[i[heads]], pa.int64()), same(person), same(self.of[person]), near], ["face_id", "person_id", "of", "near"])
+
+
+class Ends(Asked):
+    """Percentiles (linear between ranks) of the similarities to each person's vectors, or (`total`) to all that aren't refused.
+
+    Kept are the ends that they can lie in: the least similarities, and the greatest with their signs turned.
+    """
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, faces: pa.StructArray, percentiles: Sequence[float], measure: Scorer, total: int | None = None):
+        super().__init__(faces, True)
+        self.percentiles, self.measure, self.total = percentiles, measure, total
+        #: by person (None for all): their vectors, those that a face meets, and the ends as parts, low and high
+        self.of: dict[int | None, int] = {}
+        self.n: dict[int | None, np.ndarray] = {}
+        self.parts: dict[tuple[int | None, int], list[np.ndarray]] = {}
+
+    def meet(self, known: Known, wanted: Sequence[int]) -> None:
+        others, _, parts = known.some(wanted)
+        similar = self.measure(self.vectors, others)
+        gone = np.zeros(similar.shape, bool) if any(p in self.refusing for p, *_ in parts) else None
+        for person, _, begin, end in parts:
+            if person in self.refusing:
+                gone[self.refusing[person], begin:end] = True
+        for key, of, begin, end in parts if self.total is None else [(None, self.total, 0, len(others))]:
+            self.of[key] = of
+            out = None if gone is None else gone[:, begin:end]
+            self.n[key] = self.n.get(key, np.zeros(len(self.ids), np.int64)) + (end - begin - (0 if out is None else out.sum(axis=1)))
+            for sign, k in zip((1, -1), kept_ends(self.percentiles, of), strict=True):
+                if k:
+                    part = sign * similar[:, begin:end]
+                    if out is not None:
+                        part[out] = np.inf
+                    self._add(key, sign, k, part)
+
+    def _add(self, key: int | None, sign: int, k: int, part: np.ndarray) -> None:
+        held = self.parts.setdefault((key, sign), [])
+        held.append(part)
+        n = sum(p.shape[1] for p in held)
+        # cut when there are enough for the first time, and then whenever there are twice as many
+        if n >= 2 * k or n >= k > n - part.shape[1]:
+            every = np.concatenate(held, axis=1)
+            every = np.partition(every, k - 1, axis=1)[:, :k] if n > k else every
+            held[:] = [every]
+            if key is not None and sign < 0:
+                self.reached(key, every.max(axis=1))
+
+    def results(self) -> Iterator[pa.RecordBatch]:
+        for key, n in self.n.items():
+            met = np.flatnonzero(n)
+            n, ends = n[met], {}
+            if self.total is None:
+                n = np.full(len(met), self.of[key])  # of blocks that were passed over as well
+            for sign in (1, -1):
+                if held := self.parts.get((key, sign)):
+                    ends[sign] = np.sort(np.concatenate(held, axis=1)[met], axis=1)
+            out = np.empty((len(met), len(self.percentiles)))
+            for c, p in enumerate(self.percentiles):
+                place = p * (n - 1)
+                at = np.floor(place).astype(np.int64)
+                two = at, np.minimum(at + 1, n - 1)
+                low, high = (ends[1][np.arange(len(met)), r] if p < 0.5 else -ends[-1][np.arange(len(met)), n - 1 - r] for r in two)
+                out[:, c] = low + (high - low) * (place - at)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(met) + 1) * out.shape[1], pa.int32()), pa.array(out.ravel(), pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array(self.ids[met], pa.int64()), pa.array([key] * len(met), pa.int64()), pa.array(n, pa.int64()), lists], ["face_id", "person_id", "n", "p"])
+
+
+def filed(blocks: DataFrame) -> tuple[DataFrame, dict[int, str]]:
+    """Blocks (block, rows, and of: all vectors of each of their persons) as a file each, and which; a row a block reaches the driver."""
+
+    def flat(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                face, person, of, ends, value, other = met_rows(batch.column(1)[k].values, batch.column(2)[k].values, batch.column(3)[k].values, keep, cosine, others_only)
-                near = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(value, pa.float64()), pa.array(other, pa.int64())], ["v", "id"]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(face), batch.column(0)[k].as_py()), pa.int64()), pa.array(face, pa.int64()), pa.array(person, pa.int64()), pa.array(of, pa.int64()), near], ["a", "face_id", "person_id", "of", "near"])
+                rows = batch.column(1)[k].values
+                columns = {"block": [batch.column(0)[k].as_py()], "person_id": [matrix(rows, "person_id")], "id": [matrix(rows, "id")], "of": [batch.column(2)[k].values], "vec": [np.ascontiguousarray(matrix(rows, "vec"), np.float64).tobytes()]}
+                kinds = pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns.values(), kinds, strict=True)], list(columns))
+
+    table = written(blocks.select("block", "rows", "of").mapInArrow(flat, "block long, person_id array<bigint>, id array<bigint>, of array<bigint>, vec binary"), rows_a_file=1)
+    return table, {r["block"]: r["file"] for r in table.select("block", F.col("_metadata.file_path").alias("file")).collect()}
 
-    there = known.select(F.col("block").alias("b"), F.col("rows").alias("known"), "people")
-    here = asked.select(F.col("block").alias("a"), F.col("rows").alias("asked"))
-    met = pairs.join(here, "a").join(F.broadcast(there) if small else there, "b").select("a", "asked", "known", "people")
-    return met.mapInArrow(run, f"a long, face_id long, person_id long, of long, near {NEAR}")
 
+def met(here: DataFrame, files: dict[int, str], asked_of: Callable[[pa.StructArray], Asked], faces_at_once: int, schema: str, room_for: int) -> tuple[DataFrame, int]:
+    """What blocks of asked vectors (rows, and wanted: the known blocks that may matter; null: all) find, and how many pairs of
+    blocks met. A task has some asked blocks and reads the files of the known ones, of which it keeps `room_for` numbers."""
+    spark = here.sparkSession
+    where, pairs = spark.sparkContext.broadcast(files), spark.sparkContext.accumulator(0)
 
-def _merged(rows: DataFrame, keep: int | Sequence[float]) -> DataFrame:
-    every = rows.groupBy("a", "face_id", "person_id").agg(F.any_value("of").alias("of"), F.array_sort(F.flatten(F.collect_list("near"))).alias("near"))
-    return every.withColumn("near", F.slice("near", F.lit(1), _kept_column(keep).cast("int")))
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, Known] = {}
+        room = room_for
+        for batch in batches:
+            for k in range(batch.num_rows):
+                rows, seen = batch.column(0)[k].values, set()
+                wanted = batch.column(1)[k].values
+                turns = [(0.0, b, None) for b in sorted(where.value)] if wanted is None else list(zip(*(wanted.field(c).to_pylist() for c in ("least", "b", "people")), strict=True))
+                for begin in range(0, len(rows), faces_at_once):
+                    asked = asked_of(rows.slice(begin, faces_at_once))
+                    for least, b, people in turns:
+                        if people is not None and not any(asked.needs(least, p) for p in people):
+                            continue
+                        if (known := held.get(b)) is None:
+                            known = Known(where.value[b])
+                            if known.vectors.size <= room:
+                                held[b] = known
+                                room -= known.vectors.size
+                        of = None if people is None else {p for p in people if asked.needs(least, p)}
+                        asked.meet(known, [g for g, p in enumerate(known.people) if of is None or p in of])
+                        seen.add(b)
+                    yield from asked.results()
+                pairs.add(len(seen))
+
+    n = here.count()
+    tasks = max(1, min(n, max(-(-n // 4), 2 * spark.sparkContext.defaultParallelism)))
+    found = written(here.select("rows", F.array_sort("wanted").alias("wanted")).repartition(tasks).mapInArrow(run, schema))
+    return found, pairs.value
 
 
 def searched(asked: DataFrame, known: Blocks, keep: int | Sequence[float], *, others_only: bool = False, within: float | None = None, only: DataFrame | None = None, best: bool = False) -> Found:
     """The nearest known vectors of each person for each asked one (id, vec and optionally rejected_ids: persons it must not meet).
 
-    keep: how many, or percentiles, of which each person's upper ends are kept that far. `others_only`: a known vector
-    of the same id is the asked one itself. What is asked for may be less than everything, and the lists are then whole
-    as far only: `within` a distance; of the pairs of `only` (face_id, person_id) alone, each once; with `best`, of the
-    face's nearest person.
+    keep: how many; or, for the cosine, percentiles from 0.5 on, which the rows then hold (n and p) in place of the lists.
+    `others_only`: a known vector of the same id is the asked one itself. What is asked for may be less than everything, and
+    the lists are then whole as far only: `within` a distance; of the pairs of `only` (face_id, person_id) alone, each
+    once; with `best`, of the face's nearest person.
     """
     cosine = known.cosine
     here = asked_blocks(asked, known.pivots, cosine)
     index = known.table.select(F.col("block").alias("b"), F.inline("owners"))
     people = index.groupBy("person_id").agg(F.sum("n").alias("of"))
     index = written(index.join(people, "person_id"))
-    there = known.table.select("block", "rows").join(index.groupBy(F.col("b").alias("block")).agg(F.sort_array(F.collect_list(F.struct("person_id", "of"))).alias("people")), "block")
-    faces = here.select(F.col("block").alias("a"), F.explode("rows.id").alias("face_id"))
-    numbers = (known.table.agg(F.sum(F.size("rows"))).first()[0] or 0) * known.pivots.shape[1]
-    meet = lambda pairs: _multiplied(pairs, here, there, numbers <= BROADCAST_NUMBERS, keep, cosine, others_only)
-    asked_for = lambda rows: (rows if only is None else rows.join(only.select("face_id", "person_id").distinct(), ["face_id", "person_id"], "left_semi")).drop("a")
-    blocks = [r["block"] for r in known.table.select("block").limit(2).collect()]
-    if len(blocks) == 1:
-        # one block: there is nothing to skip
-        n = here.count()
-        return Found(asked_for(_merged(meet(here.select(F.col("block").alias("a"), F.lit(blocks[0]).alias("b"))), keep)), n, n)
+    totals = index.groupBy(F.col("b").alias("block")).agg(F.sort_array(F.collect_list(F.struct("person_id", "of"))).alias("people"))
+    table, files = filed(known.table.select("block", "rows").join(totals, "block").withColumn("of", F.col("people.of")))
     bounds = written(extents(here, known.table))
-    met = bounds.join(index, "b")
+    pairs = bounds.join(index.select("b", "person_id"), "b")
     if within is not None:
-        met = met.where(F.col("least") <= within * (1 + SLACK) + SLACK)
+        pairs = pairs.where(F.col("least") <= within * (1 + SLACK) + SLACK)
     if only is not None:
-        met = met.join(faces.join(only, "face_id").select("a", "person_id").distinct(), ["a", "person_id"], "left_semi")
-    # enough vectors of each person (or of all), in the blocks that are surely nearest
-    by = ["a"] if best else ["a", "person_id"]
-    before = Window.partitionBy(*by).orderBy("most", "b").rowsBetween(Window.unboundedPreceding, -1)
-    enough = _kept_column(keep) + F.lit(int(others_only))
-    seeds = written(met.withColumn("held", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("held") < enough).select("a", "b").distinct())
-    first = written(_merged(meet(seeds), keep))
-    # what a face can still gain lies within its k-th distance; a list that is short has met all there is
-    kth = F.element_at("near", F.least(_kept_column(keep), F.size("near")).cast("int"))["v"]
-    kth = F.sqrt(F.greatest(2 + 2 * kth, F.lit(0.0))) if cosine else kth
-    if best:
-        # a face that has met nobody yet (it rejects them) may need any block
-        reached = faces.distinct().join(first.groupBy("face_id").agg(F.min(kth).alias("kth")), "face_id", "left").groupBy("a").agg(F.max(F.coalesce("kth", F.lit(float("inf")))).alias("reach"))
+        faces = here.select(F.col("block").alias("a"), F.explode("rows.id").alias("face_id"))
+        pairs = pairs.join(faces.join(only, "face_id").select("a", "person_id").distinct(), ["a", "person_id"], "left_semi")
+    wanted = pairs.groupBy("a", "b").agg(F.first("least").alias("least"), F.first("most").alias("most"), F.collect_list("person_id").alias("people"))
+    # nearest first, and of those that may touch the asked block the one whose vectors are surely near
+    wanted = wanted.groupBy(F.col("a").alias("block")).agg(F.collect_list(F.struct("least", "most", "b", "people")).alias("wanted"))
+    if isinstance(keep, int):
+        asked_of, at_once, schema = lambda rows: Lists(rows, keep, cosine, others_only, best), FACE_BLOCK, f"face_id long, person_id long, of long, near {NEAR}"
     else:
-        reached = first.groupBy("a", "person_id").agg(F.max(kth).alias("reach"))
-    further = met.join(reached, by).where(F.col("least") <= F.col("reach") * (1 + SLACK) + SLACK).select("a", "b").distinct().join(seeds, ["a", "b"], "left_anti")
-    further = written(further)
-    more, n_seeds = further.count(), seeds.count()
-    rows = _merged(first.unionByName(meet(further)), keep) if more else first
-    return Found(asked_for(rows), n_seeds + more, bounds.count())
+        n, of_all = people.agg(F.count(F.lit(1)), F.sum("of")).first()
+        ends = sum(kept_ends(keep, of_all)) + 2 * n
+        asked_of, at_once, schema = lambda rows: Ends(rows, keep, dot), ends_at_once(ends), PERCENTILES
+    rows, n_met = met(here.select("block", "rows").join(wanted, "block"), files, asked_of, at_once, schema, BROADCAST_NUMBERS)
+    if only is not None:
+        rows = rows.join(only.select("face_id", "person_id").distinct(), ["face_id", "person_id"], "left_semi")
+    return Found(rows, n_met, bounds.count())
+
+
+def dot(asked: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """The cosine of vectors of length one."""
+    return asked @ known.T
+
+
+def ends_at_once(ends: int) -> int:
+    """Of how many asked vectors a task keeps so many numbers at once, before they are cut."""
+    return max(1, min(FACE_BLOCK, ENDS_NUMBERS // (2 * ends + GALLERY_BLOCK)))
 
 
 def nearest_input(asked: DataFrame, *, cosine: bool = True) -> DataFrame:

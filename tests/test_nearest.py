@@ -114,3 +114,10 @@ def test_equal_and_odd_vectors(spark, small_blocks):
     assert [x for _, x in got[7, 3]][:1] == [105] and [x for _, x in got[9, 4]] == [106]
     assert {p for _, p in lists(N.nearest(a, k, 4, cosine=True))} == {1, 4}
     assert lists(N.nearest(a, k.limit(0), 4)) == {} and lists(N.nearest(a.limit(0), k, 4)) == {}
+
+
+def test_each_asked_row_has_its_own_list(spark, small_blocks):
+    """Rows asked twice under one id aren't merged: each has the whole list."""
+    known = [(i, 1, [float(i), 0.0]) for i in range(60)]
+    found = N.nearest(spark.createDataFrame([(7, [1.0, 2.0], None)] * 2, ASKED), spark.createDataFrame(known, KNOWN), 3)
+    assert [[x.id for x in r.near] for r in found.rows.collect()] == [[1, 0, 2]] * 2
