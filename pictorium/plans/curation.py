@@ -75,11 +75,10 @@ def messages_out_of_order(spark, sf_dir):
 def counters_kept_up(spark, sf_dir):
     """Counts by person after the messages came in several micro-batches, by differences alone."""
     folder = shared_folder(spark)
-    faces = S.faces(spark, sf_dir)
     table = stream.FaceTable(spark, f"{folder}/faces")
-    table.start(faces)
+    table.start(S.faces(spark, sf_dir))
     view = upkeep.SumView(spark, f"{folder}/counts", "person_id", upkeep.PERSON_MEASURES, fold=2)
-    view.start(upkeep.person_contributions(faces))
+    view.start(upkeep.person_contributions(table.read(-1)))
     messages = stream.arrived(ops(spark, sf_dir), f"{folder}/ops", "seq", 4)
     last = stream.last_batch(stream.started(messages, upkeep.counted(table, view, MARKS), f"{folder}/checkpoint"))
     return upkeep.with_counts(S.people(spark, sf_dir), view.read(last))

@@ -5,23 +5,39 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pictorium.operators.curation import Marks, bulk_applied
 from pictorium.sources.shared import removed, shared_folder
 
-#: Buckets of a table by the hash of the face's id: a micro-batch rewrites those that its messages name.
+#: Buckets of a table by the hash of the face's id: a micro-batch reads those that its messages name.
 BUCKETS = 64
+#: Versions of a bucket that are kept beside each other before it is written whole again.
+KEPT = 16
+#: So many ids of changed faces are broadcast (some 24 bytes each); of more, the faces move to them.
+BROADCAST_IDS = 5_000_000
+
+
+def by_id(ids: DataFrame) -> DataFrame:
+    """Ids to join faces with: broadcast if they are few enough, so that the faces stay where they are."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def latest(rows: DataFrame) -> DataFrame:
+    """Of each face the last version."""
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("_version")))
+    return rows.withColumn("_place", place).where("_place = 1").drop("_place")
 
 
 class FaceTable:
-    """The faces under a folder, in buckets by id; a list per micro-batch says which version each bucket is at.
+    """The faces under a folder, in buckets by id; a list per micro-batch says which versions make up each bucket.
 
-    Version n of a bucket is what batch n left of it; buckets that no message names stay as they are. A batch that is
-    run again after a failure starts from the list of batch n - 1 and writes its buckets and its list anew, so no message
-    is applied twice. Versions that neither list n nor list n - 1 names are deleted.
+    A bucket's first version is whole, each further one holds the faces that a batch changed; after KEPT of them it is
+    written whole again. Buckets that no message names stay as they are. A batch that is run again after a failure starts
+    from the list of batch n - 1 and writes its faces and its list anew, so no message is applied twice. Versions that
+    neither list n nor list n - 1 names are deleted.
     """
 
     def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS):
@@ -34,46 +50,71 @@ class FaceTable:
     def path(self, bucket: int, version: int) -> str:
         return f"{self.folder}/v{version}/bucket={bucket}"
 
-    def listed(self, number: int) -> dict[int, int]:
-        """Versions of the buckets after a batch: at most `buckets` rows."""
-        return {r["bucket"]: r["version"] for r in self.spark.read.parquet(f"{self.folder}/list{number}").collect()}
+    def listed(self, number: int) -> dict[int, list[int]]:
+        """Versions of the buckets after a batch, the whole one first: at most KEPT rows a bucket."""
+        out: dict[int, list[int]] = {}
+        for r in sorted(self.spark.read.parquet(f"{self.folder}/list{number}").collect()):
+            out.setdefault(r["bucket"], []).append(r["version"])
+        return out
 
-    def _list(self, number: int, versions: dict[int, int]) -> None:
-        self.spark.createDataFrame(sorted(versions.items()), "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/list{number}")
+    def _list(self, number: int, versions: dict[int, list[int]]) -> None:
+        rows = [(b, v) for b, held in sorted(versions.items()) for v in held]
+        self.spark.createDataFrame(rows, "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/list{number}")
 
-    def _write(self, faces: DataFrame, number: int) -> None:
-        cut = faces.withColumn("bucket", self.bucket("id"))
+    def _write(self, faces: DataFrame, number: int) -> set[int]:
+        """Writes faces as a version and gives the buckets that have any."""
+        cut = faces.withColumns({"_version": F.lit(number).cast("long"), "bucket": self.bucket("id")})
         cut.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/v{number}")
+        return {r["bucket"] for r in self.spark.read.schema("bucket int").parquet(f"{self.folder}/v{number}").distinct().collect()}
 
     def start(self, faces: DataFrame) -> None:
-        self.schema = faces.schema
-        self._write(faces, -1)
-        held = faces.select(self.bucket("id").alias("bucket")).distinct().collect()
-        self._list(-1, {r["bucket"]: -1 for r in held})
+        self.schema = faces.withColumn("_version", F.lit(0).cast("long")).schema
+        self._list(-1, {b: [-1] for b in self._write(faces, -1)})
 
-    def rows(self, versions: dict[int, int]) -> DataFrame:
-        paths = [self.path(b, v) for b, v in sorted(versions.items())]
+    def rows(self, versions: dict[int, list[int]]) -> DataFrame:
+        """What the versions hold: a face may stand in several (see `latest`)."""
+        paths = [self.path(b, v) for b, held in sorted(versions.items()) for v in held]
         if self.schema is None:
             self.schema = self.spark.read.parquet(paths[0]).schema
         return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
+    def _whole(self, versions: dict[int, list[int]]) -> DataFrame:
+        first = self.rows({b: held[:1] for b, held in versions.items()})
+        if all(len(held) == 1 for held in versions.values()):
+            return first
+        changed = latest(self.rows({b: held[1:] for b, held in versions.items() if held[1:]}))
+        return first.join(by_id(changed.select("id")), "id", "left_anti").unionByName(changed)
+
     def read(self, number: int) -> DataFrame:
         """The faces after a batch."""
-        return self.rows(self.listed(number))
+        return self._whole(self.listed(number)).drop("_version")
+
+    def named(self, versions: dict[int, list[int]], ids: DataFrame) -> DataFrame:
+        """The faces of some ids alone (`by_id`): only these are shuffled, to find their last versions."""
+        return latest(self.rows(versions).join(ids, "id", "left_semi")).drop("_version")
 
     def apply(self, marks: Marks) -> Callable[[DataFrame, int], None]:
         def step(batch: DataFrame, number: int) -> None:
             before = self.listed(number - 1)
-            named = batch.select(F.explode("face_id_list").alias("id")).select(self.bucket("id").alias("bucket")).distinct().collect()
-            touched = {r["bucket"]: before[r["bucket"]] for r in named if r["bucket"] in before}
+            ids = batch.select(F.explode("face_id_list").alias("id")).distinct().persist()
+            touched = {r["bucket"]: before[r["bucket"]] for r in ids.select(self.bucket("id").alias("bucket")).distinct().collect() if r["bucket"] in before}
+            after = dict(before)
             if touched:
-                self._write(bulk_applied(self.rows(touched), batch, marks), number)
-            self._list(number, before | dict.fromkeys(touched, number))
+                known = by_id(ids)
+                changed = bulk_applied(self.named(touched, known), batch, marks)
+                full = {b: held for b, held in touched.items() if len(held) >= KEPT}
+                if full:
+                    changed = changed.unionByName(self._whole(full).drop("_version").join(known, "id", "left_anti"))
+                for b in self._write(changed, number):
+                    after[b] = [number] if b in full else [*before[b], number]
+            self._list(number, after)
+            ids.unpersist()
             if number > 0:
                 # what the list before last named and the last one doesn't
-                for b, v in self.listed(number - 2).items():
-                    if before[b] != v:
-                        removed(self.spark, self.path(b, v))
+                for b, held in self.listed(number - 2).items():
+                    for v in held:
+                        if v not in before[b]:
+                            removed(self.spark, self.path(b, v))
 
         return step
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from pictorium.operators.curation import Marks
 from pictorium.sources.shared import removed
-from pictorium.streaming.curation import FaceTable
+from pictorium.streaming.curation import FaceTable, by_id
 
 #: Differences that are kept one by one before they are folded into the base.
 FOLD = 16
@@ -100,7 +100,8 @@ def counted(table: FaceTable, view: SumView, marks: Marks) -> Callable[[DataFram
             batch.unpersist()
             return
         named = batch.select(F.explode("face_id_list").alias("id")).distinct()
-        sides = [table.rows({b: versions[b] for b in touched}).join(named, "id", "left_semi") for versions in (before, after)]
+        named = by_id(named)
+        sides = [table.named({b: versions[b] for b in touched}, named) for versions in (before, after)]
         view.change(number, *map(person_contributions, sides))
         batch.unpersist()
 

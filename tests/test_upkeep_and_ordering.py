@@ -110,3 +110,22 @@ def test_numbers_of_the_sender(spark):
 @pytest.mark.parametrize("number,base", [(-1, -1), (0, -1), (2, -1), (3, 3), (6, 3), (7, 7)])
 def test_which_base(spark, number, base):
     assert U.SumView(spark, "", "k", ["n"], fold=4).base(number) == base
+
+
+def test_a_batch_writes_the_changed_faces_alone(spark, tmp_path, monkeypatch):
+    """Versions hold what changed, and after some of them the whole bucket again; a batch that runs again changes nothing."""
+    monkeypatch.setattr(stream, "KEPT", 3)
+    table = stream.FaceTable(spark, str(tmp_path / "faces"), 2)
+    table.start(faces(spark))
+    step = table.apply(MARKS)
+    for n in range(6):
+        batch = spark.createDataFrame([(n, [7, 7 + n, 500], "confirm_proposed", n)], OPS)
+        for _ in range(1 + n % 2):
+            step(batch, n)
+        written = spark.read.parquet(str(tmp_path / "faces" / f"v{n}"))
+        of_seven = table.listed(n)[written.where("id = 7").first()["bucket"]]
+        if of_seven != [n]:
+            assert len(of_seven) <= 3 and {r.id for r in written.where(f"bucket = {written.where('id = 7').first()['bucket']}").collect()} <= {7, 7 + n}
+        got = {r.id: r.declared_person_id for r in table.read(n).collect()}
+        assert len(got) == 60 and got[7] == n and all(got[7 + k] == k for k in range(1, n + 1))
+    assert any(held[0] > -1 for held in table.listed(5).values())
