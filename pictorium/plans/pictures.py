@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import groupby
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,22 +22,27 @@ _ASCII, _SHORT, _LONG, _RATIONAL = 2, 3, 4, 5
 _SIZE = {_ASCII: 1, _SHORT: 2, _LONG: 4, _RATIONAL: 8}
 
 
-def _number(value: Column | int, size: int) -> list[Column]:
-    """A number of so many bytes, in the row's byte order."""
-    value = F.lit(value) if isinstance(value, int) else value
-    return [F.struct(value.cast("long").alias("v"), F.lit(size).alias("n"), F.lit("").alias("h"))]
+class _Piece(NamedTuple):
+    """Bytes in the row's byte order: a number of so many of them, or (size 0) hexadecimal digits as they are."""
+
+    value: Column | int
+    size: int
+
+
+def _number(value: Column | int, size: int) -> list[_Piece]:
+    return [_Piece(value, size)]
 
 
-def _text(value: Column, size: int) -> list[Column]:
+def _text(value: Column, size: int) -> list[_Piece]:
     """The text, ended by a zero byte and filled with more of them."""
-    return [F.struct(F.lit(0).cast("long").alias("v"), F.lit(0).alias("n"), F.rpad(F.hex(F.encode(value, "UTF-8")), 2 * size, "0").alias("h"))]
+    return [_Piece(F.rpad(F.hex(F.encode(value, "UTF-8")), 2 * size, "0"), 0)]
 
 
-def _fraction(above: Column | int, below: Column | int) -> list[Column]:
+def _fraction(above: Column | int, below: Column | int) -> list[_Piece]:
     return _number(above, 4) + _number(below, 4)
 
 
-def _directory(at: int, entries: list[tuple[int, int, int, list[Column]]]) -> list[Column]:
+def _directory(at: int, entries: list[tuple[int, int, int, list[_Piece]]]) -> list[_Piece]:
     """Entries (tag, type, count, value) at an offset; values of more than four bytes lie behind them."""
     behind, rows, values = at + 2 + 12 * len(entries) + 4, [], []
     for tag, kind, count, value in entries:
@@ -48,15 +57,28 @@ def _directory(at: int, entries: list[tuple[int, int, int, list[Column]]]) -> li
     return _number(len(entries), 2) + rows + _number(0, 4) + values
 
 
-def _hexadecimal(pieces: list[Column], big: Column) -> Column:
-    """All pieces behind each other: one expression for all of them, so that a header of a hundred pieces stays compilable."""
+def _turned(value: Column, size: int) -> Column:
+    """The number with its bytes in the other order."""
+    byte = lambda k: F.shiftleft(F.shiftright(value, 8 * k).bitwiseAND(F.lit(255)), 8 * (size - 1 - k))
+    return reduce(Column.bitwiseOR, [byte(k) for k in range(size)])
 
-    def one(piece: Column) -> Column:
-        digits = F.lpad(F.hex(piece["v"]), 2 * piece["n"], F.lit("0"))
-        turned = F.array_join(F.reverse(F.regexp_extract_all(digits, F.lit("(..)"))), "")
-        return F.when(piece["n"] == 0, piece["h"]).when(big, digits).otherwise(turned)
 
-    return F.array_join(F.transform(F.array(*pieces), one), "")
+def _hexadecimal(pieces: list[_Piece], big: Column) -> Column:
+    """All pieces behind each other; fixed ones that follow each other are one text for each byte order. One expression
+    digests all of them, so that a header of many pieces stays compilable."""
+    out: list[Column] = []
+    part = lambda number, size, digits: F.struct(number.alias("v"), F.lit(2 * size).alias("n"), digits.alias("h"))
+    zero, blank = F.lit(0).cast("long"), F.lit("")
+    for fixed, group in groupby(pieces, lambda p: isinstance(p.value, int)):
+        run = list(group)
+        if fixed:
+            two = ["".join(p.value.to_bytes(p.size, order).hex() for p in run).upper() for order in ("big", "little")]
+            out.append(part(zero, 0, F.when(big, two[0]).otherwise(two[1])))
+            continue
+        for value, size in run:
+            number = value.cast("long") if size else zero
+            out.append(part(F.when(big, number).otherwise(_turned(number, size)), size, blank) if size else part(zero, 0, value))
+    return F.array_join(F.transform(F.array(*out), lambda p: F.when(p["n"] == 0, p["h"]).otherwise(F.lpad(F.hex(p["v"]), p["n"], F.lit("0")))), "")
 
 
 def _length(entries: list[tuple[int, int, int]]) -> int:
@@ -81,11 +103,15 @@ def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     directories = [d for b, shape, row in zip(begins, shapes, values, strict=True) for d in _directory(b, [(*e, v) for e, v in zip(shape, row, strict=True)])]
     tiff = F.concat(F.when(big, "4D4D").otherwise("4949"), _hexadecimal(_number(42, 2) + _number(8, 4) + directories, big))
     part = F.concat(F.hex(F.lit(b"Exif\0\0")), tiff)
-    segment = lambda marker, body: F.concat(F.lit(f"FF{marker}"), F.lpad(F.hex((F.length(body) / 2 + 2).cast("long")), 4, "0"), body)
-    comment = segment("FE", F.hex(F.encode(F.concat(F.lit("order "), key.cast("string")), "UTF-8")))
-    whole = F.concat(F.lit("FFD8"), comment, F.when(key % 19 == 0, F.lit("")).otherwise(segment("E1", part)), F.lit("FFDA0008"))
-    cut = F.when(key % 11 == 0, F.substring(whole, F.lit(1), F.lit(200))).otherwise(whole)
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(key.alias("id"), F.unhex(cut).alias("content"))
+    segment = lambda marker, body, size: F.concat(F.lit(f"FF{marker}"), F.lpad(F.hex((size + 2).cast("long")), 4, "0"), body)
+    order = F.concat(F.lit("order "), key.cast("string"))
+    comment = segment("FE", F.hex(F.encode(order, "UTF-8")), F.length(order))
+    size = 6 + begins[2] + _length(shapes[2])
+    whole = F.concat(F.lit("FFD8"), comment, F.when(key % 19 == 0, F.lit("")).otherwise(segment("E1", part, F.lit(size))), F.lit("FFDA0008"))
+    cut = F.substring(whole, F.lit(1), F.when(key % 11 == 0, 200).otherwise(4 * size))
+    # a small file is few tasks, and a picture is far more work than its row: keys and dates are dealt to all cores
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(key, at).repartition(key)
+    return orders.select(key.alias("id"), F.unhex(cut).alias("content"))
 
 
 @query("""SELECT id, CASE WHEN ok THEN 'Cam ' || CAST(id % 90 + 10 AS VARCHAR) END AS camera_make, CAST(CASE WHEN ok THEN 1 + id % 8 ELSE 1 END AS INT) AS orientation, CAST(CASE WHEN ok THEN 1 END AS INT) AS exposure_num, CAST(CASE WHEN ok THEN 2 + id % 500 END AS INT) AS exposure_denom,

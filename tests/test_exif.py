@@ -82,3 +82,43 @@ def test_in_spark(spark):
     # only the head is read
     got = {r.id: r.t.problem for r in df.select("id", X.camera_tags(F.col("content"), 4096).alias("t")).collect()}
     assert got[1] is None and got[5] == "beyond the head"
+
+
+def test_only_wanted_values_are_unpacked(monkeypatch):
+    """Entries that nobody asks for are checked, not unpacked; a wrong one is still a reason."""
+    n = lambda f, *v: struct.pack("<" + f, *v)
+    entries = [(4000 + k, 5, 2, n("4I", 1, 2, 3, 4)) for k in range(200)]
+    unpacked = []
+    monkeypatch.setattr(X, "unpacking", lambda *key, true=X.unpacking: unpacked.append(key) or true(*key))
+    assert X.tags_of(jpeg(tiff("<", [(8, [*entries, (274, 3, 1, n("H", 6))])]))) == ({"orientation": "6"}, None)
+    assert len(unpacked) == 1
+    wrong = tiff("<", [(8, [*entries, (274, 3, 1, n("H", 6)), (5000, 4, 60000 // 4, b"abcde")])])
+    assert X.tags_of(jpeg(wrong)) == (None, "offset outside")
+
+
+def test_made_headers_hold_what_the_orders_say(spark, tmp_path):
+    """Both byte orders, numbers of two and four bytes; fixed parts are no pieces of their own, and a small file is many tasks."""
+    from pictorium.plans import pictures as P
+
+    spark.sql("SELECT id AS o_orderkey, timestamp_ntz'2001-02-03 04:05:06' AS o_orderdate FROM range(4002, 4102)").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    made = P.headers(spark, str(tmp_path))
+    assert "Exchange hashpartitioning(o_orderkey" in made._jdf.queryExecution().executedPlan().toString()
+    pieces = P._hexadecimal(P._number(42, 2) + P._number(8, 4) + P._number(F.lit(0x0102), 2) + P._number(0xA0B0C0D0, 4), F.col("big"))
+    assert [r[0] for r in spark.sql("SELECT explode(array(true, false)) AS big").select(pieces).collect()] == ["002A000000080102A0B0C0D0", "2A00080000000201D0C0B0A0"]
+    for row in made.collect():
+        tags, problem = X.tags_of(bytes(row.content))
+        k = row.id
+        if k % 11 and k % 13 and k % 17 and k % 19:
+            assert problem is None and tags["make"] == f"Cam {k % 90 + 10}" and tags["iso_value"] == str(100 + k % 3000) and tags["date_time"] == "2001:02:03 04:05:06"
+            assert tags["exposure"] == str(1 / (2 + k % 500)) and tags["lon"] == f"{float(k % 179)} {float(k % 59)} 15.0"
+
+
+def test_each_different_fraction_is_worked_out_once(spark, monkeypatch):
+    import pandas as pd
+
+    from pictorium.sources import pictures
+
+    asked = []
+    monkeypatch.setattr(pictures, "_rational", lambda v, limit: asked.append(v) or (int(v * 2), 2))
+    got = pictures.as_rational(100).func(pd.Series([0.5, None, 0.5, 2.5, 0.5]))
+    assert sorted(asked) == [0.5, 2.5] and got["num"].tolist() == [1, pd.NA, 1, 5, 1] and got["denom"].isna().tolist() == [False, True, False, False, False]
