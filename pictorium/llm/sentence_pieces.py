@@ -55,6 +55,9 @@ class Pieces:
         with open(path, "rb") as file:
             model.ParseFromString(file.read())
         self.by_chunk = chunks_hold([p.piece for p in model.pieces], model.normalizer_spec)
+        # ids whose pieces may decode to something other than they stand for: unknown, bytes, controls and the like
+        plain = not model.denormalizer_spec.precompiled_charsmap
+        self.strange = frozenset(i for i, p in enumerate(model.pieces) if not plain or p.type != p.NORMAL)
         model.normalizer_spec.add_dummy_prefix = False
         self.bare = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
         self.end = self.whole.eos_id()
@@ -62,8 +65,15 @@ class Pieces:
     def segmented(self, chunks: list[str]) -> Iterator[tuple[str, str | None]]:
         """Of each chunk its ids in decimals joined by spaces, and what they decode to where that isn't the chunk."""
         for chunk, ids in zip(chunks, self.bare.encode(chunks, num_threads=1), strict=True):
-            back = self.bare.decode(ids)
-            yield " ".join(map(str, ids)), None if back == chunk else back
+            yield " ".join(map(str, ids)), self.other(chunk, ids)
+
+    def other(self, chunk: str, ids: list[int]) -> str | None:
+        """What a chunk's ids decode to where that isn't the chunk. Normal pieces are parts of the chunk as it stands, and
+        decode to it without being asked."""
+        if self.strange.isdisjoint(ids):
+            return None
+        back = self.bare.decode(ids)
+        return None if back == chunk else back
 
     def encode(self, text: str, table: Hot, own: tuple[list, list, list] | None = None) -> tuple[int, str, str, int]:
         """Number of ids, the ids in decimals joined by spaces (the end id is the last), the decoded text, and how many
@@ -187,7 +197,7 @@ def chunk_table(docs: DataFrame, model: str) -> DataFrame:
         sp = pieces(model)
         for part in slices(batches, size="chunk"):
             ids = sp.bare.encode(part["chunk"], num_threads=1)
-            back = [b if b != c else None for b, c in zip(sp.bare.decode(ids), part["chunk"], strict=True)]
+            back = [sp.other(c, i) for c, i in zip(part["chunk"], ids, strict=True)]
             keys = np.fromiter(map(hashed, part["chunk"]), np.uint64, len(ids)).view(np.int64)
             yield pa.RecordBatch.from_pydict({"chunk": part["chunk"], "key": keys, "n": part["n"], "ids": pa.array(ids, pa.list_(pa.int32())), "back": pa.array(back, pa.string())})
 

@@ -137,3 +137,24 @@ def test_a_text_without_spaces(spark, tokenizer):
 def test_no_copies_of_tokenizer_files():
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     assert not [f for d, _, fs in os.walk(root) if ".git" not in d for f in fs if f.endswith((".model", ".tiktoken"))]
+
+
+def test_normal_pieces_are_not_decoded():
+    """Chunks whose pieces are all normal are taken as what they decode to; the others are decoded, and both agree with the library."""
+    import copy
+
+    sp = copy.copy(S.pieces(T.public_path(S.MODEL)))
+    chunks = sorted({c for t in [*TEXTS, "plain words, ok", "͸x é́ ⁇ ﻿"] for c in S.chunks(t)})
+    want = [None if (back := sp.bare.decode(sp.bare.encode(c))) == c else back for c in chunks]
+    asked = []
+
+    class Bare:
+        encode = sp.bare.encode
+
+        def decode(self, ids, true=sp.bare.decode):
+            asked.append(ids)
+            return true(ids)
+
+    sp.bare = Bare()
+    assert [back for _, back in sp.segmented(chunks)] == want
+    assert 0 < len(asked) < len(chunks) / 2
