@@ -71,6 +71,17 @@ def test_similar_people_by_name(spark):
     assert got == {tuple(r) for r in N.similar_people(df, 2).collect()}
 
 
+def test_crowded_names_meet_little_oftener_than_they_are_near(spark):
+    """Numbered names share all but some digits: texts that are a few deletions apart are no reason to meet."""
+    names = [f"supplier#{i:09d}" for i in range(600)]
+    df = spark.createDataFrame([(n,) for n in names], "name string").withColumn("length", F.char_length("name"))
+    key = ["length", "k", "piece", "left"]
+    met = N.left_over(N.filed(df, 2), 2).join(N.left_over(N.looked_up(df, 2), 2).select(*key, F.col("name").alias("other")), key).where("name < other")
+    assert met.where(F.levenshtein("name", "other") > 2).count() == 0
+    found = N.similar_names(df, 2).count()
+    assert found == len(near(names, 2)) and met.count() < 6 * found
+
+
 @pytest.mark.parametrize("groups", [M.BROADCAST_GROUPS, 0])
 def test_medians(spark, monkeypatch, groups):
     monkeypatch.setattr(M, "BROADCAST_GROUPS", groups)
