@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pictorium.operators import catalogue as C
 from pictorium.operators import medians as M
 from pictorium.operators import names as N
+from pictorium.plans import training
 
 
 def distance(a, b):
@@ -71,6 +72,16 @@ def test_similar_people_by_name(spark):
     assert got == {tuple(r) for r in N.similar_people(df, 2).collect()}
 
 
+def test_all_people_are_paired(spark, tmp_path):
+    """The query gives every two people whose names are near, also where several bear a name."""
+    people = [(i, f"Supplier#{i % 40 * 37:09d}", 1.0, i % 25) for i in range(120)]
+    spark.createDataFrame(people, "s_suppkey long, s_name string, s_acctbal double, s_nationkey int").write.parquet(str(tmp_path / "supplier.parquet"))
+    special = {0: "_NO_FACE_ASSIGNED_", 1: ".ignore", 2: ".realignore", 3: ".another_ignore"}
+    names = {i: special.get(i, name).lower() for i, name, *_ in people}
+    want = sorted((a, b, k) for a, b in itertools.combinations(sorted(names), 2) if (k := distance(names[a], names[b])) <= 2)
+    assert sum(k == 0 for *_, k in want) > 100 and sorted(map(tuple, training.name_distance(spark, str(tmp_path)).collect())) == want
+
+
 def test_crowded_names_meet_little_oftener_than_they_are_near(spark):
     """Numbered names share all but some digits: texts that are a few deletions apart are no reason to meet."""
     names = [f"supplier#{i:09d}" for i in range(600)]
