@@ -15,8 +15,17 @@ from pictorium.sources.shared import written
 
 #: Characters of the runs that needles are found by; shorter needles are runs themselves.
 GRAM = 3
-#: Runs of at most so many kinds are broadcast to the texts.
-BROADCAST_RUNS = 100_000
+#: Tables of runs and needles are broadcast up to so many bytes, counted as they take in memory: their files are far smaller.
+BROADCAST_BYTES = 16_000_000
+
+
+def beside(rows: DataFrame, *texts: str, more: Column | None = None) -> DataFrame:
+    """A table to join with (read twice): broadcast if its rows, with what these texts and `more` take, are few enough, else joined by sorting."""
+    size = F.lit(64) if more is None else F.lit(64) + more
+    for text in texts:
+        size = size + F.octet_length(text)
+    taken = rows.agg(F.sum(size.cast("long"))).first()[0] or 0
+    return F.broadcast(rows) if taken <= BROADCAST_BYTES else rows.hint("merge")
 
 
 def kinds_of(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -51,10 +60,11 @@ def holding_all(sets: DataFrame, held: DataFrame) -> DataFrame:
     return every.withColumnRenamed("set_id", "kind").join(kinds, "kind").join(given, "people").select("set_id", "image_id")
 
 
-def _runs(text: Column, size: int) -> Column:
-    """Every run of so many characters, in order."""
-    last = F.char_length(text) - (size - 1)
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+def _runs(rows: DataFrame, text: str, sizes: Column, gram: str, begin: str) -> DataFrame:
+    """Each row with every run of these sizes (an array) in its text, and where it begins (from 1)."""
+    last = F.char_length(text) - F.col("_size") + 1
+    at = rows.withColumn("_size", F.explode(sizes)).withColumn(begin, F.explode(F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))))
+    return at.withColumn(gram, F.substring(text, F.col(begin), F.col("_size"))).drop("_size")
 
 
 class Substrings:
@@ -69,35 +79,35 @@ class Substrings:
 
     def ways(self, needles: DataFrame) -> DataFrame:
         """gram, and `at` and `size` of the needles that are found by it; needles: needle, not empty."""
-        placed = needles.select("needle", F.char_length("needle").alias("size"), F.posexplode(F.when(F.char_length("needle") < GRAM, F.array("needle")).otherwise(_runs(F.col("needle"), GRAM))).alias("at", "gram"))
+        size = F.char_length("needle")
+        placed = _runs(needles.select("needle", size.alias("size")), "needle", F.array(F.least(size, F.lit(GRAM))), "gram", "at")
         asked = written(placed.groupBy("gram", "at", "size").agg(F.count(F.lit(1)).alias("n")))
         counts = self._grams(asked.select("gram").distinct()).groupBy("gram").agg(F.count(F.lit(1)).alias("texts"))
-        cost = asked.join(counts, "gram").select("gram", "at", "size", "n", (F.col("texts") / F.col("n")).alias("cost"))
+        cost = written(asked.join(counts.hint("merge"), "gram").select("gram", "at", "size", "n", (F.col("texts") / F.col("n")).alias("cost")))
         # a needle with a run that no text holds is in none
         best = Window.partitionBy("needle").orderBy("cost", F.desc("n"), "at")
         runs = placed.groupBy("needle").agg(F.count(F.lit(1)).alias("runs"))
-        known = placed.join(cost, ["gram", "at", "size"]).withColumns({"place": F.row_number().over(best), "held": F.count(F.lit(1)).over(Window.partitionBy("needle"))})
-        return known.where("place = 1").join(runs, "needle").where("held = runs").select("gram", "at", "size").distinct()
+        known = placed.join(beside(cost, "gram"), ["gram", "at", "size"]).withColumns({"place": F.row_number().over(best), "held": F.count(F.lit(1)).over(Window.partitionBy("needle"))})
+        return known.where("place = 1").join(runs.hint("merge"), "needle").where("held = runs").select("gram", "at", "size").distinct()
 
-    def _grams(self, runs: DataFrame) -> DataFrame:
-        """id, text, begin and the columns of `runs`: where the texts hold one of these (gram, each once, and more)."""
+    def _grams(self, runs: DataFrame, more: Column | None = None) -> DataFrame:
+        """id, text, begin and the columns of `runs`: where the texts hold one of these (gram, each once, and `more` bytes)."""
         runs = written(runs)
         sizes = [r[0] for r in runs.select(F.char_length("gram")).distinct().collect()]
-        every = F.flatten(F.array(*[F.transform(_runs(F.col("text"), size), lambda g, i: F.struct(g.alias("gram"), i.alias("begin"))) for size in sizes])) if sizes else F.array().cast("array<struct<gram:string,begin:int>>")
-        return self.texts.select("id", "text", F.inline(every)).join(F.broadcast(runs) if runs.count() <= BROADCAST_RUNS else runs, "gram")
+        return _runs(self.texts, "text", F.array(*[F.lit(x) for x in sizes]).cast("array<int>"), "gram", "begin").join(beside(runs, "gram", more=more), "gram")
 
     def candidates(self, needles: DataFrame) -> DataFrame:
         """needle and id of the texts that hold it, by their stretches; needles: needle, not empty and each once."""
         of_gram = self.ways(needles).groupBy("gram").agg(F.collect_list(F.struct("at", "size")).alias("ways"))
-        begins = self._grams(of_gram).select("id", "text", "begin", F.inline("ways"))
+        begins = self._grams(of_gram, 24 * F.size("ways")).select("id", "text", "begin", F.inline("ways"))
         begin = F.col("begin") - F.col("at") + 1
         stretches = begins.where((begin >= 1) & (begin + F.col("size") - 1 <= F.char_length("text"))).select("id", F.substring("text", begin, F.col("size")).alias("needle"))
-        return stretches.join(needles, "needle").select("needle", "id").distinct()
+        return stretches.join(beside(needles, "needle"), "needle").select("needle", "id").distinct()
 
     def found(self, needles: DataFrame) -> DataFrame:
         """needle (as given) and id of every text that holds it. Needles: column `needle`; null ones find nothing, the
         empty one every text."""
         asked = written(needles.select("needle", self._folded(F.col("needle")).alias("folded")).where("needle is not null").distinct())
         held = self.candidates(asked.where("folded <> ''").select(F.col("folded").alias("needle")).distinct()).withColumnRenamed("needle", "folded")
-        every = asked.where("folded = ''").select("needle").crossJoin(self.texts.select("id"))
-        return asked.join(held, "folded").select("needle", "id").unionByName(every)
+        every = self.texts.select("id").crossJoin(F.broadcast(asked.where("folded = ''").select("needle"))).select("needle", "id")
+        return held.join(beside(asked, "needle", "folded"), "folded").select("needle", "id").unionByName(every)

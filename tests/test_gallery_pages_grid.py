@@ -124,6 +124,18 @@ def test_needles_of_common_runs(spark):
     assert index.candidates(needles.select(F.lower("needle").alias("needle"))).count() == len(rows)
 
 
+def test_many_needles_stay_off_the_driver(spark, monkeypatch):
+    """Needles compress well as files: what is broadcast is bounded by what it takes in memory."""
+    texts = spark.range(500).select("id", F.format_string("/photos/%d.jpg", "id").alias("text"))
+    needles = spark.range(0, 1000, 2).select(F.format_string("/%d.J", "id").alias("needle")).union(spark.createDataFrame([("9",), ("",), (None,)], "needle string"))
+    want = sorted({(f"/{i}.J", i) for i in range(0, 500, 2)} | {("9", i) for i in range(500) if "9" in str(i)} | {("", i) for i in range(500)})
+    assert sorted(map(tuple, Q.Substrings(texts).found(needles).collect())) == want
+    monkeypatch.setattr(Q, "BROADCAST_BYTES", 0, raising=False)
+    found = Q.Substrings(texts).found(needles)
+    assert sorted(map(tuple, found.collect())) == want
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def boxes(rng, n, extent, largest, image=1):
     out = []
     for i in range(n):
