@@ -10,7 +10,7 @@ from pictorium.operators import catalogue as C
 from pictorium.operators import curation as D
 from pictorium.plans import stand_ins as S
 from pictorium.plans.registry import query
-from pictorium.sources.shared import shared_folder
+from pictorium.sources.shared import shared_folder, written
 from pictorium.streaming import curation as stream
 from pictorium.streaming import ordering, upkeep
 
@@ -58,7 +58,7 @@ def stream_bulk_ops(spark, sf_dir):
 def messages_out_of_order(spark, sf_dir):
     """Messages to faces arrive in the order of a hash, every tenth twice."""
     folder = shared_folder(spark)
-    sent = ordering.numbered_messages(ops(spark, sf_dir)).select("face_id", "nth", "operation", "person", F.pmod(F.xxhash64("face_id", "nth"), F.lit(1_000_003)).alias("arrival"))
+    sent = written(ordering.numbered_messages(ops(spark, sf_dir)).select("face_id", "nth", "operation", "person", F.pmod(F.xxhash64("face_id", "nth"), F.lit(1_000_003)).alias("arrival")))
     again = sent.where(F.col("arrival") % 10 == 0).withColumn("arrival", F.pmod(F.xxhash64("arrival", "face_id"), F.lit(1_000_003)))
     table = stream.FaceTable(spark, f"{folder}/faces")
     table.start(S.faces(spark, sf_dir))

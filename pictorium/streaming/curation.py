@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pictorium.operators.curation import Marks, bulk_applied
-from pictorium.sources.shared import removed, shared_folder
+from pictorium.sources.shared import removed, shared_folder, written
 
 #: Buckets of a table by the hash of the face's id: a micro-batch reads those that its messages name.
 BUCKETS = 64
 #: Versions of a bucket that are kept beside each other before it is written whole again.
 KEPT = 16
+#: Rows of an arrival, about, that a file takes, and so one task that writes it.
+ROWS_A_FILE = 500_000
 #: So many ids of changed faces are broadcast (some 24 bytes each); of more, the faces move to them.
 BROADCAST_IDS = 5_000_000
 
@@ -128,15 +130,27 @@ def started(ops: DataFrame, step: Step, checkpoint: str, **trigger: object) -> S
 
 
 def arrived(rows: DataFrame, folder: str, order: str, arrivals: int) -> DataFrame:
-    """Writes rows as files, some of them at a time by a column's order, and reads them as a stream, a file a micro-batch."""
-    # a file source takes files by their age: each arrival is written after the one before
+    """Writes rows as files, some of them at a time by a column's order, and reads them as a stream, an arrival a micro-batch."""
+    # what makes the rows runs once, in all its tasks
+    rows = written(rows)
     cuts = rows.approxQuantile(order, [k / arrivals for k in range(1, arrivals)], 0.01)
     edges = [None, *sorted(set(cuts)), None]
+    parts = []
     for low, high in zip(edges, edges[1:], strict=False):
         part = rows if low is None else rows.where(F.col(order) > low)
-        part = part if high is None else part.where(F.col(order) <= high)
-        part.coalesce(1).sortWithinPartitions(order).write.mode("append").parquet(folder)
-    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        parts.append(part if high is None else part.where(F.col(order) <= high))
+    # every arrival is as many files, each by one task: as many are a micro-batch
+    files = max(1, rows.count() // (len(parts) * ROWS_A_FILE))
+    slot = F.pmod(F.xxhash64(*rows.columns), F.lit(files)).cast("int")
+    if files > 1 and any(part.select(slot).distinct().count() < files for part in parts):
+        files = 1
+    # a file source takes files by their age: each arrival is written after the one before
+    for part in parts:
+        if files == 1:
+            part.coalesce(1).sortWithinPartitions(order).write.mode("append").parquet(folder)
+        else:
+            part.withColumn("_slot", slot).repartition(files, "_slot").sortWithinPartitions("_slot", order).write.mode("append").option("maxRecordsPerFile", 0).partitionBy("_slot").parquet(folder)
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(folder).select(*rows.columns)
 
 
 def last_batch(query: StreamingQuery) -> int:

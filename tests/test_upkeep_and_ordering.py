@@ -90,6 +90,28 @@ def test_a_gap_is_given_up_in_time(spark, tmp_path):
     assert (2, 1, "x", 9, O.DUE) in [r for _, r in out]
 
 
+def test_faces_share_their_state(spark, tmp_path):
+    """Many faces are few states; integers beyond a double's stay whole beside nulls; a share's gaps end each in its time."""
+    big = 2**53 + 1
+    spark.createDataFrame([(big + 2 * face, nth, "verify_face", None if face % 3 else big + 2 * face) for face in range(300) for nth in (2, 1)] + [(None, big, "a", big), (big, None, "b", 1)], O.MESSAGES).coalesce(1).write.parquet(f"{tmp_path}/in")
+    source, out = spark.readStream.schema(O.MESSAGES).parquet(f"{tmp_path}/in"), []
+    query = O.with_rocks(spark, lambda: stream.started(O.in_turn(source, 10**9, 8), lambda batch, n: out.extend(map(tuple, batch.collect())), f"{tmp_path}/checkpoint"), ends=True)
+    assert query.awaitTermination(120) and query.exception() is None
+    due = [r for r in out if r[4] == O.DUE]
+    assert sorted(due, key=lambda r: r[:2]) == [(big + 2 * face, nth, "verify_face", None if face % 3 else big + 2 * face, O.DUE) for face in range(300) for nth in (1, 2)]
+    assert sorted(set(out) - set(due), key=str) == sorted([(None, big, "a", big, O.UNNUMBERED), (big, None, "b", 1, O.UNNUMBERED)], key=str)
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 2 * 8
+
+
+def test_an_arrival_of_many_files_is_a_batch(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stream, "ROWS_A_FILE", 20, raising=False)
+    rows = spark.range(300).select(F.col("id").alias("seq"), F.array("id").alias("face_id_list"))
+    source, out = stream.arrived(rows, f"{tmp_path}/in", "seq", 3), []
+    assert len(list((tmp_path / "in").rglob("*.parquet"))) == 15
+    stream.started(source, lambda batch, n: out.append(sorted(r.seq for r in batch.collect())), f"{tmp_path}/checkpoint").awaitTermination()
+    assert len(out) == 3 and sum(out, []) == list(range(300))
+
+
 def test_late_messages_are_set_aside(spark, tmp_path):
     table = stream.FaceTable(spark, str(tmp_path / "faces"), 4)
     table.start(faces(spark, 4))
